@@ -112,3 +112,22 @@ def ranked(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
     offsets = parts.select("part", F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("_before"))
     out = table.join(F.broadcast(offsets), "part")
     return out.withColumn("place", F.col("at") + F.col("_before")).drop("part", "at", "_before")
+
+
+def running_sum(df: DataFrame, keys: list[str | Column], value: str, name: str, within: list[str] | None = None) -> DataFrame:
+    """``df`` with ``part``, ``at`` and ``running``: the sum of ``value`` up to the row, in the order of ``keys``.
+
+    ``within``: columns without nulls that lead the keys; the sum starts anew for each value.
+    Each part sums its own rows; what comes before it is added from one row per part (and
+    value), so that a hot value spreads over as many tasks as it fills parts.
+    """
+    within = within or []
+    table, _ = range_ordered(df, keys, name)
+    group = ["part", *within]
+    earlier = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = table.groupBy(*group).agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(*group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = table.withColumn("_own", F.sum(value).over(own))
+    out = summed.join(offsets if within else F.broadcast(offsets), group)
+    return out.withColumn("running", F.col("_own") + F.col("_before")).drop("_own", "_before")

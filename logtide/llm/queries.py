@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, exact_dedup
+from logtide.llm import bpe, exact_dedup, mixing, sharding
 from logtide.llm.common import documents
 
 
@@ -20,6 +20,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("times")
+
+
 OP2_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -32,6 +40,8 @@ FROM t WINDOW g AS (PARTITION BY norm)
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_fair_mix": op10_fair_mix,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
