@@ -21,6 +21,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries after which a worker's memo of pieces or of token pairs is emptied.
 MEMO_ENTRIES = 500_000
@@ -187,7 +188,7 @@ def _arrow_map(df: DataFrame, column: str, out: str, convert) -> DataFrame:
     keep = [c for c in df.columns if c.lower() != out.lower()]
     # The source goes along under a private name, so that columns of any name may be kept.
     sent = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("_source"))
-    schema = sent.drop("_source").withColumn(out, F.lit(None).cast("binary")).schema
+    schema = T.StructType([*sent.schema.fields[:-1], T.StructField(out, T.BinaryType())])
 
     def run(batches):
         fn = convert()

@@ -71,6 +71,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns as in ``docs``.  Keys must be unique."""
-    times = mix(docs, key, **options).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
+    times = mix(docs, key, **options).where("times > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("times").cast("int")).alias("_mix_times"))
     # Keys are unique on both sides, so no task gets more than its share.
-    return docs.join(times.hint("merge"), F.col(key) == F.col("_id")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = docs.join(times.hint("merge"), F.col(key) == F.col("_mix_id"))
+    return taken.withColumn("_mix_time", F.explode("_mix_times")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, exact_dedup, mixing, sharding
+from logtide.llm import bpe, digest, exact_dedup, language, mixing, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -20,6 +20,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edit_likeness(documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.classify(docs, language.train(docs))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -40,6 +53,9 @@ FROM t WINDOW g AS (PARTITION BY norm)
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_quartile_digest": op5_quartile_digest,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fair_mix": op10_fair_mix,
 }
