@@ -125,7 +125,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     sizes = asked.groupBy("rule", "alternative").agg(F.bit_or("bit").alias("all"))
     met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "alternative").agg(F.bit_or("bit").alias("bits"))
     whole = met.join(F.broadcast(sizes), ["rule", "alternative"]).where(F.col("bits") == F.col("all"))
-    return whole.groupBy("doc_id").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("rule"))).alias("rules"))
+    return whole.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def matches(text: Column, rule: Rule, at: int) -> Column:
@@ -185,5 +185,9 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     kinds = [r.kind for r in rules]
     base = [at for at, r in enumerate(rules) if r.base]
     own = F.filter("found", lambda s: s["kind"] < len(base))
-    counts = [F.size(F.filter("found", lambda s, at=at: s["kind"] == at)).cast("long").alias(f"n_{kinds[at]}") for at in base]
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [of(at).alias(f"n_{kinds[at]}") for at in base]
     return found.select("doc_id", *counts, F.sha2(spans_text(own, kinds).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("found"), kinds).alias("spans"))
