@@ -131,3 +131,33 @@ def running_sum(df: DataFrame, keys: list[str | Column], value: str, name: str,
     summed = table.withColumn("_own", F.sum(value).over(own))
     out = summed.join(offsets if within else F.broadcast(offsets), group)
     return out.withColumn("running", F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
+#: Ids (8 bytes each) up to which a list of them is broadcast; longer lists are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+#: A group is hot when it has more than one row of so many; there are fewer hot groups than this, which bounds their broadcast.
+HOT_SHARE = 256
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, a written table of narrow rows, marked for broadcast if it is short enough, else for a join by shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
+
+
+def without(docs: DataFrame, key: str, dropped: DataFrame, name: str = "_dropped") -> DataFrame:
+    """``docs`` without the rows whose key is in column ``name`` of the written table ``dropped``."""
+    return docs.join(sized(dropped.select(name)), F.col(f"`{key}`") == F.col(name), "left_anti")
+
+
+def attached(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each value of ``on``, with its number of rows.
+
+    Rows of hot groups take theirs from a broadcast of fewer than HOT_SHARE rows, the others
+    by shuffle, so that no task gets a hot group whole.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE > F.lit(total)
+    hot = groups.where(is_hot)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(groups.where(~is_hot).hint("merge"), on)
+    return near.unionByName(far.select(near.columns))

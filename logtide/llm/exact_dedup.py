@@ -14,11 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import BLANK, text_or_empty, written
+from logtide.llm.common import BLANK, attached, sized, text_or_empty, without, written
 
-#: A hash is hot when it has more than one row of so many; there are fewer such hashes
-#: than this number, which bounds their broadcast.
-HOT_SHARE = 256
 #: Up to so many repeated hashes (16 bytes each) are broadcast to find the texts to compare; more are joined by shuffle.
 BROADCAST_HASHES = 500_000
 
@@ -40,18 +37,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hashe
     marks = written(rows.select("doc_id", hashed(F.col("norm")).alias("h"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")), "exact-marks")
     groups = written(marks.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
 
-    repeated = groups.where("group_size > 1").select("h")
-    few = repeated.count() <= BROADCAST_HASHES
-    suspects = rows.withColumn("h", hashed(F.col("norm"))).join(F.broadcast(repeated) if few else repeated.hint("merge"), "h", "left_semi")
+    repeated = sized(groups.where("group_size > 1").select("h"), BROADCAST_HASHES)
+    suspects = rows.withColumn("h", hashed(F.col("norm"))).join(repeated, "h", "left_semi")
     texts = suspects.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     collided = texts.groupBy("h").agg(F.count("*").alias("n_texts")).where("n_texts > 1").select("h")
     # One row a collided hash: with 128 bits there are none, and the join below is an empty broadcast.
     collided = written(collided, "exact-collided")
 
     if collided.isEmpty():
-        found = _attached(marks, groups)
+        found = attached(marks, groups, "h", "group_size").drop("h")
     else:
-        clean = _attached(marks.join(collided, "h", "left_anti"), groups)
+        clean = attached(marks.join(collided, "h", "left_anti"), groups, "h", "group_size").drop("h")
         # Where hashes collide, the bytes themselves are the key.
         mixed = rows.withColumn("h", hashed(F.col("norm"))).join(collided, "h", "left_semi")
         apart = mixed.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -67,17 +63,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hashe
     )
 
 
-def _attached(marks: DataFrame, groups: DataFrame) -> DataFrame:
-    """The group of each row.  Rows of hot hashes take it from a broadcast of fewer than HOT_SHARE rows, the others by shuffle."""
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = groups.where(F.col("group_size") * HOT_SHARE > F.lit(total))
-    near = marks.join(F.broadcast(hot), "h")
-    far = marks.join(F.broadcast(hot.select("h")), "h", "left_anti").join(groups.where(F.col("group_size") * HOT_SHARE <= F.lit(total)).hint("merge"), "h")
-    columns = ["doc_id", "keep_id", "group_size", "sha"]
-    return near.select(columns).unionByName(far.select(columns))
-
-
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row with a smaller key has; columns as in ``docs``.  Keys must be unique."""
-    dropped = exact_groups(docs, key, text).where("NOT kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.hint("merge"), F.col(key) == F.col("_dropped"), "left_anti")
+    dropped = written(exact_groups(docs, key, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "exact-dropped")
+    return without(docs, key, dropped)
