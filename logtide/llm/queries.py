@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, digest, exact_dedup, language, mixing, near_dedup, secrets, sharding
+from logtide.llm import bpe, digest, exact_dedup, language, mixing, near_dedup, pii, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(documents(spark, sf_dir)))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ FROM t WINDOW g AS (PARTITION BY norm)
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pii": op3_pii,
     "op4_near_dedup": op4_near_dedup,
     "op5_quartile_digest": op5_quartile_digest,
     "op6_secret_scan": op6_secret_scan,
