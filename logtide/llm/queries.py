@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, digest, exact_dedup, language, mixing, near_dedup, pii, secrets, sharding
+from logtide.llm import bpe, digest, exact_dedup, html_text, language, mixing, near_dedup, pii, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, sf_dir)))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.classify(docs, language.train(docs))
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quartile_digest": op5_quartile_digest,
     "op6_secret_scan": op6_secret_scan,
+    "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fair_mix": op10_fair_mix,
