@@ -2,5 +2,711 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from logtide.functions import text as texts
+from logtide.functions.times import Period, ntz
+from logtide.operators import baseline, blocks, candidates, drain, noise, ordering, parse, records, search, templates
+from logtide.plans.events_view import END, INCIDENT, LINED_SQL, LOGS_SQL, SEQ_SQL, START, logs, table, with_lineno
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PERIODS = [Period(START - timedelta(days=7), END - timedelta(days=7)), Period(START - timedelta(days=14), END - timedelta(days=14))]
+NORMAL = [Period(datetime(2024, 1, 2), datetime(2024, 1, 9)), Period(datetime(2024, 1, 15), datetime(2024, 1, 18))]
+RULES = [
+    noise.Rule("click <*>", "clicks are expected"),
+    noise.Rule('<*> {"k": 1<*>}', "first decade"),
+    noise.Rule("signup <*>", "sign-ups are expected", ("5.1.*", "5.2.*")),
+    noise.Rule("error <*>", "retired rule", ("4.*",)),
+]
+VERSION = "5.2.3"
+WINDOW_SQL = "ts BETWEEN TIMESTAMP '2024-01-30 06:00:00' AND TIMESTAMP '2024-01-30 18:00:00'"
+NORMAL_SQL = "(ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-09' OR ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-18')"
+#: Thresholds that the small tables reach.
+SETTINGS = baseline.Settings(vanished_min_expected=1, surge_min_count=3, surge_ratio=1.5, drop_min_expected=2, drop_ratio=0.6)
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def oracle(select: str, views: str = LOGS_SQL) -> str:
+    return "WITH " + views + select
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    """Days as text, which all engines write alike."""
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
+# ---- records ----
+
+
+@query(oracle(f"SELECT event_id, ts, level, template_id FROM logs WHERE {WINDOW_SQL}"))
+def window_filter(spark, sf_dir):
+    return records.in_window(logs(spark, sf_dir), START, END).select("event_id", "ts", "level", "template_id")
+
+
+@query(oracle("SELECT event_id, level, severity >= 4 AS is_trigger FROM logs"))
+def trigger_flag(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    return r.select("event_id", "level", records.is_trigger(r).alias("is_trigger"))
+
+
+@query(oracle("SELECT event_id, level, severity FROM logs WHERE severity >= 3"))
+def level_threshold(spark, sf_dir):
+    return search.matching(logs(spark, sf_dir), search.Query(level="warning")).select("event_id", "level", "severity")
+
+
+_SPELLINGS = ("warning", "Err", "I", "fatal", "verbose", "FINE", "SEVERE", "debug")
+
+
+@query(
+    oracle(
+        """, spelt AS (SELECT event_id, file, ['warning','Err','I','fatal','verbose','FINE','SEVERE','debug'][CAST(event_id % 8 AS INT) + 1] AS raw_level FROM logs)
+        SELECT event_id, raw_level, coalesce(l, 'INFO') AS level, l IS NULL AS unknown FROM (SELECT *,
+          CASE upper(raw_level) WHEN 'WARNING' THEN 'WARN' WHEN 'ERR' THEN 'ERROR' WHEN 'I' THEN 'INFO' WHEN 'FATAL' THEN 'FATAL'
+            WHEN 'FINE' THEN 'DEBUG' WHEN 'SEVERE' THEN 'ERROR' WHEN 'DEBUG' THEN 'DEBUG' END AS l FROM spelt)"""
+    )
+)
+def level_normalize(spark, sf_dir):
+    level = records.normal_level(F.col("raw_level"))
+    return _spelt(spark, sf_dir).select("event_id", "raw_level", F.coalesce(level, F.lit("INFO")).alias("level"), level.isNull().alias("unknown"))
+
+
+def _spelt(spark, sf_dir):
+    return logs(spark, sf_dir).withColumn("raw_level", F.get(F.array(*[F.lit(x) for x in _SPELLINGS]), (F.col("event_id") % 8).cast("int")))
+
+
+@query(
+    oracle(
+        """, spelt AS (SELECT file, ['warning','Err','I','fatal','verbose','FINE','SEVERE','debug'][CAST(event_id % 8 AS INT) + 1] AS raw_level FROM logs)
+        SELECT file, raw_level, count(*) AS n FROM spelt WHERE raw_level = 'verbose' GROUP BY ALL"""
+    )
+)
+def unknown_levels(spark, sf_dir):
+    return records.level_histogram(_spelt(spark, sf_dir))
+
+
+# ---- parsing ----
+
+_RENDERED_SQL = """, rendered AS (
+  SELECT event_id, CASE event_id % 3
+      WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g') WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M:%S,') || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')
+      ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' END || ' ' || level || ' [' || component || '] ' || message AS line, ts, level, component, message FROM logs)
+"""
+
+
+def _rendered(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    millis = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    slashed = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss,"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
+    stamp = F.when(F.col("event_id") % 3 == 0, millis).when(F.col("event_id") % 3 == 1, slashed).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return r.select("event_id", F.concat(stamp, F.lit(" "), "level", F.lit(" ["), "component", F.lit("] "), "message").alias("line"))
+
+
+@query(oracle("SELECT event_id, split_part(line, ' ' || level, 1) AS raw_ts, level AS raw_level, component, message FROM rendered", LOGS_SQL + _RENDERED_SQL))
+def head_line_parse(spark, sf_dir):
+    head = parse.head(F.col("line"))
+    return _rendered(spark, sf_dir).select("event_id", head["ts"].alias("raw_ts"), head["level"].alias("raw_level"), head["component"].alias("component"), head["message"].alias("message"))
+
+
+@query(
+    oracle(
+        """SELECT event_id, date_trunc('second', ts) + to_milliseconds(CASE event_id % 3 WHEN 0 THEN CAST(millisecond(ts) % 1000 AS BIGINT) WHEN 1 THEN event_id % 1000 ELSE 0 END)
+             + CASE event_id % 3 WHEN 2 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END AS ts FROM rendered""",
+        LOGS_SQL + _RENDERED_SQL,
+    )
+)
+def timestamp_parse(spark, sf_dir):
+    stamp = parse.head(F.col("line"))["ts"]
+    return _rendered(spark, sf_dir).select("event_id", parse.timestamp(stamp, "+09:00", "+09:00").alias("ts"))
+
+
+@query(
+    """WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS lineno, unnest(string_split(text, chr(10))) AS line FROM documents),
+       marked AS (SELECT *, CASE WHEN lineno % 4 = 2 THEN lineno END AS head FROM lines),
+       carried AS (SELECT *, max(head) OVER (PARTITION BY doc_id ORDER BY lineno) AS own FROM marked)
+       SELECT doc_id, own AS head_lineno, count(*) FILTER (WHERE head IS NULL AND trim(line) <> '') AS extra_lines,
+              CAST(coalesce(sum(length(line)) FILTER (WHERE head IS NULL AND trim(line) <> ''), 0) AS BIGINT) AS extra_chars
+       FROM carried WHERE own IS NOT NULL GROUP BY ALL"""
+)
+def continuation_attach(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_i", "line")).select(F.col("doc_id").alias("file"), (F.col("_i") + 1).cast("long").alias("lineno"), "line")
+    heads = lines.withColumn("is_head", F.col("lineno") % 4 == 2)
+    out = parse.attached(heads, most=10_000_000)
+    return out.select(F.col("file").alias("doc_id"), F.col("lineno").alias("head_lineno"), F.size("extra").cast("long").alias("extra_lines"), F.aggregate("extra", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("extra_chars"))
+
+
+@query(oracle("SELECT file, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts FROM logs GROUP BY file"))
+def file_stats(spark, sf_dir):
+    return templates.file_statistics(logs(spark, sf_dir))
+
+
+@query(oracle("SELECT event_id, seq FROM sequenced", SEQ_SQL))
+def global_sequence(spark, sf_dir):
+    return ordering.ranked(logs(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], "sequence", "seq").select("event_id", "seq")
+
+
+@query(
+    oracle(
+        """, firsts AS (SELECT user_template AS template, min(ROW(ts, event_id)) AS f FROM logs GROUP BY 1), n AS (SELECT template, row_number() OVER (ORDER BY f) AS i, count(*) OVER () AS c FROM firsts)
+        SELECT template, 'T' || lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(c AS VARCHAR))) AS INT), '0') AS template_id FROM n"""
+    )
+)
+def template_numbering(spark, sf_dir):
+    return templates.numbered(_by_user(spark, sf_dir), ["ts", "event_id"])
+
+
+def _by_user(spark, sf_dir):
+    return logs(spark, sf_dir).withColumn("template", F.col("user_template"))
+
+
+def _by_type(spark, sf_dir):
+    return logs(spark, sf_dir).withColumn("template", F.col("template_id"))
+
+
+# ---- text functions ----
+
+
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s"''<>]+', '<URL>', 'g'),
+          '\\\\[^\s"''<>]+', '<PATH>', 'g'), '\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b', '<UUID>', 'g'), '\bJ-\d+\b', '<JOBID>', 'g'), '\b0x[0-9a-fA-F]+\b', '<HEX>', 'g')) AS masked_md5 FROM documents"""
+)
+def mask_simple(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(texts.masked(F.col("text"), texts.SIMPLE_MASKS)).alias("masked_md5"))
+
+
+@query()
+def mask_full(spark, sf_dir):
+    return logs(spark, sf_dir).select("event_id", texts.masked(F.col("message")).alias("masked"))
+
+
+@query(
+    """SELECT doc_id, CAST(ceil(CAST(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS DOUBLE) / 3.5 + (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))) AS BIGINT) AS tokens FROM documents""".replace("\\\\", "\\")
+)
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE substr(t, 1, 99) || '…' END AS clipped FROM (SELECT doc_id, replace(text, chr(9), '  ') AS t FROM documents)""")
+def clip_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.clipped(F.col("text"), 100).alias("clipped"))
+
+
+@query(
+    """WITH n AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'srv-' || user_id || '.log' WHEN 1 THEN 'srv.log.' || user_id WHEN 2 THEN 'a' || user_id || '.TXT.gz' WHEN 3 THEN '.log' ELSE 'x' || user_id || '.log.3.gz' END AS file FROM events)
+       SELECT event_id, CASE WHEN b = '' THEN file ELSE b END AS alias FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(file, '\\.gz$', '', 'i'), '\\.\\d+$', ''), '\\.(log|txt)$', '', 'i') AS b FROM n)""".replace("\\\\", "\\")
+)
+def file_aliases(spark, sf_dir):
+    user, at = F.col("user_id").cast("string"), F.col("event_id") % 5
+    name = (
+        F.when(at == 0, F.concat(F.lit("srv-"), user, F.lit(".log")))
+        .when(at == 1, F.concat(F.lit("srv.log."), user))
+        .when(at == 2, F.concat(F.lit("a"), user, F.lit(".TXT.gz")))
+        .when(at == 3, ".log")
+        .otherwise(F.concat(F.lit("x"), user, F.lit(".log.3.gz")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", texts.file_alias(name).alias("alias"))
+
+
+@query(oracle("SELECT file || ':' || lineno AS line_id, event_id FROM lined", LINED_SQL))
+def line_ids(spark, sf_dir):
+    return with_lineno(logs(spark, sf_dir)).select(texts.line_id(F.col("file"), F.col("lineno")).alias("line_id"), "event_id")
+
+
+# ---- templates ----
+
+
+@query()
+def drain_templates(spark, sf_dir):
+    r = logs(spark, sf_dir).select("event_id", "ts", "message")
+    return drain.mine(r, ["ts", "event_id"]).groupBy("template").agg(F.count("*").alias("n"))
+
+
+_TOTALS = "count(*) AS total_count, min(ts) AS first_ts, max(ts) AS last_ts, max(severity) AS severity, arg_max(level, severity) AS level"
+
+
+@query(oracle(f"SELECT template_id AS template, {_TOTALS} FROM logs GROUP BY 1"))
+def template_total_agg(spark, sf_dir):
+    return templates.totals(_by_type(spark, sf_dir))
+
+
+@query(
+    oracle(
+        f"""SELECT user_template AS template, {_TOTALS}, count(*) FILTER (WHERE {WINDOW_SQL}) AS window_count, min(ts) FILTER (WHERE {WINDOW_SQL}) AS window_first, max(ts) FILTER (WHERE {WINDOW_SQL}) AS window_last,
+            max(severity) FILTER (WHERE {WINDOW_SQL}) AS window_severity, arg_max(level, severity) FILTER (WHERE {WINDOW_SQL}) AS window_level, count(*) FILTER (WHERE {WINDOW_SQL} AND severity >= 4) AS trigger_count FROM logs GROUP BY 1"""
+    )
+)
+def template_window_agg(spark, sf_dir):
+    return templates.window_totals(_by_user(spark, sf_dir), START, END)
+
+
+@query(
+    oracle(
+        """SELECT template, component, n, row_number() OVER (PARTITION BY template ORDER BY n DESC, component) AS rank FROM
+           (SELECT file AS template, component, count(*) AS n FROM logs GROUP BY ALL)"""
+    )
+)
+def component_histogram(spark, sf_dir):
+    return templates.component_histogram(logs(spark, sf_dir).withColumn("template", F.col("file")))
+
+
+# ---- baseline ----
+
+_DAYS_SQL = """, b AS (SELECT min(ts) AS first, max(ts) AS last FROM logs),
+  cal AS (SELECT CAST(unnest(generate_series(CAST(first AS DATE), greatest(CAST(last AS DATE), DATE '2024-01-30'), INTERVAL 1 DAY)) AS DATE) AS day FROM b),
+  cnt AS (SELECT CAST(ts AS DATE) AS day, count(*) AS records, count(*) FILTER (WHERE severity >= 4) AS errors FROM logs GROUP BY 1),
+  d0 AS (SELECT cal.day, coalesce(records, 0) AS records, coalesce(errors, 0) AS errors,
+      first <= CAST(cal.day AS TIMESTAMP) + INTERVAL 60 MINUTE AND last >= CAST(cal.day AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 60 MINUTE AS "full", cal.day = DATE '2024-01-30' AS incident_day FROM cal LEFT JOIN cnt USING (day), b),
+  d1 AS (SELECT *, "full" AND records > 0 AND day < DATE '2024-01-30' AS measured FROM d0),
+  d2 AS (SELECT *, median(records) FILTER (WHERE measured) OVER () AS med FROM d1),
+  d3 AS (SELECT *, coalesce(measured AND records >= 0.5 * med, false) AS business FROM d2),
+  d4 AS (SELECT *, median(errors) FILTER (WHERE business) OVER () AS mede FROM d3),
+  days AS (SELECT day, records, errors, "full", incident_day, business, coalesce(measured AND errors >= 10 AND errors > 3.0 * greatest(mede, 1.0), false) AS error_spike, records > 0 AND ("full" OR incident_day) AS observed FROM d4)
+"""
+
+
+@query(oracle("SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM days", LOGS_SQL + _DAYS_SQL))
+def daily_profile(spark, sf_dir):
+    return _dated(baseline.daily_profile(logs(spark, sf_dir), INCIDENT))
+
+
+@query(
+    """WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders), cal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
+       c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS records, count(*) FILTER (WHERE o_orderstatus = 'F') AS errors FROM orders GROUP BY 1)
+       SELECT CAST(cal.day AS VARCHAR) AS day, coalesce(records, 0) AS records, coalesce(errors, 0) AS errors FROM cal LEFT JOIN c USING (day)"""
+)
+def calendar_gapfill(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.when(F.col("o_orderstatus") == "F", 4).otherwise(2).alias("severity"))
+    first, last = baseline.span(r)
+    return _dated(baseline.calendar(first, last, first, r).join(baseline.day_counts(r), "day", "left").fillna(0, ["records", "errors"]))
+
+
+@query(oracle("SELECT CAST(day AS VARCHAR) AS day, records, business FROM days WHERE \"full\"", LOGS_SQL + _DAYS_SQL))
+def business_days(spark, sf_dir):
+    return _dated(baseline.daily_profile(logs(spark, sf_dir), INCIDENT).where("full").select("day", "records", "business"))
+
+
+_SPIKE_SQL = _DAYS_SQL.replace("severity >= 4", "severity >= 4 AND (dayofmonth(ts) % 7 = 0 OR event_id % 10 = 0)")
+
+
+@query(oracle("SELECT CAST(day AS VARCHAR) AS day, errors, error_spike FROM days", LOGS_SQL + _SPIKE_SQL))
+def error_spikes(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    rare = (F.col("severity") >= 4) & ~((F.dayofmonth("ts") % 7 == 0) | (F.col("event_id") % 10 == 0))
+    return _dated(baseline.daily_profile(r.withColumn("severity", F.when(rare, 3).otherwise(F.col("severity"))), INCIDENT).select("day", "errors", "error_spike"))
+
+
+_POINTS_SQL = """, obs AS (SELECT day, incident_day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM days WHERE observed),
+  inc AS (SELECT max(i) AS i FROM obs WHERE incident_day),
+  pres AS (SELECT DISTINCT {key} AS template, CAST(ts AS DATE) AS day FROM logs WHERE {where}),
+  s AS (SELECT template, min(obs.i) AS f, max(obs.i) AS l, count(*) AS p, max(n) AS n FROM pres JOIN obs USING (day) GROUP BY 1),
+  k AS (SELECT s.*, CASE WHEN n > 3 AND f >= 3 AND p >= 0.5 * (n - f) THEN 'APPEAR'
+      WHEN n > 3 AND l + 1 >= 3 AND n - (l + 1) - CASE WHEN (SELECT i FROM inc) >= l + 1 THEN 1 ELSE 0 END > 0 AND p >= 0.8 * (l + 1) THEN 'VANISHED' END AS kind FROM s),
+  points AS (SELECT template, kind, (SELECT day FROM obs WHERE i = CASE kind WHEN 'APPEAR' THEN f ELSE l + 1 END) AS day,
+      CASE kind WHEN 'APPEAR' THEN 0 ELSE p END AS before_present, CASE kind WHEN 'APPEAR' THEN f ELSE l + 1 END AS before_days,
+      CASE kind WHEN 'APPEAR' THEN p ELSE 0 END AS after_present, CASE kind WHEN 'APPEAR' THEN n - f ELSE n - l - 1 END AS after_days FROM k WHERE kind IS NOT NULL)
+"""
+
+
+#: Of the users, some begin and some cease to appear: the tables have no such templates by themselves.
+def _shifted(spark, sf_dir):
+    by = F.col("user_id") % 10
+    day = F.dayofmonth("ts")
+    r = logs(spark, sf_dir).withColumn("template", F.concat(F.lit("G"), by.cast("string")))
+    return r.where(~((by == 3) & (day < 12)) & ~((by == 6) & (day >= 20)) & ~((by == 8) & (day < 30)))
+
+
+_SHIFT = {"key": "'G' || (user_id % 10)", "where": "NOT (user_id % 10 = 3 AND dayofmonth(ts) < 12) AND NOT (user_id % 10 = 6 AND dayofmonth(ts) >= 20) AND NOT (user_id % 10 = 8 AND dayofmonth(ts) < 30)"}
+_SHIFT_SQL = LOGS_SQL + f", shifted AS (SELECT * FROM logs WHERE {_SHIFT['where']})" + _DAYS_SQL.replace("FROM logs", "FROM shifted") + _POINTS_SQL.format(**_SHIFT)
+
+
+@query(oracle("SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM points WHERE kind = 'APPEAR'", _SHIFT_SQL))
+def change_points_appear(spark, sf_dir):
+    r = _shifted(spark, sf_dir)
+    return _dated(baseline.change_points(r, baseline.daily_profile(r, INCIDENT)).where(F.col("kind") == baseline.APPEAR))
+
+
+@query(oracle("SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM points WHERE kind = 'VANISHED'", _SHIFT_SQL))
+def change_points_vanish(spark, sf_dir):
+    r = _shifted(spark, sf_dir)
+    return _dated(baseline.change_points(r, baseline.daily_profile(r, INCIDENT)).where(F.col("kind") == baseline.VANISHED))
+
+
+@query(
+    oracle(
+        """, fc AS (SELECT min(day) AS day FROM points WHERE day < DATE '2024-01-30')
+        SELECT CAST(d.day AS VARCHAR) AS day, coalesce(d.day < DATE '2024-01-30' AND "full" AND records > 0 AND d.day >= fc.day, false) AS after_change,
+          d.day < DATE '2024-01-30' AND "full" AND records > 0 AND NOT coalesce(d.day >= fc.day, false) AND NOT error_spike AS normal_candidate FROM days d, fc""",
+        _SHIFT_SQL,
+    )
+)
+def normal_candidates(spark, sf_dir):
+    r = _shifted(spark, sf_dir)
+    days = baseline.daily_profile(r, INCIDENT)
+    changed = baseline.first_change(baseline.change_points(r, days), INCIDENT)
+    return _dated(baseline.with_candidates(days, changed, INCIDENT).select("day", "after_change", "normal_candidate"))
+
+
+_P = [f"ts BETWEEN TIMESTAMP '{p.start}' AND TIMESTAMP '{p.end}'" for p in PERIODS]
+_EXPECTED_SQL = """, expected AS (SELECT {key} AS template, count(*) FILTER (WHERE %s) * (720.0 / 720 / 2) + count(*) FILTER (WHERE %s) * (720.0 / 720 / 2) AS expected FROM logs WHERE %s OR %s GROUP BY 1)
+""" % (_P[0], _P[1], _P[0], _P[1])
+
+
+@query(oracle("SELECT template, CAST(expected AS DOUBLE) AS expected FROM expected", LOGS_SQL + _EXPECTED_SQL.format(key="template_id")))
+def expected_counts(spark, sf_dir):
+    return baseline.expected_counts(_by_type(spark, sf_dir), PERIODS, START, END)
+
+
+_COMPARED_SQL = LOGS_SQL + _EXPECTED_SQL.format(key="user_template") + f""", t AS (SELECT user_template AS template, count(*) FILTER (WHERE {WINDOW_SQL}) AS observed FROM logs GROUP BY 1),
+  j AS (SELECT template, observed, CAST(coalesce(expected, 0) AS DOUBLE) AS expected FROM t LEFT JOIN expected USING (template)),
+  compared AS (SELECT template, CASE WHEN expected = 0 AND observed > 0 THEN 'NEW' WHEN observed = 0 AND expected >= 1 THEN 'VANISHED' WHEN observed >= 3 AND observed >= 1.5 * greatest(expected, 1) THEN 'SURGE' WHEN expected >= 2 AND observed <= 0.6 * expected THEN 'DROP' END AS kind, expected, observed FROM j)
+"""
+
+
+def _compared(spark, sf_dir):
+    r = _by_user(spark, sf_dir)
+    return baseline.comparisons(templates.window_totals(r, START, END), baseline.expected_counts(r, PERIODS, START, END), SETTINGS)
+
+
+@query(oracle("SELECT * FROM compared WHERE kind IS NOT NULL", _COMPARED_SQL))
+def baseline_compare(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@query(oracle("SELECT k.kind, count(c.kind) AS n FROM (VALUES ('VANISHED'), ('NEW'), ('SURGE'), ('DROP')) k(kind) LEFT JOIN compared c ON c.kind = k.kind GROUP BY 1", _COMPARED_SQL))
+def verdict_counts(spark, sf_dir):
+    return baseline.verdict_counts(_compared(spark, sf_dir))
+
+
+@query(oracle("SELECT 'auto' AS how, CAST(max(day) AS TIMESTAMP) + INTERVAL 6 HOUR AS start, CAST(max(day) AS TIMESTAMP) + INTERVAL 18 HOUR AS \"end\" FROM days WHERE business AND NOT error_spike", LOGS_SQL + _DAYS_SQL))
+def baseline_select(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    days = baseline.with_candidates(baseline.daily_profile(r, INCIDENT), None, INCIDENT)
+    chosen = baseline.select_periods(days, baseline.span(r)[0], INCIDENT, START, END)
+    return spark.range(1).select(F.lit(chosen.how).alias("how"), ntz(chosen.periods[0].start).alias("start"), ntz(chosen.periods[0].end).alias("end"))
+
+
+# ---- noise ----
+
+_FIRST_SQL = r"""CASE WHEN regexp_matches(message, '(?s)^\s*click\s+.*?\s*$') THEN 'clicks are expected' WHEN regexp_matches(message, '(?s)^\s*.*?\s+\{"k":\s+1.*?\}\s*$') THEN 'first decade'
+  WHEN regexp_matches(message, '(?s)^\s*signup\s+.*?\s*$') THEN 'sign-ups are expected' END"""
+
+
+@query(oracle(f"SELECT event_id, {_FIRST_SQL} AS noise_reason FROM logs"))
+def noise_first_match(spark, sf_dir):
+    return noise.with_noise(logs(spark, sf_dir), RULES, VERSION, "message").select("event_id", "noise_reason")
+
+
+@query(oracle(f"SELECT event_id, message FROM logs WHERE {WINDOW_SQL} AND ({_FIRST_SQL}) IS NULL"))
+def noise_anti_join(spark, sf_dir):
+    r = records.in_window(logs(spark, sf_dir), START, END)
+    return noise.with_noise(r, RULES, VERSION, "message").where("noise_reason IS NULL").select("event_id", "message")
+
+
+@query(
+    oracle(
+        """, noisy AS (SELECT DISTINCT user_template AS template, CASE WHEN user_id % 2 = 0 THEN 'even users' END AS noise_reason FROM logs)
+        SELECT n.template, noise_reason, CASE WHEN noise_reason IS NOT NULL AND (kind = 'SURGE' OR kind = 'NEW' AND observed >= 5) THEN kind END AS suspended,
+          noise_reason IS NOT NULL AND NOT coalesce(kind = 'SURGE' OR kind = 'NEW' AND observed >= 5, false) AS is_noise FROM noisy n LEFT JOIN compared c USING (template)""",
+        _COMPARED_SQL,
+    )
+)
+def noise_suspend(spark, sf_dir):
+    noisy = _by_user(spark, sf_dir).select("template", F.when(F.col("user_id") % 2 == 0, "even users").alias("noise_reason")).distinct()
+    none = spark.createDataFrame([], "template string, kind string")
+    return noise.suspended(noisy, _compared(spark, sf_dir), none)
+
+
+@query(
+    oracle(
+        rf""", st AS (SELECT template_id AS template, count(*) AS n, max(severity) AS severity, arg_max(level, severity) AS level, count(DISTINCT date_trunc('hour', ts)) AS n_hours, count(DISTINCT CAST(ts AS DATE)) AS n_days, arg_min(substr(message, 1, 300), ROW(ts, event_id)) AS sample FROM logs WHERE {NORMAL_SQL} GROUP BY 1),
+        tx AS (SELECT *, template || ' in the application <*>' AS text, template || ' in the application' AS search_hint FROM st WHERE severity >= 3)
+        SELECT template, n, severity, level, n_hours, n_days, sample, text, search_hint, CASE WHEN regexp_matches(text, '(?s)^\s*signup.*?\s*$') THEN 'KNOWN' WHEN n < 5 OR n_hours < 3 THEN 'RARE' WHEN length(search_hint) < 8 THEN 'SHORT' END AS why, round(n / 240.0, 4) AS per_hour FROM tx"""
+    )
+)
+def noise_candidates(spark, sf_dir):
+    r = _by_type(spark, sf_dir)
+    stats = candidates.statistics(r, NORMAL, ["ts", "event_id"])
+    names = r.select("template").distinct().withColumn("text", F.concat("template", F.lit(" in the application <*>")))
+    return candidates.judged(stats, names, 240.0, [noise.Rule("signup<*>", "known")], [], 5, 3)
+
+
+@query(
+    oracle(
+        f""", c AS (SELECT file AS template, component, count(*) AS n FROM logs WHERE {NORMAL_SQL} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY n DESC, component) AS i FROM c)
+        SELECT template, string_agg(component, ', ' ORDER BY i) AS components FROM r WHERE i <= 3 GROUP BY 1"""
+    )
+)
+def noise_components(spark, sf_dir):
+    return candidates.top_components(logs(spark, sf_dir).withColumn("template", F.col("file")), NORMAL)
+
+
+@query(oracle(f"SELECT event_id, ts FROM logs WHERE {NORMAL_SQL}"))
+def period_membership(spark, sf_dir):
+    from logtide.functions.times import within_any
+
+    return logs(spark, sf_dir).where(within_any(F.col("ts"), NORMAL)).select("event_id", "ts")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split_regex(text, '<[^<>\\s]*>') AS a FROM (SELECT doc_id, replace(text, ' the ', ' <*> ') AS text FROM documents)),
+       t AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '^[ :=,()\\[\\]''"]+|[ :=,()\\[\\]''"]+$', '', 'g')) AS a FROM p), u AS (SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM t)
+       SELECT doc_id, length(arg_max(piece, length(piece) * 100000 - i)) AS hint_chars, md5(arg_max(piece, length(piece) * 100000 - i)) AS hint_md5 FROM u GROUP BY 1""".replace("\\\\", "\\")
+)
+def literal_hints(spark, sf_dir):
+    hint = texts.longest_literal(F.replace(F.col("text"), F.lit(" the "), F.lit(" <*> ")))
+    return table(spark, sf_dir, "documents").select("doc_id", hint.alias("hint")).select("doc_id", F.length("hint").cast("long").alias("hint_chars"), F.md5("hint").alias("hint_md5"))
+
+
+# ---- search ----
+
+
+@query(oracle("SELECT event_id, ts, message FROM logs WHERE contains(lower(message), lower('K\": 6')) AND contains(lower(message), 'click')"))
+def search_substring(spark, sf_dir):
+    return search.matching(logs(spark, sf_dir), search.Query(texts=('K": 6', "CLICK"))).select("event_id", "ts", "message")
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE regexp_matches(text, '[0-9]{3}\\.[0-9]+\\.') ".replace("\\\\", "\\"))
+def search_regex(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("message", F.col("text"))
+    return search.matching(docs, search.Query(texts=(r"[0-9]{3}\.[0-9]+\.",), regex=True)).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query(
+    oracle(
+        """SELECT event_id, ts, file, level, message FROM logs WHERE severity >= 3 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND file IN ('app-1.log', 'app-2.log')
+           AND lower(component) IN ('error', 'signup') AND template_id IN ('error', 'signup') AND contains(lower(message), '7') ORDER BY ts DESC, event_id DESC LIMIT 200"""
+    )
+)
+def search_combined(spark, sf_dir):
+    q = search.Query(texts=("7",), level="WARN", low=datetime(2024, 1, 10), high=datetime(2024, 1, 20), files=("app-1.log", "app-2.log"), components=("ERROR", "Signup"), templates=("error", "signup"))
+    return search.page(search.matching(logs(spark, sf_dir), q), ["ts", "event_id"], 200, descending=True).select("event_id", "ts", "file", "level", "message")
+
+
+@query(
+    oracle(
+        """, t AS (SELECT user_template, any_value(file) AS template FROM logs GROUP BY 1), m AS (SELECT user_template, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM logs WHERE severity >= 3 GROUP BY 1)
+        SELECT m.user_template, n, first_ts, last_ts, template FROM m LEFT JOIN t USING (user_template) ORDER BY n DESC, m.user_template LIMIT 10"""
+    )
+)
+def search_overflow_breakdown(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    names = r.groupBy("user_template").agg(F.min("file").alias("template"))
+    return search.breakdown(search.matching(r, search.Query(level="WARN")), names, 10, "user_template")
+
+
+@query(
+    """WITH c AS (SELECT 'conv' || conv_id AS file, turn AS lineno, text FROM conversations WHERE conv_id = 7)
+       SELECT lineno, lineno - 2 AS "offset", md5(text) AS text_md5 FROM c WHERE lineno BETWEEN 0 AND 5 ORDER BY lineno"""
+)
+def context_same_file(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("lineno"), "text")
+    return search.neighbours(c, 2, 2, 3, by="lineno", file="conv7").select("lineno", F.col("offset").cast("long").alias("offset"), F.md5("text").alias("text_md5"))
+
+
+@query(oracle("SELECT event_id, seq, seq - 500 AS \"offset\" FROM sequenced WHERE seq BETWEEN 490 AND 510", SEQ_SQL))
+def context_merged(spark, sf_dir):
+    r = ordering.ranked(logs(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], "sequence", "seq")
+    return search.neighbours(r, 500, 10, 10).select("event_id", "seq", F.col("offset").cast("long").alias("offset"))
+
+
+_LINES_SQL = LINED_SQL + ", heads AS (SELECT file, lineno * 3 AS lineno FROM lined), asked AS (SELECT DISTINCT file, lineno + 1 + lineno % 5 AS lineno FROM heads)\n"
+
+
+@query(oracle("SELECT a.file, a.lineno, max(h.lineno) AS head_lineno FROM asked a ASOF LEFT JOIN heads h ON a.file = h.file AND a.lineno >= h.lineno GROUP BY ALL", _LINES_SQL))
+def asof_line(spark, sf_dir):
+    heads = with_lineno(logs(spark, sf_dir)).select("file", (F.col("lineno") * 3).cast("long").alias("lineno"))
+    asked = heads.select("file", (F.col("lineno") + 1 + F.col("lineno") % 5).alias("lineno")).distinct()
+    return search.records_at(heads, asked)
+
+
+_ONE = "template_id = 'error' AND ts >= TIMESTAMP '2024-01-05'"
+
+
+def _errors(spark, sf_dir):
+    return search.matching(logs(spark, sf_dir), search.Query(templates=("error",), low=datetime(2024, 1, 5)))
+
+
+@query(oracle(f"SELECT event_id, ts FROM logs WHERE {_ONE} ORDER BY ts, event_id LIMIT 20"))
+def template_first(spark, sf_dir):
+    return search.page(_errors(spark, sf_dir), ["ts", "event_id"], 20).select("event_id", "ts")
+
+
+@query(oracle(f"SELECT event_id, ts FROM logs WHERE {_ONE} ORDER BY ts DESC, event_id DESC LIMIT 20"))
+def template_last(spark, sf_dir):
+    return search.page(_errors(spark, sf_dir), ["ts", "event_id"], 20, descending=True).select("event_id", "ts")
+
+
+@query(
+    oracle(
+        f""", m AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS c FROM logs WHERE {_ONE})
+        SELECT event_id, ts, rn FROM m WHERE rn IN (SELECT i * (SELECT max(c) FROM m) // 20 FROM range(20) r(i))"""
+    )
+)
+def template_spread(spark, sf_dir):
+    return search.spread_sample(_errors(spark, sf_dir), ["ts", "event_id"], 20).select("event_id", "ts", "rn")
+
+
+_BUCKETS = search.buckets(datetime(2024, 1, 8), datetime(2024, 1, 12), 120)
+
+
+@query(
+    oracle(
+        """, g AS (SELECT b AS bucket, t AS template_id FROM range(96) r(b), (VALUES ('error'), ('signup')) v(t)),
+        c AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-08')) // 3600000000 AS bucket, template_id, count(*) AS n FROM logs WHERE template_id IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2)
+        SELECT g.bucket, g.template_id, coalesce(n, 0) AS n, TIMESTAMP '2024-01-08' + to_hours(CAST(g.bucket AS INT)) AS start FROM g LEFT JOIN c USING (bucket, template_id)"""
+    )
+)
+def count_by_time(spark, sf_dir):
+    return search.count_by_time(logs(spark, sf_dir), ["error", "signup"], datetime(2024, 1, 8), datetime(2024, 1, 12), _BUCKETS)
+
+
+@query(
+    oracle(
+        """, c AS (SELECT CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-08')) // 3600000000 AS BIGINT) AS bucket FROM logs WHERE user_template = 'U1' AND ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12'),
+        t AS (SELECT b AS bucket, count(c.bucket) AS total FROM range(96) r(b) LEFT JOIN c ON c.bucket = b GROUP BY 1),
+        m AS (SELECT *, bucket - row_number() OVER (PARTITION BY total = 0 ORDER BY bucket) AS isl FROM t),
+        s AS (SELECT *, count(*) OVER (PARTITION BY total = 0, isl) AS len, min(bucket) OVER (PARTITION BY total = 0, isl) AS lo FROM m),
+        k AS (SELECT *, CASE WHEN total = 0 AND len >= 3 THEN lo ELSE bucket END AS grp FROM s)
+        SELECT min(bucket) AS first_bucket, max(bucket) AS last_bucket, CAST(sum(total) AS BIGINT) AS total FROM k GROUP BY grp"""
+    )
+)
+def zero_run_collapse(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    counts = search.count_by_time(r, ["U1"], datetime(2024, 1, 8), datetime(2024, 1, 12), _BUCKETS, "user_template")
+    return search.zero_runs(counts, key="user_template")
+
+
+@query(oracle(f"SELECT event_id, ts, message FROM logs WHERE {WINDOW_SQL} AND severity >= 4 ORDER BY ts, event_id LIMIT 3"))
+def first_errors(spark, sf_dir):
+    r = records.in_window(logs(spark, sf_dir), START, END)
+    return search.page(r.where(records.is_trigger(r)), ["ts", "event_id"], 3).select("event_id", "ts", "message")
+
+
+@query(
+    oracle(
+        """, s AS (SELECT event_id, ts, user_template AS template, count(*) OVER (PARTITION BY user_template) AS n_stacks, row_number() OVER (PARTITION BY user_template ORDER BY ts, event_id) AS i FROM logs WHERE level = 'ERROR' AND event_id % 3 = 0)
+        SELECT template, event_id, n_stacks FROM s WHERE i = 1"""
+    )
+)
+def stack_first_per_template(spark, sf_dir):
+    r = _by_user(spark, sf_dir).withColumn("extra", F.when((F.col("level") == "ERROR") & (F.col("event_id") % 3 == 0), F.array(F.lit("java.io.IOException: x"), F.lit("\tat a.b.C(C.java:1)"))))
+    stacked = r.where(records.has_stack(F.col("extra")))
+    return stacked.groupBy("template").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_stacks"))
+
+
+# ---- blocks ----
+
+
+def _stream(spark, sf_dir):
+    r = records.in_window(logs(spark, sf_dir), datetime(2024, 1, 29), END).select("event_id", "ts", "level", "severity", F.col("user_template").alias("template"))
+    return ordering.ranked(r, ["ts", "event_id"], "stream", "position")
+
+
+_STREAM_SQL = LOGS_SQL + """, stream AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () AS len FROM logs WHERE ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30 18:00:00'),
+  trig AS (SELECT *, lag(position) OVER (ORDER BY position) AS last FROM stream WHERE severity >= 4),
+  isl AS (SELECT *, sum(CASE WHEN last IS NULL OR position - 2 > last + 2 + 1 THEN 1 ELSE 0 END) OVER (ORDER BY position) AS block FROM trig)
+"""
+
+
+@query(oracle("SELECT CAST(block AS BIGINT) AS block, greatest(0, min(position) - 2) AS lo, least(max(len) - 1, max(position) + 2) AS hi, count(*) AS n_triggers FROM isl GROUP BY block", _STREAM_SQL))
+def block_islands(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    return blocks.islands(stream.where("severity >= 4"), 2, 2, stream.count())
+
+
+@query()
+def block_capped(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    return blocks.capped(stream.where("severity >= 4"), 2, 2, 12, stream.count()).select("lo", "hi", F.size("triggers").alias("n_triggers"))
+
+
+@query(
+    oracle(
+        """, b AS (SELECT block, greatest(0, min(position) - 2) AS lo, least(max(len) - 1, max(position) + 2) AS hi FROM isl GROUP BY block),
+        f AS (SELECT DISTINCT lo FROM (SELECT user_template, min(lo) AS lo FROM isl JOIN b USING (block) GROUP BY 1)), k AS (SELECT lo, hi, row_number() OVER (ORDER BY lo) AS i FROM b JOIN f USING (lo) ORDER BY lo LIMIT 15)
+        SELECT 'E' || lpad(CAST(i AS VARCHAR), 2, '0') AS block, lo, hi FROM k""",
+        _STREAM_SQL,
+    )
+)
+def block_select(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    triggers = stream.where("severity >= 4")
+    merged = blocks.capped(triggers, 2, 2, 1 << 40, stream.count())
+    return blocks.selected(merged, triggers, 15).select("block", "lo", "hi")
+
+
+@query(
+    oracle(
+        """, p AS (SELECT DISTINCT date_trunc('hour', ts) AS s FROM logs WHERE level = 'ERROR' AND user_id % 50 = 1), q AS (SELECT s, s + INTERVAL 3 HOUR AS e FROM p),
+        m AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM q), g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (ORDER BY s, e) AS i FROM m)
+        SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY i"""
+    )
+)
+def interval_merge(spark, sf_dir):
+    hours = logs(spark, sf_dir).where((F.col("level") == "ERROR") & (F.col("user_id") % 50 == 1)).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).distinct()
+    spans = hours.withColumn("end", F.expr("start + INTERVAL 3 HOURS"))
+    order = Window.orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    return marked.withColumn("_i", F.sum("_new").over(order)).groupBy("_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+
+
+# ---- joins and sets ----
+
+
+@query(oracle(", t AS (SELECT template_id, max(severity) >= 4 AS severe FROM logs GROUP BY 1) SELECT event_id, severe AS noise FROM logs LEFT JOIN t USING (template_id)"))
+def logs_left_templates(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    t = r.groupBy("template_id").agg((F.max("severity") >= 4).alias("noise"))
+    return r.join(t, "template_id", "left").select("event_id", "noise")
+
+
+@query(oracle("SELECT DISTINCT user_template FROM logs WHERE severity >= 4 EXCEPT SELECT user_template FROM logs WHERE severity = 3"))
+def set_difference_ids(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    return r.where("severity >= 4").select("user_template").distinct().join(r.where("severity = 3").select("user_template"), "user_template", "left_anti")
+
+
+@query(oracle("SELECT DISTINCT file, alias FROM logs"))
+def distinct_files(spark, sf_dir):
+    return logs(spark, sf_dir).select("file", "alias").distinct()
+
+
+@query(oracle("SELECT event_id, file, ts FROM logs"))
+def union_sources(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    parts = [r.where(F.col("file") == f"app-{i}.log") for i in range(4)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("event_id", "file", "ts")
+
+
+@query(oracle("SELECT count(*) AS records, count(*) FILTER (WHERE %s) AS in_window, count(DISTINCT template_id) AS templates, min(ts) AS first_ts, max(ts) AS last_ts FROM logs" % WINDOW_SQL))
+def run_totals(spark, sf_dir):
+    inside = F.col("ts").between(ntz(START), ntz(END))
+    return logs(spark, sf_dir).agg(F.count("*").alias("records"), F.count(F.when(inside, 1)).alias("in_window"), F.countDistinct("template_id").alias("templates"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(oracle("SELECT file, count(w.event_id) AS window_records FROM (SELECT DISTINCT file FROM logs) f LEFT JOIN (SELECT event_id, file FROM logs WHERE level = 'ERROR' AND %s) w USING (file) GROUP BY 1" % WINDOW_SQL))
+def window_records_per_file(spark, sf_dir):
+    r = logs(spark, sf_dir)
+    counts = records.in_window(r, START, END).where("level = 'ERROR'").groupBy("file").agg(F.count("*").alias("window_records"))
+    return r.select("file").distinct().join(counts, "file", "left").fillna(0, ["window_records"])
