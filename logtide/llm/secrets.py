@@ -130,11 +130,12 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def matches(text: Column, rule: Rule, at: int) -> Column:
     """Spans (start, kind, end) of the rule's matches in code points; matches that are too short are dropped, not retried."""
-    pattern = F.lit(rule.pattern)
+    tight = _tight(rule)
+    pattern = F.lit(tight)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     # Matches aren't empty, so the text is a part before each match and one after the last.
-    parsed = F.struct(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"), F.transform(checked, F.length).alias("checked"))
+    parsed = F.struct(F.transform(F.split(text, tight, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"), F.transform(checked, F.length).alias("checked"))
 
     def total(a: Column, n: Column) -> Column:
         return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, v: s + v)
@@ -169,15 +170,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
         rows = rows.withColumn("rules", F.lit(0).cast("long"))
     found = []
     for at, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        asked_for = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0 if query else F.col("text").rlike(_presence(rule))
+        asked_for = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0 if query else F.col("text").rlike(_tight(rule))
         found.append(F.when(asked_for, matches(F.col("text"), rule, at)).otherwise(none))
-    return rows.select("doc_id", F.concat(*found).alias("found"))
+    # Written, since each later use of the column would match all expressions again.
+    return written(rows.select("doc_id", F.concat(*found).alias("found")), "secret-found")
 
 
-def _presence(rule: Rule) -> str:
-    """An expression that finds whether a full scan has anything to report; for a repeated class, a run of the least length."""
+def _tight(rule: Rule) -> str:
+    """The rule's expression; for a repeated class, only runs of the least length: matches are whole runs either way, and the short ones are no longer listed to be dropped."""
     m = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
-    return f"{m[1]}{{{rule.least}}}" if m and rule.group == 0 else rule.pattern
+    return f"{m[1]}{{{rule.least},}}" if m and rule.group == 0 else rule.pattern
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
