@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import map_rows
+from logtide.llm.common import free_name, map_rows
 
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: bytes of a dictionary, labelled rows a language, code points of a row.
@@ -123,4 +123,4 @@ def accepted_documents(docs: DataFrame, model: list[tuple[str, bytes]], text: st
             keep = pa.array([classifier(t)[2] for at in range(0, batch.num_rows, 256) for t in batch.slice(at, 256).columns[-1].to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(c, keep) for c in batch.columns[:-1]], names=names)
 
-    return docs.select("*", F.col(text).cast("string").alias("_text")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, docs.schema)
