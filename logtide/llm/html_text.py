@@ -70,10 +70,10 @@ GOOD, BAD, SHORT_BLOCK = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("bad", "heading", "inside", "linked", "text")
+    __slots__ = ("bad", "heading", "inside", "linked", "parent", "text")
 
-    def __init__(self, text: str, linked: int, bad: bool, heading: bool, inside: bool):
-        self.text, self.linked, self.bad, self.heading, self.inside = text, linked, bad, heading, inside
+    def __init__(self, text: str, linked: int, bad: bool, heading: bool, inside: bool, parent: int):
+        self.text, self.linked, self.bad, self.heading, self.inside, self.parent = text, linked, bad, heading, inside, parent
 
 
 def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
@@ -89,9 +89,9 @@ def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    linked = links = bad = articles = breaks = 0
+    linked = links = bad = articles = breaks = opened = 0
     heading = False
 
     def close() -> None:
@@ -99,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, bad > 0, heading, articles > 0))
+                out.append(Block(text, linked, bad > 0, heading, articles > 0, stack[-1][2] if stack else 0))
             parts.clear()
         linked, heading = 0, False
 
@@ -135,12 +135,13 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTAINERS:
                 if not ends:
                     own = _is_bad(tag, m["attrs"], articles > 0)
-                    stack.append((tag, own))
+                    opened += 1
+                    stack.append((tag, own, opened))
                     bad += own
                     articles += tag in ("article", "main")
-                elif any(t == tag for t, _ in stack):
+                elif any(t == tag for t, _, _ in stack):
                     while True:
-                        name, own = stack.pop()
+                        name, own, _ = stack.pop()
                         bad -= own
                         articles -= name in ("article", "main")
                         if name == tag:
@@ -196,6 +197,9 @@ def labels(found: list[Block]) -> list[int]:
             out[i] = first[right if left is None else left]
         elif block.heading:
             out[i] = first[right]
+        elif (found[left].parent == block.parent) != (found[right].parent == block.parent):
+            # A neighbour in the same container is nearer than any in another.
+            out[i] = first[left] if found[left].parent == block.parent else first[right]
         elif first[left] == first[right]:
             out[i] = first[left]
         else:
