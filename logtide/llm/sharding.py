@@ -31,7 +31,7 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     n = len(cells)
 
     def steps(lowest: int) -> Column:
-        return F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(i).alias("axis")) for b in range(bits - 1, lowest - 1, -1) for i in range(n)])
+        return F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(i).alias("axis")) for b in range(bits - 1, lowest - 1, -1) for i in range(n)]).cast("array<struct<bit:bigint,axis:int>>")
 
     def turned(x: Column, step: Column) -> Column:
         low = step["bit"] - 1
@@ -48,7 +48,7 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
     def parity(g: Column) -> Column:
         """The last axis's higher bits turn all axes."""
-        highs = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)])
+        highs = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]).cast("array<bigint>")
         return F.aggregate(highs, F.lit(0).cast("long"), lambda t, q: F.when(F.get(g, F.lit(n - 1)).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
 
     def woven(g: Column) -> Column:
