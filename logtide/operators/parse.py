@@ -51,6 +51,15 @@ class LogFormat:
         return any(fnmatchcase(name.lower(), glob.lower()) for glob in self.files)
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at the end."""
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
+def _is_blank(line: Column) -> Column:
+    return ~line.rlike(r"(?U)\S")
+
+
 def head(line: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     """Struct of ts, level, component and message of a head line by the first pattern that fits; null for other lines."""
     found = None
@@ -61,7 +70,7 @@ def head(line: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
         def part(name: str, groups=groups, java=java) -> Column:
             return F.regexp_extract(line, java, groups[name]) if name in groups else F.lit("")
 
-        fields = F.struct(part("ts").alias("ts"), part("level").alias("level"), F.trim(part("component")).alias("component"), F.rtrim(part("message")).alias("message"))
+        fields = F.struct(part("ts").alias("ts"), part("level").alias("level"), F.regexp_replace(_stripped(part("component")), r"(?U)^\s+", "").alias("component"), _stripped(part("message")).alias("message"))
         hit = line.rlike(java)
         found = F.when(hit, fields) if found is None else found.when(hit, fields)
     return found
@@ -102,10 +111,10 @@ def attached(lines: DataFrame, most: int = MOST_EXTRA) -> DataFrame:
     # Written by running(): the lines are used twice below.
     carried = running(own, ["file", "lineno"], "_head", "lines", ["file"], F.max).drop("part", "at", "_head")
     heads = carried.where("is_head").drop("running", "line", "is_head")
-    follow = carried.where(~F.col("is_head") & F.col("running").isNotNull() & (F.trim("line") != ""))
+    follow = carried.where(~F.col("is_head") & F.col("running").isNotNull() & ~_is_blank(F.col("line")))
     ranked = follow.withColumn("_n", F.row_number().over(Window.partitionBy("file", "running").orderBy("lineno")))
     gathered = ranked.groupBy(F.col("file").alias("_file"), F.col("running").alias("_lineno")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("lineno", F.rtrim("line").alias("line"))))).alias("_kept"),
+        F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("lineno", _stripped(F.col("line")).alias("line"))))).alias("_kept"),
         F.count(F.when(F.col("_n") > most, 1)).alias("_dropped"),
     )
     joined = heads.join(gathered, (F.col("file") == F.col("_file")) & (F.col("lineno") == F.col("_lineno")), "left")
@@ -142,7 +151,7 @@ def parsed(lines: DataFrame, formats: list[LogFormat], out_zone: str = "+09:00",
     records = attached(found.select("file", "file_order", "alias", "lineno", "line", "is_head", "ts", "level", "severity", "component", "message"))
     first_head = found.where("is_head").groupBy("file").agg(F.min("lineno").alias("_first"))
     placed = found.join(F.broadcast(first_head), "file", "left")
-    follows = ~F.col("is_head") & (F.trim("line") != "")
+    follows = ~F.col("is_head") & ~_is_blank(F.col("line"))
     before_any = F.col("_first").isNull() | (F.col("lineno") < F.col("_first"))
     files = placed.groupBy("file_order", "file", "alias", "format", "encoding").agg(
         F.count("*").alias("total_lines"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import gzip
+import re
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -66,7 +67,7 @@ def lines(spark: SparkSession, files: Sequence[tuple[str, str, int]], formats: S
     if not files:
         return spark.createDataFrame([], SCHEMA)
     about = {path: (order, shown, number, formats[number].encoding) for order, (path, shown, number) in enumerate(files)}
-    read = spark.read.format("binaryFile").load([Path(p).as_uri() for p in about]).select("path", "content")
+    read = _contents(spark, list(about))
     # Each file to a task of its own, as far as there are tasks.
     dealt = read.repartition(min(len(about), 10_000), "path") if len(about) > 1 else read
 
@@ -92,6 +93,23 @@ def lines(spark: SparkSession, files: Sequence[tuple[str, str, int]], formats: S
     return dealt.mapInArrow(split, SCHEMA)
 
 
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of files.  Spark's reader takes names that begin with _ for its own; tasks open those themselves, from the folders that were listed."""
+    schema = "path string, content binary"
+    hidden = [p for p in paths if Path(p).name.startswith("_")]
+    shown = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths if p not in set(hidden)]
+    read = spark.read.format("binaryFile").load([f"file://{p}" for p in shown]).select("path", "content") if shown else spark.createDataFrame([], schema)
+    if not hidden:
+        return read
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([Path(path).read_bytes()], pa.binary())], names=["path", "content"])
+
+    return read.unionByName(spark.createDataFrame([(p,) for p in hidden], "path string").mapInArrow(opened, schema))
+
+
 def with_empty(files: DataFrame, listed_files: Sequence[tuple[str, str, int]]) -> DataFrame:
     """File statistics with a row for each listed file, also for those without a line."""
     every = files.sparkSession.createDataFrame([(order, shown, number) for order, (_, shown, number) in enumerate(listed_files)], "file_order int, file string, format int")
