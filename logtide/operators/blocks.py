@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logtide.operators.ordering import running_sum, written
+from logtide.operators.shipping import ship
 
 
 def islands(triggers: DataFrame, before: int, after: int, length: int, position: str = "position") -> DataFrame:
@@ -56,6 +57,7 @@ def capped(triggers: DataFrame, before: int, after: int, cap: int, length: int,
     but a gap wider than both margins starts afresh, so each island is a walk of its own and
     the islands are spread over tasks.  An island is streamed, never held.
     """
+    ship(triggers.sparkSession)
     lagged = Window.orderBy(position)
     t = triggers.select(F.col(position).cast("long").alias("position"))
     t = t.withColumn("_new", F.when(F.col("position") - F.lag("position").over(lagged) <= before + after + 1, 0).otherwise(1).cast("long"))

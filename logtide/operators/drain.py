@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logtide.functions.text import masked
+from logtide.operators.shipping import ship
 
 ANY = "<*>"
 EMPTY = "<EMPTY>"
@@ -85,6 +86,7 @@ def mine(records: DataFrame, order: Sequence[str], message: str = "message") ->
 
     Only distinct forms are dealt out by leaf; the records are joined to what is found.
     """
+    ship(records.sparkSession)
     forms = forms_of(records, order, message)
     dealt = forms.repartition("size", "leaf").sortWithinPartitions("size", "leaf", "first").select("size", "leaf", "form")
     mined = dealt.mapInArrow(_mine, "form string, template_key string, template string")

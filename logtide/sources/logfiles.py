@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.operators.parse import LogFormat
+from logtide.operators.shipping import ship
 
 SCHEMA = "file_order int, file string, format int, encoding string, lineno long, line string"
 #: Lines in an Arrow batch.
@@ -66,6 +67,7 @@ def lines(spark: SparkSession, files: Sequence[tuple[str, str, int]], formats: S
     """
     if not files:
         return spark.createDataFrame([], SCHEMA)
+    ship(spark)
     about = {path: (order, shown, number, formats[number].encoding) for order, (path, shown, number) in enumerate(files)}
     read = _contents(spark, list(about))
     # Each file to a task of its own, as far as there are tasks.
