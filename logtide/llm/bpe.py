@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logtide.llm.common import SLICE_ROWS, free_name, small_batches
+
 #: Entries after which a worker's memo of pieces or of token pairs is emptied.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -57,7 +59,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > MEMO_ENTRIES:
             self.clear()
-        if len(self.fits) > 2 * MEMO_ENTRIES:
+        if len(self.fits) > MEMO_ENTRIES:
             self.fits.clear()
         return b"".join(map(self.__getitem__, self.split(text)))
 
@@ -181,39 +183,43 @@ def share_ranks(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def _arrow_map(df: DataFrame, column: str, out: str, convert) -> DataFrame:
-    """Replace or add binary column ``out``, computed from ``column`` a slice of rows at a time."""
+def _arrow_map(df: DataFrame, column: str, outs: list[str], convert, kept: list[str] | None = None) -> DataFrame:
+    """Replace or add the binary columns ``outs``, computed from ``column`` a slice of rows at a time.
+
+    ``convert`` makes a function of a value that gives one value for each of ``outs``.
+    ``kept``: the other columns to keep; all if None.
+    """
     import pyarrow as pa
 
-    keep = [c for c in df.columns if c.lower() != out.lower()]
+    small_batches(df.sparkSession)
+    keep = [c for c in (df.columns if kept is None else kept) if c.lower() not in {o.lower() for o in outs}]
     # The source goes along under a private name, so that columns of any name may be kept.
-    sent = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("_source"))
-    schema = T.StructType([*sent.schema.fields[:-1], T.StructField(out, T.BinaryType())])
+    sent = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(free_name(df, "_source")))
+    schema = T.StructType([*sent.schema.fields[:-1], *[T.StructField(o, T.BinaryType()) for o in outs]])
 
     def run(batches):
         fn = convert()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                values = pa.array([fn(v) for v in part.column(part.num_columns - 1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*keep, out])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                values = [fn(v) for v in part.column(part.num_columns - 1).to_pylist()]
+                made = [pa.array([v[i] for v in values], pa.binary()) for i in range(len(outs))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *outs])
 
     return sent.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """Add ``out``: the ids of the whole text, as little-endian unsigned 32-bit integers (binary)."""
+def _encoding(ranks: Broadcast, pattern: str):
     key = zlib.crc32(ranks.value)
 
     def convert():
         encoder = _encoder(ranks, key, pattern)
         return lambda text: encoder.encode(text) if text else b""
 
-    return _arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, out, convert)
+    return convert
 
 
-def decode(df: DataFrame, ranks: Broadcast, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the bytes (binary) of the packed ids; null ids decode to no bytes."""
+def _decoding(ranks: Broadcast):
     key = zlib.crc32(ranks.value)
 
     def convert():
@@ -222,7 +228,45 @@ def decode(df: DataFrame, ranks: Broadcast, ids: str = "token_ids", out: str = "
         table = _table(ranks, key)
         return lambda packed: b"".join(map(table.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
 
-    return _arrow_map(df, ids, out, convert)
+    return convert
+
+
+def encode(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", out: str = "token_ids", kept: list[str] | None = None) -> DataFrame:
+    """Add ``out``: the ids of the whole text, as little-endian unsigned 32-bit integers (binary)."""
+    encoding = _encoding(ranks, pattern)
+
+    def convert():
+        fn = encoding()
+        return lambda text: (fn(text),)
+
+    return _arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [out], convert, kept)
+
+
+def decode(df: DataFrame, ranks: Broadcast, ids: str = "token_ids", out: str = "decoded", kept: list[str] | None = None) -> DataFrame:
+    """Add ``out``: the bytes (binary) of the packed ids; null ids decode to no bytes."""
+    decoding = _decoding(ranks)
+
+    def convert():
+        fn = decoding()
+        return lambda packed: (fn(packed),)
+
+    return _arrow_map(df, ids, [out], convert, kept)
+
+
+def round_trip(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded", kept: list[str] | None = None) -> DataFrame:
+    """Add ``ids`` and ``out``, what encode and then decode give, in one pass through one worker a task."""
+    encoding, decoding = _encoding(ranks, pattern), _decoding(ranks)
+
+    def convert():
+        to_ids, to_bytes = encoding(), decoding()
+
+        def fn(text):
+            packed = to_ids(text)
+            return packed, to_bytes(packed)
+
+        return fn
+
+    return _arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [ids, out], convert, kept)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

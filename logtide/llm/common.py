@@ -2,46 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from logtide.operators.ordering import range_ordered, ranked, running_sum, scratch_dir, written
+from logtide.operators.shipping import ship
+
+__all__ = ["attached", "documents", "free_name", "map_rows", "range_ordered", "ranked", "running_sum", "scratch_dir", "shuffle_partitions", "sized", "small_batches", "text_or_empty", "without", "written"]
 
 #: Rows that a Python task turns into objects at a time.
 SLICE_ROWS = 256
 #: ASCII white space of the contracts, as a Java and Python character class.
 BLANK = r"[\x20\x09-\x0D]"
 
-_local_dir: list[str] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one of this machine only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return _local_dir[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -58,11 +40,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Make workers ready for texts: the package on their path, and batches of a few MB where a user hasn't set less.
+
+    The usual 10,000 rows of long texts are tens of MB, which the JVM holds outside its heap
+    and the worker holds as well, for each task.
+    """
+    ship(spark)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
     """Run ``fn`` over the rows of each partition, a bounded slice of an Arrow batch at a time.
 
     ``fn`` takes an iterator of dicts and yields tuples of ``schema``.
     """
+    small_batches(df.sparkSession)
     fields = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -91,56 +87,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def range_ordered(df: DataFrame, keys: list[str | Column], name: str) -> tuple[DataFrame, DataFrame]:
-    """Sort ``df`` by ``keys`` over all partitions and write it, with its place.
-
-    Gives the table with ``part`` and ``at`` (place inside the part, from 0), and one row
-    per part: ``part``, ``part_rows``.  The last key must be unique, so that no hot value
-    makes a part uneven.  No task sees more than its own range.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    placed = ordered.withColumn("_mono", F.monotonically_increasing_id())
-    placed = placed.select(
-        *[c for c in placed.columns if c != "_mono"],
-        F.shiftright("_mono", 33).cast("int").alias("part"),
-        F.col("_mono").bitwiseAND((1 << 33) - 1).alias("at"),
-    )
-    table = written(placed, name)
-    return table, table.groupBy("part").agg(F.count("*").alias("part_rows"))
-
-
-def ranked(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
-    """``df`` with ``place``, its gapless place from 0 in the order of ``keys``; parts as in range_ordered.
-
-    The table of parts has one row per shuffle partition, which bounds its broadcast.
-    """
-    table, parts = range_ordered(df, keys, name)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("_before"))
-    out = table.join(F.broadcast(offsets), "part")
-    return out.withColumn("place", F.col("at") + F.col("_before")).drop("part", "at", "_before")
-
-
-def running_sum(df: DataFrame, keys: list[str | Column], value: str, name: str, within: list[str] | None = None) -> DataFrame:
-    """``df`` with ``part``, ``at`` and ``running``: the sum of ``value`` up to the row, in the order of ``keys``.
-
-    ``within``: columns without nulls that lead the keys; the sum starts anew for each value.
-    Each part sums its own rows; what comes before it is added from one row per part (and
-    value), so that a hot value spreads over as many tasks as it fills parts.
-    """
-    within = within or []
-    table, _ = range_ordered(df, keys, name)
-    group = ["part", *within]
-    earlier = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = table.groupBy(*group).agg(F.sum(value).alias("_sum"))
-    offsets = sums.select(*group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    summed = table.withColumn("_own", F.sum(value).over(own))
-    out = summed.join(offsets if within else F.broadcast(offsets), group)
-    return out.withColumn("running", F.col("_own") + F.col("_before")).drop("_own", "_before")
-
-
 #: Ids (8 bytes each) up to which a list of them is broadcast; longer lists are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: A group is hot when it has more than one row of so many; there are fewer hot groups than this, which bounds their broadcast.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from logtide.llm.common import SLICE_ROWS, free_name, shuffle_partitions, text_or_empty, written
+from logtide.llm.common import SLICE_ROWS, free_name, shuffle_partitions, small_batches, text_or_empty, written
 
 BUCKETS = 128
 #: Of a five-byte window (0: newest byte), the pairs that join the newest byte in a triplet.
@@ -80,6 +80,7 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with ``out``, the digest of the whole text.  A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() != out.lower()]
     sent = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).cast("binary").alias(free_name(docs, "_bytes")))
     schema = T.StructType([*sent.schema.fields[:-1], T.StructField(out, T.StringType())])
@@ -114,6 +115,7 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     of the key; only the first and last text of a range go further, to meet their neighbours.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     n = shuffle_partitions(spark)
     # The checksum orders rows of equal keys.

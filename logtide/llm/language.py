@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import free_name, map_rows
+from logtide.llm.common import free_name, map_rows, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: bytes of a dictionary, labelled rows a language, code points of a row.
@@ -115,6 +115,7 @@ def accepted_documents(docs: DataFrame, model: list[tuple[str, bytes]], text: st
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):

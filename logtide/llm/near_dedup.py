@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import attached, map_rows, sized, without, written
+from logtide.llm.common import attached, map_rows, sized, small_batches, without, written
 
 WIDTH = 5
 #: Links need this share, in hundredths, of the union.
@@ -35,7 +35,7 @@ REGISTERS = BANDS * ROWS
 #: Members that a block compares at most on either side.
 BLOCK = 128
 #: Words whose hashes a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Columns of the membership matrix that are multiplied at a time.
 MATRIX_COLUMNS = 4_096
 
@@ -214,6 +214,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (u < v) of blocks (hub, a, b, side, doc_id, group)."""
+    small_batches(blocks.sparkSession)
     carried = blocks.join(sets.hint("merge"), "doc_id").select("hub", "a", "b", "side", "doc_id", "group", "items")
     return carried.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_verify, "u long, v long")
 

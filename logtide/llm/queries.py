@@ -12,8 +12,7 @@ from logtide.llm.common import documents
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "token_ids")
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, kept=["doc_id"]))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
