@@ -32,7 +32,7 @@ BLOCK = 8_192
 #: A relative margin from which the score is 1.
 FULL_MARGIN = 0.1
 #: A margin below this is narrow, in texts of so many letters; sizes are whole bytes, so shorter texts can't show a narrow one.
-NARROW_MARGIN = 0.002
+NARROW_MARGIN = 0.0005
 NARROW_LETTERS = 200
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
