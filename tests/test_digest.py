@@ -119,3 +119,23 @@ def test_store(spark, written):
     assert logs.where("extra LIKE '%SpoolWriter.java:212%'").count() == 630
     assert logs.where("noise AND message LIKE 'LDAP%'").count() > 0
     assert logs.select("template_id").distinct().count() == tables["templates"].count()
+
+
+def test_logs_without_records(spark, tmp_path):
+    (tmp_path / "a.log").write_text("nothing here\n")
+    (tmp_path / "b.log").write_text("")
+    found = digest.analyse(spark, [str(tmp_path)], INCIDENT)
+    text = render.Renderer(render.Bounded(found)).digest(render.Limits())
+    assert "no line fits a pattern" in text and "no record in the window" in text and found.selection.how == "none"
+
+
+def test_one_day_of_logs(spark, tmp_path):
+    lines = [f"2026-09-30 {h:02d}:{m:02d}:00 {'ERROR' if h == 10 and m > 40 else 'INFO'} [a] event {m}" for h in range(8, 11) for m in range(60)]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    found = digest.analyse(spark, [str(tmp_path)], INCIDENT)
+    assert found.selection.how == "fallback" and found.selection.periods[0].end == INCIDENT.start
+    off = digest.analyse(spark, [str(tmp_path)], INCIDENT, compare=False)
+    assert off.selection.how == "none" and off.comparisons.count() == 0
+    named = digest.analyse(spark, [str(tmp_path)], INCIDENT, baselines=["2026-09-30 10:30/2026-09-30 10:45", "2026-09-01"], offsets={"a": 60, "zzz": 1})
+    assert any("overlaps" in w for w in named.warnings) and any("no logs in the period" in w for w in named.warnings) and any("zzz" in w for w in named.warnings)
+    assert named.records.agg({"ts": "min"}).first()[0] == datetime(2026, 9, 30, 8, 1)
