@@ -257,7 +257,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     # Each member against its hub: sizes further apart than the share can't be linked.
     fit = members.where((F.least("size", "hub_size") * 100) >= F.greatest("size", "hub_size") * SHARE)
-    numbers = fit.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    # Written, so that the members of a hot hub aren't dealt out by hub to meet one row.
+    numbers = sized(written(fit.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks")), "near-numbers"))
     placed = fit.join(numbers, "hub").select("hub", F.lit(0).cast("long").alias("a"), F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).alias("b"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("group"))
     hubs = numbers.select("hub", F.lit(0).cast("long").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"), F.lit(0).alias("side"), F.col("hub").alias("doc_id"), F.col("hub").alias("group"))
     stars = written(_links(placed.unionByName(hubs), sets), "near-links")
@@ -284,7 +285,7 @@ def _open_blocks(members: DataFrame, first: DataFrame) -> DataFrame:
     counts = everyone.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0")
     # A hub with one other member, or one outside and none else, has no pair left: hub and member are compared already.
     counts = counts.where("n_all > 1").select("hub", F.ceil(F.col("n_out") / BLOCK).alias("n_a"), F.ceil(F.col("n_all") / BLOCK).alias("n_b"))
-    rows = everyone.join(counts, "hub")
+    rows = everyone.join(sized(written(counts, "near-open")), "hub")
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
