@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Sequence
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +22,16 @@ _REFUSED_FUNCTION = frozenset("reflect java_method try_reflect input_file_name r
 _TABLE_FUNCTIONS = frozenset("range explode posexplode inline stack sequence".split())
 
 
-def _nodes(plan, seen: list) -> list:
-    """The plan's nodes, those of subqueries included."""
-    seen.append(plan)
+def _nodes(gateway, plan) -> list:
+    """The plan's nodes, those of subqueries and common table expressions included."""
+    out = [plan]
     for children in (plan.children(), plan.innerChildren(), plan.subqueries()):
         it = children.iterator()
         while it.hasNext():
             child = it.next()
-            if hasattr(child, "children") and hasattr(child, "innerChildren"):
-                _nodes(child, seen) if child.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical") or "Unresolved" in child.getClass().getName() else None
-    return seen
+            if is_instance_of(gateway, child, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+                out += _nodes(gateway, child)
+    return out
 
 
 def checked(spark: SparkSession, sql: str, relations: Sequence[str]) -> None:
@@ -45,7 +46,7 @@ def checked(spark: SparkSession, sql: str, relations: Sequence[str]) -> None:
         plan = plan.logicalPlan()
         name = plan.getClass().getSimpleName()
     names: set[str] = set()
-    for node in _nodes(plan, []):
+    for node in _nodes(spark.sparkContext._gateway, plan):
         kind = node.getClass().getSimpleName()
         if _REFUSED_NODE.search(kind):
             raise ArgumentError(f"only queries are run, not {kind}")
