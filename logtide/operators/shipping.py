@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,6 +18,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
+    # Workers of a local master get this process's environment, and with it its path.
+    if context.master.startswith("local") and str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
     path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
     with zipfile.ZipFile(path, "w") as archive:
         for file in sorted(package.rglob("*.py")):
