@@ -5,7 +5,8 @@ density, length and density of stop words, and by the containers it stands in.
 that are too short to judge take the label of the nearest decided block; headings look
 ahead.  The text is the good blocks in page order.
 
-Null and empty pages give an empty text.  Unclosed elements and comments end with the page.
+Null and empty pages give an empty text.  Unclosed comments end with the page, and so do
+unclosed elements whose content is no text, unless the head ends or the body begins first.
 """
 
 from __future__ import annotations
@@ -40,7 +41,11 @@ STOP_WORDS = frozenset(
 )
 
 # Elements by their part in a page.
-RAW = "script style noscript template textarea title svg iframe select button object canvas math audio video head".split()
+RAW = frozenset("script style noscript template textarea title svg iframe select button object canvas math audio video".split())
+#: Of these, those that are empty where their tag ends in a slash.
+FOREIGN = frozenset(["svg", "math"])
+#: The page and its text: what their classes say is about the whole page.
+WHOLE = frozenset("html body main article".split())
 CONTAINERS = frozenset("div section article main nav footer aside header form ul ol dl table td th tr li figure blockquote body html details dialog menu fieldset center".split())
 BAD_CONTAINERS = frozenset("nav footer aside form menu dialog".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr dt dd caption tbody thead tfoot figcaption address legend summary".split())
@@ -57,13 +62,16 @@ HEADER_HINTS = frozenset(["header", "masthead"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?P<raw_attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)>?"
     r"|<[!?][^>]*+>?",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'/=>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*+:\s*+none\b", re.I)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+_BODY_BEGINS = re.compile(r"(?=</head\b|<body\b)", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, SHORT_BLOCK = 1, -1, 0
@@ -76,13 +84,26 @@ class Block:
         self.text, self.linked, self.bad, self.heading, self.inside, self.parent = text, linked, bad, heading, inside, parent
 
 
+def _is_hidden(attrs: str) -> bool:
+    """By an attribute ``hidden`` (not by the word in others), or by a style without display."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for name, value in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" and value.strip().lower() != "false" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
     if tag in BAD_CONTAINERS or tag == "header" and not inside:
         return True
     if not attrs:
         return False
-    if _HIDDEN.search(attrs):
+    if tag not in ("html", "body") and _is_hidden(attrs):
         return True
+    if tag in WHOLE:
+        return False
     words = {w for m in _NAMED.finditer(attrs) for w in _LETTERS.findall(m[1].lower())}
     return not words.isdisjoint(HINTS) or not inside and not words.isdisjoint(HEADER_HINTS)
 
@@ -112,16 +133,30 @@ def blocks(page: str) -> list[Block]:
             if not text.isspace():
                 breaks = 0
 
+    unclosed: set[str] = set()
+
+    def after(tag: str, at: int) -> int:
+        """Where what follows the element begins, whose tag ends ``at``."""
+        for name, end in ((tag, _RAW_ENDS[tag]), ("head", _BODY_BEGINS)):
+            if name not in unclosed:
+                if found := end.search(page, at):
+                    return found.end()
+                unclosed.add(name)
+        return len(page)
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         if (tag := m["tag"]) is None:
-            if m["raw"]:
-                parts.append(" ")
             continue
         tag, ends = tag.lower(), bool(m["end"])
-        if tag == "br":
+        if tag in RAW:
+            if not ends:
+                parts.append(" ")
+                if tag not in FOREIGN or not m["attrs"].endswith("/"):
+                    at = after(tag, at)
+        elif tag == "br":
             breaks += 1
             parts.append(" ")
             if breaks > 1:

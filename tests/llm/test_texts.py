@@ -178,6 +178,25 @@ def test_page_rules():
         assert html_text.main_text(nothing) == "" or nothing == "<"
 
 
+def test_pages_whole_articles():
+    """Classes of the page itself, the word hidden in other attributes, open heads and self-closing elements lose no text."""
+    for tag in ("html", "body", "main", "article"):
+        assert html_text.main_text(f"<{tag} class='single has-sidebar comments-open cookie-consent'><p>{PROSE}</p></{tag}>") == PROSE
+    for attrs in ('style="overflow:hidden"', 'class="overflow-hidden"', 'class="a hidden b"', 'aria-hidden="true"', "data-hidden", "title='x hidden'", "hidden=false", 'data-x="display:none"'):
+        assert html_text.main_text(f"<body><div {attrs}><p>{PROSE}</p></div></body>") == PROSE, attrs
+    for attrs in ("hidden", 'hidden=""', "class=a HIDDEN", "a='b'hidden", 'hidden="until-found"', 'style="color:red;display : none"', "style=display:none"):
+        assert html_text.main_text(f"<body><div {attrs}><p>No. {PROSE}</p></div><p>{PROSE}</p></body>") == PROSE, attrs
+    for head in ("<head><title>t</title><meta charset=utf-8>", "<head><title>t</title><script>'<body>'</script><body>", "<head><title>t</head>", "<head><title>t<body>", "<head><style>a{}</head><body>"):
+        assert html_text.main_text(f"<html>{head}<p>{PROSE}</p>") == PROSE, head
+    for empty in ("<svg class=icon />", "<SVG a='b'/>", "<math/>", "<svg><path/></svg>", "<video-player></video-player>"):
+        assert html_text.main_text(f"<body>{empty}<p>{PROSE}</p><svg><text>x</text></svg><p>{PROSE}</p>").split("\n") == [PROSE, PROSE], empty
+
+
+def test_pages_raw_long():
+    for page in ("<svg>" * 100_000, "<title></head>" * 50_000, "<svg/>" * 100_000, "<script></style>" * 50_000, "<div hidden=' " * 30_000, "<div " + "a hidden= " * 50_000 + ">"):
+        html_text.main_text(page)
+
+
 def test_pages_long_and_broken():
     for page in ("<div>" * 50_000 + "x", "<p>" * 100_000, "<a href='" * 20_000, "<" * 100_000, "&amp;" * 100_000, "<!--" * 50_000, '<a b="' + "x" * 100_000):
         html_text.main_text(page)
