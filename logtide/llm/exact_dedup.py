@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import BLANK, attached, sized, text_or_empty, without, written
+from logtide.llm.common import BLANK, attached, numbered, sized, text_or_empty, without, written
 
 #: Up to so many repeated hashes (16 bytes each) are broadcast to find the texts to compare; more are joined by shuffle.
 BROADCAST_HASHES = 500_000
@@ -64,6 +64,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hashe
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a smaller key has; columns as in ``docs``.  Keys must be unique."""
-    dropped = written(exact_groups(docs, key, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "exact-dropped")
-    return without(docs, key, dropped)
+    """``docs`` with one row of each text, that of the smallest key; columns as in ``docs``.  Keys may repeat, and nulls are the largest."""
+    rows, row = numbered(docs, key, text)
+    dropped = written(exact_groups(rows, row, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "exact-dropped")
+    return without(rows, row, dropped).select(*[F.col(f"`{c}`") for c in docs.columns])

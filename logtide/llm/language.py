@@ -64,8 +64,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"there are over {MAX_LANGUAGES} languages")
     # At most SAMPLE_ROWS ids a language, and then as many texts, cut to SAMPLE_CHARS.
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    found = texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("_lang", "_rank", F.substring("_text", 1, SAMPLE_CHARS)).collect()
+    # Where a key repeats, each place in the sample takes one text; rows of one key and language have one place.
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("string").alias("_label"), F.col(text).cast("string").alias("_text"))
+    places = chosen.groupBy("_lang", "_id").agg(F.min("_rank").alias("_rank"))
+    met = texts.join(F.broadcast(places), (F.col("_key") == F.col("_id")) & (F.col("_label") == F.col("_lang")))
+    found = met.groupBy("_lang", "_rank").agg(F.min(F.substring("_text", 1, SAMPLE_CHARS))).collect()
     bodies: dict[str, bytes] = {}
     for lang, _, body in sorted(found):
         if len(bodies.get(lang, b"")) < DICTIONARY_BYTES:

@@ -7,7 +7,8 @@ sorted by finish time over all partitions, and the mix takes them until the budg
 full.  A queue that ran out leaves its share to the others in proportion to their weights.
 
 Null texts have no words and null sources are one source, the last.  Ties of finish time
-go to the earlier source, then the smaller id.  An empty table gives no rows.
+go to the earlier source, then the smaller id.  An empty table gives no rows.  Rows of equal
+id are rows of their own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import running_sum, text_or_empty, written
+from logtide.llm.common import numbered, running_sum, text_or_empty, written
 
 #: Weights of sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,25 +54,31 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, times (how often it is taken), taken (words)."""
-    rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size")), "mix-sizes")
+    return _times(docs, F.monotonically_increasing_id(), key, text, source, weights, passes, seed).drop("_row")
+
+
+def _times(docs: DataFrame, row: Column, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
+    """What ``mix`` gives, with ``_row``, the value of ``row``, which tells rows of equal id apart."""
+    rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), row.alias("_row")), "mix-sizes")
     # One row per source; Spark broadcasts it only if the written table is small, else it joins by shuffle and splits a hot source.
     sources = written(source_targets(rows, weights, passes), "mix-sources")
     queued = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("source", "_s")
     queued = queued.withColumn("_shuffle", F.xxhash64(F.lit(seed), "doc_id"))
-    queue = running_sum(queued, ["idx", "_shuffle", "doc_id"], "size", "mix-queues", ["idx"])
+    queue = running_sum(queued, ["idx", "_shuffle", "doc_id", "size", "_row"], "size", "mix-queues", ["idx"])
     queue = queue.withColumnRenamed("part", "_part").withColumnRenamed("at", "_at").withColumnRenamed("running", "_sofar").drop("_shuffle")
 
     entries = queue.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     entries = entries.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_sofar")) / F.col("weight"))
     merged = running_sum(entries, ["_finish", "idx", "_part", "_at", "_pass"], "size", "mix-merged")
     fits = F.col("running") <= F.col("total")
-    found = merged.groupBy("doc_id", "_part", "_at", "size", "source_size", "target").agg(F.sum(fits.cast("int")).alias("times"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("taken"))
-    return found.select("doc_id", "size", "source_size", "target", "times", "taken")
+    found = merged.groupBy("doc_id", "_row", "_part", "_at", "size", "source_size", "target").agg(F.sum(fits.cast("int")).alias("times"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", "times", "taken", "_row")
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, columns as in ``docs``.  Keys must be unique."""
-    times = mix(docs, key, **options).where("times > 0").select(F.col("doc_id").alias("_mix_id"), F.sequence(F.lit(1), F.col("times").cast("int")).alias("_mix_times"))
-    # Keys are unique on both sides, so no task gets more than its share.
-    taken = docs.join(times.hint("merge"), F.col(key) == F.col("_mix_id"))
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, columns as in ``docs``.  Keys may repeat."""
+    rows, row = numbered(docs, key, text)
+    times = _times(rows, F.col(row), key, text, **options).where("times > 0").select(F.col("_row").alias("_mix_id"), F.sequence(F.lit(1), F.col("times").cast("int")).alias("_mix_times"))
+    # Both sides are unique, so no task gets more than its share.
+    taken = rows.join(times.hint("merge"), F.col(row) == F.col("_mix_id"))
     return taken.withColumn("_mix_time", F.explode("_mix_times")).select(*[F.col(f"`{c}`") for c in docs.columns])

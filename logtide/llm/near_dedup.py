@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import attached, map_rows, sized, small_batches, without, written
+from logtide.llm.common import attached, map_rows, numbered, sized, small_batches, without, written
 
 WIDTH = 5
 #: Links need this share, in hundredths, of the union.
@@ -299,6 +299,7 @@ def _open_blocks(members: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, the smallest id; columns as in ``docs``."""
-    dropped = written(near_groups(docs, key, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "near-dropped")
-    return without(docs, key, dropped)
+    """``docs`` with one row of each group, the smallest id; columns as in ``docs``.  Ids may repeat, and nulls are the largest."""
+    rows, row = numbered(docs, key, text)
+    dropped = written(near_groups(rows, row, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "near-dropped")
+    return without(rows, row, dropped).select(*[F.col(f"`{c}`") for c in docs.columns])

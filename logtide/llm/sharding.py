@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import ranked, text_or_empty
+from logtide.llm.common import numbered, ranked, text_or_empty
 
 #: Bits of each dimension on the curve.
 BITS = 6
@@ -77,22 +77,30 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     Law ``rows``: the counts of shards are at most one apart.  Rows of one cell are ordered
     by the checksum of their text and their key, so equal texts of a cell lie together.
     """
+    return _sharded(docs, shards, key, text, names)
+
+
+def _sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("source", "lang"), row: str | None = None) -> DataFrame:
+    """What ``shard_documents`` gives, with ``_row``, the value of a column that tells rows of equal key apart, if there is one."""
+    own = [F.col(row).alias("_row")] if row else []
     body = text_or_empty(text).cast("binary")
-    rows = docs.select(F.col(key).alias("doc_id"), *[F.col(n).cast("string").alias(f"_n{i}") for i, n in enumerate(names)], (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    rows = docs.select(F.col(key).alias("doc_id"), *[F.col(n).cast("string").alias(f"_n{i}") for i, n in enumerate(names)], (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *own)
     ends = docs.select(F.min(key).cast("double"), F.max(key).cast("double"), F.count("*")).first()
     low, high, total = (ends[0] or 0.0), (ends[1] or 0.0), ends[2]
     # A size cell is a sixteenth of the way from 1 byte to 2**32 on the logarithmic scale times 2**bits: fixed, whatever the data.
     cells = [*[named(F.col(f"_n{i}")) for i in range(len(names))], scaled(F.log2("size"), 0.0, 32.0), scaled(F.col("doc_id").cast("double"), low, high)]
-    placed = ranked(rows.withColumn("curve", hilbert_index(cells)).drop(*[f"_n{i}" for i in range(len(names))]), ["curve", "text_crc32", "doc_id"], "hilbert")
+    placed = ranked(rows.withColumn("curve", hilbert_index(cells)).drop(*[f"_n{i}" for i in range(len(names))]), ["curve", "text_crc32", "doc_id", *["_row"] * len(own)], "hilbert")
     # Shard s begins at the first place p with p * shards DIV total = s.
     total = max(total, 1)
     shard = F.expr(f"place * {shards} DIV {total}")
     first = F.expr(f"((place * {shards} DIV {total}) * {total} + {shards - 1}) DIV {shards}")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *["_row"] * len(own))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id") -> None:
-    """Write ``docs`` as one folder a shard, in curve order; extra columns are kept."""
-    where = shard_documents(docs, shards, key).select(F.col("doc_id").alias("_id"), F.col("shard"), F.col("slot").alias("_slot"))
-    kept = docs.drop("shard").join(where, F.col(key) == F.col("_id"))
-    kept.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_id", "_slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder a shard, in curve order; extra columns are kept.  Keys may repeat."""
+    rows, row = numbered(docs, key)
+    where = _sharded(rows, shards, key, row=row).select(F.col("_row").alias("_id"), F.col("shard"), F.col("slot").alias("_slot"))
+    kept = rows.drop("shard").join(where, F.col(row) == F.col("_id"))
+    extra = [] if row == key else [row]
+    kept.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_id", "_slot", *extra).write.partitionBy("shard").parquet(path)

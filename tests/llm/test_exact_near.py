@@ -55,6 +55,18 @@ def test_exact_repeated_rows(spark):
     assert len(rows) == 4 and all(r.group_size == 2 and r.kept for r in rows)
 
 
+def test_dedup_of_repeated_ids(spark):
+    """Of rows with equal id and text one stays; rows of one id with other texts are judged by their texts; null ids are the largest."""
+    rows = [(1, "a"), (1, "a"), (1, "a "), (2, "b"), (2, "b"), (2, "a"), (1, "c"), (None, "b"), (None, "d"), (None, "d"), (3, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1)).withColumn("_row", F.lit(2))
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 9, r.text) for r in kept.collect()) == [(1, "a"), (1, "a "), (1, "c"), (2, "b"), (9, "d")]
+    near = near_dedup.near_dedup(df)
+    assert near.columns == df.columns
+    assert sorted((r.doc_id or 9, r.text.strip()) for r in near.collect()) == [(1, "a"), (1, "c"), (2, "b"), (9, "d")]
+
+
 def copies(n, seed=1):
     """Texts and edited copies of them of all degrees, with a hot group and a passage that many share."""
     rng = random.Random(seed)

@@ -122,6 +122,41 @@ def test_mix_reruns_agree(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_mix_of_repeated_rows(spark, k):
+    """Each row is taken as often as the mix says, and the mix keeps to its budget; rows of one id stay apart."""
+    rows = [(i % 20 if i % 20 else None, "w " * (1 + i % 20), "s" if i % 3 else "t") for i in range(20)] * k + [(7, "other words", "s"), (7, "x", "t")]
+    df = documents(spark, rows)
+    times = Counter()
+    for r in mixing.mix(df).collect():
+        times[r.doc_id, r["size"]] += r.times
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    got = Counter((r.doc_id, len(brute.WORD.findall(r.text))) for r in mixed.collect())
+    assert got == +times and sum(n * size for (_, size), n in got.items()) <= sum(len(brute.WORD.findall(t)) for _, t, _ in rows)
+
+
+def test_shards_of_repeated_rows(spark, tmp_path):
+    rows = [(1, "a", "s")] * 9 + [(1, "b", "s"), (None, "c", "t"), (None, "c", None)]
+    df = documents(spark, rows)
+    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
+    assert Counter(r.shard for r in out) == Counter({s: 3 for s in range(4)})
+
+
+def test_pipeline_of_repeated_rows(spark):
+    """A table whose rows all occur twice gives what it gives once, up to the mix."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 300")
+    stages = dict(corpus_pipeline.STAGES)
+    out = []
+    for last in (docs, docs.union(docs)):
+        for name in ("exact", "near", "mixing"):
+            last = corpus_pipeline.written(stages[name](spark, last, SMALL), "test-stage")
+        out.append(Counter(r.doc_id for r in last.select("doc_id").collect()))
+    assert out[0] == out[1]
+
+
 def test_mix_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()]
     check_mix(queries.QUERIES["op10_fair_mix"](spark, SMALL).collect(), docs)

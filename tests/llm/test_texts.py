@@ -232,6 +232,13 @@ def test_language(spark):
     assert {r.lang_pred for r in language.classify(df, []).collect()} == {"und"}
 
 
+def test_language_of_repeated_keys(spark):
+    """The sample has one text a place, of the place's own language."""
+    rows = [(1, f"{WORDS['aa']} {i}", "aa") for i in range(300)] + [(1, WORDS["bb"], "bb"), (1, None, "bb")]
+    model = dict(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {k: v.decode().strip() for k, v in model.items()} == WORDS
+
+
 def test_language_query(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = queries.QUERIES["op8_language_id"](spark, SMALL).collect()
