@@ -10,12 +10,13 @@ tokens in which it differs become ``<*>``.  A form that comes again keeps its fi
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.functions.text import masked
+from logtide.functions.text import MASKS, masked
 from logtide.operators.shipping import ship
 
 ANY = "<*>"
@@ -24,6 +25,15 @@ SIMILARITY = 0.4
 MOST_CHILDREN = 100
 
 
+@dataclass(frozen=True)
+class Settings:
+    """How messages are masked, routed and joined to clusters."""
+
+    similarity: float = SIMILARITY
+    most_children: int = MOST_CHILDREN
+    masks: tuple[tuple[str, str], ...] = MASKS
+
+
 class Leaf:
     """Clusters of token lists of one length."""
 
@@ -45,19 +55,19 @@ class Leaf:
         return len(self.clusters) - 1
 
 
-def forms_of(records: DataFrame, order: Sequence[str], message: str = "message") -> DataFrame:
+def forms_of(records: DataFrame, order: Sequence[str], message: str = "message", settings: Settings = Settings()) -> DataFrame:
     """Distinct masked messages with first (their first place in the order) and the leaf that they are routed to."""
     text = F.trim(F.col(message))
-    form = masked(F.when(text == "", EMPTY).otherwise(text))
+    form = masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)
     forms = records.select(form.alias("form"), F.struct(*order).alias("_at")).groupBy("form").agg(F.min("_at").alias("first"))
     forms = forms.withColumn("_tokens", F.split(F.trim("form"), r"\s+")).withColumn("size", F.size("_tokens")).withColumn("_token", F.get("_tokens", F.lit(0)))
     # A node's children are its first tokens by appearance; the last place is that of <*>.
     heads = forms.where(~F.col("_token").rlike("[0-9]")).groupBy("size", "_token").agg(F.min("first").alias("_first"))
-    own = heads.withColumn("_n", F.row_number().over(Window.partitionBy("size").orderBy("_first"))).where(F.col("_n") < MOST_CHILDREN).select("size", "_token", F.col("_token").alias("_own"))
+    own = heads.withColumn("_n", F.row_number().over(Window.partitionBy("size").orderBy("_first"))).where(F.col("_n") < settings.most_children).select("size", "_token", F.col("_token").alias("_own"))
     return forms.join(own, ["size", "_token"], "left").select("form", "first", "size", F.coalesce("_own", F.lit(ANY)).alias("leaf"))
 
 
-def _mine(batches: Iterator) -> Iterator:
+def _mine(batches: Iterator, similarity: float = SIMILARITY) -> Iterator:
     import pyarrow as pa
 
     names = ["form", "template_key", "template"]
@@ -66,12 +76,12 @@ def _mine(batches: Iterator) -> Iterator:
         for form, cluster in held:
             yield form, f"{at[0]} {at[1]} {cluster}", " ".join(leaf.clusters[cluster])
 
-    at, held, leaf, out = None, [], Leaf(), []
+    at, held, leaf, out = None, [], Leaf(similarity), []
     for batch in batches:
         for size, name, form in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if (size, name) != at:
                 out += finish(at, held, leaf)
-                at, held, leaf = (size, name), [], Leaf()
+                at, held, leaf = (size, name), [], Leaf(similarity)
             held.append((form, leaf.add(form.split())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=names)
@@ -81,14 +91,14 @@ def _mine(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=names)
 
 
-def mine(records: DataFrame, order: Sequence[str], message: str = "message") -> DataFrame:
+def mine(records: DataFrame, order: Sequence[str], message: str = "message", settings: Settings = Settings()) -> DataFrame:
     """``records`` with template_key and template, the final text of its cluster.
 
     Only distinct forms are dealt out by leaf; the records are joined to what is found.
     """
     ship(records.sparkSession)
-    forms = forms_of(records, order, message)
+    forms = forms_of(records, order, message, settings)
     dealt = forms.repartition("size", "leaf").sortWithinPartitions("size", "leaf", "first").select("size", "leaf", "form")
-    mined = dealt.mapInArrow(_mine, "form string, template_key string, template string")
+    mined = dealt.mapInArrow(lambda batches: _mine(batches, settings.similarity), "form string, template_key string, template string")
     text = F.trim(F.col(message))
-    return records.withColumn("form", masked(F.when(text == "", EMPTY).otherwise(text))).join(mined, "form").drop("form")
+    return records.withColumn("form", masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)).join(mined, "form").drop("form")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from logtide.functions.text import file_alias
 from logtide.operators.ordering import running, written
-from logtide.operators.records import normal_level, severity_of
+from logtide.operators.records import LEVEL_ALIASES, normal_level, severity_of
 
 #: Continuation lines that a record keeps; more are counted.
 MOST_EXTRA = 300
@@ -39,6 +39,8 @@ class LogFormat:
     timezone: str = "+09:00"
     encoding: str = "auto"
     clock_offset_seconds: float = 0.0
+    #: Spellings of levels and what they mean, over the usual ones.
+    level_aliases: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if not self.patterns:
@@ -142,7 +144,9 @@ def parsed(lines: DataFrame, formats: list[LogFormat], out_zone: str = "+09:00",
         for alias, seconds in offsets.items():
             own = F.when(F.col("alias") == alias, timestamp(F.col("_h.ts"), form.timezone, out_zone, seconds, form.ts_format)).otherwise(own)
         ts = F.when(F.col("format") == i, own).otherwise(ts)
-    level = normal_level(F.col("_h.level"))
+    level = F.lit(None).cast("string")
+    for i, form in enumerate(formats):
+        level = F.when(F.col("format") == i, normal_level(F.col("_h.level"), LEVEL_ALIASES | dict(form.level_aliases))).otherwise(level)
     # A head line whose time can't be read is no head, and no later pattern is tried.
     found = found.withColumn("ts", ts).withColumn("is_head", F.col("_h").isNotNull() & F.col("ts").isNotNull()).withColumn("bad_timestamp", F.col("_h").isNotNull() & F.col("ts").isNull())
     found = found.withColumn("level", F.when(F.col("is_head"), F.coalesce(level, F.lit("INFO")))).withColumn("raw_level", F.when(F.col("is_head") & level.isNull(), F.col("_h.level")))

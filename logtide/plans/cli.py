@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import configparser
+import hashlib
 import json
 import sys
 from datetime import date, datetime
@@ -12,9 +14,9 @@ import yaml
 from pyspark.sql import SparkSession
 
 from logtide.functions.times import ArgumentError, normal_periods, time_bound
-from logtide.operators import baseline, noise, parse
+from logtide.operators import baseline, drain, noise, parse
 from logtide.plans import digest, knowledge, render, store
-from logtide.plans.tools import Tools
+from logtide.plans.tools import Tools, limits_of
 
 
 def session() -> SparkSession:
@@ -22,22 +24,51 @@ def session() -> SparkSession:
 
 
 def formats_of(path: str | None) -> list[parse.LogFormat]:
-    """Formats of a YAML file: a list ``formats``, over ``defaults``."""
+    """Formats of a YAML file: a list ``formats``, over ``defaults``, and ``level_aliases`` of all of them."""
     if not path:
         return [parse.LogFormat()]
     raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     defaults = raw.get("defaults") or {}
+    aliases = tuple((str(k).upper(), str(v).upper()) for k, v in (raw.get("level_aliases") or {}).items())
     out = []
     for item in raw.get("formats") or []:
         known = {"name", "ts_format", "timezone", "encoding", "clock_offset_seconds"}
         values = {k: v for k, v in (defaults | item).items() if k in known}
         values |= {k: tuple(item[k]) for k in ("files", "patterns") if item.get(k)}
+        if item.get("pattern") and "patterns" not in values:
+            values["patterns"] = (item["pattern"],)
+        values["level_aliases"] = aliases
         out.append(parse.LogFormat(**values))
     if not out:
         raise ArgumentError(f"no formats in {path}")
     return out
 
 
+def mining_of(path: str | None) -> drain.Settings:
+    """Settings and masks of a Drain INI file; what this miner can't do is an error."""
+    if not path:
+        return drain.Settings()
+    ini = configparser.ConfigParser(interpolation=None)
+    ini.read_string(Path(path).read_text(encoding="utf-8"))
+    own = dict(ini["DRAIN"]) if ini.has_section("DRAIN") else {}
+    masking = dict(ini["MASKING"]) if ini.has_section("MASKING") else {}
+    # The tree routes by number of tokens and first token, and keeps all clusters.
+    fixed = {"depth": ("4",), "parametrize_numeric_tokens": ("true", "yes", "on", "1"), "extra_delimiters": ("[]",), "mask_prefix": ("<",), "mask_suffix": (">",)}
+    for name, value in (own | masking).items():
+        if name in fixed and value.lower() not in fixed[name]:
+            raise ArgumentError(f"{name} in {path} can only be {fixed[name][0]}")
+        if name not in fixed and name not in ("sim_th", "max_children", "max_clusters", "masking"):
+            raise ArgumentError(f"unknown setting in {path}: {name}")
+    usual = drain.Settings()
+    masks = tuple((m["regex_pattern"], m["mask_with"]) for m in json.loads(masking["masking"])) if "masking" in masking else usual.masks
+    return drain.Settings(float(own.get("sim_th", usual.similarity)), int(own.get("max_children", usual.most_children)), masks)
+
+
+def hashes_of(paths: list[str | None]) -> dict:
+    """Path and SHA-256 of configuration files by name."""
+    return {Path(p).name: {"path": p, "sha256": hashlib.sha256(Path(p).read_bytes()).hexdigest()} for p in paths if p}
+
+
 def _yaml(path: str | None):
     return yaml.safe_load(Path(path).read_text(encoding="utf-8")) if path else None
 
@@ -62,7 +93,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--ticket", "--incident-time", "--out"):
         d.add_argument(name, required=True)
     d.add_argument("--logs", nargs="+", required=True)
-    for name in ("--symptom", "--product", "--product-version", "--os", "--baseline-reason", "--formats", "--settings", "--known-noise"):
+    for name in ("--symptom", "--product", "--product-version", "--os", "--baseline-reason", "--formats", "--settings", "--known-noise", "--drain"):
         d.add_argument(name)
     d.add_argument("--tz", default="+09:00")
     d.add_argument("--clock-offset", action="append", default=[])
@@ -73,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     def tool(name: str) -> argparse.ArgumentParser:
         t = sub.add_parser(name)
         t.add_argument("--dir", required=True)
+        t.add_argument("--limits")
         return t
 
     tool("get-digest")
@@ -156,8 +188,8 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> str:
         path = a.out or str(Path(a.dir) / "noise_candidates.yaml")
         knowledge.write_yaml(path, found, ["# Candidates for known noise: fill in decision (register or reject),", "# reason and code (register) or reject_reason (reject), then merge."])
         return f"{len(found['candidates'])} candidates, {len(found['skipped'])} skipped: {path}\n"
-    chosen = {k: v for k, v in vars(a).items() if k not in ("command", "dir")}
-    return Tools(spark, a.dir).call(_TOOLS[a.command], **chosen)
+    chosen = {k: v for k, v in vars(a).items() if k not in ("command", "dir", "limits")}
+    return Tools(spark, a.dir, limits_of(_yaml(a.limits))).call(_TOOLS[a.command], **chosen)
 
 
 def _digest(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -165,9 +197,9 @@ def _digest(spark: SparkSession, a: argparse.Namespace) -> str:
     minutes = {k: a.window_minutes if v is None else v for k, v in (("before", a.before_minutes), ("after", a.after_minutes))}
     incident = digest.Incident(a.ticket, at, minutes["before"], minutes["after"], a.product, a.product_version, a.os, a.symptom, a.tz)
     off = a.baseline == ["none"]
-    found = digest.analyse(spark, a.logs, incident, formats_of(a.formats), noise.rules_of(_yaml(a.known_noise)), baseline.Settings.of(_yaml(a.settings)), [] if off else a.baseline, a.baseline_reason, not off, offsets_of(a.clock_offset), a.context_lines, a.max_block_records, a.max_blocks)
+    found = digest.analyse(spark, a.logs, incident, formats_of(a.formats), noise.rules_of(_yaml(a.known_noise)), baseline.Settings.of(_yaml(a.settings)), [] if off else a.baseline, a.baseline_reason, not off, offsets_of(a.clock_offset), a.context_lines, a.max_block_records, a.max_blocks, mining_of(a.drain))
     limits = render.Limits(first_errors=a.first_errors)
-    texts = render.write(found, a.out, a.max_tokens, limits)
+    texts = render.write(found, a.out, a.max_tokens, limits, config=hashes_of([a.formats, a.settings, a.known_noise, a.drain]))
     return "".join(f"{Path(a.out) / name}\n" for name in texts) + json.dumps(found.counts) + "\n" + "".join(f"warning: {w}\n" for w in found.warnings)
 
 

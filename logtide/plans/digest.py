@@ -74,6 +74,7 @@ def analyse(
     context: int = 5,
     most_in_block: int = 60,
     most_blocks: int = 30,
+    mining: drain.Settings = drain.Settings(),
 ) -> Analysis:
     start, end = incident.start, incident.end
     listed = logfiles.listed(inputs, formats)
@@ -81,7 +82,7 @@ def analyse(
     files = written(logfiles.with_empty(stats, listed), "files")
 
     ordered = ranked(parsed, ["ts", "file_order", "lineno"], "records", "seq")
-    mined = written(drain.mine(ordered, ["seq"]).withColumnRenamed("template", "text").withColumnRenamed("template_key", "template"), "mined")
+    mined = written(drain.mine(ordered, ["seq"], settings=mining).withColumnRenamed("template", "text").withColumnRenamed("template_key", "template"), "mined")
     totals = templates.window_totals(mined, start, end)
     ids = templates.numbered(mined, ["seq"])
     names = mined.select("template", "text").distinct()

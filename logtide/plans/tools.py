@@ -39,6 +39,47 @@ LIMITS = {
     "sql_seconds": 30,
     "cell_chars": 300,
 }
+#: Where a limits file has them: section and item.
+LIMIT_ITEMS = {
+    "common": {"msg_chars": "chars"},
+    "get_digest": {"max_chars": "digest_chars"},
+    "search_logs": {"max_lines": "search_lines", "overflow_lines": "overflow_lines", "overflow_templates": "overflow_templates"},
+    "get_context": {
+        # One usual number holds for both sides here.
+        "default_before": "context_lines",
+        "default_after": "context_lines",
+        "max_before": "most_context_lines",
+        "max_after": "most_context_lines",
+        "target_extra_lines": "target_extra",
+        "default_extra_lines": "context_extra",
+        "max_extra_lines": "most_context_extra",
+    },
+    "template_lines": {"max_lines": "template_lines"},
+    "count_by_time": {"max_buckets": "buckets", "max_templates": "count_templates"},
+    "run_sql": {"max_rows": "sql_rows", "timeout_seconds": "sql_seconds", "cell_chars": "cell_chars"},
+}
+#: Items of a limits file that are about the reference's own store.
+LIMITS_OF_STORE = ("memory_limit", "threads")
+
+
+def limits_of(raw: dict | None) -> dict:
+    """Limits from the content of a limits file over the usual ones; unknown items are errors."""
+    out, given = dict(LIMITS), {}
+    for section, items in (raw or {}).items():
+        known = LIMIT_ITEMS.get(section)
+        if known is None or not isinstance(items, dict):
+            raise ArgumentError(f"unknown limits: {section}")
+        for item, value in items.items():
+            if section == "common" and item in LIMITS_OF_STORE:
+                continue
+            if item not in known or isinstance(value, bool) or not isinstance(value, int | float) or value <= 0:
+                raise ArgumentError(f"not a limit: {section}.{item}: {value!r}")
+            name = known[item]
+            if given.setdefault(name, value) != value:
+                raise ArgumentError(f"{section}.{item} must be the same before and after a line")
+    return out | given
+
+
 COLUMNS = {
     "seq": "place in the merged order of all files",
     "line_id": "file:line",

@@ -183,3 +183,30 @@ def test_command_line(spark, folder, tmp_path):
     assert rules.read_text().startswith("# the header") and cli.run(["noise-validate", "--dict", str(rules)]) == "no problems\n"
     with pytest.raises(ArgumentError):
         cli.offsets_of(["x"])
+
+
+def test_configuration_files(spark, tmp_path):
+    """Level aliases, a single pattern, Drain's settings and search limits are used, and meta.json has the files' hashes."""
+    import hashlib
+
+    logs = [f"2026-09-30 10:30:0{i}|ALARM|pump A-{i} is off" for i in range(3)] + ["2026-09-30 10:30:05|warning|low"]
+    (tmp_path / "one.log").write_text("\n".join(logs) + "\n")
+    formats, ini, limits = tmp_path / "formats.yaml", tmp_path / "drain.ini", tmp_path / "limits.yaml"
+    formats.write_text("level_aliases: {alarm: error}\nformats:\n- name: own\n  files: ['*.log']\n  pattern: '^(?P<ts>[^|]+)\\|(?P<level>\\w+)\\|(?P<message>.*)$'\n")
+    ini.write_text('[DRAIN]\nsim_th = 0.4\ndepth = 4\nmax_children = 100\n[MASKING]\nmasking = [{"regex_pattern": "A-\\\\d", "mask_with": "PUMP"}]\n')
+    limits.write_text("search_logs: {max_lines: 2, overflow_lines: 1}\ncommon: {threads: 2}\n")
+    out = str(tmp_path / "out")
+    cli.run(["digest", "--ticket", "T", "--incident-time", "2026-09-30 10:30", "--logs", str(tmp_path / "one.log"), "--out", out, "--baseline", "none", "--formats", str(formats), "--drain", str(ini)], spark)
+    meta = json.loads((tmp_path / "out" / "meta.json").read_text())
+    assert {k: v["sha256"] for k, v in meta["config"].items()} == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (formats, ini)}
+    assert meta["counts"]["blocks"] == 1 and not any("unknown levels" in w for w in meta["warnings"])
+    tables = Tools(spark, out).tables
+    assert sorted(r.level for r in tables["logs"].collect()) == ["ERROR"] * 3 + ["WARN"]
+    assert "pump <PUMP> is off" in {r.template for r in tables["templates"].collect()}
+    found = cli.run(["search", "--dir", out, "pump", "--limits", str(limits)], spark)
+    assert found.startswith("3 records") and found.count("pump A-") == 1
+    ini.write_text("[DRAIN]\ndepth = 5\n")
+    limits.write_text("search_logs: {lines: 2}\n")
+    for bad in (lambda: cli.mining_of(str(ini)), lambda: cli.run(["search", "--dir", out, "pump", "--limits", str(limits)], spark)):
+        with pytest.raises(ArgumentError):
+            bad()
