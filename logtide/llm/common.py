@@ -106,24 +106,25 @@ def without(docs: DataFrame, key: str, dropped: DataFrame, name: str = "_dropped
 def numbered(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells its rows apart.
 
-    That is ``key`` where it is unique and has no nulls.  Else it is a new column of a written
-    copy: the row's place in the order of key (nulls last) and text.
+    That is ``key`` where it is an integer, unique and has no nulls.  Else it is a new column
+    of a written copy: the row's place in the order of key (nulls last) and text.
     """
-    ids = docs.select(F.col(f"`{key}`").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
-    most, nulls = ids.agg(F.max("_n"), F.max(F.col("_k").isNull())).first()
-    if not nulls and (most or 0) <= 1:
-        return docs, key
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        ids = docs.select(F.col(f"`{key}`").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
+        most, nulls = ids.agg(F.max("_n"), F.max(F.col("_k").isNull())).first()
+        if not nulls and (most or 0) <= 1:
+            return docs, key
     name = free_name(docs, "_row")
     # The last key tells equal rows apart, so that a row that repeats often spreads over tasks.
     rows = docs.select(F.struct("*").alias("_doc"), F.col(f"`{key}`").alias("_k"), F.xxhash64(text_or_empty(text)).alias("_h"), F.monotonically_increasing_id().alias("_m"))
     return ranked(rows, [F.col("_k").asc_nulls_last(), "_h", "_m"], "numbered").select("_doc.*", F.col("place").alias(name)), name
 
 
-def attached(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+def attached(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str) -> DataFrame:
     """``rows`` with the columns of their group; ``groups`` has one row for each value of ``on``, with its number of rows.
 
     Rows of hot groups take theirs from a broadcast of fewer than HOT_SHARE rows, the others
-    by shuffle, so that no task gets a hot group whole.
+    by shuffle, so that no task gets a hot group whole.  Rows without a group go.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_SHARE > F.lit(total)

@@ -2,11 +2,13 @@
 
 From each rule's regular expression follows a Boolean query: the rule can match a text only
 if, for one of its alternatives, the text holds all the alternative's trigrams.  The index
-holds, for every trigram that some rule asks for, the ids of the texts that contain it
-(letters folded to lower case); postings are intersected and only candidates are verified by
+holds every trigram of every text (letters folded to lower case) with its postings, packed
+as bits of 64 neighbouring rows, and is written by trigram: rules that come later are asked
+of it without reading a text.  Postings are intersected and only candidates are verified by
 the expression.  A rule with an alternative without trigrams scans all texts.
 
-All of it is DataFrame functions.  Null texts count as empty; ids must be unique.
+All of it is DataFrame functions.  Null texts count as empty.  Ids may be null or repeat, and
+may be of any type: such rows are told apart by their place in the order of id and text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import text_or_empty, written
+from logtide.llm.common import numbered, text_or_empty, written
 
 #: A character class of up to so many members is spelt out in trigram queries.
 SMALL_CLASS = 6
@@ -26,6 +28,8 @@ SMALL_CLASS = 6
 MOST_ALTERNATIVES = 64
 #: Candidates (an id and a number) up to which they are broadcast to the texts; more are joined by shuffle.
 BROADCAST_CANDIDATES = 500_000
+#: Numbers of an array that are summed up in one go.
+SUM_CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -106,26 +110,68 @@ def _class(members) -> list[tuple]:
     return [(_GAP,)]
 
 
-def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index of ``trigrams``: one row (trigram, doc_id) per trigram and text that holds it."""
-    asked = F.array(*[F.lit(t) for t in trigrams])
-    low = F.array(F.lower(text_or_empty(text)))
-    # The text is folded once, then searched for each trigram.
-    held = F.get(F.transform(low, lambda body: F.filter(asked, lambda t: F.contains(body, t))), F.lit(0))
-    return docs.select(F.col(key).alias("doc_id"), F.explode(held).alias("trigram"))
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of a text, in lower case.
+
+    A match that looks ahead is empty, so that the next one begins one character further.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverted index of all trigrams, a written table: (trigram, block, bits).
+
+    Bit b of ``bits`` is the row of key 64 * block + b.  Keys must be integers, unique and
+    without nulls.  Tasks merge the rows of a block before the shuffle, so a trigram that is in
+    every text is one row for 64 texts, and no trigram is more than a 64th of all rows.
+    """
+    row = F.col(f"`{key}`").cast("long")
+    held = docs.select(F.explode(trigrams(text_or_empty(text))).alias("trigram"), F.shiftright(row, 6).alias("block"), row.bitwiseAND(63).cast("int").alias("_at"))
+    packed = held.groupBy("trigram", "block").agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("bits"))
+    # Files are by trigram and sorted, so that a query reads few row groups.
+    return written(packed.repartition("trigram").sortWithinPartitions("trigram", "block"), "secret-index")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): the texts that rules must be verified on, as bits by the rules' places; full scans aren't in it."""
-    terms = [(t, at, n, 1 << i) for at, rule in enumerate(rules) for n, alternative in enumerate(trigram_query(rule.pattern) or []) for i, t in enumerate(sorted(alternative))]
-    if not terms:
-        return index.select("doc_id", F.lit(0).cast("long").alias("rules")).where("false")
-    # The terms come from the rules alone.  All of a text's postings are made by one task, so counts are complete before the shuffle.
-    asked = index.sparkSession.createDataFrame(terms, "trigram string, rule int, alternative int, bit long")
-    sizes = asked.groupBy("rule", "alternative").agg(F.bit_or("bit").alias("all"))
-    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "alternative").agg(F.bit_or("bit").alias("bits"))
-    whole = met.join(F.broadcast(sizes), ["rule", "alternative"]).where(F.col("bits") == F.col("all"))
-    return whole.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    """(row, rules): the texts that rules must be verified on, as bits by the rules' places; full scans aren't in it."""
+    terms = [(t, at, n) for at, rule in enumerate(rules) for n, alternative in enumerate(trigram_query(rule.pattern) or []) for t in sorted(alternative)]
+    spark = index.sparkSession
+    # The terms come from the rules alone.
+    asked = spark.createDataFrame(terms, "trigram string, rule int, alternative int")
+    sizes = asked.groupBy("rule", "alternative").agg(F.count("*").alias("all"))
+    met = index.where(F.col("trigram").isin(*sorted({t for t, _, _ in terms}))).join(F.broadcast(asked), "trigram")
+    # Each trigram has one row a block, so postings meet where there are as many rows as terms.
+    alike = met.groupBy("block", "rule", "alternative").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).join(F.broadcast(sizes), ["rule", "alternative"]).where("n = all AND bits <> 0")
+    of_rule = alike.groupBy("block", "rule").agg(F.bit_or("bits").alias("bits"))
+    rows = of_rule.select("block", "rule", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_at")).where(F.expr("getbit(bits, _at) = 1"))
+    return rows.select((F.col("block") * 64 + F.col("_at")).alias("row"), F.expr("shiftleft(1L, rule)").alias("_rule")).groupBy("row").agg(F.bit_or("_rule").alias("rules"))
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def running_sums(steps: Column, chunk: int = SUM_CHUNK) -> Column:
+    """The sums of an array's first 1, 2, … numbers.
+
+    Appending to an array copies it, so sums run within chunks and from chunk to chunk, and
+    no array that grows is longer than a chunk or the number of chunks.
+    """
+    zero = F.array(F.lit(0))
+
+    def run(numbers: Column, start: Column) -> Column:
+        """``start`` and the sums that follow it."""
+        return F.aggregate(numbers, start, lambda sums, v: F.array_append(sums, F.element_at(sums, -1) + v))
+
+    def chunked(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / chunk).cast("int")), lambda k: F.slice(a, k * chunk + 1, F.lit(chunk)))
+
+    def summed(chunks: Column) -> Column:
+        starts = run(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)), zero)
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, start: F.slice(run(c, F.array(start)), F.lit(2), F.lit(chunk))))
+
+    return _let(steps, lambda a: _let(chunked(a), summed))
 
 
 def matches(text: Column, rule: Rule, at: int) -> Column:
@@ -137,17 +183,17 @@ def matches(text: Column, rule: Rule, at: int) -> Column:
     # Matches aren't empty, so the text is a part before each match and one after the last.
     parsed = F.struct(F.transform(F.split(text, tight, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"), F.transform(checked, F.length).alias("checked"))
 
-    def total(a: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, v: s + v)
-
     def placed(p: Column) -> Column:
-        def span(size: Column, i: Column) -> Column:
-            start = total(p["gaps"], i + 1) + total(p["sizes"], i)
-            return F.struct(start.alias("start"), F.lit(at).alias("kind"), (start + size).alias("end"), (F.get(p["checked"], i) >= rule.least).alias("fits"))
+        # A match begins after the parts up to it and the matches before it.
+        steps = F.transform(p["sizes"], lambda _, i: F.get(p["gaps"], i) + F.when(i > 0, F.get(p["sizes"], i - 1)).otherwise(0))
 
-        return F.filter(F.transform(p["sizes"], span), lambda s: s["fits"])
+        def spans(starts: Column) -> Column:
+            every = F.transform(starts, lambda start, i: F.struct(start.alias("start"), F.lit(at).alias("kind"), (start + F.get(p["sizes"], i)).alias("end"), (F.get(p["checked"], i) >= rule.least).alias("fits")))
+            return F.filter(every, lambda s: s["fits"])
 
-    spans = F.get(F.transform(F.array(parsed), placed), F.lit(0))
+        return _let(running_sums(steps), spans)
+
+    spans = _let(parsed, placed)
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
@@ -156,16 +202,20 @@ def spans_text(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, found (array of start, kind, end; kinds are places in ``rules``)."""
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, found (array of start, kind, end; kinds are places in ``rules``).
+
+    ``index``: what ``build_index`` gave for these rows and this key; else it is built.
+    """
     queries = [trigram_query(r.pattern) for r in rules]
-    asked = sorted({t for q in queries if q for alternative in q for t in alternative})
-    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
+    source, row = (docs, key) if index is not None else numbered(docs, key, text)
+    rows = source.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{row}`").cast("long").alias("_row"), text_or_empty(text).alias("text"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    if asked:
-        wanted = written(candidates(postings(docs, asked, key, text), rules), "secret-candidates").withColumnRenamed("doc_id", "_id")
+    if any(queries):
+        index = build_index(source, row, text) if index is None else index
+        wanted = written(candidates(index, rules), "secret-candidates")
         few = wanted.count() <= BROADCAST_CANDIDATES
-        rows = rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+        rows = rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("_row") == F.col("row"), "left")
     else:
         rows = rows.withColumn("rules", F.lit(0).cast("long"))
     found = []
