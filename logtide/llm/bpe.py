@@ -75,7 +75,7 @@ class Encoder(dict):
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         n, size, fits = len(piece), self.size, self.fits
-        longest = array("i", bytes(4 * n)) if n > 256 else [0] * n
+        longest = array("i", b"\xff" * (4 * n)) if n > 256 else [-1] * n
         for end, rank in self.trie.iter(piece):
             # Ends ascend, so what is written last for a start is its longest match.
             longest[end + 1 - size[rank]] = rank

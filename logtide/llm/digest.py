@@ -3,8 +3,8 @@
 Each byte and the four before it give six triplets; each is hashed to one of 128 buckets.
 The digest holds, as hexadecimal text, a checksum of the bytes, the length on a logarithmic
 scale, and for each bucket the quartile its count lies in.  Two digests differ by the
-distance of their quartiles (far quartiles count more) plus that of lengths, up to a bound;
-their likeness is one minus the bounded difference.  Null texts count as empty; texts of
+distance of their quartiles (far quartiles count more) plus that of lengths, and by no more
+than MOST; their likeness is one minus the share of MOST.  Null texts count as empty; texts of
 fewer than five bytes are padded with zero bytes.  Equal texts have equal digests.
 """
 
@@ -29,8 +29,8 @@ PAIRS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 CHUNK = 1 << 16
 #: Steps of the length scale.
 LENGTH_BASE = 1.1
-#: Differences from here on are a likeness of 0.  Two unlike texts differ in most buckets.
-MOST = 150
+#: The largest difference there is: checksum, lengths at both ends of the scale, all buckets in opposite quartiles.  No two texts lie beyond it, so that unlike texts have an order too.
+MOST = 1 + 2 * 255 + 6 * BUCKETS
 _ODD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 3141592653], dtype=np.uint32)
 
 
@@ -60,7 +60,7 @@ def fingerprint(data: bytes) -> str:
 
 
 def difference(a: str, b: str) -> int:
-    """Bounded difference of two digests: 0 to MOST."""
+    """Difference of two digests, which the digests' form bounds: 0 to MOST."""
     if a == b:
         return 0
     x, y = np.frombuffer(bytes.fromhex(a), np.uint8).astype(np.int32), np.frombuffer(bytes.fromhex(b), np.uint8).astype(np.int32)
@@ -71,7 +71,7 @@ def difference(a: str, b: str) -> int:
         d = np.abs((x[2:] >> shift & 3) - (y[2:] >> shift & 3))
         # Opposite quartiles weigh twice their distance.
         total += int(d.sum() + 3 * (d == 3).sum())
-    return min(total, MOST)
+    return total
 
 
 def likeness(a: str, b: str) -> float:

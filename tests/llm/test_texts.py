@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -108,12 +109,47 @@ def test_bucket_counts(monkeypatch):
     assert (digest.bucket_counts(data) == whole).all()
 
 
-def test_difference():
-    a, b = digest.fingerprint(b"the quick brown fox " * 20), digest.fingerprint(b"lorem ipsum dolor sit amet " * 20)
-    assert digest.difference(a, a) == 0 and digest.likeness(a, a) == 1
-    assert digest.difference(a, b) == digest.difference(b, a) > 0
-    for x in (a, b, digest.fingerprint(b""), digest.fingerprint(b"x")):
-        assert len(x) == 68 and 0 <= digest.likeness(a, x) <= 1
+def print_by_definition(data):
+    """Checksum, length and quartiles spelt out: a bucket's code is the number of quartiles that its count exceeds."""
+    counts = counts_by_definition(data)
+    ordered = sorted(counts)
+    quartiles = [ordered[i] for i in (31, 63, 95)]
+    out = f"{zlib.crc32(data) & 255:02x}{min(255, round(math.log(len(data) + 1, 1.1))):02x}"
+    for i in range(0, 128, 4):
+        out += f"{sum(sum(c > q for q in quartiles) << 2 * k for k, c in enumerate(counts[i : i + 4])):02x}"
+    return out
+
+
+def difference_by_definition(a, b):
+    if a == b:
+        return 0
+    x, y = bytes.fromhex(a), bytes.fromhex(b)
+    apart = abs(x[1] - y[1])
+    total = (x[0] != y[0]) + (apart if apart <= 2 else 2 * apart)
+    for p, q in zip(x[2:], y[2:], strict=True):
+        for k in range(4):
+            d = abs((p >> 2 * k & 3) - (q >> 2 * k & 3))
+            total += 6 if d == 3 else d
+    return total
+
+
+def test_fingerprint_and_difference():
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [b"", b"x", b"abcd", b"abcde", *[b" ".join(rng.choice(words[k % 40 : k % 40 + 20]) for _ in range(10 * k)) for k in range(1, 25)]]
+    prints = [digest.fingerprint(t) for t in texts]
+    assert prints == [print_by_definition(t) for t in texts]
+    for a in prints:
+        for b in prints:
+            d = digest.difference(a, b)
+            assert d == digest.difference(b, a) == difference_by_definition(a, b) <= digest.MOST
+            assert digest.likeness(a, b) == 1 - d / digest.MOST and (d == 0) == (a == b)
+
+
+def test_long_text_in_chunks():
+    """A text of several chunks is counted as the definition says."""
+    data = bytes(random.Random(3).choices(b"abcdefgh \n\xc3\xa9", k=2 * digest.CHUNK + 77))
+    assert digest.fingerprint(data) == print_by_definition(data)
 
 
 def check_edits(rows, texts):
@@ -126,7 +162,7 @@ def check_edits(rows, texts):
         edited = own[: len(own) - half] + after[:half]
         r, prints = got[k], [digest.fingerprint(t.encode()) for t in (own, edited, after)]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(own), hashlib.sha256(edited.encode()).hexdigest(), prints[0], prints[1])
-        assert (r.near_edited, r.near_next) == (digest.likeness(prints[0], prints[1]), digest.likeness(prints[0], prints[2]))
+        assert (r.near_edited, r.near_next) == (1 - difference_by_definition(prints[0], prints[1]) / digest.MOST, 1 - difference_by_definition(prints[0], prints[2]) / digest.MOST)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50])
@@ -141,6 +177,8 @@ def test_digest_query(spark):
     rows = queries.QUERIES["op5_quartile_digest"](spark, SMALL).collect()
     check_edits(rows, texts)
     assert sum(r.near_edited > r.near_next for r in rows) > 0.9 * len(rows)
+    # Unlike texts are told apart too: the score doesn't end at a bound that many reach.
+    assert sum(r.near_next == 0 for r in rows) == 0 and len({r.near_next for r in rows}) > 100
     df = digest.fingerprints(frame(spark, ["a", None]).withColumn("_bytes", F.lit(1)))
     assert df.columns == ["doc_id", "text", "_bytes", "fingerprint"] and df.count() == 2
 
@@ -245,3 +283,19 @@ def test_language_query(spark):
     held = [r for r in rows if r.held_out]
     assert len(rows) == len(docs) and sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.97 * len(held)
     assert sum(not r.accepted for r in rows) <= 0.01 * len(rows)
+
+
+def test_bpe_of_ranks_without_a_byte():
+    """A byte that is in no token is an error in short and long pieces, not some other token."""
+    encoder = bpe.Encoder({b"a": 0, b"b": 1, b"ab": 2}, "(?s).+")
+    assert encoder.piece("abb") == [2, 1]
+    for piece in ("c", "abc", "ca", "ab" * 300 + "c", "c" * 300):
+        with pytest.raises(ValueError):
+            encoder.piece(piece)
+
+
+def test_edits_of_repeated_and_null_ids(spark):
+    """Rows of one id are rows of their own, ordered by their texts' checksums; null ids come first."""
+    rows = [(1, "one"), (1, "two"), (1, "two"), (None, "zero"), (2, None)]
+    got = digest.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in got) == [(False, 0, 4), (True, 1, 3), (True, 1, 3), (True, 1, 3), (True, 2, 0)]
