@@ -1,45 +1,60 @@
 """Language ID by compression: the language whose text, as a zstandard raw-content dictionary, encodes a text smallest.
 
-Texts are lower-cased and all but letters become single spaces; the whole text is encoded,
-a block at a time, so that what a long text says of itself doesn't drown the dictionary.
-The score grows with the relative margin between the two smallest sizes.
+Texts are lower-cased and all but letters (and their marks) become single spaces; the whole
+text is encoded, a block at a time, so that what a long text says of itself doesn't drown
+the dictionary.  The margin is the share of bytes that the smallest encoding saves over the
+second.  Which margins are narrow is learned from labelled rows that no dictionary was made
+of and from mixtures of two such rows of different languages, which no answer is right for:
+the bound is where fewest right answers are rejected and fewest others accepted, a mixture
+counting MIXTURE_WEIGHT.  Equal sizes are always narrow.  The score is 0.5 at the bound.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts if no
-labelled rows exist.  Sizes that tie go to the language with more labelled rows.
+labelled rows exist.  Sizes that tie go to the language with more labelled rows.  Rows of
+one id are told one by one; rows without an id aren't held out, and aren't learned from.
+A text is encoded once for each language.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import free_name, map_rows, small_batches
+from logtide.llm.common import free_name, map_rows, small_batches, written
 
 UNKNOWN = "und"
-#: Bounds of the sample that the dictionaries are made of: bytes of a dictionary, labelled rows a language, code points of a row.
+#: Bounds of the sample that is learned from: bytes of a dictionary, labelled rows a language (half for dictionaries, half for
+#: the margin), and languages (those with most labelled rows are learned), so that the model is small enough to go to every task.
 DICTIONARY_BYTES = 1 << 16
-SAMPLE_ROWS = 120
-SAMPLE_CHARS = 2_000
-#: Languages there may be; the model is at most so many dictionaries, and is small enough to go to every task.
+SAMPLE_ROWS = 2_000
 MAX_LANGUAGES = 256
 #: Bytes that are encoded at a time.
 BLOCK = 8_192
-#: A relative margin from which the score is 1.
-FULL_MARGIN = 0.1
-#: A margin below this is narrow, in texts of so many letters; sizes are whole bytes, so shorter texts can't show a narrow one.
-NARROW_MARGIN = 0.0005
-NARROW_LETTERS = 200
+#: How bad it is to accept a mixture, where a wrong answer accepted and a right one rejected are 1: one text in a hundred is taken for one.
+MIXTURE_WEIGHT = 0.01
+#: The margin of score 0.5 where no narrow one was found.
+USUAL_MARGIN = 0.01
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+
+
+@dataclass(frozen=True)
+class Model:
+    """Dictionaries by language, languages with more labelled rows first, and the largest narrow margin."""
+
+    dictionaries: tuple[tuple[str, bytes], ...] = ()
+    narrow: float = 0.0
 
 
 def letters_only(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Letters in lower case between single spaces; empty if there is no letter."""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
 def learning_rows(docs: DataFrame, key: str = "doc_id", label: str = "lang") -> DataFrame:
@@ -51,57 +66,111 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> list[tuple[str, bytes]]:
-    """Dictionaries by language, languages with more labelled rows first.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
+    """The model of a sample that is fixed by a hash of the key.
 
-    The sample is fixed by a hash of the key: tasks keep the first rows of each language
-    before anything is shuffled, and only ids travel until the rows are chosen.
+    Tasks keep the first rows of each language before anything is shuffled, and only ids
+    travel until the rows are chosen; the chosen rows' whole texts are written.
     """
     rows = learning_rows(docs, key, label).where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("string").alias("_lang"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
     first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= SAMPLE_ROWS)
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"there are over {MAX_LANGUAGES} languages")
-    # At most SAMPLE_ROWS ids a language, and then as many texts, cut to SAMPLE_CHARS.
     # Where a key repeats, each place in the sample takes one text; rows of one key and language have one place.
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("string").alias("_label"), F.col(text).cast("string").alias("_text"))
     places = chosen.groupBy("_lang", "_id").agg(F.min("_rank").alias("_rank"))
     met = texts.join(F.broadcast(places), (F.col("_key") == F.col("_id")) & (F.col("_label") == F.col("_lang")))
-    found = met.groupBy("_lang", "_rank").agg(F.min(F.substring("_text", 1, SAMPLE_CHARS))).collect()
-    bodies: dict[str, bytes] = {}
-    for lang, _, body in sorted(found):
-        if len(bodies.get(lang, b"")) < DICTIONARY_BYTES:
-            bodies[lang] = bodies.get(lang, b"") + letters_only(body).encode() + b" "
-    return [(lang, bodies[lang][:DICTIONARY_BYTES]) for lang in sorted(bodies, key=lambda k: (-counts[k], k))]
+    sample = written(met.groupBy("_lang", "_rank").agg(F.min("_text").alias("text")), "language-sample").where(F.col("_lang").isin(*counts))
+    made = _dictionaries(sample)
+    dictionaries = tuple((lang, made[lang]) for lang in sorted(made, key=lambda k: (-counts[k], k)))
+    return Model(dictionaries, narrow_margin(_margins(sample, dictionaries)))
+
+
+def _dictionaries(sample: DataFrame) -> dict[str, bytes]:
+    """By language, the texts of odd places that fit whole, in their order; the shortest is cut where none does."""
+    odd = sample.where("_rank % 2 = 1")
+    room: dict[str, int] = {}
+    taken: list[tuple[str, int]] = []
+    # At most SAMPLE_ROWS / 2 numbers a language.
+    sizes = sorted(tuple(r) for r in odd.select("_lang", "_rank", F.octet_length("text") + 1).collect())
+    for lang, rank, size in sizes:
+        if size <= room.setdefault(lang, DICTIONARY_BYTES):
+            room[lang] -= size
+            taken.append((lang, rank))
+    without = {lang for lang, _, _ in sizes} - {lang for lang, _ in taken}
+    taken += [min((size, lang, rank) for lang, rank, size in sizes if lang == w)[1:] for w in without]
+    if not taken:
+        return {}
+    wanted = odd.sparkSession.createDataFrame(taken, "_lang string, _rank int")
+    # At most DICTIONARY_BYTES a language, besides one text that is longer.
+    cut = F.substring("text", 1, DICTIONARY_BYTES)
+    out: dict[str, bytes] = {}
+    for lang, _, body in sorted(tuple(r) for r in odd.join(F.broadcast(wanted), ["_lang", "_rank"]).select("_lang", "_rank", cut).collect()):
+        out[lang] = out.get(lang, b"") + letters_only(body).encode() + b" "
+    return {lang: body[:DICTIONARY_BYTES] for lang, body in out.items()}
+
+
+def _margins(sample: DataFrame, dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[float, float]]:
+    """Margin, and how good it is to accept it, of the texts of even places and of their mixtures; at most SAMPLE_ROWS numbers a language."""
+    if len(dictionaries) < 2:
+        return []
+    even = sample.where("_rank % 2 = 0").select("_lang", "_rank", "text")
+    names = sorted(lang for lang, _ in dictionaries)
+    # Each text is mixed with that of the same place in the next language: as much of one as of the other.
+    after = even.select(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, names[i - 1])]), F.col("_lang")).alias("_lang"), "_rank", F.col("text").alias("_next"))
+    least = F.least(F.length("text"), F.length("_next"))
+    mixed = even.join(after, ["_lang", "_rank"]).select(F.lit(None).cast("string").alias("_lang"), F.concat_ws(" ", F.substr("text", F.lit(1), least), F.substr("_next", F.lit(1), least)).alias("text"))
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        classifier = Classifier(Model(dictionaries))
+        for row in rows:
+            if found := classifier.best(row["text"]):
+                yield found[1], -MIXTURE_WEIGHT if row["_lang"] is None else 1.0 if found[0] == row["_lang"] else -1.0
+
+    return [tuple(r) for r in map_rows(even.select("_lang", "text").unionByName(mixed), run, "margin double, worth double").collect()]
+
+
+def narrow_margin(told: Iterable[tuple[float, float]]) -> float:
+    """The margin up to which all answers together are worth least, the smallest of equals; 0 if none is worth less than nothing."""
+    narrow, least, sofar, rows = 0.0, 0.0, 0.0, sorted(told)
+    for i, (margin, worth) in enumerate(rows):
+        sofar += worth
+        if sofar < least - 1e-9 and (i + 1 == len(rows) or rows[i + 1][0] > margin):
+            narrow, least = margin, sofar
+    return narrow
 
 
 class Classifier:
-    def __init__(self, model: list[tuple[str, bytes]]):
+    def __init__(self, model: Model):
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         # Greedy search for matches of three bytes and more: parts of words count, which the faster strategies don't look for.
         params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=2, min_match=3, strategy=zstandard.STRATEGY_GREEDY, **options)
+        self.narrow = model.narrow
         self.encoders = []
-        for lang, body in model:
+        for lang, body in model.dictionaries:
             dictionary = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=params)
             self.encoders.append((lang, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)))
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score, and whether the answer is accepted."""
+    def best(self, text: str | None) -> tuple[str, float] | None:
+        """The language of the smallest encoding and its margin; None where nothing can be told."""
         body = letters_only(text or "").encode()
         if not body or not self.encoders:
-            return UNKNOWN, 0.0, False
+            return None
         blocks = [body[at : at + BLOCK] for at in range(0, len(body), BLOCK)]
         sizes = [sum(len(e.compress(b)) for b in blocks) for _, e in self.encoders]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        best = order[0]
-        margin = 1.0 - sizes[best] / sizes[order[1]] if len(order) > 1 else 1.0
-        narrow = margin < NARROW_MARGIN and len(body) >= NARROW_LETTERS
-        return self.encoders[best][0], min(1.0, margin / FULL_MARGIN), not narrow
+        return self.encoders[order[0]][0], 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the answer is accepted."""
+        if (found := self.best(text)) is None:
+            return UNKNOWN, 0.0, False
+        lang, margin = found
+        return lang, margin / (margin + (self.narrow or USUAL_MARGIN)), margin > self.narrow
 
 
-def classify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, accepted."""
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -113,7 +182,7 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id
     return map_rows(sent, run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
-def accepted_documents(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
+def accepted_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is accepted, columns as in ``docs``."""
     import pyarrow as pa
     import pyarrow.compute as pc

@@ -62,3 +62,32 @@ def secrets(text):
 
 def spans(found, kinds):
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found)
+
+
+def language(dictionaries, text, narrow, block):
+    """(language, margin, accepted) by encoding the text's letters with each dictionary anew; None for the language where there is no letter."""
+    import unicodedata
+
+    import zstandard
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    body = " ".join(w for w in kept.split(" ") if w).encode()
+    if not dictionaries or not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return None, 0.0, False
+    sizes = []
+    for place, (lang, raw) in enumerate(dictionaries):
+        params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=2, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        total = 0
+        for at in range(0, len(body), block):
+            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=params)
+            total += len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(body[at : at + block]))
+        sizes.append((total, place, lang))
+    (least, _, lang), *others = sorted(sizes)
+    margin = 1 - least / others[0][0] if others else 1.0
+    return lang, margin, margin > narrow
+
+
+def narrow_margin(told):
+    """The margin up to which all answers together are worth least."""
+    return min([(0.0, 0.0), *((round(sum(w for x, w in told if x <= m), 6), m) for m, _ in told)])[1]
