@@ -1,13 +1,22 @@
 """Personal data: exact base patterns, and contextual extraction bootstrapped from what they find.
 
-Base entities (email, ip, card, phone) are seeds.  The words around a seed are lexical
-patterns.  Other identifier-like tokens are candidates with patterns of the same form.
-Patterns and the distinct values they surround form a graph: a pattern is as sure of a kind
-as its values are on average, a value as sure as its patterns make it together, and a few
-rounds spread the seeds' certainty.  Candidates in the context of sure patterns are added.
+Base entities (email, ip, card, phone) are seeds.  The words and signs around a seed are
+lexical patterns.  Other identifier-like tokens are candidates with patterns of the same
+form.  Patterns and the distinct values they surround form a graph, which is scored in
+rounds until nothing moves:
+
+* A pattern is as sure of a kind as its values are on average.  Seeds of the kind count 1,
+  seeds of other kinds 0, and a candidate what its contexts *without that pattern* make of it.
+* A context is as sure as the surer of its two patterns, which often know the same values and
+  so count once.  A candidate is believed unless all its contexts err.
+
+No pattern hears its own vote, nor that of its neighbour, so a context half of whose values
+are unknown stays half sure, however many rounds there are.  Candidates in sure patterns are
+added as spans.
 
 Null texts count as empty.  Spans are in code points, ends exclusive; spans of several kinds
 may overlap, added ones overlap no base one.  Values that repeat count once in a pattern.
+Ids may be null or repeat, and may be of any type: spans stay with their own row.
 """
 
 from __future__ import annotations
@@ -15,20 +24,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import map_rows, written
+from logtide.llm.common import attached, map_rows, numbered, written
 from logtide.llm.secrets import spans_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern must surround to count, and how sure a pattern and an added span must be.
 LEAST_SEEDS = 3
 SURE = 0.8
-ROUNDS = 2
-#: Code points beside an entity in which its context words are looked for, and of the longest candidate.
-CONTEXT = 80
-LONGEST = 64
+#: Scoring ends when no pattern moves by as much, or after so many rounds: scores only grow, by less each round.
+SETTLED = 0.01
+MOST_ROUNDS = 10
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -77,16 +86,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _word(word: str) -> str:
-    return _DIGITS.sub("0", word.lower()).strip(_EDGES)
+def _words_before(text: str, end: int) -> list[str]:
+    """The last two words (runs of letters and digits) or signs before a place; ^ where there is none."""
+    out = []
+    while len(out) < 2:
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end - 1
+        if end and text[start].isalnum():
+            while start and text[start - 1].isalnum():
+                start -= 1
+        out.append(text[start:end] if end else "^")
+        end = max(0, start)
+    return out[::-1]
+
+
+def _word_after(text: str, start: int) -> str:
+    n = len(text)
+    while start < n and text[start].isspace():
+        start += 1
+    end = start + 1
+    if start < n and text[start].isalnum():
+        while end < n and text[end].isalnum():
+            end += 1
+    return text[start:end] or "$"
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span: the two words before it, and the words on either side."""
-    before = [_word(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    after = [_word(w) for w in text[end : end + CONTEXT].split()[:1]]
-    before = ["^", "^"][len(before) :] + before
-    return [f"{before[0]} {before[1]} _", f"{before[1]} _ {(after or ['$'])[0]}"]
+    """The lexical patterns of a span: the two words before it, and the words on either side; digits are all alike."""
+    far, near, after = (_DIGITS.sub("0", w.lower()) for w in (*_words_before(text, start), _word_after(text, end)))
+    return [f"{far} {near} _", f"{near} _ {after}"]
+
+
+def value_key(value: str) -> str:
+    """What stands for a value of any length."""
+    return xxhash.xxh3_128_hexdigest(value.lower().encode("utf-8", "surrogatepass"))
 
 
 def _like(value: str) -> list[int]:
@@ -101,7 +135,7 @@ def _mentions(rows: Iterator[dict]) -> Iterator[tuple]:
     for row in rows:
         text = row["text"]
         base = base_spans(text)
-        mentions = [{"start": a, "end": b, "kind": k, "value": text[a:b].lower()[:LONGEST], "patterns": patterns(text, a, b), "like": [k]} for a, k, b in base]
+        mentions = [{"start": a, "end": b, "kind": k, "value": value_key(text[a:b]), "patterns": patterns(text, a, b), "like": [k]} for a, k, b in base]
         taken = sorted((a, b) for a, _, b in base)
         at = 0
         for m in _CANDIDATE.finditer(text):
@@ -111,11 +145,11 @@ def _mentions(rows: Iterator[dict]) -> Iterator[tuple]:
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
             # Spans of kinds may nest, so later ones are looked at as well while they begin before the token's end.
-            if not 0 < end - start <= LONGEST or any(a < end and b > start for a, b in _until(taken, at, end)):
+            if end <= start or any(a < end and b > start for a, b in _until(taken, at, end)):
                 continue
-            if like := _like(value := text[start:end].lower()):
-                mentions.append({"start": start, "end": end, "kind": None, "value": value, "patterns": patterns(text, start, end), "like": like})
-        yield row["doc_id"], [{"start": a, "kind": k, "end": b} for a, k, b in base], mentions
+            if like := _like(value := text[start:end]):
+                mentions.append({"start": start, "end": end, "kind": None, "value": value_key(value), "patterns": patterns(text, start, end), "like": like})
+        yield row["doc_id"], row["row"], [{"start": a, "kind": k, "end": b} for a, k, b in base], mentions
 
 
 def _until(spans: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[int, int]]:
@@ -124,43 +158,69 @@ def _until(spans: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[in
         at += 1
 
 
-_MENTIONS = "doc_id long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<start:int,end:int,kind:int,value:string,patterns:array<string>,like:array<int>>>"
+_MENTIONS = "row long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<start:int,end:int,kind:int,value:string,patterns:array<string>,like:array<int>>>"
 
 
-def pattern_scores(edges: DataFrame, least: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, sure): the certainty of patterns.
+def pattern_scores(contexts: DataFrame, least: int = LEAST_SEEDS, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(pattern, kind, sure): the certainty of patterns; a written table.
 
-    ``edges``: one row per pattern and distinct value in it, with seed_kind (null: a candidate).
-    Patterns with fewer than ``least`` seeds of a kind never count for it, so they go first.
+    ``contexts``: one row per distinct value and pair of patterns around it (value, before,
+    beside, seed_kind; null: a candidate).  Patterns with fewer than ``least`` seeds of a kind
+    never count for it, so they go first.
     """
-    seeds = edges.where("seed_kind IS NOT NULL").groupBy("pattern", F.col("seed_kind").alias("kind")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    seeds = written(seeds.select("pattern", "kind"), "pii-seeded")
-    # Each seeded pattern and kind, with all values that occur in it.
-    graph = written(edges.join(seeds, "pattern").select("pattern", "kind", "value", (F.col("seed_kind") == F.col("kind")).alias("seed")), "pii-graph")
-    graph = graph.withColumn("seed", F.coalesce("seed", F.lit(False)))
-    scores = None
+    edges = contexts.select("value", "seed_kind", F.explode(F.array("before", "beside")).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed_kind").alias("seed_kind"))
+    seeds = edges.groupBy("pattern", "seed_kind").agg(F.count("*").alias("n"))
+    seeds = seeds.groupBy("pattern").agg(F.sum("n").alias("n_values"), F.collect_list(F.when((F.col("n") >= least) & F.col("seed_kind").isNotNull(), F.struct(F.col("seed_kind").alias("kind"), "n"))).alias("kinds"))
+    # One row per pattern; the kinds are at most as many as KINDS.
+    seeds = written(seeds.where(F.size("kinds") > 0), "pii-seeded").select("pattern", "n_values", F.explode("kinds").alias("k"))
+    scores = written(seeds.select("pattern", "n_values", "k.kind", F.col("k.n").alias("n_seeds"), (F.col("k.n") / F.col("n_values")).alias("score")), "pii-scores")
+
+    # Only a candidate with a second context can move a score.
+    unknown = contexts.where("seed_kind IS NULL").select("value", "before", "beside")
+    several = unknown.groupBy("value").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
+    unknown = attached(unknown, written(several, "pii-several"), "value", "n_contexts")
+    held = unknown.select("*", F.explode(F.array_distinct(F.array("before", "beside"))).alias("pattern"))
+    rows_of = held.groupBy("pattern").agg(F.count("*").alias("n_rows"))
+    held = written(attached(held, written(rows_of.join(scores.select("pattern").distinct(), "pattern"), "pii-patterns"), "pattern", "n_rows"), "pii-held")
+    if held.isEmpty():
+        return scores.select("pattern", "kind", F.col("score").alias("sure"))
+    sizes = held.groupBy("pattern").agg(F.first("n_rows").alias("n_rows"))
     for _ in range(rounds):
-        if scores is None:
-            known = graph.withColumn("sure", F.col("seed").cast("double"))
-        else:
-            by_value = graph.join(scores, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("believed"))
-            known = graph.join(by_value, ["value", "kind"]).withColumn("sure", F.when(F.col("seed"), 1.0).otherwise(F.col("believed")))
-        scores = written(known.groupBy("pattern", "kind").agg(F.avg("sure").alias("score")), "pii-scores")
-    return scores.withColumnRenamed("score", "sure")
+        now = scores.groupBy("pattern").agg(F.collect_list(F.struct("kind", "score")).alias("now")).join(sizes, "pattern")
+        heard = attached(held.drop("n_rows"), written(now, "pii-now"), "pattern", "n_rows").withColumn("s", F.explode("now"))
+        of_context = heard.groupBy("value", "before", "beside", "s.kind").agg(F.max("s.score").alias("score"), F.collect_set("pattern").alias("patterns"))
+        doubts = of_context.select(F.concat_ws(" ", "kind", "value").alias("vote"), "kind", "patterns", F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))).alias("doubt"))
+        own = written(doubts.select("vote", "kind", "doubt", F.explode("patterns").alias("pattern")).groupBy("vote", "kind", "pattern").agg(F.sum("doubt").alias("doubt")), "pii-own")
+        every = written(doubts.groupBy("vote").agg(F.sum("doubt").alias("all"), F.sum(F.size("patterns")).alias("n_rows")), "pii-votes")
+        gained = attached(own, every, "vote", "n_rows").groupBy("pattern", "kind").agg(F.sum(1 - F.exp(F.col("all") - F.col("doubt"))).alias("gain"))
+        next_ = scores.join(gained, ["pattern", "kind"], "left")
+        moved = written(next_.select("pattern", "n_values", "kind", "n_seeds", ((F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n_values")).alias("score"), F.col("score").alias("was")), "pii-scores")
+        most = moved.agg(F.max(F.abs(F.col("was") - F.col("score")))).first()[0]
+        scores = moved.drop("was")
+        if (most or 0.0) < SETTLED:
+            break
+    return scores.select("pattern", "kind", F.col("score").alias("sure"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, base, found (arrays of start, kind, end; kinds are places in KINDS).  Keys must be unique."""
-    sent = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = written(map_rows(sent, _mentions, _MENTIONS), "pii-mentions")
-    flat = rows.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*").withColumn("pattern", F.explode("patterns"))
-    # A value is a seed of a pattern if it is one anywhere in it.
-    edges = written(flat.groupBy("pattern", "value").agg(F.max("kind").alias("seed_kind")), "pii-edges")
-    scores = pattern_scores(edges).where(F.col("sure") >= sure)
-    sought = flat.where("kind IS NULL").select("doc_id", "start", "end", "like", "pattern").join(scores, "pattern").where(F.array_contains("like", F.col("kind")))
-    best = sought.groupBy("doc_id", "start", "end").agg(F.min_by("kind", F.struct(-F.col("sure"), "kind")).alias("kind"))
-    added = best.groupBy("doc_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    out = rows.select("doc_id", "base").join(added.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    """One row per row of ``docs``: doc_id, base, found (arrays of start, kind, end; kinds are places in KINDS)."""
+    source, row = numbered(docs, key, text)
+    id_type = docs.schema[key].dataType.simpleString()
+    sent = source.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{row}`").cast("long").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = written(map_rows(sent, _mentions, f"doc_id {id_type}, {_MENTIONS}"), "pii-mentions")
+    flat = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    # A value is a seed in a context if it is one anywhere in it.
+    contexts = flat.groupBy("value", F.get("patterns", F.lit(0)).alias("before"), F.get("patterns", F.lit(1)).alias("beside")).agg(F.max("kind").alias("seed_kind"), F.count("*").alias("n"))
+    contexts = written(contexts, "pii-contexts")
+    scores = pattern_scores(contexts).where(F.col("sure") >= sure)
+    of_pattern = scores.groupBy("pattern").agg(F.collect_list(F.struct("kind", "sure")).alias("kinds"))
+    mentions = contexts.select("n", F.explode(F.array("before", "beside")).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("n_mentions"))
+    known = written(of_pattern.join(mentions, "pattern"), "pii-known")
+    flat = flat.withColumn("pattern", F.explode("patterns"))
+    sought = attached(flat.where("kind IS NULL").select("row", "start", "end", "like", "pattern"), known, "pattern", "n_mentions").withColumn("k", F.explode("kinds")).where(F.array_contains("like", F.col("k.kind")))
+    best = sought.groupBy("row", "start", "end").agg(F.min_by("k.kind", F.struct(-F.col("k.sure"), F.col("k.kind"))).alias("kind"))
+    added = best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    out = rows.select("doc_id", "row", "base").join(added, "row", "left")
     return out.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")).alias("found"))
 
 
