@@ -15,9 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from logtide.llm.common import numbered, running_sum, text_or_empty, written
+from logtide.llm.common import attached, numbered, ranked, running_sum, text_or_empty, written
 
 #: Weights of sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,25 +30,25 @@ def words(text: str = "text") -> Column:
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
-    """One row per source: source, idx, weight, source_size, total, target.
+    """One row per source: source, n_rows, idx, weight, source_size, total, target; a written table.
 
     Targets share the total size by weight; none exceeds ``passes`` times its source's size,
-    and the excess goes to the others by weight.  The windows here see one row per source.
+    and the excess goes to the others by weight.  Sources may be as many as rows: they are
+    ordered over all partitions, and only three sums and the level reach the driver.
     """
-    named = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    first = Window.orderBy(F.col("source").asc_nulls_last())
+    named = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     table = F.array(*[F.lit(w) for w in weights])
-    s = named.select("source", "source_size", (F.row_number().over(first) - 1).alias("idx"))
-    s = s.withColumn("weight", F.get(table, F.col("idx") % len(weights)).cast("long")).withColumn("cap", F.col("source_size") * passes)
+    s = ranked(named, [F.col("source").asc_nulls_last()], "mix-names", "idx")
+    s = s.withColumn("weight", F.get(table, (F.col("idx") % len(weights)).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * passes)
     # Sources fill up in the order of cap by weight; the level is set where the first one doesn't.
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "idx")
-    every = Window.partitionBy(F.lit(0))
-    s = s.withColumn("total", F.sum("source_size").over(every))
-    full = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.col("total") - full) / rest)
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "idx", "level"))).over(every)["level"]
-    return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select("source", "idx", "weight", "source_size", "total", "target")
+    s = s.withColumn("_full_at", F.col("cap") / F.col("weight"))
+    s = running_sum(s, ["_full_at", "idx", "cap", "weight", "source", "source_size", "n_rows"], "cap", "mix-caps").drop("part", "at").withColumnRenamed("running", "_caps")
+    s = written(running_sum(s, ["_full_at", "idx"], "weight", "mix-weights").drop("part", "at").withColumnRenamed("running", "_weights"), "mix-fill")
+    total, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (total - (F.col("_caps") - F.col("cap"))) / (weight - (F.col("_weights") - F.col("weight")))
+    found = s.select("_full_at", "idx", level.alias("level")).where("level <= _full_at").agg(F.min_by("level", F.struct("_full_at", "idx"))).first()[0]
+    target = F.least(F.col("cap").cast("double"), F.lit(float(found or 0.0)) * F.col("weight"))
+    return written(s.select("source", "n_rows", "idx", "weight", "source_size", F.lit(total).cast("long").alias("total"), target.alias("target")), "mix-sources")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
@@ -60,9 +59,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def _times(docs: DataFrame, row: Column, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
     """What ``mix`` gives, with ``_row``, the value of ``row``, which tells rows of equal id apart."""
     rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), row.alias("_row")), "mix-sizes")
-    # One row per source; Spark broadcasts it only if the written table is small, else it joins by shuffle and splits a hot source.
-    sources = written(source_targets(rows, weights, passes), "mix-sources")
-    queued = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("source", "_s")
+    # A null source is a source, so names are marked before they meet.
+    marked = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s")
+    sources = source_targets(rows, weights, passes)
+    queued = attached(rows.select("doc_id", "size", "_row", marked), sources.select(marked, *[c for c in sources.columns if c != "source"]), "_s", "n_rows").drop("_s", "n_rows")
     queued = queued.withColumn("_shuffle", F.xxhash64(F.lit(seed), "doc_id"))
     queue = running_sum(queued, ["idx", "_shuffle", "doc_id", "size", "_row"], "size", "mix-queues", ["idx"])
     queue = queue.withColumnRenamed("part", "_part").withColumnRenamed("at", "_at").withColumnRenamed("running", "_sofar").drop("_shuffle")

@@ -43,15 +43,50 @@ def test_shards(spark, n):
     check_shards(sharding.shard_documents(df).collect(), texts)
 
 
-def test_shards_prune(spark, tmp_path):
-    """A filter by any dimension meets few of many shards."""
-    df = documents(spark, [(i, "x" * (10 << i % 8), f"s{i % 16}") for i in range(2048)])
-    rows = sharding.shard_documents(df, 64).join(df, "doc_id")
-    for column in ("source",):
-        per_value = rows.groupBy(column).agg(F.countDistinct("shard").alias("n")).agg(F.avg("n")).first()[0]
-        assert per_value < 32
+def shards_met(spark, docs, sf):
+    """By dimension: of 8 shards, how many a filter by one value (an eighth of the range for numbers) meets on average."""
+    rows = sharding.shard_documents(docs).drop("size").join(docs.select("doc_id", "lang", "source", F.octet_length("text").alias("size")), "doc_id").toPandas()
+    out = {c: rows.groupby(c).shard.nunique().mean() for c in ("lang", "source")}
+    for c in ("size", "doc_id"):
+        ends = rows[c].quantile([i / 8 for i in range(9)]).values
+        out[c] = sum(rows[(rows[c] >= a) & (rows[c] <= b)].shard.nunique() for a, b in zip(ends, ends[1:])) / 8
+    copies = rows.groupby("text_crc32").shard.agg(["nunique", "size"])
+    return out, int((copies["nunique"] > 1).sum()), int((copies["size"] > 1).sum())
+
+
+def test_shards_prune(spark):
+    """Filters by language, source and id meet a part of the shards, and equal texts lie together but for shards' ends."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    met, cut, groups = shards_met(spark, docs, SMALL)
+    print("all:", met, "groups cut:", cut, "of", groups)
+    assert met["lang"] <= 6 and met["source"] <= 5.5 and met["doc_id"] < 7.5 and cut <= 7 < groups
+    met, cut, groups = shards_met(spark, docs.dropDuplicates(["text"]), SMALL)
+    print("without copies:", met)
+    assert met["lang"] <= 4.5 and met["source"] <= 4.5 and met["doc_id"] < 7 and met["size"] < 8 and groups == 0
+
+
+def test_cells_are_ranks(spark):
+    """A value's cell is the share of rows with smaller values."""
+    rows = documents(spark, [(i, "x", "abc"[0 if i < 50 else 1 if i < 75 else 2]) for i in range(100)])
+    assert {r.source: (r.n, r.cell) for r in sharding.name_cells(rows, "source", 100).collect()} == {"a": (50, 0), "b": (25, 32), "c": (25, 48)}
+    bounds = [float(i) for i in range(1, 64)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in (None, -5.0, 1.0, 1.5, 30.0, 62.5, 63.0, 99.0)], "v double").select(sharding.quantile_cell(F.col("v"), bounds)).collect()]
+    assert got == [0, 0, 0, 1, 29, 62, 62, 63]
+
+
+def test_shards_of_any_ids(spark, tmp_path):
+    """Ids may be texts or null and may repeat; columns that clash with ours stay, but for the folders' name."""
+    named = spark.createDataFrame([(f"id{i}", "same" if i % 2 else f"t{i}", None) for i in range(20)], "doc_id string, text string, source string").withColumn("lang", F.lit(None).cast("string"))
+    rows = sharding.shard_documents(named, 4).collect()
+    assert Counter(r.shard for r in rows) == Counter({s: 5 for s in range(4)}) and len({r.doc_id for r in rows}) == 20
+    assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"same")}) == 2
+    df = documents(spark, [(i, "x" * i, f"s{i % 16}") for i in range(2048)]).withColumn("shard", F.lit("old")).withColumn("_where_x", F.lit(1)).withColumn("slot", F.lit(2))
     sharding.write_shards(df, str(tmp_path / "out"), 4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2048
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 2048 and set(out.columns) == set(df.columns) and {r.shard for r in out.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    assert out.agg(F.sum("slot"), F.sum("_where_x")).first() == (4096, 2048)
+    long = documents(spark, [(0, "long " * 400_000, "s"), (1, None, None)])
+    assert sorted(r["size"] for r in sharding.shard_documents(long).collect()) == [1, 2_000_001]
 
 
 def test_shards_query(spark):
@@ -112,6 +147,41 @@ def test_mix(spark, case):
     assert mixed.columns == df.columns and Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.times for r in rows if r.times})
 
 
+def queue_by_definition(spark, docs, passes=3):
+    """Times that each document is taken: queues in the shuffled order, finish times, one merge, cut at the budget."""
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i, _, _ in docs], "doc_id long").select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    size = {i: len(brute.WORD.findall(t or "")) for i, t, _ in docs}
+    order = sorted({s for _, _, s in docs}, key=lambda s: (s is None, (s or "").encode()))
+    whole = {s: sum(size[i] for i, _, x in docs if x == s) for s in order}
+    entries = []
+    for idx, s in enumerate(order):
+        queue, weight, sofar = sorted((hashes[i], i) for i, _, x in docs if x == s), mixing.WEIGHTS[idx % 3], 0
+        for place, (_, i) in enumerate(queue):
+            sofar += size[i]
+            entries += [((p * whole[s] + sofar) / weight, idx, place, p, i) for p in range(passes)]
+    taken, budget, sofar = Counter(), sum(size.values()), 0
+    for *_, i in sorted(entries):
+        sofar += size[i]
+        if sofar <= budget:
+            taken[i] += 1
+    return taken
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_mix_is_the_queue(spark, case):
+    """Finish times, ties and the cut, document by document."""
+    got = Counter({r.doc_id: r.times for r in mixing.mix(documents(spark, CASES[case])).collect() if r.times})
+    assert got == +queue_by_definition(spark, CASES[case])
+
+
+def test_mix_of_many_sources(spark):
+    """Sources as many as documents, hot or not, long texts and null ids."""
+    rows = [(i, "w " * (1 + i % 5), f"host{i}") for i in range(300)] + [(1000 + i, "w " * 7, "hot") for i in range(300)] + [(9999, "long " * 100_000, None)]
+    check_mix(mixing.mix(documents(spark, rows)).collect(), rows)
+    nulls = mixing.mix(documents(spark, [(None, "a b", "s"), (None, "c", "s"), (1, "d", None)])).collect()
+    assert len(nulls) == 3 and sum(r.taken for r in nulls) <= 4
+
+
 def test_mix_reruns_agree(spark):
     df = documents(spark, CASES["hot"])
     first = sorted(map(tuple, mixing.mix(df).collect()))
