@@ -10,19 +10,25 @@ groups.  Texts without words, and nulls, are linked with nothing.
    A pair at the threshold misses all buckets with a probability of 5e-6.
 3. Each member is verified against its hub on full sets, in blocks, and linked.
 4. What lies in one group by now needs no further comparison.  Members outside the hub's
-   group are compared with all members of the bucket, block by block; a block gives only
-   the links that join groups.  So no link is lost, and no pairs are listed.
+   group are compared with the members of the bucket whose sets are of a size that can be
+   linked, block by block; a block gives only the links that join groups.  So no link is
+   lost, and no pairs are listed.
 5. Union-find over all links, as repeated joins of the smallest label.
+
+Ids may be null or repeat, and may be of any type: rows count by their place in the order of
+id (nulls last) and text, and a group's id is that of its first row.  Of such rows,
+``near_dedup`` keeps the first; in ``near_groups`` all rows of the group's id are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm.common import attached, map_rows, numbered, sized, small_batches, without, written
@@ -32,8 +38,12 @@ WIDTH = 5
 SHARE = 75
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Members that a block compares at most on either side.
+#: Members that a block compares on either side, and shingles (8 bytes each) that they have, on average.
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 21
+#: Sets whose sizes are this factor apart can't be linked (100 / SHARE is enough; a little more is safe from rounding); sizes are
+#: put into levels by its powers, so links are within a level or to the next.
+LEVEL = 100 / SHARE + 0.01
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 100_000
 #: Columns of the membership matrix that are multiplied at a time.
@@ -226,20 +236,34 @@ def components(links: DataFrame) -> DataFrame:
     label, until none changes.
     """
     both = written(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), "near-edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "near-labels")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"), F.count("*").alias("n_links")), "near-labels")
     while True:
-        # A node with many links is one row of labels; where it is a hot key of the join, Spark splits it.
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy(F.col("u").alias("_n")).agg(F.min("component").alias("_low"))
-        lower = labels.join(near, F.col("node") == F.col("_n")).select("node", "component", F.least("component", "_low").alias("_low"))
+        # A node with many links takes its label from a broadcast of few.
+        near = attached(both, labels.select(F.col("node").alias("v"), "component", "n_links"), "v", "n_links").groupBy(F.col("u").alias("_n")).agg(F.min("component").alias("_low"))
+        lower = labels.join(near, F.col("node") == F.col("_n")).select("node", "component", "n_links", F.least("component", "_low").alias("_low"))
         up = labels.select(F.col("node").alias("_up"), F.col("component").alias("_up_component"))
-        jumped = lower.join(up, F.col("_low") == F.col("_up")).select("node", F.least("_low", "_up_component").alias("component"), (F.least("_low", "_up_component") != F.col("component")).alias("moved"))
+        jumped = lower.join(up, F.col("_low") == F.col("_up")).select("node", "n_links", F.least("_low", "_up_component").alias("component"), (F.least("_low", "_up_component") != F.col("component")).alias("moved"))
         labels = written(jumped, "near-labels")
         if not labels.where("moved").limit(1).count():
             return labels.select("node", "component")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.  Keys must be unique integers."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows, row = numbered(docs, key, text)
+    groups = _groups(rows, row, text)
+    if row == key:
+        return groups
+    # Back from places to ids: of the row itself and of its group's first row.
+    ids = rows.select(F.col(row).alias("_at"), F.col(f"`{key}`").alias("_id"))
+    own = groups.join(ids.hint("merge"), F.col("doc_id") == F.col("_at")).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+    # A group's first row is met by all its rows, which may be many.
+    sizes = written(own.groupBy("component_id").agg(F.count("*").alias("_n")).join(ids, F.col("component_id") == F.col("_at")).select("component_id", "_n", "_id"), "near-firsts")
+    return attached(own, sizes, "component_id", "_n").select("doc_id", "n_shingles", F.col("_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for a column of unique integers."""
     sketch = written(sketches(docs, key, text), "near-sketches")
     full = sketch.where("n_shingles > 0")
     classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "near-classes")
@@ -247,8 +271,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     keyed = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     keyed = written(keyed, "near-bands")
     buckets = keyed.groupBy("band").agg(F.min(F.struct("doc_id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(buckets.select("band", F.col("first.doc_id").alias("hub"), F.col("first.n_shingles").alias("hub_size")), "near-buckets")
-    members = keyed.join(buckets, "band").where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("size"), F.first("hub_size").alias("hub_size"))
+    buckets = written(buckets.select("band", "n", F.col("first.doc_id").alias("hub"), F.col("first.n_shingles").alias("hub_size")), "near-buckets")
+    members = attached(keyed, buckets, "band", "n").where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.first("n_shingles").alias("size"), F.first("hub_size").alias("hub_size"))
     members = written(members, "near-members")
 
     ids = written(members.select("doc_id").union(members.select("hub")).distinct(), "near-ids")
@@ -258,7 +282,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # Each member against its hub: sizes further apart than the share can't be linked.
     fit = members.where((F.least("size", "hub_size") * 100) >= F.greatest("size", "hub_size") * SHARE)
     # Written, so that the members of a hot hub aren't dealt out by hub to meet one row.
-    numbers = sized(written(fit.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks")), "near-numbers"))
+    numbers = sized(written(fit.groupBy("hub").agg(_blocks("size").alias("n_blocks")), "near-numbers"))
     placed = fit.join(numbers, "hub").select("hub", F.lit(0).cast("long").alias("a"), F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).alias("b"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("group"))
     hubs = numbers.select("hub", F.lit(0).cast("long").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"), F.lit(0).alias("side"), F.col("hub").alias("doc_id"), F.col("hub").alias("group"))
     stars = written(_links(placed.unionByName(hubs), sets), "near-links")
@@ -273,19 +297,30 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return every.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _blocks(size: str) -> Column:
+    """Blocks that a group of members is dealt to, so that neither members nor their shingles are too many."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_SHINGLES))
+
+
 def _open_blocks(members: DataFrame, first: DataFrame) -> DataFrame:
-    """Blocks of members outside their hub's group against all members of the hub, and the hub."""
+    """Blocks of members outside their hub's group against the members of the hub, by levels of size; hub and members are compared already."""
 
     def grouped(rows: DataFrame, of: str, name: str) -> DataFrame:
         labels = first.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
         return rows.join(labels, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
-    everyone = grouped(grouped(members.select("hub", "doc_id", F.col("size")), "doc_id", "group"), "hub", "hub_group")
-    everyone = written(everyone.withColumn("outside", F.col("group") != F.col("hub_group")), "near-everyone")
-    counts = everyone.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0")
-    # A hub with one other member, or one outside and none else, has no pair left: hub and member are compared already.
-    counts = counts.where("n_all > 1").select("hub", F.ceil(F.col("n_out") / BLOCK).alias("n_a"), F.ceil(F.col("n_all") / BLOCK).alias("n_b"))
-    rows = everyone.join(sized(written(counts, "near-open")), "hub")
+    everyone = grouped(grouped(members.select("hub", "doc_id", "size"), "doc_id", "group"), "hub", "hub_group")
+    level = F.floor(F.log("size") / math.log(LEVEL)).cast("int")
+    everyone = written(everyone.select("hub", "doc_id", "group", "size", level.alias("level"), (F.col("group") != F.col("hub_group")).alias("outside")), "near-everyone")
+    # A level's open members meet the members of the levels beside it and of its own.
+    beside = everyone.withColumn("of", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)))
+    own = everyone.where("outside").groupBy("hub", F.col("level").alias("of")).agg(_blocks("size").alias("n_a"))
+    met = beside.groupBy("hub", "of").agg(_blocks("size").alias("n_b"), F.count("*").alias("n_all"))
+    # A member that is alone there has nothing left to meet.
+    counts = own.join(met, ["hub", "of"]).where("n_all > 1").drop("n_all")
+    rows = beside.join(sized(written(counts, "near-open")), ["hub", "of"])
+    # The side of a block is told by hub and level, and blocks count from 0 in each.
+    place = F.xxhash64("hub", "of").alias("hub")
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -293,13 +328,13 @@ def _open_blocks(members: DataFrame, first: DataFrame) -> DataFrame:
     def spot(n: str):
         return F.pmod(F.xxhash64("doc_id"), F.col(n))
 
-    left = rows.where("outside").select("hub", spot("n_a").alias("a"), every("n_b").alias("b"), F.lit(0).alias("side"), "doc_id", "group")
-    right = rows.select("hub", every("n_a").alias("a"), spot("n_b").alias("b"), F.lit(1).alias("side"), "doc_id", "group")
+    left = rows.where("outside AND level = of").select(place, spot("n_a").alias("a"), every("n_b").alias("b"), F.lit(0).alias("side"), "doc_id", "group")
+    right = rows.select(place, every("n_a").alias("a"), spot("n_b").alias("b"), F.lit(1).alias("side"), "doc_id", "group")
     return left.unionByName(right)
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group, the smallest id; columns as in ``docs``.  Ids may repeat, and nulls are the largest."""
     rows, row = numbered(docs, key, text)
-    dropped = written(near_groups(rows, row, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "near-dropped")
+    dropped = written(_groups(rows, row, text).where("NOT kept").select(F.col("doc_id").alias("_dropped")), "near-dropped")
     return without(rows, row, dropped).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -113,6 +113,43 @@ def test_near_blocks_split(spark, monkeypatch):
     check_near(near_dedup.near_groups(frame(spark, texts)).collect(), texts)
 
 
+def test_near_buckets_of_unlike_sizes(spark, monkeypatch):
+    """Members that share a bucket without being linked to its hub are compared by levels of size, and blocks are bounded by shingles too."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
+    # One band of one register: nearly all texts of the passage meet in a bucket.
+    monkeypatch.setattr(near_dedup, "BANDS", 40)
+    monkeypatch.setattr(near_dedup, "ROWS", 1)
+    monkeypatch.setattr(near_dedup, "REGISTERS", 40)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(120):
+        own = [f"{rng.choice('abcdef')}{rng.randrange(10_000)}" for _ in range(rng.choice([5, 20, 60, 63, 66, 200]))]
+        texts[i] = " ".join(passage + own)
+        if i % 4 == 0:
+            texts[1000 + i] = " ".join(passage + own[:-1] + ["end"])
+    check_near(near_dedup.near_groups(frame(spark, texts)).collect(), texts)
+
+
+def test_near_sizes_at_the_threshold():
+    """Sizes that can be linked are at most one level apart."""
+    import math
+
+    level = lambda n: math.floor(math.log(n) / math.log(near_dedup.LEVEL))
+    assert all(level(t) - level(-(-75 * t // 100)) <= 1 for t in range(1, 200_000))
+
+
+def test_near_ids_of_any_type(spark):
+    """Ids may be texts, null or repeated: a group has the id of its first row, nulls being last."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    named = spark.createDataFrame([("x", a), ("y", b), ("w", a + " "), ("z", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(named).collect()} == {("w", "w", True), ("x", "w", False), ("y", "y", True), ("z", "z", True)}
+    rows = [(5, a), (5, b), (5, b), (None, a), (None, "alone"), (3, b), (None, None)]
+    got = sorted(((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_at", F.lit(1))).collect()), key=str)
+    assert got == sorted([(5, 5, True, 3), (5, 3, False, 1), (5, 3, False, 1), (None, 5, False, 3), (None, None, True, 1), (3, 3, True, 1), (None, None, True, 0)], key=str)
+
+
 def test_near_empty_and_filter(spark):
     texts = {0: "a b c d e f g", 1: "a b c d e f g", 2: None, 3: None}
     df = frame(spark, texts, lang="en")
