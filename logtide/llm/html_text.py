@@ -6,7 +6,13 @@ that are too short to judge take the label of the nearest decided block; heading
 ahead.  The text is the good blocks in page order.
 
 Null and empty pages give an empty text.  Unclosed comments end with the page, and so do
-unclosed elements whose content is no text, unless the head ends or the body begins first.
+unclosed scripts, styles, titles and text areas, unless the head ends or the body begins
+first; other elements whose content is no text are empty if they aren't closed.
+
+Class names and ids are hints of what a container holds: a name counts as a whole, if all its
+words are hints or say only where a box is.  Hints never judge the page or its article, nor
+what stands around the first article, and if they would leave nothing, texts are judged
+without them.  Rows of equal key are pages of their own.
 """
 
 from __future__ import annotations
@@ -42,8 +48,11 @@ STOP_WORDS = frozenset(
 
 # Elements by their part in a page.
 RAW = frozenset("script style noscript template textarea title svg iframe select button object canvas math audio video".split())
-#: Of these, those that are empty where their tag ends in a slash.
+#: Of these, those that are empty where their tag ends in a slash, and those that go on to the page's end if they aren't closed.
 FOREIGN = frozenset(["svg", "math"])
+ENDLESS = frozenset("script style textarea title".split())
+#: A new one of these ends the last.
+EXCLUSIVE = frozenset(["button", "select"])
 #: The page and its text: what their classes say is about the whole page.
 WHOLE = frozenset("html body main article".split())
 CONTAINERS = frozenset("div section article main nav footer aside header form ul ol dl table td th tr li figure blockquote body html details dialog menu fieldset center".split())
@@ -59,6 +68,16 @@ HINTS = frozenset(
     """.split()
 )
 HEADER_HINTS = frozenset(["header", "masthead"])
+#: Words of a name that only say where or what kind of a box it is.
+PLACES = frozenset(
+    """
+    site page main top bottom left right upper lower inner outer box bar block area wrap wrapper container content section list item items
+    link links post posts article articles story stories primary secondary global sticky fixed overlay form message policy icons buttons
+    group row col column panel mobile desktop js the and of
+    """.split()
+)
+#: Hints of what readers write, which no article's place overrules.
+READERS = frozenset("comment comments reply replies disqus".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -70,18 +89,19 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 _ATTRIBUTE = re.compile(r"([^\s\"'/=>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*+:\s*+none\b", re.I)
-_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*+>" + rf"|(?=<{tag}[\s>])" * (tag in EXCLUSIVE), re.I) for tag in RAW}
 _BODY_BEGINS = re.compile(r"(?=</head\b|<body\b)", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 GOOD, BAD, SHORT_BLOCK = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("bad", "heading", "inside", "linked", "parent", "text")
+    __slots__ = ("bad", "heading", "hinted", "inside", "linked", "parent", "text")
 
-    def __init__(self, text: str, linked: int, bad: bool, heading: bool, inside: bool, parent: int):
-        self.text, self.linked, self.bad, self.heading, self.inside, self.parent = text, linked, bad, heading, inside, parent
+    def __init__(self, text: str, linked: int, bad: bool, hinted: bool, heading: bool, inside: bool, parent: int):
+        self.text, self.linked, self.bad, self.hinted, self.heading, self.inside, self.parent = text, linked, bad, hinted, heading, inside, parent
 
 
 def _is_hidden(attrs: str) -> bool:
@@ -96,31 +116,38 @@ def _is_hidden(attrs: str) -> bool:
 
 
 def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in BAD_CONTAINERS or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
-    if tag not in ("html", "body") and _is_hidden(attrs):
-        return True
-    if tag in WHOLE:
-        return False
-    words = {w for m in _NAMED.finditer(attrs) for w in _LETTERS.findall(m[1].lower())}
-    return not words.isdisjoint(HINTS) or not inside and not words.isdisjoint(HEADER_HINTS)
+    """By what the element is, or since it isn't shown."""
+    return tag in BAD_CONTAINERS or tag == "header" and not inside or bool(attrs) and tag not in ("html", "body") and _is_hidden(attrs)
+
+
+def _hint(tag: str, attrs: str, inside: bool) -> int:
+    """1 where a name of the container hints at the page's furniture, 2 where at what readers write, else 0."""
+    if not attrs or tag in WHOLE:
+        return 0
+    found = 0
+    for m in _NAMED.finditer(attrs):
+        for name in m[1].strip("\"'").split():
+            words = _LETTERS.findall(_HUMPS.sub(" ", name).lower())
+            hints = [w for w in words if w in HINTS or not inside and w in HEADER_HINTS]
+            if hints and all(w in HINTS or w in HEADER_HINTS or w in PLACES for w in words):
+                found = max(found, 1 + (not READERS.isdisjoint(hints)))
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    #: Tag, whether it is bad, its hint, and its number.
+    stack: list[list] = []
     parts: list[str] = []
-    linked = links = bad = articles = breaks = opened = 0
-    heading = False
+    linked = links = bad = hinted = articles = breaks = opened = 0
+    heading = any_article = False
 
     def close() -> None:
         nonlocal linked, heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, bad > 0, heading, articles > 0, stack[-1][2] if stack else 0))
+                out.append(Block(text, linked, bad > 0, hinted > 0, heading, articles > 0, stack[-1][3] if stack else 0))
             parts.clear()
         linked, heading = 0, False
 
@@ -129,11 +156,13 @@ def blocks(page: str) -> list[Block]:
         if text:
             parts.append(text)
             if links:
-                linked += len(text.strip())
+                linked += len(html.unescape(text).strip())
             if not text.isspace():
                 breaks = 0
 
     unclosed: set[str] = set()
+    #: How many elements of each tag are open.
+    tags: dict[str, int] = {}
 
     def after(tag: str, at: int) -> int:
         """Where what follows the element begins, whose tag ends ``at``."""
@@ -142,6 +171,8 @@ def blocks(page: str) -> list[Block]:
                 if found := end.search(page, at):
                     return found.end()
                 unclosed.add(name)
+            if tag not in ENDLESS:
+                return at
         return len(page)
 
     at = 0
@@ -168,16 +199,28 @@ def blocks(page: str) -> list[Block]:
             links = 0
             heading = tag in HEADINGS and not ends
             if tag in CONTAINERS:
+                article = tag in ("article", "main")
                 if not ends:
-                    own = _is_bad(tag, m["attrs"], articles > 0)
+                    if article and not any_article and hinted:
+                        # What holds the first article is no furniture, whatever it is called.
+                        for entry in stack:
+                            if entry[2] == 1:
+                                entry[2] = 0
+                                hinted -= 1
+                    any_article = any_article or article
+                    own, hint = _is_bad(tag, m["attrs"], articles > 0), _hint(tag, m["attrs"], articles > 0)
                     opened += 1
-                    stack.append((tag, own, opened))
+                    stack.append([tag, own, hint, opened])
                     bad += own
-                    articles += tag in ("article", "main")
-                elif any(t == tag for t, _, _ in stack):
+                    hinted += hint > 0
+                    articles += article
+                    tags[tag] = tags.get(tag, 0) + 1
+                elif tags.get(tag):
                     while True:
-                        name, own, _ = stack.pop()
+                        name, own, hint, _ = stack.pop()
+                        tags[name] -= 1
                         bad -= own
+                        hinted -= hint > 0
                         articles -= name in ("article", "main")
                         if name == tag:
                             break
@@ -186,9 +229,9 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def judged(block: Block) -> int:
+def judged(block: Block, hints: bool = True) -> int:
     """The block's own label; SHORT_BLOCK where it is too short or neither like prose nor unlike it."""
-    if block.bad:
+    if block.bad or hints and block.hinted:
         return BAD
     n = len(block.text)
     if block.linked > LINK_DENSITY * n:
@@ -200,9 +243,9 @@ def judged(block: Block) -> int:
     return GOOD if density >= STOP_HIGH else SHORT_BLOCK if density >= STOP_LOW or block.inside else BAD
 
 
-def labels(found: list[Block]) -> list[int]:
+def labels(found: list[Block], hints: bool = True) -> list[int]:
     """Labels after the second pass: undecided blocks take that of the nearest decided neighbour."""
-    first = [judged(b) for b in found]
+    first = [judged(b, hints) for b in found]
     n = len(first)
     after, before = [None] * n, [None] * n
     last = None
@@ -240,8 +283,10 @@ def labels(found: list[Block]) -> list[int]:
         else:
             out[i] = first[left] if i - left < right - i else first[right] if right - i < i - left else GOOD if block.inside else BAD
     if not sure and GOOD not in out:
+        if hints and any(judged(b, False) == GOOD for b in found):
+            return labels(found, False)
         # No running text at all: what stands in no container of the page's furniture is the text.
-        out = [BAD if b.bad or b.linked > LINK_DENSITY * len(b.text) else GOOD for b in found]
+        out = [BAD if b.bad or b.hinted or b.linked > LINK_DENSITY * len(b.text) else GOOD for b in found]
     return out
 
 

@@ -231,6 +231,35 @@ def test_pages_whole_articles():
         assert html_text.main_text(f"<body>{empty}<p>{PROSE}</p><svg><text>x</text></svg><p>{PROSE}</p>").split("\n") == [PROSE, PROSE], empty
 
 
+def test_pages_without_article():
+    """Names count as a whole, unclosed buttons, objects and drawings hide nothing, and hints don't leave a page empty."""
+    for name in ("ad-free", "related-post-body-text", "no-sidebar", "has-sidebar", "headers", "shared", "noticeable", "commentary"):
+        assert html_text.main_text(f"<body><div id=x class='{name}'><p>{PROSE}</p></div></body>") == PROSE, name
+    for name in ("cookie-banner", "site-footer", "sidebar", "related-posts", "menuBar", "top_nav", "ad", "box newsletter", "comments-list", "share-links"):
+        page = f"<body><div><p>{PROSE}</p></div><div class='{name}'><p>No. {PROSE}</p></div></body>"
+        assert html_text.main_text(page) == PROSE, name
+    for tag in ("<button>", "<object data=x>", "<iframe src=x>", "<svg class=i>", "<select><option>a", "<video src=x>", "<button>Menu</button>", "<button>a<button>b</button>"):
+        assert PROSE in html_text.main_text(f"<body><div>{tag}</div><div><p>{PROSE}</p><p>{PROSE}</p></div></body>").split("\n")[-1], tag
+    assert html_text.main_text(f"<body><button>Open<div><p>{PROSE}</p></div><button>x</button><p>{PROSE}</p></body>").endswith(PROSE)
+    assert html_text.main_text(f"<body><div class='sidebar menu'><p>{PROSE}</p></div></body>") == PROSE
+    assert html_text.main_text(f"<body><div class='content sidebar'><article><p>{PROSE}</p></article></div></body>") == PROSE
+    thread = f"<body><article><p>{PROSE}</p></article><div class=comments><article class=comment><p>Nice. {PROSE}</p></article></div></body>"
+    assert html_text.main_text(thread) == PROSE
+    # Links are counted as they are shown.
+    assert html_text.main_text(f"<body><p>{PROSE} <a href=x>{'&amp;' * 20}</a></p></body>") == f"{PROSE} {'&' * 20}"
+
+
+def test_pages_operator(spark):
+    """Columns that clash, keys that are null or repeat, and null pages give one row each."""
+    rows = [(1, "u", f"<p>{PROSE}</p>"), (1, "u", f"<p>{PROSE}</p>"), (1, "v", None), (None, None, ""), (2, "w", "<p>x</p>" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("n_chars", F.lit("x"))
+    out = html_text.extract(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(((r.page_id, r.url, r.n_chars) for r in out.collect()), key=str)
+    assert got == sorted([(1, "u", len(PROSE)), (1, "u", len(PROSE)), (1, "v", 0), (None, None, 0), (2, "w", 39_999)], key=str)
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_pages_raw_long():
     for page in ("<svg>" * 100_000, "<title></head>" * 50_000, "<svg/>" * 100_000, "<script></style>" * 50_000, "<div hidden=' " * 30_000, "<div " + "a hidden= " * 50_000 + ">"):
         html_text.main_text(page)
