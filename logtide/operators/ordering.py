@@ -2,31 +2,60 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _local_dir: list[str] = []
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one of this machine only where it names none."""
+    """The shared folder that the cluster names; a temporary one only where a local master has no other machines, and names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _local_dir[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of its own, in the folder of the innermost ``scope`` if there is one."""
+    return f"{_scope.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str = "scope") -> Iterator[str]:
+    """Tables that are written inside go at the end, so results must be computed by then."""
+    folder = new_path(spark, name)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        removed(spark, folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
