@@ -10,16 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logtide.llm import bpe, exact_dedup, language, mixing, near_dedup
-from logtide.llm.common import documents, written
+from logtide.llm.common import documents
+from logtide.operators.ordering import new_path, removed, scope
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or with a narrow margin go."""
+    """Documents whose language is told; those without letters or with a narrow margin, learned from these documents, go."""
     return language.accepted_documents(docs, language.train(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the smallest id."""
+    """Of equal texts, the document of the smallest id; of rows with equal id and text, one."""
     return exact_dedup.exact_dedup(docs)
 
 
@@ -52,7 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage on what the others kept; tables that no later stage reads are removed."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scope(spark, f"stage-{name}"):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
