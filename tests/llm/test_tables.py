@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import mixing, queries, sharding
+from logtide.llm import language, mixing, queries, sharding
+from logtide.llm.common import written
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.01"
@@ -222,7 +224,7 @@ def test_pipeline_of_repeated_rows(spark):
     out = []
     for last in (docs, docs.union(docs)):
         for name in ("exact", "near", "mixing"):
-            last = corpus_pipeline.written(stages[name](spark, last, SMALL), "test-stage")
+            last = written(stages[name](spark, last, SMALL), "test-stage")
         out.append(Counter(r.doc_id for r in last.select("doc_id").collect()))
     assert out[0] == out[1]
 
@@ -232,6 +234,11 @@ def test_mix_query(spark):
     check_mix(queries.QUERIES["op10_fair_mix"](spark, SMALL).collect(), docs)
 
 
+def left(spark):
+    """Tables of the shared folder."""
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+
+
 def test_pipeline(spark):
     """Stage by stage against brute force, each on what the one before it kept."""
     import hashlib
@@ -244,15 +251,19 @@ def test_pipeline(spark):
     for name, stage in list(stages.items())[:-1]:
         out = stage(spark, last, SMALL)
         assert out.columns == docs.columns
-        last = kept[name] = corpus_pipeline.written(out, "test-stage")
+        last = kept[name] = written(out, "test-stage")
     texts = {name: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for name, df in kept.items()}
-    assert len(texts["language"]) >= 0.99 * len(texts["start"])
+    model = language.train(docs)
+    assert set(texts["language"]) == {k for k, t in texts["start"].items() if brute.language(model.dictionaries, t, model.narrow, language.BLOCK)[2]}
+    assert 0.97 * len(texts["start"]) <= len(texts["language"]) < len(texts["start"])
     groups = brute.exact_groups(texts["language"])
     assert set(texts["exact"]) == {k for k, (keep, _) in groups.items() if keep == k}
     near, _ = brute.near_components(texts["exact"])
     assert set(texts["near"]) == {k for k, c in near.items() if k == c}
     mixed = [r.doc_id for r in kept["mixing"].collect()]
     assert set(mixed) <= set(texts["near"]) and max(Counter(mixed).values()) <= 3
+    before = left(spark)
     rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert len(left(spark) - before) == 1
     assert Counter(r.doc_id for r in rows) == Counter(mixed)
     assert all(r.decoded_sha256 == hashlib.sha256(texts["start"][r.doc_id].encode()).hexdigest() for r in rows)
