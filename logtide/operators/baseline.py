@@ -19,7 +19,7 @@ VERDICTS = (VANISHED, NEW, SURGE, DROP)
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds, with the defaults of the reference configuration."""
+    """Thresholds.  Fixed values: the defaults, which decide the verdicts."""
 
     business_day_ratio: float = 0.5
     full_day_margin_minutes: float = 60

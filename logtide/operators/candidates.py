@@ -21,7 +21,7 @@ COMPONENTS_SHOWN = 3
 def statistics(records: DataFrame, periods: Sequence[Period], order: Sequence[str], key: str = "template") -> DataFrame:
     """Per template in the periods (ends excluded): n, severity, level, n_hours, n_days, sample (of the first record)."""
     inside = records.where(within_any(F.col("ts"), list(periods)))
-    sample = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("@"), line_id(F.col("file"), F.col("lineno"))), F.substring("message", 1, 300)) if "lineno" in records.columns else F.substring("message", 1, 300)
+    sample = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("@"), line_id(F.col("file"), F.col("lineno"))), F.concat(F.lit("["), F.nullif("component", F.lit("")), F.lit("]")), F.substring("message", 1, 300)) if "lineno" in records.columns else F.substring("message", 1, 300)
     return inside.groupBy(key).agg(
         F.count("*").alias("n"),
         F.max("severity").alias("severity"),

@@ -1,4 +1,4 @@
-"""The driver's events table as log records, and a reference incident in it."""
+"""The driver's events table as log records, and an incident in it."""
 
 from __future__ import annotations
 

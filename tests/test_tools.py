@@ -10,14 +10,14 @@ from logtide.functions.times import ArgumentError, normal_periods
 from logtide.operators import noise
 from logtide.plans import cli, digest, knowledge, render, store
 from logtide.plans.tools import Tools
-from tests.scenario import NOISE, write_logs
+from tests.scenario import DROPPED, REPORTED, RULES, write_logs
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     logs, out = write_logs(tmp_path_factory.mktemp("logs")), tmp_path_factory.mktemp("out")
-    incident = digest.Incident("INC-2026-0931", datetime(2026, 9, 30, 10, 40), version="5.2.3")
-    render.write(digest.analyse(spark, [str(logs)], incident, rules=noise.rules_of(NOISE)), str(out))
+    incident = digest.Incident("HB-77", REPORTED, version="7.4.1")
+    render.write(digest.analyse(spark, [str(logs)], incident, rules=noise.rules_of(RULES)), str(out))
     return out
 
 
@@ -31,48 +31,50 @@ def template(tools, start):
 
 
 def test_search(tools):
-    text = tools.search(["Spool usage"], level="WARN", high="10:42")
-    assert text.splitlines()[0] == "4 records" and "Spool usage 81%" in text
-    assert tools.search(["usage 9\\d%"], regex=True).startswith("2 records")
-    text = tools.search(["spoolwriter.java:212"], low="2026-09-30")
-    assert text.startswith("630 records") and "by template:" in text and len(text.splitlines()) < 40
-    assert tools.search(["SpoolWriter.java:212"], message_only=True).startswith("630 records")
-    assert tools.search(["LDAP"], exclude_noise=True).startswith("0 records")
-    assert tools.search(["Spool write failed"], files=["pms-server"], limit=5).startswith("630 records")
-    last = tools.search(["Spool usage"], descending=True).splitlines()
-    assert "99%" in last[1]
+    text = tools.search(["Certificate ends"], level="WARN", high="14:05")
+    assert text.splitlines()[0] == "4 records" and "ends in 2 days" in text
+    assert tools.search(["ends in [12] days"], regex=True).startswith("2 records")
+    text = tools.search(["forwarder.java:140"], low="2025-03-12")
+    assert text.startswith(f"{DROPPED} records") and "by template:" in text and len(text.splitlines()) < 40
+    assert tools.search(["Forwarder.java:140"], message_only=True).startswith("0 records")
+    assert tools.search(["Clock drift"], exclude_noise=True).startswith("0 records")
+    assert tools.search(["Handshake refused"], files=["gateway"], limit=5).startswith(f"{DROPPED} records")
+    assert "ends in 2 days" in tools.search(["Certificate ends"]).splitlines()[1]
+    assert "03-12 14:00:10" in tools.search(["Certificate ends"], descending=True).splitlines()[1]
     for bad in ({"texts": ["("], "regex": True}, {"level": "LOUD"}, {"files": ["x.log"]}, {"low": "11:00", "high": "10:00"}, {"low": "soon"}):
         with pytest.raises(ArgumentError):
             tools.search(**bad)
 
 
 def test_context(tools):
-    line = tools.tables["logs"].where("message LIKE 'Job J-20391 aborted%'").first()
-    text = tools.context(f"pms-server.log:{line.lineno + 3}", before=2, after=2)
-    assert f"continues the record at pms-server.log:{line.lineno}" in text
-    assert sum(x.startswith(">> ") for x in text.splitlines()) == 1 and "ThreadPoolExecutor" in text
-    merged = tools.context(f"@pms-server.log:{line.lineno}", before=3, after=3, merged=True)
-    assert "db" in merged and len([x for x in merged.splitlines() if "@" in x]) == 7
+    line = tools.tables["logs"].where("message LIKE 'Reading R-9000 dropped%'").first()
+    text = tools.context(f"gateway.log:{line.lineno + 3}", before=2, after=2)
+    assert f"continues the record at gateway.log:{line.lineno}" in text
+    assert sum(x.startswith(">> ") for x in text.splitlines()) == 1 and "Forwarder.run" in text
+    # The buoy's first refusal comes three seconds later, and is the second record after it.
+    merged = tools.context(f"@gateway.log:{line.lineno}", before=3, after=3, merged=True)
+    assert "buoy" in merged and len([x for x in merged.splitlines() if "@" in x]) == 7
     with pytest.raises(ArgumentError):
-        tools.context("pms-server.log:1")
+        tools.context("gateway.log:1")
     with pytest.raises(ArgumentError):
         tools.context("nothing")
 
 
 def test_lines(tools):
-    name = template(tools, "Spool write failed")
+    name = template(tools, "Handshake refused")
     for sample in ("first", "last", "spread"):
-        assert "20 of 630" in tools.lines(name.lower(), sample=sample)
-    assert "3 of 630" in tools.lines(name, limit=3)
+        assert f"20 of {DROPPED}" in tools.lines(name.lower(), sample=sample)
+    assert f"3 of {DROPPED}" in tools.lines(name, limit=3)
     with pytest.raises(ArgumentError):
         tools.lines("T999")
 
 
 def test_count(tools):
-    name = template(tools, "Spool write failed")
-    text = tools.count([name], "1m", "10:30", "11:00")
-    assert "09-30 10:42:00\t8" in text and "buckets)" in text
-    assert tools.count([name]).splitlines()[-1] == "total\t630"
+    """From 34.5 to 80.5 seconds after the expiry, each 11.5 seconds: five in the minute from 14:22."""
+    name = template(tools, "Handshake refused")
+    text = tools.count([name], "1m", "14:10", "14:40")
+    assert "03-12 14:22:00\t5" in text and "buckets)" in text
+    assert tools.count([name]).splitlines()[-1] == f"total\t{DROPPED}"
     with pytest.raises(ArgumentError):
         tools.count([])
 
@@ -138,34 +140,49 @@ def test_export_round_trip(spark, tools, tmp_path):
 def test_knowledge(spark, tools):
     about = store.manifest(tools.folder + "/store")["about"]
     periods = digest.normal_days(about["baseline"])
-    found = knowledge.propose(tools.tables["logs"], tools.tables["templates"], periods, ["5.2.*"], "test site")
-    assert [c["template"].split(":")[0] for c in found["candidates"]] == ["SNMP trap send failed", "LDAP referral ignored"]
-    assert "about 12.0 an hour" in found["candidates"][1]["rate"]
-    assert found["normal_periods"] == ["2026-09-16 00:00 – 2026-09-24 00:00"]
-    known, rejected, bad = knowledge.merge(found, [], [], date(2026, 10, 1))
+    found = knowledge.propose(tools.tables["logs"], tools.tables["templates"], periods, ["7.4.*"], "quay 3")
+    assert [c["template"].split(":")[0] for c in found["candidates"]] == ["Modem ping lost", "Clock drift ignored"]
+    assert "about 6.0 an hour" in found["candidates"][1]["rate"]
+    assert "[modem]" in found["candidates"][0]["sample"]
+    # Six days until the renewal went off, and the weekend after it.
+    assert found["normal_periods"][0] == "2025-03-01 00:00 – 2025-03-07 00:00"
+    known, rejected, bad = knowledge.merge(found, [], [], date(2025, 4, 1))
     assert bad and not known
-    found["candidates"][0] |= {"decision": "register", "reason": "no receiver", "code": "Snmp.java:10"}
+    found["candidates"][0] |= {"decision": "register", "reason": "asleep between passes", "code": "Modem.java:10"}
     found["candidates"][1] |= {"decision": "reject", "reject_reason": "may matter"}
-    known, rejected, bad = knowledge.merge(found, [], [], date(2026, 10, 1))
-    assert not bad and len(known) == len(rejected) == 1 and known[0]["versions"] == ["5.2.*"]
-    again = knowledge.propose(tools.tables["logs"], tools.tables["templates"], periods, ["5.2.1"], "test site", known, rejected)
+    known, rejected, bad = knowledge.merge(found, [], [], date(2025, 4, 1))
+    assert not bad and len(known) == len(rejected) == 1 and known[0]["versions"] == ["7.4.*"]
+    again = knowledge.propose(tools.tables["logs"], tools.tables["templates"], periods, ["7.4.1"], "quay 3", known, rejected)
     assert [s["why"] for s in again["skipped"]] == ["KNOWN", "REJECTED"] and not again["candidates"]
-    found["candidates"][1] = found["candidates"][1] | {"decision": "register", "reason": "normal", "code": "Ldap.java:3"}
-    known, rejected, bad = knowledge.merge(found, known, rejected, date(2026, 10, 2))
+    found["candidates"][1] = found["candidates"][1] | {"decision": "register", "reason": "normal", "code": "Clock.java:3"}
+    known, rejected, bad = knowledge.merge(found, known, rejected, date(2025, 4, 2))
     assert not bad and len(known) == 2 and not rejected
     with pytest.raises(ArgumentError):
         knowledge.propose(tools.tables["logs"], tools.tables["templates"], normal_periods(["2020-01-01"]), ["*"], "x")
 
 
 def test_dictionary_checks():
-    good = {"template": "SNMP trap send failed: <*>", "reason": "r"}
+    good = {"template": "Modem ping lost: <*>", "reason": "r"}
     assert knowledge.problems([good]) == []
     bad = [{"reason": "r"}, {"template": "x <*>", "reason": "r"}, {"template": "long enough text"}, good, good, good | {"generated_by": knowledge.GENERATED, "versions": ["1"]}]
     assert len(knowledge.problems(bad)) == 7
+    assert len(knowledge.problems([good | {"versions": "1.*"}, "text", None, good | {"versions": ["2"], "reason": " "}])) == 4
     assert knowledge.usual_versions("5.2.3") == ["5.2.*"] and knowledge.usual_versions("5") == ["5"] and knowledge.usual_versions(None) is None
     assert knowledge.overlap(["5.2.*"], ["5.2.3"]) and knowledge.overlap(["5.2.3"], ["5.2.*"]) and not knowledge.overlap(["4.*"], ["5.2.3"])
 
 
+def test_merge_is_all_or_nothing():
+    """Every problem of a proposal is told, and none of it is taken."""
+    about = {"template": "A template that repeats <*>", "decision": "register", "reason": "r", "code": ""}
+    proposal = {"source": " ", "versions": ["1"], "candidates": [about, about | {"decision": "maybe"}, about | {"decision": "reject"}, about | {"decision": ""}]}
+    known, rejected, bad = knowledge.merge(proposal, [{"template": "old"}], [], date(2025, 4, 1))
+    assert known == [{"template": "old"}] and rejected == [] and len(bad) == 5
+    one = {"source": "s", "versions": ["1"], "candidates": [about | {"code": "c", "rate": "1 an hour"}, about | {"decision": ""}]}
+    assert len(knowledge.merge(one, [], [], date(2025, 4, 1))[2]) == 1
+    known, _, bad = knowledge.merge(one, [about | {"versions": ["1"]}, about | {"versions": ["2"], "reason": "other"}], [], date(2025, 4, 1), True)
+    assert not bad and [k["versions"] for k in known] == [["1"], ["2"]] and known[0]["added"] == "2025-04-01"
+
+
 def test_command_line(spark, folder, tmp_path):
     (tmp_path / "one.log").write_text("2026-09-30 10:00:00 INFO [a] started\n2026-09-30 10:30:00 ERROR [a] failed 1\n")
     out = cli.run(["digest", "--ticket", "T/1", "--incident-time", "2026-09-30 10:30", "--logs", str(tmp_path / "one.log"), "--out", str(tmp_path / "out"), "--baseline", "none"], spark)
