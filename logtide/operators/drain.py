@@ -4,7 +4,12 @@ Messages are masked, and their distinct masked forms are routed by their number
 their first token (digits, and tokens beyond a node's children, go to ``<*>``).  A leaf's
 clusters meet no others, so leaves are mined in parallel; within a leaf, forms come in the
 order of first appearance: each joins the cluster that shares most tokens, or opens one, and
-tokens in which it differs become ``<*>``.  A form that comes again keeps its first cluster.
+tokens in which it differs become ``<*>``.  A leaf with as many clusters as it may have opens
+no more: further forms join the cluster nearest to them.
+
+A form that comes again keeps its first cluster.  With ``strict``, each record is looked at
+anew, in order, as if the miner read one record after the other; leaves are still mined in
+parallel, but a leaf's records go through one task.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logtide.functions.text import MASKS, masked
+from logtide.operators.ordering import attached, written
 from logtide.operators.shipping import ship
 
 ANY = "<*>"
 EMPTY = "<EMPTY>"
 SIMILARITY = 0.4
 MOST_CHILDREN = 100
+MOST_CLUSTERS = 2048
 
 
 @dataclass(frozen=True)
@@ -31,74 +38,114 @@ class Settings:
 
     similarity: float = SIMILARITY
     most_children: int = MOST_CHILDREN
+    most_clusters: int = MOST_CLUSTERS
+    strict: bool = False
     masks: tuple[tuple[str, str], ...] = MASKS
 
 
 class Leaf:
-    """Clusters of token lists of one length."""
+    """Clusters of token lists of one length, as a table of numbered tokens that is compared at once; 0 is ``<*>``."""
+
+    def __init__(self, size: int, settings: Settings = Settings()):
+        import numpy as np
 
-    def __init__(self, similarity: float = SIMILARITY):
-        self.similarity = similarity
-        self.clusters: list[list[str]] = []
+        self.size, self.settings, self.count = size, settings, 0
+        self.numbers: dict[str, int] = {ANY: 0}
+        self.names = [ANY]
+        self.table = np.zeros((8, size), np.int32)
 
     def add(self, tokens: list[str]) -> int:
-        best, rank = -1, (-1.0, -1)
-        for i, cluster in enumerate(self.clusters):
-            same = sum(a == b for a, b in zip(cluster, tokens, strict=True) if a != ANY)
-            own = (same / len(tokens), cluster.count(ANY))
-            if own > rank:
-                best, rank = i, own
-        if best >= 0 and rank[0] >= self.similarity:
-            self.clusters[best] = [a if a == b else ANY for a, b in zip(self.clusters[best], tokens, strict=True)]
-            return best
-        self.clusters.append(list(tokens))
-        return len(self.clusters) - 1
+        import numpy as np
+
+        own = np.empty(self.size, np.int32)
+        for i, token in enumerate(tokens):
+            if (number := self.numbers.get(token)) is None:
+                number = self.numbers[token] = len(self.names)
+                self.names.append(token)
+            own[i] = number
+        clusters = self.table[: self.count]
+        if self.count:
+            # Of clusters that share as many tokens, the one with more wildcards, then the older one.
+            same = ((clusters == own) & (clusters != 0)).sum(axis=1)
+            best = int(np.argmax(same * (self.size + 1) + (clusters == 0).sum(axis=1)))
+            if same[best] / self.size >= self.settings.similarity or self.count >= self.settings.most_clusters:
+                clusters[best][clusters[best] != own] = 0
+                return best
+        if self.count == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.count] = own
+        self.count += 1
+        return self.count - 1
+
+    def text(self, cluster: int) -> str:
+        return " ".join(self.names[i] for i in self.table[cluster])
 
 
 def forms_of(records: DataFrame, order: Sequence[str], message: str = "message", settings: Settings = Settings()) -> DataFrame:
-    """Distinct masked messages with first (their first place in the order) and the leaf that they are routed to."""
+    """Distinct masked messages with first (their first place in the order), n (their records) and the leaf that they are routed to."""
     text = F.trim(F.col(message))
     form = masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)
-    forms = records.select(form.alias("form"), F.struct(*order).alias("_at")).groupBy("form").agg(F.min("_at").alias("first"))
+    forms = records.select(form.alias("form"), F.struct(*order).alias("_at")).groupBy("form").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
     forms = forms.withColumn("_tokens", F.split(F.trim("form"), r"\s+")).withColumn("size", F.size("_tokens")).withColumn("_token", F.get("_tokens", F.lit(0)))
     # A node's children are its first tokens by appearance; the last place is that of <*>.
     heads = forms.where(~F.col("_token").rlike("[0-9]")).groupBy("size", "_token").agg(F.min("first").alias("_first"))
     own = heads.withColumn("_n", F.row_number().over(Window.partitionBy("size").orderBy("_first"))).where(F.col("_n") < settings.most_children).select("size", "_token", F.col("_token").alias("_own"))
-    return forms.join(own, ["size", "_token"], "left").select("form", "first", "size", F.coalesce("_own", F.lit(ANY)).alias("leaf"))
+    return forms.join(own, ["size", "_token"], "left").select("form", "first", "n", "size", F.coalesce("_own", F.lit(ANY)).alias("leaf"))
+
+
+def _mine(settings: Settings):
+    """A function for mapInArrow: rows (size, leaf, form, what goes along) in order, to (what goes along, template_key) and, at a leaf's end, (null, template_key, template)."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _mine(batches: Iterator, similarity: float = SIMILARITY) -> Iterator:
-    import pyarrow as pa
+        at, leaf = None, None
 
-    names = ["form", "template_key", "template"]
+        def texts(schema):
+            keys = [f"{at[0]} {at[1]} {i}" for i in range(leaf.count)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), schema), pa.array(keys, pa.string()), pa.array([leaf.text(i) for i in range(leaf.count)], pa.string())], names=["row", "template_key", "template"])
 
-    def finish(at, held, leaf):
-        for form, cluster in held:
-            yield form, f"{at[0]} {at[1]} {cluster}", " ".join(leaf.clusters[cluster])
+        for batch in batches:
+            rows, keys = batch.column(3), []
+            for size, name, form in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if (size, name) != at:
+                    if at is not None:
+                        yield texts(rows.type)
+                    at, leaf = (size, name), Leaf(size, settings)
+                keys.append(f"{size} {name} {leaf.add(form.split())}")
+            yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.string()), pa.nulls(len(keys), pa.string())], names=["row", "template_key", "template"])
+        if at is not None:
+            yield texts(rows.type)
 
-    at, held, leaf, out = None, [], Leaf(similarity), []
-    for batch in batches:
-        for size, name, form in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (size, name) != at:
-                out += finish(at, held, leaf)
-                at, held, leaf = (size, name), [], Leaf(similarity)
-            held.append((form, leaf.add(form.split())))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=names)
-            out = []
-    out += finish(at, held, leaf)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=names)
+    return run
 
 
 def mine(records: DataFrame, order: Sequence[str], message: str = "message", settings: Settings = Settings()) -> DataFrame:
     """``records`` with template_key and template, the final text of its cluster.
 
-    Only distinct forms are dealt out by leaf; the records are joined to what is found.
+    Only distinct forms are dealt out by leaf; the records are joined to what is found, the
+    most frequent forms by broadcast.  ``strict``: the records themselves are dealt out;
+    ``order`` must tell them apart.
     """
     ship(records.sparkSession)
-    forms = forms_of(records, order, message, settings)
-    dealt = forms.repartition("size", "leaf").sortWithinPartitions("size", "leaf", "first").select("size", "leaf", "form")
-    mined = dealt.mapInArrow(lambda batches: _mine(batches, settings.similarity), "form string, template_key string, template string")
     text = F.trim(F.col(message))
-    return records.withColumn("form", masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)).join(mined, "form").drop("form")
+    formed = records.withColumn("form", masked(F.when(text == "", EMPTY).otherwise(text), settings.masks))
+    forms = written(forms_of(records, order, message, settings), "drain-forms")
+    if settings.strict:
+        routed = attached(formed.select("form", F.struct(*order).alias("row")), forms.drop("first"), "form", "n")
+    else:
+        routed = forms.withColumn("row", F.col("form"))
+    first = "row" if settings.strict else "first"
+    dealt = routed.repartition("size", "leaf").sortWithinPartitions("size", "leaf", first).select("size", "leaf", "form", "row")
+    kind = dealt.schema["row"].dataType.simpleString()
+    mined = written(dealt.mapInArrow(_mine(settings), f"row {kind}, template_key string, template string"), "drain-mined")
+    # One row a cluster; a cluster may have most of the rows.
+    found = mined.where("row IS NOT NULL").select("row", "template_key")
+    sizes = found.groupBy("template_key").agg(F.count("*").alias("_n"))
+    names = written(mined.where("row IS NULL").select("template_key", "template").join(sizes, "template_key"), "drain-names")
+    named = attached(found, names, "template_key", "_n").drop("_n")
+    if settings.strict:
+        same = [F.col(c) == F.col(f"row.{c}") for c in order]
+        return records.join(named, same).drop("row")
+    named = written(named.join(forms.select(F.col("form").alias("row"), "n"), "row").withColumnRenamed("row", "form"), "drain-named")
+    return attached(formed, named, "form", "n").drop("form", "n")

@@ -7,6 +7,7 @@ import configparser
 import hashlib
 import json
 import sys
+from dataclasses import replace
 from datetime import date, datetime
 from pathlib import Path
 
@@ -52,7 +53,7 @@ def mining_of(path: str | None) -> drain.Settings:
     ini.read_string(Path(path).read_text(encoding="utf-8"))
     own = dict(ini["DRAIN"]) if ini.has_section("DRAIN") else {}
     masking = dict(ini["MASKING"]) if ini.has_section("MASKING") else {}
-    # The tree routes by number of tokens and first token, and keeps all clusters.
+    # The tree routes by number of tokens and first token.
     fixed = {"depth": ("4",), "parametrize_numeric_tokens": ("true", "yes", "on", "1"), "extra_delimiters": ("[]",), "mask_prefix": ("<",), "mask_suffix": (">",)}
     for name, value in (own | masking).items():
         if name in fixed and value.lower() not in fixed[name]:
@@ -61,7 +62,7 @@ def mining_of(path: str | None) -> drain.Settings:
             raise ArgumentError(f"unknown setting in {path}: {name}")
     usual = drain.Settings()
     masks = tuple((m["regex_pattern"], m["mask_with"]) for m in json.loads(masking["masking"])) if "masking" in masking else usual.masks
-    return drain.Settings(float(own.get("sim_th", usual.similarity)), int(own.get("max_children", usual.most_children)), masks)
+    return drain.Settings(float(own.get("sim_th", usual.similarity)), int(own.get("max_children", usual.most_children)), int(own.get("max_clusters", usual.most_clusters)), masks)
 
 
 def hashes_of(paths: list[str | None]) -> dict:
@@ -96,6 +97,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--symptom", "--product", "--product-version", "--os", "--baseline-reason", "--formats", "--settings", "--known-noise", "--drain"):
         d.add_argument(name)
     d.add_argument("--tz", default="+09:00")
+    d.add_argument("--strict-mining", action="store_true", help="look at each record anew, in order")
     d.add_argument("--clock-offset", action="append", default=[])
     d.add_argument("--baseline", action="append", default=[])
     for name, kind, usual in (("--window-minutes", float, 30.0), ("--before-minutes", float, None), ("--after-minutes", float, None), ("--context-lines", int, 5), ("--max-block-records", int, 60), ("--max-blocks", int, 30), ("--first-errors", int, 3), ("--max-tokens", int, 5000)):
@@ -197,7 +199,7 @@ def _digest(spark: SparkSession, a: argparse.Namespace) -> str:
     minutes = {k: a.window_minutes if v is None else v for k, v in (("before", a.before_minutes), ("after", a.after_minutes))}
     incident = digest.Incident(a.ticket, at, minutes["before"], minutes["after"], a.product, a.product_version, a.os, a.symptom, a.tz)
     off = a.baseline == ["none"]
-    found = digest.analyse(spark, a.logs, incident, formats_of(a.formats), noise.rules_of(_yaml(a.known_noise)), baseline.Settings.of(_yaml(a.settings)), [] if off else a.baseline, a.baseline_reason, not off, offsets_of(a.clock_offset), a.context_lines, a.max_block_records, a.max_blocks, mining_of(a.drain))
+    found = digest.analyse(spark, a.logs, incident, formats_of(a.formats), noise.rules_of(_yaml(a.known_noise)), baseline.Settings.of(_yaml(a.settings)), [] if off else a.baseline, a.baseline_reason, not off, offsets_of(a.clock_offset), a.context_lines, a.max_block_records, a.max_blocks, replace(mining_of(a.drain), strict=a.strict_mining))
     limits = render.Limits(first_errors=a.first_errors)
     texts = render.write(found, a.out, a.max_tokens, limits, config=hashes_of([a.formats, a.settings, a.known_noise, a.drain]))
     return "".join(f"{Path(a.out) / name}\n" for name in texts) + json.dumps(found.counts) + "\n" + "".join(f"warning: {w}\n" for w in found.warnings)

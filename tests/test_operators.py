@@ -313,3 +313,79 @@ def test_stream_counts(spark, tmp_path):
     rows = spark.table("counted").collect()
     # Windows end before the latest record less the delay: five of six.
     assert len(rows) == 10 and sum(r.n for r in rows) == 50
+
+
+# ---- mining, against a miner that reads one record after the other ----
+
+
+def mined_by_definition(forms, similarity=0.4, most_children=100, most_clusters=2048):
+    """Template of each record: token lists are compared with every cluster of their leaf, one by one."""
+    heads, leaves, where = {}, {}, []
+    for form in forms:
+        tokens = form.split()
+        known = heads.setdefault(len(tokens), [])
+        head = tokens[0]
+        if any(c in "0123456789" for c in head):
+            head = "<*>"
+        elif head not in known:
+            if len(known) < most_children - 1:
+                known.append(head)
+            else:
+                head = "<*>"
+        clusters = leaves.setdefault((len(tokens), head), [])
+        shares = [(sum(a == b != "<*>" for a, b in zip(c, tokens)) / len(tokens), c.count("<*>"), -i) for i, c in enumerate(clusters)]
+        best = max(shares, default=None)
+        if best and (best[0] >= similarity or len(clusters) >= most_clusters):
+            c = clusters[-best[2]]
+            c[:] = [a if a == b else "<*>" for a, b in zip(c, tokens)]
+        else:
+            c = list(tokens)
+            clusters.append(c)
+        where.append(c)
+    return [" ".join(c) for c in where]
+
+
+def random_messages(n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    verbs, things = ["open", "close", "read", "lost", "sent"], [f"thing{c}" for c in "abcdefgh"]
+    return [" ".join([rng.choice(["ERROR", "WARN", f"w{rng.randrange(4)}x", "job"]), *(rng.choice(verbs + things) for _ in range(rng.randint(1, 5)))]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("settings", [drain.Settings(), drain.Settings(most_clusters=3), drain.Settings(similarity=0.7, most_children=3)])
+def test_strict_mining(spark, settings):
+    from dataclasses import replace
+
+    messages = random_messages(500)
+    df = spark.createDataFrame(list(enumerate(messages)), "i long, message string")
+    got = {r.i: r.template for r in drain.mine(df, ["i"], settings=replace(settings, strict=True, masks=())).collect()}
+    assert [got[i] for i in range(len(messages))] == mined_by_definition(messages, settings.similarity, settings.most_children, settings.most_clusters)
+    # Without strict, it is the same of the distinct messages.
+    distinct = list(dict.fromkeys(messages))
+    want = dict(zip(distinct, mined_by_definition(distinct, settings.similarity, settings.most_children, settings.most_clusters)))
+    assert {r.i: r.template for r in drain.mine(df, ["i"], settings=replace(settings, masks=())).collect()} == {i: want[m] for i, m in enumerate(messages)}
+
+
+def test_mining_of_a_large_leaf():
+    """Thousands of forms of one leaf are no longer compared token by token."""
+    import time
+
+    leaf, began = drain.Leaf(9), time.perf_counter()
+    for i in range(8_000):
+        leaf.add(["ERROR", *(f"t{i}-{k}" for k in range(8))])
+    assert leaf.count == drain.MOST_CLUSTERS and time.perf_counter() - began < 20
+
+
+def test_mining_of_the_scenario(spark, tmp_path):
+    """Both ways of mining agree on the incident's logs, and with a miner that reads one record after the other."""
+    from dataclasses import replace
+
+    from tests.scenario import gateway
+
+    messages = [text.split("\n")[0] for _, _, _, text in sorted(gateway(), key=lambda e: e[0])]
+    df = spark.createDataFrame(list(enumerate(messages)), "i long, message string")
+    forms = [r.form for r in df.select("i", texts.masked(F.col("message")).alias("form")).orderBy("i").collect()]
+    strict = {r.i: r.template for r in drain.mine(df, ["i"], settings=replace(drain.Settings(), strict=True)).collect()}
+    usual = {r.i: r.template for r in drain.mine(df, ["i"]).collect()}
+    assert [strict[i] for i in range(len(forms))] == mined_by_definition(forms) and strict == usual
