@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtide.operators.ordering import range_ordered, ranked, running_sum, scratch_dir, written
+from logtide.operators.ordering import attached, range_ordered, ranked, running_sum, scratch_dir, written
 from logtide.operators.shipping import ship
 
 __all__ = ["attached", "documents", "free_name", "map_rows", "numbered", "range_ordered", "ranked", "running_sum", "scratch_dir", "shuffle_partitions", "sized", "small_batches", "text_or_empty", "without", "written"]
@@ -89,8 +89,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 #: Ids (8 bytes each) up to which a list of them is broadcast; longer lists are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: A group is hot when it has more than one row of so many; there are fewer hot groups than this, which bounds their broadcast.
-HOT_SHARE = 256
 
 
 def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -118,17 +116,3 @@ def numbered(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame,
     # The last key tells equal rows apart, so that a row that repeats often spreads over tasks.
     rows = docs.select(F.struct("*").alias("_doc"), F.col(f"`{key}`").alias("_k"), F.xxhash64(text_or_empty(text)).alias("_h"), F.monotonically_increasing_id().alias("_m"))
     return ranked(rows, [F.col("_k").asc_nulls_last(), "_h", "_m"], "numbered").select("_doc.*", F.col("place").alias(name)), name
-
-
-def attached(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str) -> DataFrame:
-    """``rows`` with the columns of their group; ``groups`` has one row for each value of ``on``, with its number of rows.
-
-    Rows of hot groups take theirs from a broadcast of fewer than HOT_SHARE rows, the others
-    by shuffle, so that no task gets a hot group whole.  Rows without a group go.
-    """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) * HOT_SHARE > F.lit(total)
-    hot = groups.where(is_hot)
-    near = rows.join(F.broadcast(hot), on)
-    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(groups.where(~is_hot).hint("merge"), on)
-    return near.unionByName(far.select(near.columns))

@@ -154,7 +154,7 @@ def test_pii_hot_patterns(spark, monkeypatch):
     texts = [f"please call my mobile +1 (555) 203-44{i:02d} today" for i in range(20)] + ["please call my mobile 555.203.9911 today"] * 30
     out = []
     for share in (1, 1 << 20):
-        monkeypatch.setattr("logtide.llm.common.HOT_SHARE", share)
+        monkeypatch.setattr("logtide.operators.ordering.HOT_SHARE", share)
         out.append(sorted((r.doc_id, r.spans) for r in pii.report(pii.find(frame(spark, texts))).collect()))
     assert out[0] == out[1] and out[0][-1][1] == "phone:22:34"
 
