@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +30,8 @@ EMPTY = "<EMPTY>"
 SIMILARITY = 0.4
 MOST_CHILDREN = 100
 MOST_CLUSTERS = 2048
+#: Bytes of distinct forms up to which what was found of them is broadcast to the records; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -81,12 +83,16 @@ class Leaf:
         return " ".join(self.names[i] for i in self.table[cluster])
 
 
-def forms_of(records: DataFrame, order: Sequence[str], message: str = "message", settings: Settings = Settings()) -> DataFrame:
-    """Distinct masked messages with first (their first place in the order), n (their records) and the leaf that they are routed to."""
+def form_of(message: str, settings: Settings) -> Column:
     text = F.trim(F.col(message))
-    form = masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)
-    forms = records.select(form.alias("form"), F.struct(*order).alias("_at")).groupBy("form").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
-    forms = forms.withColumn("_tokens", F.split(F.trim("form"), r"\s+")).withColumn("size", F.size("_tokens")).withColumn("_token", F.get("_tokens", F.lit(0)))
+    return masked(F.when(text == "", EMPTY).otherwise(text), settings.masks)
+
+
+def forms_of(formed: DataFrame, order: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """From records with their masked message ``form``: the distinct ones with first (their first place in the order), n (their records) and the leaf that they are routed to."""
+    forms = formed.select("form", F.struct(*order).alias("_at")).groupBy("form").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    # Written, since it is read twice below.
+    forms = written(forms, "drain-distinct").withColumn("_tokens", F.split(F.trim("form"), r"\s+")).withColumn("size", F.size("_tokens")).withColumn("_token", F.get("_tokens", F.lit(0)))
     # A node's children are its first tokens by appearance; the last place is that of <*>.
     heads = forms.where(~F.col("_token").rlike("[0-9]")).groupBy("size", "_token").agg(F.min("first").alias("_first"))
     own = heads.withColumn("_n", F.row_number().over(Window.partitionBy("size").orderBy("_first"))).where(F.col("_n") < settings.most_children).select("size", "_token", F.col("_token").alias("_own"))
@@ -128,9 +134,9 @@ def mine(records: DataFrame, order: Sequence[str], message: str = "message", set
     ``order`` must tell them apart.
     """
     ship(records.sparkSession)
-    text = F.trim(F.col(message))
-    formed = records.withColumn("form", masked(F.when(text == "", EMPTY).otherwise(text), settings.masks))
-    forms = written(forms_of(records, order, message, settings), "drain-forms")
+    # Masking costs more than anything else, so it is done once.
+    formed = written(records.withColumn("form", form_of(message, settings)), "drain-formed")
+    forms = written(forms_of(formed, order, settings), "drain-forms")
     if settings.strict:
         routed = attached(formed.select("form", F.struct(*order).alias("row")), forms.drop("first"), "form", "n")
     else:
@@ -139,13 +145,16 @@ def mine(records: DataFrame, order: Sequence[str], message: str = "message", set
     dealt = routed.repartition("size", "leaf").sortWithinPartitions("size", "leaf", first).select("size", "leaf", "form", "row")
     kind = dealt.schema["row"].dataType.simpleString()
     mined = written(dealt.mapInArrow(_mine(settings), f"row {kind}, template_key string, template string"), "drain-mined")
-    # One row a cluster; a cluster may have most of the rows.
     found = mined.where("row IS NOT NULL").select("row", "template_key")
-    sizes = found.groupBy("template_key").agg(F.count("*").alias("_n"))
-    names = written(mined.where("row IS NULL").select("template_key", "template").join(sizes, "template_key"), "drain-names")
+    names = mined.where("row IS NULL").select("template_key", "template")
+    if not settings.strict and (forms.agg(F.sum(F.octet_length("form") * 3 + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        named = found.join(F.broadcast(names), "template_key").withColumnRenamed("row", "form")
+        return formed.join(F.broadcast(named), "form").drop("form")
+    # One row a cluster; a cluster may have most of the rows.
+    names = written(names.join(found.groupBy("template_key").agg(F.count("*").alias("_n")), "template_key"), "drain-names")
     named = attached(found, names, "template_key", "_n").drop("_n")
     if settings.strict:
         same = [F.col(c) == F.col(f"row.{c}") for c in order]
-        return records.join(named, same).drop("row")
+        return formed.drop("form").join(named, same).drop("row")
     named = written(named.join(forms.select(F.col("form").alias("row"), "n"), "row").withColumnRenamed("row", "form"), "drain-named")
     return attached(formed, named, "form", "n").drop("form", "n")
