@@ -74,13 +74,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     """
     rows = learning_rows(docs, key, label).where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("string").alias("_lang"))
     counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
+    # The first rows by hash are in the lowest part of all hashes; only twice as many as are wanted are ordered, however many tasks there are.
+    lowest = {lang: int(-(1 << 63) + (1 << 64) * min(1.0, 2 * SAMPLE_ROWS / n)) - 1 for lang, n in counts.items()}
+    if not counts:
+        return Model()
+    bound = F.element_at(F.create_map(*[F.lit(x) for item in lowest.items() for x in item]), F.col("_lang"))
+    low = rows.where(F.col("_lang").isin(*counts)).where(F.xxhash64("_id") <= bound).distinct()
     first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= SAMPLE_ROWS)
+    chosen = low.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= SAMPLE_ROWS)
     # Where a key repeats, each place in the sample takes one text; rows of one key and language have one place.
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("string").alias("_label"), F.col(text).cast("string").alias("_text"))
-    places = chosen.groupBy("_lang", "_id").agg(F.min("_rank").alias("_rank"))
-    met = texts.join(F.broadcast(places), (F.col("_key") == F.col("_id")) & (F.col("_label") == F.col("_lang")))
-    sample = written(met.groupBy("_lang", "_rank").agg(F.min("_text").alias("text")), "language-sample").where(F.col("_lang").isin(*counts))
+    met = texts.join(F.broadcast(chosen), (F.col("_key") == F.col("_id")) & (F.col("_label") == F.col("_lang")))
+    sample = written(met.groupBy("_lang", "_rank").agg(F.min("_text").alias("text")), "language-sample")
     made = _dictionaries(sample)
     dictionaries = tuple((lang, made[lang]) for lang in sorted(made, key=lambda k: (-counts[k], k)))
     return Model(dictionaries, narrow_margin(_margins(sample, dictionaries)))
