@@ -62,7 +62,7 @@ def mining_of(path: str | None) -> drain.Settings:
             raise ArgumentError(f"unknown setting in {path}: {name}")
     usual = drain.Settings()
     masks = tuple((m["regex_pattern"], m["mask_with"]) for m in json.loads(masking["masking"])) if "masking" in masking else usual.masks
-    return drain.Settings(float(own.get("sim_th", usual.similarity)), int(own.get("max_children", usual.most_children)), int(own.get("max_clusters", usual.most_clusters)), masks)
+    return drain.Settings(float(own.get("sim_th", usual.similarity)), int(own.get("max_children", usual.most_children)), int(own.get("max_clusters", usual.most_clusters)), masks=masks)
 
 
 def hashes_of(paths: list[str | None]) -> dict:
