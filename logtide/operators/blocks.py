@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.operators.ordering import running_sum, written
+from logtide.operators.ordering import carried, preceded, range_ordered, written
 from logtide.operators.shipping import ship
 
 
-def islands(triggers: DataFrame, before: int, after: int, length: int, position: str = "position") -> DataFrame:
-    """Blocks without a cap: (block, lo, hi, n_triggers), the ranges around triggers, merged where they overlap or touch.
+def _with_island(triggers: DataFrame, before: int, after: int, position: str) -> DataFrame:
+    """(position, island) of each trigger: a new island begins where the one before is further away than both margins reach."""
+    t, _ = range_ordered(triggers.select(F.col(position).cast("long").alias("position")), ["position"], "triggers")
+    t = preceded(t, "position", "_last")
+    near = F.col("position") - F.col("_last") <= before + after + 1
+    return carried(t.withColumn("_new", F.when(near, 0).otherwise(1).cast("long")), "_new").select("position", F.col("running").alias("island"))
 
-    A new block begins where a trigger is further from the one before than both margins reach.
-    """
-    near = Window.orderBy(position)
-    t = triggers.select(position, F.lag(position).over(near).alias("_last"))
-    t = t.withColumn("_new", F.when(F.col("_last").isNull() | (F.col(position) - before > F.col("_last") + after + 1), 1).otherwise(0))
-    t = t.withColumn("block", F.sum("_new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.groupBy("block").agg(
-        F.greatest(F.lit(0), F.min(position) - before).cast("long").alias("lo"),
-        F.least(F.lit(length - 1), F.max(position) + after).cast("long").alias("hi"),
+
+def islands(triggers: DataFrame, before: int, after: int, length: int, position: str = "position") -> DataFrame:
+    """Blocks without a cap: (block, lo, hi, n_triggers), the ranges around triggers, merged where they overlap or touch."""
+    return _with_island(triggers, before, after, position).groupBy(F.col("island").alias("block")).agg(
+        F.greatest(F.lit(0), F.min("position") - before).cast("long").alias("lo"),
+        F.least(F.lit(length - 1), F.max("position") + after).cast("long").alias("hi"),
         F.count("*").alias("n_triggers"),
     )
 
@@ -55,13 +58,11 @@ def capped(triggers: DataFrame, before: int, after: int, cap: int, length: int,
 
     Where a block ends by the cap depends on where it began, so triggers are walked in order;
     but a gap wider than both margins starts afresh, so each island is a walk of its own and
-    the islands are spread over tasks.  An island is streamed, never held.
+    the islands are spread over tasks.  An island is streamed: a task holds the triggers of
+    one block, at most ``cap`` or a trigger's range, and up to 1,024 finished blocks.
     """
     ship(triggers.sparkSession)
-    lagged = Window.orderBy(position)
-    t = triggers.select(F.col(position).cast("long").alias("position"))
-    t = t.withColumn("_new", F.when(F.col("position") - F.lag("position").over(lagged) <= before + after + 1, 0).otherwise(1).cast("long"))
-    islands_of = running_sum(t, ["position"], "_new", "block-islands").select("position", F.col("running").alias("island"))
+    islands_of = _with_island(triggers, before, after, position)
 
     def walk(batches):
         import pyarrow as pa
@@ -70,16 +71,13 @@ def capped(triggers: DataFrame, before: int, after: int, cap: int, length: int,
             for batch in batches:
                 yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
-        out, island, held = [], None, []
-        for position_, number in rows():
-            if number != island:
-                out += _merge(iter(held), before, after, cap, length)
-                island, held = number, []
+        out = []
+        for _, island in groupby(rows(), itemgetter(1)):
+            for block in _merge((at for at, _ in island), before, after, cap, length):
+                out.append(block)
                 if len(out) >= 1024:
                     yield _blocks(pa, out)
                     out = []
-            held.append(position_)
-        out += _merge(iter(held), before, after, cap, length)
         if out:
             yield _blocks(pa, out)
 

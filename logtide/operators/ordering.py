@@ -98,8 +98,13 @@ def running(df: DataFrame, keys: list[str | Column], value: str, name: str, with
     Each part sums up its own rows; what comes before it is added from one row per part (and
     value), so that a hot value spreads over as many tasks as it fills parts.
     """
-    within = within or []
     table, _ = range_ordered(df, keys, name)
+    return carried(table, value, within, how)
+
+
+def carried(table: DataFrame, value: str, within: list[str] | None = None, how: Callable[[str], Column] = F.sum) -> DataFrame:
+    """``table``, which ``range_ordered`` placed, with ``running`` as above; it is read twice."""
+    within = within or []
     group = ["part", *within]
     earlier = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = table.groupBy(*group).agg(how(value).alias("_sum"))
@@ -115,6 +120,18 @@ def running_sum(df: DataFrame, keys: list[str | Column], value: str, name: str,
     return running(df, keys, value, name, within)
 
 
+def preceded(table: DataFrame, value: str, out: str) -> DataFrame:
+    """``table``, which ``range_ordered`` placed, with ``out``: ``value`` of the row before, null at the first.
+
+    The first row of a part takes the last value of the part before it, from one row per part.
+    """
+    lasts = table.groupBy("part").agg(F.max_by(value, "at").alias("_last"))
+    before = lasts.select("part", F.lag("_last").over(Window.orderBy("part")).alias("_before"))
+    own = F.lag(value).over(Window.partitionBy("part").orderBy("at"))
+    joined = table.withColumn("_own", own).join(F.broadcast(before), "part")
+    return joined.withColumn(out, F.when(F.col("at") == 0, F.col("_before")).otherwise(F.col("_own"))).drop("_own", "_before")
+
+
 #: A group is hot when it has more than one row of so many; there are fewer hot groups than this, which bounds their broadcast.
 HOT_SHARE = 256
 

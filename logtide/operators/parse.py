@@ -106,7 +106,8 @@ def attached(lines: DataFrame, most: int = MOST_EXTRA) -> DataFrame:
 
     ``lines``: file, lineno, line, is_head and columns of heads.  The last head is carried
     forward as a running maximum over parts, so that a file of any size spreads over tasks;
-    only lines that are kept are gathered.  Blank lines are skipped; lines before any head
+    only lines that are kept are gathered, and each task passes on at most ``most`` of a head
+    before the shuffle.  Blank lines are skipped; lines before any head
     belong to none.
     """
     own = lines.withColumn("_head", F.when(F.col("is_head"), F.col("lineno")))
@@ -114,12 +115,13 @@ def attached(lines: DataFrame, most: int = MOST_EXTRA) -> DataFrame:
     carried = running(own, ["file", "lineno"], "_head", "lines", ["file"], F.max).drop("part", "at", "_head")
     heads = carried.where("is_head").drop("running", "line", "is_head")
     follow = carried.where(~F.col("is_head") & F.col("running").isNotNull() & ~_is_blank(F.col("line")))
-    ranked = follow.withColumn("_n", F.row_number().over(Window.partitionBy("file", "running").orderBy("lineno")))
-    gathered = ranked.groupBy(F.col("file").alias("_file"), F.col("running").alias("_lineno")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("lineno", _stripped(F.col("line")).alias("line"))))).alias("_kept"),
-        F.count(F.when(F.col("_n") > most, 1)).alias("_dropped"),
-    )
-    joined = heads.join(gathered, (F.col("file") == F.col("_file")) & (F.col("lineno") == F.col("_lineno")), "left")
+    follow = follow.select(F.col("file").alias("_file"), F.col("running").alias("_lineno"), F.col("lineno").alias("_at"), "line")
+    first = Window.partitionBy("_file", "_lineno").orderBy("_at")
+    kept = follow.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    gathered = kept.groupBy("_file", "_lineno").agg(F.array_sort(F.collect_list(F.struct("_at", _stripped(F.col("line")).alias("line")))).alias("_kept"))
+    counts = follow.groupBy("_file", "_lineno").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("_dropped"))
+    own_lines = (F.col("file") == F.col("_file")) & (F.col("lineno") == F.col("_lineno"))
+    joined = heads.join(gathered.join(counts, ["_file", "_lineno"]), own_lines, "left")
     extra = F.coalesce(F.transform("_kept", lambda s: s["line"]), F.array().cast("array<string>"))
     return joined.withColumn("extra", extra).withColumn("extra_dropped", F.coalesce("_dropped", F.lit(0))).drop("_file", "_lineno", "_kept", "_dropped")
 
@@ -154,7 +156,8 @@ def parsed(lines: DataFrame, formats: list[LogFormat], out_zone: str = "+09:00",
     found = written(found, "parsed-lines")
     records = attached(found.select("file", "file_order", "alias", "lineno", "line", "is_head", "ts", "level", "severity", "component", "message"))
     first_head = found.where("is_head").groupBy("file").agg(F.min("lineno").alias("_first"))
-    placed = found.join(F.broadcast(first_head), "file", "left")
+    # One row a file: Spark sends it to all tasks while it is small, and splits hot files if it isn't.
+    placed = found.join(first_head, "file", "left")
     follows = ~F.col("is_head") & ~_is_blank(F.col("line"))
     before_any = F.col("_first").isNull() | (F.col("lineno") < F.col("_first"))
     files = placed.groupBy("file_order", "file", "alias", "format", "encoding").agg(

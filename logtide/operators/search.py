@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logtide.functions.times import ArgumentError, bucket_index, fitting_width, floored, ntz
+from logtide.operators.ordering import ranked, running
 from logtide.operators.records import LEVEL_ALIASES, LEVELS
 
 _LINE = re.compile(r"@?(.+):(\d+)")
@@ -121,11 +122,15 @@ def record_at(records: DataFrame, file: str, lineno: int) -> DataFrame:
 def records_at(records: DataFrame, lines: DataFrame) -> DataFrame:
     """The same for a table of lines (file, lineno): head_lineno of each, null before any record.
 
-    Lines and records of a file are merged in order, and the last head is carried forward.
+    Lines and records of a file are merged in order, and the last head is carried forward over
+    parts, so that a file of any size spreads over tasks.  A line that is asked for twice is
+    answered once.
     """
+    lines = lines.select("file", "lineno").distinct()
     both = records.select("file", "lineno", F.col("lineno").alias("_head"), F.lit(0).alias("_asked")).unionByName(lines.select("file", "lineno", F.lit(None).cast(dict(records.dtypes)["lineno"]).alias("_head"), F.lit(1).alias("_asked")))
-    order = Window.partitionBy("file").orderBy("lineno", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("head_lineno", F.last("_head", ignorenulls=True).over(order)).where("_asked = 1").select("file", "lineno", "head_lineno")
+    # Heads come in the order of their lines, so the last one is the largest.
+    merged = running(both, ["file", "lineno", "_asked"], "_head", "asked-lines", ["file"], F.max)
+    return merged.where("_asked = 1").select("file", "lineno", F.col("running").alias("head_lineno"))
 
 
 def neighbours(records: DataFrame, at: int, before: int, after: int, by: str = "seq", file: str | None = None) -> DataFrame:
@@ -144,12 +149,12 @@ def neighbours(records: DataFrame, at: int, before: int, after: int, by: str = "
 
 
 def spread_sample(found: DataFrame, order: Sequence[str], count: int, total: int | None = None) -> DataFrame:
-    """``count`` records spread evenly over all found, by place ``rn`` in the order; all if there are no more.
+    """``count`` records spread evenly over all found, by place ``rn`` in the order, whose last column is unique; all if there are no more.
 
     Row rn is one of floor(i * m / n) for some i exactly if ceil((rn + 1) * n / m) > ceil(rn * n / m).
     """
     total = found.count() if total is None else total
-    placed = found.withColumn("rn", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    placed = ranked(found, list(order), "spread", "rn")
     if total <= count:
         return placed
     return placed.where(F.expr(f"((rn + 1) * {count} + {total - 1}) DIV {total} > (rn * {count} + {total - 1}) DIV {total}"))

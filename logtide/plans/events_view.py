@@ -6,8 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from logtide.operators.ordering import running
 from logtide.operators.records import severity_of
 
 INCIDENT = datetime(2024, 1, 30, 12)
@@ -54,7 +54,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_lineno(records: DataFrame) -> DataFrame:
     """Lines are numbered per file, as when a file is read from its beginning."""
-    return records.withColumn("lineno", F.row_number().over(Window.partitionBy("file").orderBy("ts", "event_id")))
+    ones = records.withColumn("_one", F.lit(1).cast("long"))
+    return running(ones, ["file", "ts", "event_id"], "_one", "lined", ["file"]).withColumnRenamed("running", "lineno").drop("_one", "part", "at")
 
 
 LINED_SQL = LOGS_SQL + ", lined AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts, event_id) AS lineno FROM logs)\n"
