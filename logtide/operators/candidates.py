@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,3 +54,8 @@ def judged(stats: DataFrame, texts: DataFrame, hours: float, known: Sequence[Rul
         .when(F.length(hint) < LEAST_LITERAL, "SHORT")
     )
     return severe.select("*", hint.alias("search_hint"), why.alias("why"), F.round(F.col("n") / F.lit(hours), 4).alias("per_hour"))
+
+
+def order(key: str = "template") -> list[Column]:
+    """The order in which people go through candidates: the severest and most frequent first."""
+    return [F.desc("severity"), F.desc("n"), F.asc(key)]

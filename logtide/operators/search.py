@@ -95,6 +95,11 @@ def matching(records: DataFrame, query: Query) -> DataFrame:
     return records.where(condition(query, records.columns))
 
 
+def extent(found: DataFrame) -> DataFrame:
+    """One row: how many records were found, and from when to when."""
+    return found.agg(F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def page(found: DataFrame, order: Sequence[str], limit: int, descending: bool = False) -> DataFrame:
     """The first or last records; Spark keeps ``limit`` rows a task and never sorts the rest."""
     return found.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).limit(limit)

@@ -7,11 +7,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logtide.functions import text as texts
 from logtide.functions.times import Period, ntz
-from logtide.operators import baseline, blocks, candidates, drain, noise, ordering, parse, records, search, templates
+from logtide.operators import baseline, blocks, candidates, drain, excerpts, intervals, noise, ordering, parse, records, search, templates
+from logtide.plans import store
 from logtide.plans.events_view import END, INCIDENT, LINED_SQL, LOGS_SQL, SEQ_SQL, START, logs, table, with_lineno
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,16 +421,17 @@ def noise_anti_join(spark, sf_dir):
 
 @query(
     oracle(
-        """, noisy AS (SELECT DISTINCT user_template AS template, CASE WHEN user_id % 2 = 0 THEN 'even users' END AS noise_reason FROM logs)
-        SELECT n.template, noise_reason, CASE WHEN noise_reason IS NOT NULL AND (kind = 'SURGE' OR kind = 'NEW' AND observed >= 5) THEN kind END AS suspended,
-          noise_reason IS NOT NULL AND NOT coalesce(kind = 'SURGE' OR kind = 'NEW' AND observed >= 5, false) AS is_noise FROM noisy n LEFT JOIN compared c USING (template)""",
+        """, noisy AS (SELECT DISTINCT user_template AS template, CASE WHEN user_id % 2 = 0 THEN 'even users' END AS noise_reason FROM logs), came AS (SELECT user_template AS template, 'APPEAR' AS came FROM logs WHERE severity >= 4 GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-03'),
+        w AS (SELECT n.*, CASE WHEN noise_reason IS NOT NULL THEN coalesce(CASE WHEN kind = 'SURGE' OR kind = 'NEW' AND observed >= 5 THEN kind END, came) END AS suspended FROM noisy n LEFT JOIN compared c USING (template) LEFT JOIN came USING (template))
+        SELECT template, noise_reason, suspended, noise_reason IS NOT NULL AND suspended IS NULL AS is_noise FROM w""",
         _COMPARED_SQL,
     )
 )
 def noise_suspend(spark, sf_dir):
-    noisy = _by_user(spark, sf_dir).select("template", F.when(F.col("user_id") % 2 == 0, "even users").alias("noise_reason")).distinct()
-    none = spark.createDataFrame([], "template string, kind string")
-    return noise.suspended(noisy, _compared(spark, sf_dir), none)
+    r = _by_user(spark, sf_dir)
+    noisy = r.select("template", F.when(F.col("user_id") % 2 == 0, "even users").alias("noise_reason")).distinct()
+    late = r.where("severity >= 4").groupBy("template").agg(F.min("ts").alias("first")).where(F.col("first") >= ntz(datetime(2024, 1, 3)))
+    return noise.suspended(noisy, _compared(spark, sf_dir), late.select("template", F.lit(baseline.APPEAR).alias("kind")))
 
 
 @query(
@@ -488,6 +489,24 @@ def search_regex(spark, sf_dir):
     return search.matching(docs, search.Query(texts=(r"[0-9]{3}\.[0-9]+\.",), regex=True)).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
+@query(oracle(f"SELECT event_id, ts FROM logs WHERE {WINDOW_SQL} AND severity >= 3 AND NOT user_id % 2 = 0"))
+def search_exclude_noise(spark, sf_dir):
+    marked = logs(spark, sf_dir).withColumn("noise", F.col("user_id") % 2 == 0)
+    q = search.Query(level="WARN", low=START, high=END + timedelta(microseconds=1), exclude_noise=True)
+    return search.matching(marked, q).select("event_id", "ts")
+
+
+@query(oracle("SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM logs WHERE contains(lower(message), 'click') AND severity >= 2 AND file IN ('app-1.log', 'app-3.log')"))
+def search_total(spark, sf_dir):
+    found = search.matching(logs(spark, sf_dir), search.Query(texts=("CLICK",), level="INFO", files=("app-1.log", "app-3.log")))
+    return search.extent(found)
+
+
+@query(oracle("SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM logs"))
+def time_range(spark, sf_dir):
+    return search.extent(logs(spark, sf_dir))
+
+
 @query(
     oracle(
         """SELECT event_id, ts, file, level, message FROM logs WHERE severity >= 3 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND file IN ('app-1.log', 'app-2.log')
@@ -601,28 +620,86 @@ def first_errors(spark, sf_dir):
 
 @query(
     oracle(
-        """, s AS (SELECT event_id, ts, user_template AS template, count(*) OVER (PARTITION BY user_template) AS n_stacks, row_number() OVER (PARTITION BY user_template ORDER BY ts, event_id) AS i FROM logs WHERE level = 'ERROR' AND event_id % 3 = 0)
-        SELECT template, event_id, n_stacks FROM s WHERE i = 1"""
+        """, s AS (SELECT event_id, user_template AS template, count(*) OVER (PARTITION BY user_template) AS n_stacks, row_number() OVER (PARTITION BY user_template ORDER BY event_id) AS i FROM logs WHERE level = 'ERROR' AND event_id % 3 = 0)
+        SELECT template, event_id, n_stacks, row_number() OVER (ORDER BY event_id) AS place FROM s WHERE i = 1 ORDER BY event_id LIMIT 50"""
     )
 )
 def stack_first_per_template(spark, sf_dir):
     r = _by_user(spark, sf_dir).withColumn("extra", F.when((F.col("level") == "ERROR") & (F.col("event_id") % 3 == 0), F.array(F.lit("java.io.IOException: x"), F.lit("\tat a.b.C(C.java:1)"))))
-    stacked = r.where(records.has_stack(F.col("extra")))
-    return stacked.groupBy("template").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_stacks"))
+    stream = r.withColumn("has_stack", F.coalesce(records.has_stack(F.col("extra")), F.lit(False)))
+    return excerpts.first_stacks(stream, "event_id", 50).select("template", "event_id", "n_stacks", "place")
+
+
+# ---- what a digest shows ----
+
+
+@query(oracle("SELECT template, kind, CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY p.day, kind <> 'VANISHED', severity DESC, template) AS place FROM points p JOIN (SELECT 'G' || (user_id % 10) AS template, max(severity) AS severity FROM shifted GROUP BY 1) USING (template) WHERE p.day < DATE '2024-01-30'", _SHIFT_SQL))
+def change_point_order(spark, sf_dir):
+    r = _shifted(spark, sf_dir)
+    points = baseline.change_points(r, baseline.daily_profile(r, INCIDENT))
+    names = r.groupBy("template").agg(F.max("severity").alias("severity")).withColumn("template_id", F.col("template"))
+    return _dated(excerpts.change_points(points, names, INCIDENT.date(), 60).select("template", "kind", "day", "place"))
+
+
+@query(
+    oracle(
+        f""", n AS (SELECT user_template AS template, min(ts) FILTER (WHERE {WINDOW_SQL}) AS window_first FROM logs GROUP BY 1), k AS (SELECT c.*, window_first, list_position(['VANISHED', 'NEW', 'SURGE', 'DROP'], kind) AS kn FROM compared c JOIN n USING (template) WHERE kind IS NOT NULL)
+        SELECT template, kind, expected, observed, row_number() OVER w AS place FROM k WINDOW w AS (ORDER BY kn, CASE WHEN kind IN ('VANISHED', 'DROP') THEN -expected END NULLS FIRST, CASE WHEN kind NOT IN ('VANISHED', 'DROP') THEN window_first END NULLS FIRST, template) ORDER BY place LIMIT 60""",
+        _COMPARED_SQL,
+    )
+)
+def comparison_order(spark, sf_dir):
+    names = templates.window_totals(_by_user(spark, sf_dir), START, END).select("template", F.col("template").alias("template_id"), "window_first")
+    return excerpts.comparisons(_compared(spark, sf_dir), names, 60).select("template", "kind", "expected", "observed", "place")
+
+
+_SHOWN_SQL = f""", w AS (SELECT user_template AS template, user_id % 2 = 0 AS is_noise, count(*) FILTER (WHERE {WINDOW_SQL}) AS window_count, min(ts) FILTER (WHERE {WINDOW_SQL}) AS window_first, max(severity) FILTER (WHERE {WINDOW_SQL}) AS window_severity FROM logs GROUP BY ALL)
+"""
+
+
+def _shown(spark, sf_dir):
+    even = F.substring("template", 2, 20).cast("long") % 2 == 0
+    return templates.window_totals(_by_user(spark, sf_dir), START, END).withColumn("template_id", F.col("template")).withColumn("is_noise", even)
+
+
+@query(oracle("SELECT template, window_first, row_number() OVER (ORDER BY window_first, template) AS place FROM w WHERE window_count > 0 AND NOT is_noise AND window_severity >= 3 ORDER BY place LIMIT 40", LOGS_SQL + _SHOWN_SQL))
+def window_template_order(spark, sf_dir):
+    return excerpts.severe_templates(_shown(spark, sf_dir), 40).select("template", "window_first", "place")
+
+
+@query(oracle("SELECT template, window_count, CAST(coalesce(expected, 0) AS DOUBLE) AS expected, row_number() OVER (ORDER BY window_count DESC, window_first, template) AS place FROM w LEFT JOIN expected USING (template) WHERE window_count > 0 AND is_noise ORDER BY place LIMIT 20", LOGS_SQL + _EXPECTED_SQL.format(key="user_template") + _SHOWN_SQL))
+def noise_top(spark, sf_dir):
+    expected = baseline.expected_counts(_by_user(spark, sf_dir), PERIODS, START, END)
+    return excerpts.noisy_templates(_shown(spark, sf_dir), expected, 20).select("template", "window_count", "expected", "place")
+
+
+@query(oracle(f"SELECT user_template AS template, max(severity) AS severity, count(*) AS n, row_number() OVER (ORDER BY max(severity) DESC, count(*) DESC, user_template) AS place FROM logs WHERE {NORMAL_SQL} GROUP BY 1 HAVING max(severity) >= 3 ORDER BY place LIMIT 60"))
+def candidate_order(spark, sf_dir):
+    r = _by_user(spark, sf_dir)
+    names = r.select("template", F.col("template").alias("text")).distinct()
+    found = candidates.judged(candidates.statistics(r, NORMAL, ["ts", "event_id"]), names, 240.0, [], [], 5, 3)
+    return excerpts.first_rows(found, candidates.order(), 60).select("template", "severity", "n", "place")
 
 
 # ---- blocks ----
 
 
 def _stream(spark, sf_dir):
-    r = records.in_window(logs(spark, sf_dir), datetime(2024, 1, 29), END).select("event_id", "ts", "level", "severity", F.col("user_template").alias("template"))
+    r = logs(spark, sf_dir).select("event_id", "ts", "level", "severity", F.col("user_template").alias("template"))
     return ordering.ranked(r, ["ts", "event_id"], "stream", "position")
 
 
-_STREAM_SQL = LOGS_SQL + """, stream AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () AS len FROM logs WHERE ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30 18:00:00'),
+_STREAM_SQL = LOGS_SQL + """, stream AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () AS len FROM logs),
   trig AS (SELECT *, lag(position) OVER (ORDER BY position) AS last FROM stream WHERE severity >= 4),
   isl AS (SELECT *, sum(CASE WHEN last IS NULL OR position - 2 > last + 2 + 1 THEN 1 ELSE 0 END) OVER (ORDER BY position) AS block FROM trig)
 """
+#: Triggers walked one by one: a block holds at most 12 records, a trigger beyond begins the next one after its end.
+_WALK_SQL = LOGS_SQL.replace("logs AS (", "RECURSIVE logs AS (", 1) + """, stream AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () AS len FROM logs),
+  trig AS MATERIALIZED (SELECT position AS p, least(len - 1, position + 2) AS reach, row_number() OVER (ORDER BY position) AS i FROM stream WHERE severity >= 4),
+  walk AS (SELECT i, 1 AS block, greatest(0, p - 2) AS lo, reach AS hi FROM trig WHERE i = 1 UNION ALL
+    SELECT i, CASE WHEN joins THEN block ELSE block + 1 END, CASE WHEN joins THEN lo ELSE greatest(0, p - 2, hi + 1) END, CASE WHEN p <= hi AND reach - lo >= 12 THEN hi ELSE reach END
+    FROM (SELECT t.i, t.p, t.reach, w.block, w.lo, w.hi, t.p <= w.hi OR t.reach - w.lo < 12 AND t.p - 2 <= w.hi + 1 AS joins FROM walk w JOIN trig t ON t.i = w.i + 1))
+"""
 
 
 @query(oracle("SELECT CAST(block AS BIGINT) AS block, greatest(0, min(position) - 2) AS lo, least(max(len) - 1, max(position) + 2) AS hi, count(*) AS n_triggers FROM isl GROUP BY block", _STREAM_SQL))
@@ -631,10 +708,24 @@ def block_islands(spark, sf_dir):
     return blocks.islands(stream.where("severity >= 4"), 2, 2, stream.count())
 
 
-@query()
+@query(oracle("SELECT min(lo) AS lo, max(hi) AS hi, count(*) AS n_triggers FROM walk GROUP BY block", _WALK_SQL))
 def block_capped(spark, sf_dir):
     stream = _stream(spark, sf_dir)
-    return blocks.capped(stream.where("severity >= 4"), 2, 2, 12, stream.count()).select("lo", "hi", F.size("triggers").alias("n_triggers"))
+    return blocks.capped(stream.where("severity >= 4"), 2, 2, 12, stream.count()).select("lo", "hi", F.size("triggers").cast("long").alias("n_triggers"))
+
+
+@query(
+    oracle(
+        """, b AS (SELECT min(lo) AS lo, max(hi) AS hi FROM isl JOIN (SELECT block, greatest(0, min(position) - 2) AS lo, least(max(len) - 1, max(position) + 2) AS hi FROM isl GROUP BY block) USING (block) GROUP BY block ORDER BY lo LIMIT 15)
+        SELECT lo AS block_lo, position, event_id FROM b JOIN stream ON position BETWEEN lo AND hi""",
+        _STREAM_SQL,
+    )
+)
+def block_members(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    found = blocks.islands(stream.where("severity >= 4"), 2, 2, stream.count())
+    shown = found.orderBy("lo").limit(15).withColumn("block", F.col("lo"))
+    return excerpts.block_members(stream, shown).select(F.col("block").alias("block_lo"), "position", "event_id")
 
 
 @query(
@@ -654,34 +745,33 @@ def block_select(spark, sf_dir):
 
 @query(
     oracle(
-        """, p AS (SELECT DISTINCT date_trunc('hour', ts) AS s FROM logs WHERE level = 'ERROR' AND user_id % 50 = 1), q AS (SELECT s, s + INTERVAL 3 HOUR AS e FROM p),
-        m AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM q), g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (ORDER BY s, e) AS i FROM m)
-        SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY i"""
+        """, q AS (SELECT DISTINCT user_template, date_trunc('hour', ts) AS s, date_trunc('hour', ts) + INTERVAL 30 HOUR AS e FROM logs WHERE level = 'ERROR'),
+        m AS (SELECT *, max(e) OVER (PARTITION BY user_template ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM q),
+        g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY user_template ORDER BY s, e) AS i FROM m)
+        SELECT user_template, min(s) AS start, max(e) AS "end" FROM g GROUP BY user_template, i"""
     )
 )
 def interval_merge(spark, sf_dir):
-    hours = logs(spark, sf_dir).where((F.col("level") == "ERROR") & (F.col("user_id") % 50 == 1)).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).distinct()
-    spans = hours.withColumn("end", F.expr("start + INTERVAL 3 HOURS"))
-    order = Window.orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    return marked.withColumn("_i", F.sum("_new").over(order)).groupBy("_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+    start = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    spans = logs(spark, sf_dir).where("level = 'ERROR'").select("user_template", start.alias("start")).withColumn("end", F.expr("start + INTERVAL 30 HOURS"))
+    return intervals.merged(spans, "user_template")
 
 
 # ---- joins and sets ----
 
 
-@query(oracle(", t AS (SELECT template_id, max(severity) >= 4 AS severe FROM logs GROUP BY 1) SELECT event_id, severe AS noise FROM logs LEFT JOIN t USING (template_id)"))
+@query(oracle(", t AS (SELECT template_id, max(severity) >= 4 AS severe FROM logs GROUP BY 1) SELECT event_id AS seq, file || ':' || event_id AS line_id, severe AS noise, CASE WHEN event_id % 3 = 0 THEN 'a' || chr(10) || 'b' END AS extra, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 1 END AS extra_lines FROM logs LEFT JOIN t USING (template_id)"))
 def logs_left_templates(spark, sf_dir):
-    r = logs(spark, sf_dir)
-    t = r.groupBy("template_id").agg((F.max("severity") >= 4).alias("noise"))
-    return r.join(t, "template_id", "left").select("event_id", "noise")
+    r = logs(spark, sf_dir).withColumn("seq", F.col("event_id")).withColumn("lineno", F.col("event_id"))
+    extra = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    t = r.groupBy("template_id").agg(F.when(F.max("severity") >= 4, "errors are expected").alias("noise_reason"))
+    return store.logs_table(r.withColumn("extra", extra).withColumn("extra_dropped", F.lit(1)), t).select("seq", "line_id", "noise", "extra", "extra_lines")
 
 
-@query(oracle("SELECT DISTINCT user_template FROM logs WHERE severity >= 4 EXCEPT SELECT user_template FROM logs WHERE severity = 3"))
+@query(oracle("SELECT DISTINCT user_template FROM logs WHERE severity >= 4 EXCEPT SELECT user_template FROM logs WHERE %s" % WINDOW_SQL))
 def set_difference_ids(spark, sf_dir):
     r = logs(spark, sf_dir)
-    return r.where("severity >= 4").select("user_template").distinct().join(r.where("severity = 3").select("user_template"), "user_template", "left_anti")
+    return r.where("severity >= 4").select("user_template").distinct().join(records.in_window(r, START, END).select("user_template"), "user_template", "left_anti")
 
 
 @query(oracle("SELECT DISTINCT file, alias FROM logs"))
@@ -689,14 +779,10 @@ def distinct_files(spark, sf_dir):
     return logs(spark, sf_dir).select("file", "alias").distinct()
 
 
-@query(oracle("SELECT event_id, file, ts FROM logs"))
+@query(oracle("SELECT event_id AS id, file, ts FROM logs UNION ALL SELECT o_orderkey, 'orders.log', CAST(o_orderdate AS TIMESTAMP) FROM orders"))
 def union_sources(spark, sf_dir):
-    r = logs(spark, sf_dir)
-    parts = [r.where(F.col("file") == f"app-{i}.log") for i in range(4)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("event_id", "file", "ts")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("orders.log").alias("file"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    return logs(spark, sf_dir).select(F.col("event_id").alias("id"), "file", "ts").unionByName(orders)
 
 
 @query(oracle("SELECT count(*) AS records, count(*) FILTER (WHERE %s) AS in_window, count(DISTINCT template_id) AS templates, min(ts) AS first_ts, max(ts) AS last_ts FROM logs" % WINDOW_SQL))

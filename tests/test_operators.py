@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import text as texts
 from logtide.functions import times
-from logtide.operators import baseline, blocks, drain, noise, ordering, parse, records, search, templates
+from logtide.operators import baseline, blocks, drain, intervals, noise, ordering, parse, records, search, templates
 from logtide.sources import logfiles
 from logtide.streaming import counts as streaming
 
@@ -225,6 +225,25 @@ def test_blocks(spark):
     assert [x[:2] for x in made([5], 10, 10, 3, 50)] == [(0, 15)] and made([], 2, 2, 9, 0) == []
 
 
+def test_blocks_against_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    positions = sorted(rng.sample(range(1500), 500))
+    expected, lo, hi, n = [], 0, -1, 0
+    for p in positions:
+        reach = min(1499, p + 3)
+        if n and (p <= hi or reach - lo < 9 and p - 3 <= hi + 1):
+            n, hi = n + 1, reach if reach - lo < 9 else hi
+            continue
+        if n:
+            expected.append((lo, hi, n))
+        lo, hi, n = max(0, p - 3, hi + 1 if n else 0), reach, 1
+    expected.append((lo, hi, n))
+    df = spark.createDataFrame([(p,) for p in rng.sample(positions, 500)], "position long")
+    assert sorted((r.lo, r.hi, len(r.triggers)) for r in blocks.capped(df, 3, 3, 9, 1500).collect()) == expected
+
+
 def test_block_selection(spark):
     b = spark.createDataFrame([(0, 5, [1, 2]), (10, 15, [11]), (20, 25, [21, 22])], "lo long, hi long, triggers array<long>")
     t = spark.createDataFrame([(1, "a"), (2, "b"), (11, "a"), (21, "b"), (22, "c")], "position long, template string")
@@ -277,6 +296,35 @@ def test_periods():
             times.normal_periods([bad])
 
 
+def test_row_before_and_runs_over_parts(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("at_"), F.lit(1).cast("long").alias("one"))
+    table, _ = ordering.range_ordered(df, ["at_"], "rows")
+    assert table.select("part").distinct().count() > 1
+    assert all(r.before == (r.at_ - 1 if r.at_ else None) for r in ordering.preceded(table, "at_", "before").collect())
+    assert all(r.running == r.at_ + 1 for r in ordering.carried(table, "one").collect())
+
+
+def test_lines_asked_for(spark):
+    heads = spark.createDataFrame([("a", n) for n in range(3, 300, 3)] + [("b", 5)], "file string, lineno long")
+    asked = spark.createDataFrame([("a", 1), ("a", 3), ("a", 299), ("a", 299), ("b", 4), ("b", 9), ("c", 1)], "file string, lineno long")
+    got = {(r.file, r.lineno): r.head_lineno for r in search.records_at(heads, asked).collect()}
+    assert got == {("a", 1): None, ("a", 3): 3, ("a", 299): 297, ("b", 4): None, ("b", 9): 5, ("c", 1): None}
+    assert search.records_at(heads, asked).count() == 6 and search.records_at(heads.limit(0), asked.limit(0)).count() == 0
+
+
+def test_endless_continuation(spark):
+    lines = spark.range(1, 2001).select(F.lit("a").alias("file"), F.col("id").alias("lineno"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("line"), F.col("id").isin(2, 1990).alias("is_head"))
+    got = {r.lineno: (r.extra, r.extra_dropped) for r in parse.attached(lines, most=4).collect()}
+    assert got == {2: ([f"x{i}" for i in range(3, 7)], 1983), 1990: ([f"x{i}" for i in range(1991, 1995)], 6)}
+
+
+def test_intervals(spark):
+    rows = [("a", 0, 2), ("a", 2, 3), ("a", 2, 3), ("a", 5, 9), ("a", 6, 7), ("b", 1, 4), (None, 1, 2), (None, 2, 5)]
+    df = spark.createDataFrame(rows, "who string, start long, end long")
+    got = sorted(((r.who, r.start, r.end) for r in intervals.merged(df, "who").collect()), key=str)
+    assert got == sorted([("a", 0, 3), ("a", 5, 9), ("b", 1, 4), (None, 1, 5)], key=str)
+
+
 @pytest.mark.parametrize("total", [1, 5, 20, 21, 59])
 def test_spread(spark, total):
     df = spark.range(total).select("id", F.col("id").alias("ts"))
