@@ -183,7 +183,7 @@ def share_ranks(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def _arrow_map(df: DataFrame, column: str, outs: list[str], convert, kept: list[str] | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, column: str, outs: list[str], convert, kept: list[str] | None = None) -> DataFrame:
     """Replace or add the binary columns ``outs``, computed from ``column`` a slice of rows at a time.
 
     ``convert`` makes a function of a value that gives one value for each of ``outs``.
@@ -239,7 +239,7 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", ou
         fn = encoding()
         return lambda text: (fn(text),)
 
-    return _arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [out], convert, kept)
+    return arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [out], convert, kept)
 
 
 def decode(df: DataFrame, ranks: Broadcast, ids: str = "token_ids", out: str = "decoded", kept: list[str] | None = None) -> DataFrame:
@@ -250,7 +250,7 @@ def decode(df: DataFrame, ranks: Broadcast, ids: str = "token_ids", out: str = "
         fn = decoding()
         return lambda packed: (fn(packed),)
 
-    return _arrow_map(df, ids, [out], convert, kept)
+    return arrow_map(df, ids, [out], convert, kept)
 
 
 def round_trip(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded", kept: list[str] | None = None) -> DataFrame:
@@ -266,7 +266,7 @@ def round_trip(df: DataFrame, ranks: Broadcast, pattern: str, text: str = "text"
 
         return fn
 
-    return _arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [ids, out], convert, kept)
+    return arrow_map(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, [ids, out], convert, kept)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, digest, exact_dedup, html_text, language, mixing, near_dedup, pii, secrets, sharding
+from logtide.llm import bpe, digest, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -52,6 +52,12 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("times")
 
 
+def op12_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = merge_bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.digests(merge_bpe.round_trip(docs, vocabulary, kept=["doc_id"]))
+
+
 OP2_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fair_mix": op10_fair_mix,
+    "op12_merge_bpe": op12_merge_bpe,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
