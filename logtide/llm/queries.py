@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, digest, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
+from logtide.llm import bpe, digest, divergence, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op12_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(merge_bpe.round_trip(docs, vocabulary, kept=["doc_id"]))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -67,6 +71,42 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY norm)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n,
+         (1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (sum(n) OVER w + 5)) // (sum(n) OVER l + 5 * count(*) OVER s))::BIGINT AS q
+  FROM every
+  WINDOW s AS (PARTITION BY lang, source), w AS (PARTITION BY lang, term), l AS (PARTITION BY lang)
+), moved AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+  GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN moved m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,7 +119,9 @@ QUERIES = {
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fair_mix": op10_fair_mix,
     "op12_merge_bpe": op12_merge_bpe,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
