@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, digest, divergence, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
+from logtide.llm import bpe, collocations, digest, divergence, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
 from logtide.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("times")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op12_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = merge_bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -71,6 +75,44 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY norm)
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), p AS (SELECT rid, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pid FROM d),
+w AS (SELECT rid, lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT rid, lang, pid, unnest(words) AS w1, generate_subscripts(words, 1) AS pos FROM w),
+g AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM t WINDOW s AS (PARTITION BY rid, pid ORDER BY pos)),
+totals AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, w1, w2, max(f) AS most
+  FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT x.lang, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.w1 = x.w1 JOIN f1 r ON r.lang = x.lang AND r.w1 = x.w2
+  LEFT JOIN longer o ON o.lang = x.lang AND o.w1 = x.w1 AND o.w2 = x.w2
+  WHERE x.f >= 10 AND (o.most IS NULL OR 100 * o.most < 50 * x.f)
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 1, l.f, r.f
+  FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.w1 = x.w1 JOIN f2 r ON r.lang = x.lang AND r.w1 = x.w2 AND r.w2 = x.w3
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 2, l.f, r.f
+  FROM f3 x JOIN f2 l ON l.lang = x.lang AND l.w1 = x.w1 AND l.w2 = x.w2 JOIN f1 r ON r.lang = x.lang AND r.w1 = x.w3
+), scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), chosen AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM chosen
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -118,10 +160,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fair_mix": op10_fair_mix,
+    "op11_collocations": op11_collocations,
     "op12_merge_bpe": op12_merge_bpe,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_source_divergence": OP13_SQL,
 }
