@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from logtide.operators.ordering import attached, range_ordered, ranked, running_sum, scratch_dir, written
 from logtide.operators.shipping import ship
 
-__all__ = ["attached", "documents", "free_name", "map_rows", "numbered", "range_ordered", "ranked", "running_sum", "scratch_dir", "shuffle_partitions", "sized", "small_batches", "text_or_empty", "without", "written"]
+__all__ = ["attached", "documents", "free_name", "map_rows", "numbered", "over_cores", "range_ordered", "ranked", "running_sum", "scratch_dir", "shuffle_partitions", "sized", "small_batches", "table", "text_or_empty", "without", "written"]
 
 #: Rows that a Python task turns into objects at a time.
 SLICE_ROWS = 256
@@ -20,8 +20,18 @@ SLICE_ROWS = 256
 BLANK = r"[\x20\x09-\x0D]"
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """``df``; rows of a table that is read in fewer tasks than there are cores are dealt over all cores first."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return over_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logtide.llm import bpe, collocations, digest, divergence, exact_dedup, html_text, language, merge_bpe, mixing, near_dedup, pii, secrets, sharding
-from logtide.llm.common import documents
+from logtide.llm.common import documents, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

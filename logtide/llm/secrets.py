@@ -3,9 +3,13 @@
 From each rule's regular expression follows a Boolean query: the rule can match a text only
 if, for one of its alternatives, the text holds all the alternative's trigrams.  The index
 holds every trigram of every text (letters folded to lower case) with its postings, packed
-as bits of 64 neighbouring rows, and is written by trigram: rules that come later are asked
-of it without reading a text.  Postings are intersected and only candidates are verified by
-the expression.  A rule with an alternative without trigrams scans all texts.
+as bits of 64 neighbouring rows, and is kept in a folder of its own: rows are added to it, and
+rules that come later are asked of it, without reading the texts that it has.  Postings are
+intersected and only candidates are verified by the expression.  A rule with an alternative
+without trigrams scans all texts.
+
+Long texts are cut into overlapping pieces first, so that nothing of a row for each character
+is ever held for a whole text.
 
 All of it is DataFrame functions.  Null texts count as empty.  Ids may be null or repeat, and
 may be of any type: such rows are told apart by their place in the order of id and text.
@@ -17,7 +21,7 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm.common import numbered, text_or_empty, written
@@ -26,7 +30,9 @@ from logtide.llm.common import numbered, text_or_empty, written
 SMALL_CLASS = 6
 #: Alternatives beyond which a rule's query isn't spelt out any further.
 MOST_ALTERNATIVES = 64
-#: Candidates (an id and a number) up to which they are broadcast to the texts; more are joined by shuffle.
+#: Characters of a piece of a long text; trigrams are listed a piece at a time.
+PIECE = 4096
+#: Candidates (an id and a few numbers) up to which they are broadcast to the texts; more are joined by shuffle.
 BROADCAST_CANDIDATES = 500_000
 #: Numbers of an array that are summed up in one go.
 SUM_CHUNK = 512
@@ -110,41 +116,75 @@ def _class(members) -> list[tuple]:
     return [(_GAP,)]
 
 
+def pieces(text: Column) -> Column:
+    """The text in pieces of up to PIECE characters, each with the two characters that follow it, so that no trigram is lost."""
+    cut = F.lit(f"(?s)(.{{1,{PIECE}}})(?=(.{{0,2}}))")
+    long = F.zip_with(F.regexp_extract_all(text, cut, F.lit(1)), F.regexp_extract_all(text, cut, F.lit(2)), lambda own, next_: F.concat(own, next_))
+    return F.when(F.length(text) > PIECE, long).otherwise(F.array(text))
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text, in lower case.
 
-    A match that looks ahead is empty, so that the next one begins one character further.
+    A match that looks ahead is empty, so that the next one begins one character further, or
+    half of one beyond 16 bits: none begins with such a half.
     """
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1)))
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index of all trigrams, a written table: (trigram, block, bits).
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(trigram, block, bits) of all trigrams: bit b of ``bits`` is the row of key 64 * block + b.
 
-    Bit b of ``bits`` is the row of key 64 * block + b.  Keys must be integers, unique and
-    without nulls.  Tasks merge the rows of a block before the shuffle, so a trigram that is in
-    every text is one row for 64 texts, and no trigram is more than a 64th of all rows.
+    Keys must be integers, unique and without nulls.  Tasks merge the rows of a block before
+    the one shuffle, so a trigram that is in every text is one row for 64 texts, and no trigram
+    is more than a 64th of all rows.
     """
     row = F.col(f"`{key}`").cast("long")
-    held = docs.select(F.explode(trigrams(text_or_empty(text))).alias("trigram"), F.shiftright(row, 6).alias("block"), row.bitwiseAND(63).cast("int").alias("_at"))
-    packed = held.groupBy("trigram", "block").agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("bits"))
-    # Files are by trigram and sorted, so that a query reads few row groups.
-    return written(packed.repartition("trigram").sortWithinPartitions("trigram", "block"), "secret-index")
+    cut = docs.select(row.alias("_row"), F.explode(pieces(text_or_empty(text))).alias("_piece"))
+    held = cut.select(F.explode(trigrams(F.col("_piece"))).alias("trigram"), F.shiftright("_row", 6).alias("block"), F.col("_row").bitwiseAND(63).cast("int").alias("_at"))
+    return held.groupBy("trigram", "block").agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("bits"))
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """The inverted index of all trigrams of ``docs``, a written table.
+
+    ``path``: a folder that keeps it, for ``open_index`` and ``add_rows``; else it is a table
+    of the session's shared folder.
+    """
+    # Files are sorted, so that a query reads few of their pages.
+    packed = postings(docs, key, text).sortWithinPartitions("trigram", "block")
+    if path is None:
+        return written(packed, "secret-index")
+    packed.write.parquet(path)
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("trigram string, block long, bits long").parquet(path)
+
+
+def add_rows(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of ``path`` with further rows; their keys may fall into blocks that it has."""
+    postings(docs, key, text).sortWithinPartitions("trigram", "block").write.mode("append").parquet(path)
+    return open_index(docs.sparkSession, path)
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(row, rules): the texts that rules must be verified on, as bits by the rules' places; full scans aren't in it."""
+    """(row, rules): the texts that rules must be verified on, with the rules' places in ascending order; full scans aren't in it."""
     terms = [(t, at, n) for at, rule in enumerate(rules) for n, alternative in enumerate(trigram_query(rule.pattern) or []) for t in sorted(alternative)]
     spark = index.sparkSession
     # The terms come from the rules alone.
     asked = spark.createDataFrame(terms, "trigram string, rule int, alternative int")
     sizes = asked.groupBy("rule", "alternative").agg(F.count("*").alias("all"))
-    met = index.where(F.col("trigram").isin(*sorted({t for t, _, _ in terms}))).join(F.broadcast(asked), "trigram")
-    # Each trigram has one row a block, so postings meet where there are as many rows as terms.
+    # Rows that were added later may be in a block that was there.
+    own = index.where(F.col("trigram").isin(*sorted({t for t, _, _ in terms}))).groupBy("trigram", "block").agg(F.bit_or("bits").alias("bits"))
+    met = own.join(F.broadcast(asked), "trigram")
+    # Each trigram has one row a block now, so postings meet where there are as many rows as terms.
     alike = met.groupBy("block", "rule", "alternative").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).join(F.broadcast(sizes), ["rule", "alternative"]).where("n = all AND bits <> 0")
     of_rule = alike.groupBy("block", "rule").agg(F.bit_or("bits").alias("bits"))
     rows = of_rule.select("block", "rule", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_at")).where(F.expr("getbit(bits, _at) = 1"))
-    return rows.select((F.col("block") * 64 + F.col("_at")).alias("row"), F.expr("shiftleft(1L, rule)").alias("_rule")).groupBy("row").agg(F.bit_or("_rule").alias("rules"))
+    # A row has as many rules at most as were asked.
+    return rows.select((F.col("block") * 64 + F.col("_at")).alias("row"), "rule").groupBy("row").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 def _let(value: Column, fn) -> Column:
@@ -217,10 +257,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
         few = wanted.count() <= BROADCAST_CANDIDATES
         rows = rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("_row") == F.col("row"), "left")
     else:
-        rows = rows.withColumn("rules", F.lit(0).cast("long"))
+        rows = rows.withColumn("rules", F.array().cast("array<int>"))
     found = []
     for at, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        asked_for = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0 if query else F.col("text").rlike(_tight(rule))
+        asked_for = F.coalesce(F.array_contains("rules", at), F.lit(False)) if query else F.col("text").rlike(_tight(rule))
         found.append(F.when(asked_for, matches(F.col("text"), rule, at)).otherwise(none))
     # Written, since each later use of the column would match all expressions again.
     return written(rows.select("doc_id", F.concat(*found).alias("found")), "secret-found")
