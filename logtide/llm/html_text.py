@@ -9,10 +9,16 @@ Null and empty pages give an empty text.  Unclosed comments end with the page, a
 unclosed scripts, styles, titles and text areas, unless the head ends or the body begins
 first; other elements whose content is no text are empty if they aren't closed.
 
-Class names and ids are hints of what a container holds: a name counts as a whole, if all its
-words are hints or say only where a box is.  Hints never judge the page or its article, nor
-what stands around the first article, and if they would leave nothing, texts are judged
-without them.  Rows of equal key are pages of their own.
+Class names and ids are hints of what a container holds.  A name counts as a whole, if all its
+words are hints or say only where a box is; words for adverts and for what readers write count
+at either end of a name, unless it speaks of a state (``ad-free``, ``comments-open``).  Hints
+never judge the page or its article, and neither they nor forms judge what stands around the
+first article, or holds most of the prose of a page without one.  If a page would have no text,
+its hints are left out, then those of adverts and readers, then its elements: a page with
+prose has a text, unless all of it is hidden.
+
+Inside an article, a linked heading or a paragraph that is a link is judged by its neighbours,
+unless links stand beside it.  Rows of equal key are pages of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from logtide.llm.common import map_rows
 LINK_DENSITY = 0.33
 #: Blocks of fewer characters are too short to be judged by their words.
 SHORT = 140
+#: A container with this share of the prose of a page without an article is no furniture, whatever its name.
+MOST = 0.75
 #: Shares of stop words: running text has the first at least; what has less than the second isn't prose.
 STOP_HIGH, STOP_LOW = 0.12, 0.02
 
@@ -64,10 +72,10 @@ HINTS = frozenset(
     ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice
     notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus
     share sharing social related recommended newsletter subscribe subscription popup modal login signin signup widget pagination
-    pager search complementary contentinfo toolbar copyright
+    pager search complementary contentinfo toolbar copyright responses respond
     """.split()
 )
-HEADER_HINTS = frozenset(["header", "masthead"])
+HEADER_HINTS = frozenset(["header", "masthead", "meta", "byline"])
 #: Words of a name that only say where or what kind of a box it is.
 PLACES = frozenset(
     """
@@ -76,8 +84,13 @@ PLACES = frozenset(
     group row col column panel mobile desktop js the and of
     """.split()
 )
-#: Hints of what readers write, which no article's place overrules.
-READERS = frozenset("comment comments reply replies disqus".split())
+#: Hints of what readers write, which no article's place overrules, and of adverts and consent: they settle a name at either end.
+READERS = frozenset("comment comments commenter commenters reply replies disqus responses respond".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
+#: What such a word may be written together with.
+JOINED = re.compile(r"(?P<reader>comments?|disqus)(?:list|form|box|area|section|wrap|wrapper|thread|block|container|threads|feed)|ads?(?:bygoogle|sense|slot|box|unit|container|wrapper|wrap|banner|block|space|zone|label|holder|frame)")
+#: Words of a name that say what state something is in, not what it holds.
+STATES = frozenset("free no non not has have with without open opened closed enabled disabled on off is hide show allow".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -95,13 +108,24 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 GOOD, BAD, SHORT_BLOCK = 1, -1, 0
+#: Why a container may be furniture: it isn't shown, by its element, by being a form, and by its name.
+HIDDEN, ELEMENT, FORM, HINT, ADVERT, READER = range(6)
+
+
+class Mark:
+    """A container that may be furniture, and the one around it."""
+
+    __slots__ = ("around", "kind", "prose", "spared")
+
+    def __init__(self, kind: int, around: Mark | None):
+        self.kind, self.around, self.prose, self.spared = kind, around, 0, False
 
 
 class Block:
-    __slots__ = ("bad", "heading", "hinted", "inside", "linked", "parent", "text")
+    __slots__ = ("heading", "inside", "linked", "mark", "parent", "text")
 
-    def __init__(self, text: str, linked: int, bad: bool, hinted: bool, heading: bool, inside: bool, parent: int):
-        self.text, self.linked, self.bad, self.hinted, self.heading, self.inside, self.parent = text, linked, bad, hinted, heading, inside, parent
+    def __init__(self, text: str, linked: int, mark: Mark | None, heading: bool, inside: bool, parent: int):
+        self.text, self.linked, self.mark, self.heading, self.inside, self.parent = text, linked, mark, heading, inside, parent
 
 
 def _is_hidden(attrs: str) -> bool:
@@ -115,39 +139,56 @@ def _is_hidden(attrs: str) -> bool:
     return False
 
 
-def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
-    """By what the element is, or since it isn't shown."""
-    return tag in BAD_CONTAINERS or tag == "header" and not inside or bool(attrs) and tag not in ("html", "body") and _is_hidden(attrs)
+def _kinds(tag: str, attrs: str, inside: bool) -> list[int]:
+    """What speaks for a container's being furniture."""
+    found = []
+    if attrs and tag not in ("html", "body") and _is_hidden(attrs):
+        found.append(HIDDEN)
+    if tag in BAD_CONTAINERS or tag == "header" and not inside:
+        found.append(FORM if tag == "form" else ELEMENT)
+    if attrs and tag not in WHOLE and (hint := _hint(attrs, inside)):
+        found.append(hint)
+    return found
 
 
-def _hint(tag: str, attrs: str, inside: bool) -> int:
-    """1 where a name of the container hints at the page's furniture, 2 where at what readers write, else 0."""
-    if not attrs or tag in WHOLE:
-        return 0
+def _hint(attrs: str, inside: bool) -> int:
+    """The highest of HINT, ADVERT and READER that one of the container's names speaks for, or 0."""
     found = 0
     for m in _NAMED.finditer(attrs):
         for name in m[1].strip("\"'").split():
             words = _LETTERS.findall(_HUMPS.sub(" ", name).lower())
+            if not words:
+                continue
+            if STATES.isdisjoint(words):
+                for word in (words[0], words[-1]):
+                    joined = JOINED.fullmatch(word)
+                    if word in READERS or joined and joined["reader"]:
+                        found = READER
+                    elif word in ADVERTS or joined:
+                        found = max(found, ADVERT)
             hints = [w for w in words if w in HINTS or not inside and w in HEADER_HINTS]
             if hints and all(w in HINTS or w in HEADER_HINTS or w in PLACES for w in words):
-                found = max(found, 1 + (not READERS.isdisjoint(hints)))
+                found = max(found, READER if not READERS.isdisjoint(hints) else HINT)
     return found
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The page's blocks in order, and the marks of its containers, each behind the one around it."""
     out: list[Block] = []
-    #: Tag, whether it is bad, its hint, and its number.
-    stack: list[list] = []
+    marks: list[Mark] = []
+    #: Tag, number, and the innermost mark around the container.
+    stack: list[tuple] = []
     parts: list[str] = []
-    linked = links = bad = hinted = articles = breaks = opened = 0
+    linked = links = articles = breaks = opened = 0
     heading = any_article = False
+    mark: Mark | None = None
 
     def close() -> None:
         nonlocal linked, heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, bad > 0, hinted > 0, heading, articles > 0, stack[-1][3] if stack else 0))
+                out.append(Block(text, linked, mark, heading, articles > 0, stack[-1][1] if stack else 0))
             parts.clear()
         linked, heading = 0, False
 
@@ -201,51 +242,108 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTAINERS:
                 article = tag in ("article", "main")
                 if not ends:
-                    if article and not any_article and hinted:
-                        # What holds the first article is no furniture, whatever it is called.
-                        for entry in stack:
-                            if entry[2] == 1:
-                                entry[2] = 0
-                                hinted -= 1
+                    if article and not any_article and mark:
+                        # What holds the first article is no furniture, whatever it is called, unless readers write there.
+                        around, held = mark, []
+                        while around:
+                            held.append(around)
+                            around = around.around
+                        if all(x.kind in (FORM, HINT) for x in held):
+                            for x in held:
+                                x.spared = True
                     any_article = any_article or article
-                    own, hint = _is_bad(tag, m["attrs"], articles > 0), _hint(tag, m["attrs"], articles > 0)
+                    outer = mark
+                    for kind in _kinds(tag, m["attrs"], articles > 0):
+                        mark = Mark(kind, mark)
+                        marks.append(mark)
                     opened += 1
-                    stack.append([tag, own, hint, opened])
-                    bad += own
-                    hinted += hint > 0
+                    stack.append((tag, opened, outer))
                     articles += article
                     tags[tag] = tags.get(tag, 0) + 1
                 elif tags.get(tag):
                     while True:
-                        name, own, hint, _ = stack.pop()
+                        name, _, mark = stack.pop()
                         tags[name] -= 1
-                        bad -= own
-                        hinted -= hint > 0
                         articles -= name in ("article", "main")
                         if name == tag:
                             break
     add(page[at:])
     close()
-    return out
+    return out, marks
 
 
-def judged(block: Block, hints: bool = True) -> int:
-    """The block's own label; SHORT_BLOCK where it is too short or neither like prose nor unlike it."""
-    if block.bad or hints and block.hinted:
-        return BAD
+def prose_share(text: str) -> float:
+    """Share of stop words in a text's words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def judged(block: Block, beside: bool = False) -> int:
+    """The block's own label; SHORT_BLOCK where it is too short or neither like prose nor unlike it.  ``beside``: a link stands beside it."""
     n = len(block.text)
-    if block.linked > LINK_DENSITY * n:
-        return BAD
+    if is_link(block):
+        mine = block.inside and not beside and (block.heading or n >= SHORT and prose_share(block.text) >= STOP_HIGH)
+        return SHORT_BLOCK if mine else BAD
     if n < SHORT:
         return SHORT_BLOCK
-    words = _LETTERS.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    density = prose_share(block.text)
     return GOOD if density >= STOP_HIGH else SHORT_BLOCK if density >= STOP_LOW or block.inside else BAD
 
 
-def labels(found: list[Block], hints: bool = True) -> list[int]:
+def is_link(block: Block) -> bool:
+    return block.linked > LINK_DENSITY * len(block.text)
+
+
+def furniture(marks: list[Mark], spared: frozenset[int]) -> dict[Mark, bool]:
+    """Whether what stands in a container is furniture, by all marks around it but those of the kinds ``spared``."""
+    out: dict[Mark, bool] = {}
+    for mark in marks:
+        out[mark] = not (mark.spared or mark.kind in spared) or mark.around is not None and out[mark.around]
+    return out
+
+
+def spare_the_most(found: list[Block], alone: list[int], marks: list[Mark]) -> None:
+    """Forms, and containers with a hint, that hold most of the prose of a page whose article has none are no furniture."""
+    never = furniture(marks, frozenset([FORM, HINT]))
+    total = 0
+    for block, label in zip(found, alone, strict=True):
+        if label == GOOD and not (block.mark and never[block.mark]):
+            if block.inside:
+                return
+            total += len(block.text)
+            if block.mark:
+                block.mark.prose += len(block.text)
+    for mark in reversed(marks):
+        if mark.around:
+            mark.around.prose += mark.prose
+        if mark.kind in (FORM, HINT) and mark.prose > MOST * total:
+            mark.spared = True
+
+
+#: Kinds of marks that are left out one after the other while a page has no text.
+SPARING = (frozenset(), frozenset([FORM, HINT]), frozenset([FORM, HINT, ADVERT, READER]), frozenset([FORM, HINT, ADVERT, READER, ELEMENT]))
+
+
+def labels(found: list[Block], marks: list[Mark]) -> list[int]:
+    links = [is_link(b) for b in found]
+    alone = [judged(b, i > 0 and links[i - 1] or i + 1 < len(found) and links[i + 1]) for i, b in enumerate(found)]
+    spare_the_most(found, alone, marks)
+    for spared in SPARING:
+        bad = furniture(marks, spared)
+        first = [BAD if b.mark and bad[b.mark] else label for b, label in zip(found, alone, strict=True)]
+        if GOOD in first:
+            return second_pass(found, first)
+    bad = furniture(marks, frozenset())
+    first = [BAD if b.mark and bad[b.mark] else label for b, label in zip(found, alone, strict=True)]
+    out = second_pass(found, first)
+    if GOOD in out:
+        return out
+    # No running text at all: what stands in no container of the page's furniture is the text.
+    return [BAD if b.mark and bad[b.mark] or link else GOOD for b, link in zip(found, links, strict=True)]
+
+
+def second_pass(found: list[Block], first: list[int]) -> list[int]:
     """Labels after the second pass: undecided blocks take that of the nearest decided neighbour."""
-    first = [judged(b, hints) for b in found]
     n = len(first)
     after, before = [None] * n, [None] * n
     last = None
@@ -282,17 +380,12 @@ def labels(found: list[Block], hints: bool = True) -> list[int]:
             out[i] = first[left]
         else:
             out[i] = first[left] if i - left < right - i else first[right] if right - i < i - left else GOOD if block.inside else BAD
-    if not sure and GOOD not in out:
-        if hints and any(judged(b, False) == GOOD for b in found):
-            return labels(found, False)
-        # No running text at all: what stands in no container of the page's furniture is the text.
-        out = [BAD if b.bad or b.hinted or b.linked > LINK_DENSITY * len(b.text) else GOOD for b in found]
     return out
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return "\n".join(b.text for b, label in zip(found, labels(found), strict=True) if label == GOOD)
+    found, marks = blocks(page or "")
+    return "\n".join(b.text for b, label in zip(found, labels(found, marks), strict=True) if label == GOOD)
 
 
 def _extract(rows: Iterator[dict]) -> Iterator[tuple]:
