@@ -1,18 +1,25 @@
 """Personal data: exact base patterns, and contextual extraction bootstrapped from what they find.
 
 Base entities (email, ip, card, phone) are seeds.  The words and signs around a seed are
-lexical patterns.  Other identifier-like tokens are candidates with patterns of the same
-form.  Patterns and the distinct values they surround form a graph, which is scored in
-rounds until nothing moves:
+lexical patterns of several forms: the two words before it, the word on either side, one word
+before, one word behind, and the last label (a word with a colon or an equals sign) among the
+words before.  Other tokens with a digit or an @ are candidates, with patterns of the same
+forms.  Patterns and the distinct values they surround form a graph, which is scored in rounds
+until nothing moves:
 
 * A pattern is as sure of a kind as its values are on average.  Seeds of the kind count 1,
   seeds of other kinds 0, and a candidate what its contexts *without that pattern* make of it.
-* A context is as sure as the surer of its two patterns, which often know the same values and
+* A context is as sure as the surest of its patterns, which often know the same values and
   so count once.  A candidate is believed unless all its contexts err.
 
-No pattern hears its own vote, nor that of its neighbour, so a context half of whose values
-are unknown stays half sure, however many rounds there are.  Candidates in sure patterns are
-added as spans.
+No pattern hears its own vote, nor that of its neighbours, so a context half of whose values
+are unknown stays half sure, however many rounds there are.
+
+How far the patterns of a form may be trusted with a kind is learned from seeds that are held
+back, one at a time: of the seeds that a form's other seeds would give that kind, the share
+that is of it.  In random prose, words stand before cards as often as before addresses, and no
+form is trusted; where labels mean something, theirs is.  Candidates in patterns that are sure,
+of a form that is trusted, are added as spans.
 
 Null texts count as empty.  Spans are in code points, ends exclusive; spans of several kinds
 may overlap, added ones overlap no base one.  Values that repeat count once in a pattern.
@@ -35,6 +42,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern must surround to count, and how sure a pattern and an added span must be.
 LEAST_SEEDS = 3
 SURE = 0.8
+#: Words before a span among which its label is looked for, and characters that are looked at.
+LABEL_WORDS, LABEL_REACH = 4, 160
 #: Scoring ends when no pattern moves by as much, or after so many rounds: scores only grow, by less each round.
 SETTLED = 0.01
 MOST_ROUNDS = 10
@@ -112,10 +121,26 @@ def _word_after(text: str, start: int) -> str:
     return text[start:end] or "$"
 
 
+_LABEL = re.compile(r"([^\W_]{1,40})[^\S\n]*[:=]")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _label(text: str, start: int) -> str | None:
+    """The last word before a place that has a colon or an equals sign behind it, on the same line and with few words behind it."""
+    before = text[max(0, start - LABEL_REACH) : start].rpartition("\n")[2]
+    found = None
+    for found in _LABEL.finditer(before):  # noqa: B007
+        pass
+    return found[1] if found and sum(1 for _ in _WORD.finditer(before, found.end())) <= LABEL_WORDS else None
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span: the two words before it, and the words on either side; digits are all alike."""
+    """The lexical patterns of a span, each with the number of its form first; digits are all alike."""
     far, near, after = (_DIGITS.sub("0", w.lower()) for w in (*_words_before(text, start), _word_after(text, end)))
-    return [f"{far} {near} _", f"{near} _ {after}"]
+    found = [f"0 {far} {near} _", f"1 {near} _ {after}", f"2 {near} _", f"3 _ {after}"]
+    if label := _label(text, start):
+        found.append(f"4 {_DIGITS.sub('0', label.lower())} : _")
+    return found
 
 
 def value_key(value: str) -> str:
@@ -132,10 +157,13 @@ def _like(value: str) -> list[int]:
 
 
 def _mentions(rows: Iterator[dict]) -> Iterator[tuple]:
+    """A row for each text, without a span, and one for each base entity and candidate in it."""
     for row in rows:
-        text = row["text"]
+        text, of = row["text"], (row["doc_id"], row["row"])
+        yield *of, None, None, None, None, None, None
         base = base_spans(text)
-        mentions = [{"start": a, "end": b, "kind": k, "value": value_key(text[a:b]), "patterns": patterns(text, a, b), "like": [k]} for a, k, b in base]
+        for a, k, b in base:
+            yield *of, a, b, k, value_key(text[a:b]), patterns(text, a, b), [k]
         taken = sorted((a, b) for a, _, b in base)
         at = 0
         for m in _CANDIDATE.finditer(text):
@@ -148,8 +176,7 @@ def _mentions(rows: Iterator[dict]) -> Iterator[tuple]:
             if end <= start or any(a < end and b > start for a, b in _until(taken, at, end)):
                 continue
             if like := _like(value := text[start:end]):
-                mentions.append({"start": start, "end": end, "kind": None, "value": value_key(value), "patterns": patterns(text, start, end), "like": like})
-        yield row["doc_id"], row["row"], [{"start": a, "kind": k, "end": b} for a, k, b in base], mentions
+                yield *of, start, end, None, value_key(value), patterns(text, start, end), like
 
 
 def _until(spans: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[int, int]]:
@@ -158,48 +185,63 @@ def _until(spans: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[in
         at += 1
 
 
-_MENTIONS = "row long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<start:int,end:int,kind:int,value:string,patterns:array<string>,like:array<int>>>"
+_MENTIONS = "row long, start int, end int, kind int, value string, patterns array<string>, like array<int>"
 
 
 def pattern_scores(contexts: DataFrame, least: int = LEAST_SEEDS, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(pattern, kind, sure): the certainty of patterns; a written table.
+    """(pattern, kind, n_values, n_known, n_kind, sure): the certainty of patterns, and their distinct values, seeds, and seeds of the kind; a written table.
 
-    ``contexts``: one row per distinct value and pair of patterns around it (value, before,
-    beside, seed_kind; null: a candidate).  Patterns with fewer than ``least`` seeds of a kind
-    never count for it, so they go first.
+    ``contexts``: one row per distinct value and list of patterns around it (value, patterns,
+    seed_kind; null: a candidate).  Patterns with fewer than ``least`` seeds of a kind never
+    count for it, so they go first.
     """
-    edges = contexts.select("value", "seed_kind", F.explode(F.array("before", "beside")).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed_kind").alias("seed_kind"))
+    edges = contexts.select("value", "seed_kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed_kind").alias("seed_kind"))
     seeds = edges.groupBy("pattern", "seed_kind").agg(F.count("*").alias("n"))
-    seeds = seeds.groupBy("pattern").agg(F.sum("n").alias("n_values"), F.collect_list(F.when((F.col("n") >= least) & F.col("seed_kind").isNotNull(), F.struct(F.col("seed_kind").alias("kind"), "n"))).alias("kinds"))
+    seeds = seeds.groupBy("pattern").agg(F.sum("n").alias("n_values"), F.coalesce(F.sum(F.when(F.col("seed_kind").isNotNull(), F.col("n"))), F.lit(0)).alias("n_known"), F.collect_list(F.when((F.col("n") >= least) & F.col("seed_kind").isNotNull(), F.struct(F.col("seed_kind").alias("kind"), "n"))).alias("kinds"))
     # One row per pattern; the kinds are at most as many as KINDS.
-    seeds = written(seeds.where(F.size("kinds") > 0), "pii-seeded").select("pattern", "n_values", F.explode("kinds").alias("k"))
-    scores = written(seeds.select("pattern", "n_values", "k.kind", F.col("k.n").alias("n_seeds"), (F.col("k.n") / F.col("n_values")).alias("score")), "pii-scores")
+    seeds = written(seeds.where(F.size("kinds") > 0), "pii-seeded").select("pattern", "n_values", "n_known", F.explode("kinds").alias("k"))
+    counted = ("pattern", "n_values", "n_known", "kind", "n_seeds")
+    scores = written(seeds.select("pattern", "n_values", "n_known", "k.kind", F.col("k.n").alias("n_seeds"), (F.col("k.n") / F.col("n_values")).alias("score")), "pii-scores")
 
     # Only a candidate with a second context can move a score.
-    unknown = contexts.where("seed_kind IS NULL").select("value", "before", "beside")
+    unknown = contexts.where("seed_kind IS NULL").select("value", F.array_distinct("patterns").alias("around"))
     several = unknown.groupBy("value").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
     unknown = attached(unknown, written(several, "pii-several"), "value", "n_contexts")
-    held = unknown.select("*", F.explode(F.array_distinct(F.array("before", "beside"))).alias("pattern"))
+    held = unknown.select("*", F.explode("around").alias("pattern"))
     rows_of = held.groupBy("pattern").agg(F.count("*").alias("n_rows"))
     held = written(attached(held, written(rows_of.join(scores.select("pattern").distinct(), "pattern"), "pii-patterns"), "pattern", "n_rows"), "pii-held")
     if held.isEmpty():
-        return scores.select("pattern", "kind", F.col("score").alias("sure"))
+        return scores.select(*counted, F.col("score").alias("sure"))
     sizes = held.groupBy("pattern").agg(F.first("n_rows").alias("n_rows"))
     for _ in range(rounds):
         now = scores.groupBy("pattern").agg(F.collect_list(F.struct("kind", "score")).alias("now")).join(sizes, "pattern")
         heard = attached(held.drop("n_rows"), written(now, "pii-now"), "pattern", "n_rows").withColumn("s", F.explode("now"))
-        of_context = heard.groupBy("value", "before", "beside", "s.kind").agg(F.max("s.score").alias("score"), F.collect_set("pattern").alias("patterns"))
+        of_context = heard.groupBy("value", "around", "s.kind").agg(F.max("s.score").alias("score"), F.collect_set("pattern").alias("patterns"))
         doubts = of_context.select(F.concat_ws(" ", "kind", "value").alias("vote"), "kind", "patterns", F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))).alias("doubt"))
         own = written(doubts.select("vote", "kind", "doubt", F.explode("patterns").alias("pattern")).groupBy("vote", "kind", "pattern").agg(F.sum("doubt").alias("doubt")), "pii-own")
         every = written(doubts.groupBy("vote").agg(F.sum("doubt").alias("all"), F.sum(F.size("patterns")).alias("n_rows")), "pii-votes")
         gained = attached(own, every, "vote", "n_rows").groupBy("pattern", "kind").agg(F.sum(1 - F.exp(F.col("all") - F.col("doubt"))).alias("gain"))
         next_ = scores.join(gained, ["pattern", "kind"], "left")
-        moved = written(next_.select("pattern", "n_values", "kind", "n_seeds", ((F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n_values")).alias("score"), F.col("score").alias("was")), "pii-scores")
+        moved = written(next_.select(*counted, ((F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n_values")).alias("score"), F.col("score").alias("was")), "pii-scores")
         most = moved.agg(F.max(F.abs(F.col("was") - F.col("score")))).first()[0]
         scores = moved.drop("was")
         if (most or 0.0) < SETTLED:
             break
-    return scores.select("pattern", "kind", F.col("score").alias("sure"))
+    return scores.select(*counted, F.col("score").alias("sure"))
+
+
+def trusted(scores: DataFrame, least: int = LEAST_SEEDS, sure: float = SURE) -> DataFrame:
+    """(form, kind, trust): how far patterns of a form are right about a kind, by seeds held back one at a time; a few rows.
+
+    Without one of its seeds of the kind, a pattern has one seed and one value less; without a
+    seed of another kind, one value less.  Where it is still sure, the one that was held back
+    is found rightly, or wrongly.
+    """
+    own, all_, of = F.col("n_seeds"), F.col("n_values"), F.col("n_known")
+    right = F.when((own - 1 >= least) & (own - 1 >= sure * (all_ - 1)), own).otherwise(0)
+    wrong = F.when(own >= sure * (all_ - 1), of - own).otherwise(0)
+    sums = scores.groupBy(F.substring("pattern", 1, 1).alias("form"), "kind").agg(F.sum(right).alias("right"), F.sum(wrong).alias("wrong"))
+    return sums.select("form", "kind", ((F.col("right") + 1) / (F.col("right") + F.col("wrong") + 2)).alias("trust"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
@@ -208,20 +250,27 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float =
     id_type = docs.schema[key].dataType.simpleString()
     sent = source.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{row}`").cast("long").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = written(map_rows(sent, _mentions, f"doc_id {id_type}, {_MENTIONS}"), "pii-mentions")
-    flat = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    flat = rows.where("value IS NOT NULL")
     # A value is a seed in a context if it is one anywhere in it.
-    contexts = flat.groupBy("value", F.get("patterns", F.lit(0)).alias("before"), F.get("patterns", F.lit(1)).alias("beside")).agg(F.max("kind").alias("seed_kind"), F.count("*").alias("n"))
+    contexts = flat.groupBy("value", "patterns").agg(F.max("kind").alias("seed_kind"), F.count("*").alias("n"))
     contexts = written(contexts, "pii-contexts")
-    scores = pattern_scores(contexts).where(F.col("sure") >= sure)
-    of_pattern = scores.groupBy("pattern").agg(F.collect_list(F.struct("kind", "sure")).alias("kinds"))
-    mentions = contexts.select("n", F.explode(F.array("before", "beside")).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("n_mentions"))
+    scores = pattern_scores(contexts)
+    # One row per form and kind at most.
+    trust = written(trusted(scores, sure=sure).where(F.col("trust") >= sure), "pii-trust")
+    known = scores.where(F.col("sure") >= sure).withColumn("form", F.substring("pattern", 1, 1)).join(F.broadcast(trust), ["form", "kind"])
+    of_pattern = known.groupBy("pattern").agg(F.collect_list(F.struct("kind", F.least("sure", "trust").alias("sure"))).alias("kinds"))
+    mentions = contexts.select("n", F.explode(F.array_distinct("patterns")).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("n_mentions"))
     known = written(of_pattern.join(mentions, "pattern"), "pii-known")
-    flat = flat.withColumn("pattern", F.explode("patterns"))
-    sought = attached(flat.where("kind IS NULL").select("row", "start", "end", "like", "pattern"), known, "pattern", "n_mentions").withColumn("k", F.explode("kinds")).where(F.array_contains("like", F.col("k.kind")))
+    sought = flat.where("kind IS NULL").select("row", "start", "end", "like", F.explode("patterns").alias("pattern"))
+    sought = attached(sought, known, "pattern", "n_mentions").withColumn("k", F.explode("kinds")).where(F.array_contains("like", F.col("k.kind")))
     best = sought.groupBy("row", "start", "end").agg(F.min_by("k.kind", F.struct(-F.col("k.sure"), F.col("k.kind"))).alias("kind"))
-    added = best.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    out = rows.select("doc_id", "row", "base").join(added, "row", "left")
-    return out.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")).alias("found"))
+    base = rows.where("start IS NULL OR kind IS NOT NULL").select("doc_id", "row", "start", "kind", "end", F.lit(True).alias("base"))
+    spans = base.unionByName(best.withColumn("base", F.lit(False)).withColumn("doc_id", F.lit(None).cast(id_type)).select(base.columns))
+    # A text's own row has its id; rows of spans that were added have none.
+    span = F.struct("start", "kind", "end")
+    held = F.col("start").isNotNull()
+    out = spans.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.when(held & F.col("base"), span)).alias("base"), F.collect_list(F.when(held, span)).alias("found"))
+    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort("found").alias("found"))
 
 
 def report(found: DataFrame) -> DataFrame:
