@@ -77,7 +77,7 @@ def analyse(
     mining: drain.Settings = drain.Settings(),
 ) -> Analysis:
     start, end = incident.start, incident.end
-    listed = logfiles.listed(inputs, formats)
+    listed = logfiles.listed(inputs, formats, spark)
     parsed, stats = parse.parsed(logfiles.lines(spark, listed, formats), list(formats), incident.zone, offsets)
     files = written(logfiles.with_empty(stats, listed), "files")
 
