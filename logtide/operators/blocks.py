@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,60 +33,133 @@ def islands(triggers: DataFrame, before: int, after: int, length: int, position:
     )
 
 
-def _merge(positions: Iterator[int], before: int, after: int, cap: int, length: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Blocks of at most ``cap`` records (or one trigger's range), in order; a block that is cut leaves its rest to the next."""
-    lo = hi = -1
-    held: list[int] = []
-    for at in positions:
-        reach = min(length - 1, at + after)
-        room = held and reach - lo < cap
-        if held and at <= hi:
-            held.append(at)
-            hi = max(hi, reach) if room else hi
-        elif room and at - before <= hi + 1:
-            held.append(at)
-            hi = reach
-        else:
-            start = max(0, at - before, hi + 1 if held else 0)
-            if held:
-                yield lo, hi, held
-            lo, hi, held = start, reach, [at]
-    if held:
-        yield lo, hi, held
+#: Positions that a task walks at a time, and ranges of positions at most.
+CHUNK_POSITIONS, MOST_CHUNKS = 1 << 16, 10_000
+
+
+class Walk:
+    """Blocks of at most ``cap`` records (or one trigger's range) over ascending triggers; a block that is cut leaves its rest to the next.
+
+    All that a block needs to know of those before it is ``free``, the first position that none of
+    them covers: the block begins with the first trigger from there on, and no earlier than there.
+    """
+
+    def __init__(self, at: list[int], before: int, after: int, cap: int, length: int):
+        self.at, self.before, self.after, self.cap, self.length = at, before, after, cap, length
+        #: The last trigger of each run whose margins touch.
+        self.ends = [i for i in range(len(at)) if i + 1 == len(at) or at[i + 1] - at[i] > before + after + 1]
+
+    def block(self, free: int, until: int) -> tuple[int, int, int, int] | None:
+        """(lo, hi, first trigger, trigger behind the last) of the next block; None if it begins at ``until`` or later."""
+        i = bisect_left(self.at, free)
+        if i == len(self.at) or self.at[i] >= until:
+            return None
+        lo = max(0, self.at[i] - self.before, free)
+        # The block goes on while its triggers touch, and while their margins leave it no longer than the cap.
+        last = self.ends[bisect_left(self.ends, i)]
+        if self.length - 1 - lo >= self.cap:
+            last = min(last, bisect_right(self.at, lo + self.cap - 1 - self.after) - 1)
+        hi = min(self.length - 1, self.at[max(i, last)] + self.after)
+        return lo, hi, i, bisect_right(self.at, hi)
+
+    def blocks(self, free: int, until: int) -> Iterator[tuple[int, int, list[int]]]:
+        while found := self.block(free, until):
+            lo, hi, i, end = found
+            yield lo, hi, self.at[i:end]
+            free = hi + 1
+
+    def exits(self, entries: range, until: int) -> list[int]:
+        """Where positions are free behind the blocks that begin before ``until``, for each place from which they may be free; walks that meet go on as one."""
+        known: dict[int, int] = {}
+        out = []
+        for free in entries:
+            path = []
+            while free not in known:
+                path.append(free)
+                if (found := self.block(free, until)) is None:
+                    known[free] = free
+                    break
+                free = found[1] + 1
+            for x in path:
+                known[x] = known[free]
+            out.append(known[free])
+        return out
 
 
 def capped(triggers: DataFrame, before: int, after: int, cap: int, length: int, position: str = "position") -> DataFrame:
     """Blocks with a cap: (lo, hi, triggers).
 
-    Where a block ends by the cap depends on where it began, so triggers are walked in order;
-    but a gap wider than both margins starts afresh, so each island is a walk of its own and
-    the islands are spread over tasks.  An island is streamed: a task holds the triggers of
-    one block, at most ``cap`` or a trigger's range, and up to 1,024 finished blocks.
+    Where a block ends by the cap depends on where it began, and so on all blocks before it that
+    touch; but it only depends on the first position that they leave free, which is one of a few
+    behind any place.  So positions are cut into ranges; a task finds where each of these few
+    leads to at its range's end, the ranges' tables are followed from one to the next, and
+    each range is walked from where it is really entered.  However long a run of triggers is, no
+    task has more of it than a range.
     """
     ship(triggers.sparkSession)
-    islands_of = _with_island(triggers, before, after, position)
-
-    def walk(batches):
-        import pyarrow as pa
+    if cap >= length:
+        # Nothing is cut.
+        lo, hi = F.greatest(F.lit(0), F.min("position") - before).cast("long"), F.least(F.lit(length - 1), F.max("position") + after).cast("long")
+        every = _with_island(triggers, before, after, position).groupBy("island").agg(lo.alias("lo"), hi.alias("hi"), F.array_sort(F.collect_list("position")).alias("triggers"))
+        return every.drop("island")
+    look = max(cap, before + after + 1)
+    width = max(CHUNK_POSITIONS, look, -(-length // MOST_CHUNKS))
+    at = triggers.select(F.col(position).cast("long").alias("at"))
+    chunk = F.floor(F.col("at") / width).cast("long")
+    # What a range's last blocks may cover belongs to it as well.
+    own = at.select("at", F.explode(F.when((F.col("at") % width < look) & (F.col("at") >= width), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))).alias("chunk"))
+    own = written(own, "block-triggers")
+
+    def ranges(batches) -> Iterator[tuple[int, list[int], object]]:
+        """(range, its triggers, the last column's value) where a range's rows follow each other."""
 
         def rows():
             for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for number, held in groupby(rows(), itemgetter(1)):
+            held = list(held)
+            yield number, [r[0] for r in held], held[0][-1]
+
+    def entries(number: int) -> range:
+        return range(max(0, number * width - before), number * width + look + 1)
+
+    def transfer(batches):
+        for number, found, _ in ranges(batches):
+            out = Walk(found, before, after, cap, length).exits(entries(number), (number + 1) * width)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out], pa.list_(pa.int64()))], names=["chunk", "exits"])
+
+    def followed(batches):
+        free = 0
+        for batch in batches:
+            number, exits = batch.column("chunk").to_pylist(), batch.column("exits").to_pylist()
+            out = []
+            for k, e in zip(number, exits, strict=True):
+                entry = max(free, entries(k).start)
+                out.append(entry)
+                free = e[entry - entries(k).start]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.int64())], names=["chunk", "entry"])
 
-        out = []
-        for _, island in groupby(rows(), itemgetter(1)):
-            for block in _merge((at for at, _ in island), before, after, cap, length):
+    def walk(batches):
+        for number, found, entry in ranges(batches):
+            out = []
+            for block in Walk(found, before, after, cap, length).blocks(entry, (number + 1) * width):
                 out.append(block)
                 if len(out) >= 1024:
-                    yield _blocks(pa, out)
+                    yield _blocks(out)
                     out = []
-        if out:
-            yield _blocks(pa, out)
+            if out:
+                yield _blocks(out)
 
-    return islands_of.repartition("island").sortWithinPartitions("island", "position").select("position", "island").mapInArrow(walk, "lo long, hi long, triggers array<long>")
+    by_chunk = own.repartition("chunk").sortWithinPartitions("chunk", "at").select("at", "chunk")
+    # A row for each range, of a few numbers; there are MOST_CHUNKS ranges at most.
+    tables = written(by_chunk.mapInArrow(transfer, "chunk long, exits array<long>"), "block-ranges")
+    entered = written(tables.coalesce(1).sortWithinPartitions("chunk").mapInArrow(followed, "chunk long, entry long"), "block-entries")
+    placed = own.join(F.broadcast(entered), "chunk").repartition("chunk").sortWithinPartitions("chunk", "at").select("at", "chunk", "entry")
+    return placed.mapInArrow(walk, "lo long, hi long, triggers array<long>")
 
 
-def _blocks(pa, rows):
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["lo", "hi", "triggers"])
 
 

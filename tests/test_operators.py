@@ -244,6 +244,51 @@ def test_blocks_against_walk(spark):
     assert sorted((r.lo, r.hi, len(r.triggers)) for r in blocks.capped(df, 3, 3, 9, 1500).collect()) == expected
 
 
+def walked(positions, before, after, cap, length):
+    """Blocks by one walk over all triggers."""
+    out, lo, hi = [], 0, -1
+    for p in positions:
+        reach = min(length - 1, p + after)
+        if out and (p <= hi or reach - lo < cap and p - before <= hi + 1):
+            hi = reach if reach - lo < cap else hi
+            out[-1] = (lo, hi, [*out[-1][2], p])
+            continue
+        lo, hi = max(0, p - before, hi + 1 if out else 0), reach
+        out.append((lo, hi, [p]))
+    return out
+
+
+def test_blocks_of_any_settings():
+    """A walk from where positions are free, and where it leads to, for all settings."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3_000):
+        length = rng.randint(1, 60)
+        positions = sorted(rng.sample(range(length), rng.randint(0, length)))
+        before, after, cap = rng.randint(0, 5), rng.randint(0, 5), rng.randint(1, 30)
+        walk = blocks.Walk(positions, before, after, cap, length)
+        expected = walked(positions, before, after, cap, length)
+        assert list(walk.blocks(0, length)) == expected
+        until = rng.randint(0, length)
+        for free, found in zip(range(length), walk.exits(range(length), until), strict=True):
+            own = list(walk.blocks(free, until))
+            assert found == (own[-1][1] + 1 if own else free)
+
+
+def test_blocks_of_one_run_in_ranges(spark, monkeypatch):
+    """A run of triggers that all touch spreads over ranges."""
+    import random
+
+    monkeypatch.setattr(blocks, "CHUNK_POSITIONS", 32)
+    rng = random.Random(6)
+    for cap, share in ((5, 1.0), (9, 0.7), (40, 0.9), (7, 0.05)):
+        positions = [p for p in range(1_000) if rng.random() < share and not 400 < p < 470]
+        df = spark.createDataFrame([(p,) for p in positions], "position long")
+        found = sorted((r.lo, r.hi, r.triggers) for r in blocks.capped(df, 2, 3, cap, 1_000).collect())
+        assert found == walked(positions, 2, 3, cap, 1_000)
+
+
 def test_block_selection(spark):
     b = spark.createDataFrame([(0, 5, [1, 2]), (10, 15, [11]), (20, 25, [21, 22])], "lo long, hi long, triggers array<long>")
     t = spark.createDataFrame([(1, "a"), (2, "b"), (11, "a"), (21, "b"), (22, "c")], "position long, template string")
