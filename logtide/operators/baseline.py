@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 from datetime import date, datetime, timedelta
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.functions.times import Period, ntz, same_hours
+from logtide.functions.times import FEW_PERIODS, micros, micros_of, ntz, Period, place_among, same_hours
 from logtide.operators.records import ERROR
 
 VANISHED, NEW, SURGE, DROP, APPEAR = "VANISHED", "NEW", "SURGE", "DROP", "APPEAR"
@@ -153,9 +154,13 @@ def with_candidates(days: DataFrame, changed: date | None, incident: datetime) -
 def expected_counts(records: DataFrame, periods: list[Period], start: datetime, end: datetime, key: str = "template") -> DataFrame:
     """(key, expected): mean count of a template in the periods (ends included), scaled to the window's length.
 
-    Periods are few, so each is a conditional count of one pass over the records they cover.
+    A few periods are a conditional count each, in one pass over the records they cover.  Many
+    are cut where one begins or ends: a record is counted in the piece it is in, and a piece has
+    the weight of all periods that cover it.
     """
     length = (end - start).total_seconds() / 60
+    if len(periods) > FEW_PERIODS:
+        return _expected_by_pieces(records, periods, length, key)
     covers, counts = F.lit(False), []
     for i, p in enumerate(periods):
         inside = F.col("ts").between(ntz(p.start), ntz(p.end))
@@ -168,6 +173,27 @@ def expected_counts(records: DataFrame, periods: list[Period], start: datetime,
     return summed.select(key, sum((F.col(f"_p{i}") for i in range(1, len(periods))), F.col("_p0")).alias("expected"))
 
 
+def _expected_by_pieces(records: DataFrame, periods: list[Period], length: float, key: str) -> DataFrame:
+    moves: dict[int, list[tuple[float, int]]] = {}
+    for p in periods:
+        scale = length / p.minutes / len(periods) if p.minutes > 0 else 0.0
+        moves.setdefault(micros(p.start), []).append((scale, 1))
+        moves.setdefault(micros(p.end) + 1, []).append((-scale, -1))
+    bounds, weights, weight, covering = sorted(moves), [], Fraction(0), 0
+    for at in bounds:
+        for scale, one in moves[at]:
+            weight, covering = weight + Fraction(scale), covering + one
+        # No period over it: no weight, and its records don't count as seen.
+        weights.append(str(float(weight)) if covering else "")
+    table = F.split(F.lit(",".join(weights)), ",")
+    placed = records.where(F.col("ts").between(ntz(min(p.start for p in periods)), ntz(max(p.end for p in periods))))
+    placed = placed.select(key, (place_among(micros_of(F.col("ts")), bounds) - 1).cast("int").alias("_piece"))
+    counts = placed.where(F.get(table, F.col("_piece")) != "").groupBy(key, "_piece").agg(F.count("*").alias("_n"))
+    # A key has as many rows at most as there are pieces; they are summed in order, so that reruns agree.
+    own = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_piece", (F.col("_n") * F.get(table, F.col("_piece")).cast("double")).alias("v")))).alias("_own"))
+    return own.select(key, F.aggregate("_own", F.lit(0.0), lambda total, s: total + s["v"]).alias("expected"))
+
+
 def verdict(expected: Column, observed: Column, settings: Settings = Settings()) -> Column:
     """The first rule that fits; null if none does."""
     return (

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from logtide.functions.text import line_id, longest_literal
 from logtide.functions.times import Period, within_any
-from logtide.operators.noise import Rule, first_match
+from logtide.operators.noise import Rule, with_match
 from logtide.operators.records import WARN
 
 #: Characters that a template's longest fixed piece needs.
@@ -46,14 +46,16 @@ def judged(stats: DataFrame, texts: DataFrame, hours: float, known: Sequence[Rul
     ``texts``: (key, text).  ``known`` and ``rejected``: the rules whose versions overlap.
     """
     severe = stats.where(F.col("severity") >= WARN).join(texts, key, "left")
+    columns = severe.columns
+    severe = with_match(with_match(severe, list(known), "text", "_known", "template"), list(rejected), "text", "_rejected", "template")
     hint = longest_literal(F.col("text"))
     why = (
-        F.when(first_match(F.col("text"), list(known), "template").isNotNull(), "KNOWN")
-        .when(first_match(F.col("text"), list(rejected), "template").isNotNull(), "REJECTED")
+        F.when(F.col("_known").isNotNull(), "KNOWN")
+        .when(F.col("_rejected").isNotNull(), "REJECTED")
         .when((F.col("n") < least_count) | (F.col("n_hours") < least_hours), "RARE")
         .when(F.length(hint) < LEAST_LITERAL, "SHORT")
     )
-    return severe.select("*", hint.alias("search_hint"), why.alias("why"), F.round(F.col("n") / F.lit(hours), 4).alias("per_hour"))
+    return severe.select(*columns, hint.alias("search_hint"), why.alias("why"), F.round(F.col("n") / F.lit(hours), 4).alias("per_hour"))
 
 
 def order(key: str = "template") -> list[Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.text import pattern_regex
 from logtide.operators.baseline import APPEAR, NEW, SURGE, Settings
+from logtide.operators.ordering import written
 
 
 @dataclass(frozen=True)
@@ -42,8 +46,14 @@ def rules_of(raw: object) -> list[Rule]:
     return out
 
 
+#: Rules up to which they are folded into one expression; more are looked up by a word of each.
+FEW_RULES = 64
+#: Texts up to which what was found of them is broadcast; more are joined by shuffle.
+BROADCAST_TEXTS = 100_000
+
+
 def first_match(text: Column, rules: list[Rule], value: str = "reason") -> Column:
-    """``value`` of the first rule that the text matches, or null.  Rules are a dictionary of a size for people, folded into one expression."""
+    """``value`` of the first rule that the text matches, or null: one expression, for a few rules."""
     found = None
     for rule in rules:
         hit, out = text.rlike(pattern_regex(rule.template)), F.lit(getattr(rule, value))
@@ -51,9 +61,41 @@ def first_match(text: Column, rules: list[Rule], value: str = "reason") -> Colum
     return F.lit(None).cast("string") if found is None else found
 
 
+def anchors(templates: list[str]) -> list[str | None]:
+    """For each template, a word that stands by itself in all texts that it matches: of its fixed words, the one that fewest templates have, then the longest; None if it has none."""
+    words = [{w for w in t.split(" ") if w and not re.search(r"\s|<[^<>\s]*>", w)} for t in templates]
+    shared = Counter(w for own in words for w in own)
+    return [min(own, key=lambda w: (shared[w], -len(w), w), default=None) for own in words]
+
+
+def with_match(df: DataFrame, rules: list[Rule], text: str, out: str, value: str = "reason") -> DataFrame:
+    """``df`` with ``out``: ``value`` of the first rule that ``text`` matches, or null.
+
+    Many rules are looked up: a text's words are joined to the rules' anchors, and only rules
+    that are met are tried.  Those without an anchor are tried on all texts.
+    """
+    if len(rules) <= FEW_RULES:
+        return df.withColumn(out, first_match(F.col(text), rules, value))
+    found = anchors([r.template for r in rules])
+    rows = [(place, pattern_regex(r.template), getattr(r, value), anchor) for place, (r, anchor) in enumerate(zip(rules, found, strict=True))]
+    # The rules came from the driver.
+    table = df.sparkSession.createDataFrame(rows, "_place int, _regex string, _value string, _anchor string")
+    texts = written(df.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct(), "rule-texts")
+    words = texts.select("_text", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_anchor"))
+    met = words.join(F.broadcast(table), "_anchor").where(F.regexp_like("_text", F.col("_regex"))).select("_text", F.struct("_place", "_value").alias("_hit"))
+    if free := [r for r in rows if r[3] is None]:
+        every = F.from_json(F.lit(json.dumps([{"_place": p, "_regex": x, "_value": v} for p, x, v, _ in free])), "array<struct<_place:int,_regex:string,_value:string>>")
+        first = F.get(F.filter(every, lambda r: F.regexp_like(F.col("_text"), r["_regex"])), F.lit(0))
+        met = met.unionByName(texts.select("_text", first.alias("_r")).where("_r IS NOT NULL").select("_text", F.struct("_r._place", "_r._value").alias("_hit")))
+    firsts = written(met.groupBy("_text").agg(F.min("_hit").alias("_hit")).select("_text", F.col("_hit._value").alias("_match")), "rule-matches")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_TEXTS else firsts.hint("merge")
+    joined = df.join(firsts, F.col(text) == F.col("_text"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("_match").alias(out))
+
+
 def with_noise(templates: DataFrame, rules: list[Rule], version: str | None = None, text: str = "text") -> DataFrame:
     """``templates`` with noise_reason."""
-    return templates.withColumn("noise_reason", first_match(F.col(text), [r for r in rules if r.applies_to(version)]))
+    return with_match(templates, [r for r in rules if r.applies_to(version)], text, "noise_reason")
 
 
 def suspended(templates: DataFrame, found: DataFrame, points: DataFrame, settings: Settings = Settings(), key: str = "template") -> DataFrame:

@@ -465,6 +465,35 @@ def period_membership(spark, sf_dir):
     return logs(spark, sf_dir).where(within_any(F.col("ts"), NORMAL)).select("event_id", "ts")
 
 
+#: Periods of minutes that overlap here and there, far more than a person would name.
+MANY = [Period(datetime(2024, 1, 1) + timedelta(minutes=4 * i), datetime(2024, 1, 1) + timedelta(minutes=4 * i + 1 + i % 5)) for i in range(10_000)]
+_MANY_SQL = """, many AS (SELECT TIMESTAMP '2024-01-01' + to_minutes(4 * i) AS lo, TIMESTAMP '2024-01-01' + to_minutes(4 * i + 1 + i % 5) AS hi, 1 + i % 5 AS minutes FROM range(10000) r(i))"""
+
+
+@query(oracle(_MANY_SQL + " SELECT event_id, ts FROM logs WHERE EXISTS (SELECT 1 FROM many WHERE ts >= lo AND ts < hi)"))
+def period_membership_many(spark, sf_dir):
+    """Ten thousand periods, in a plan of the size that one has."""
+    from logtide.functions.times import within_any
+
+    return logs(spark, sf_dir).where(within_any(F.col("ts"), MANY)).select("event_id", "ts")
+
+
+@query(oracle(_MANY_SQL + f" SELECT event_type AS template, round(sum(CAST({(END - START).total_seconds() / 60} AS DOUBLE) / minutes / 10000), 6) AS expected FROM logs JOIN many ON ts BETWEEN lo AND hi GROUP BY 1"))
+def expected_counts_many(spark, sf_dir):
+    found = baseline.expected_counts(logs(spark, sf_dir), MANY, START, END, "event_type")
+    return found.select(F.col("event_type").alias("template"), F.round("expected", 6).alias("expected"))
+
+
+#: Five thousand rules; the last two are met by most texts, and the first of all that fit counts.
+MANY_RULES = [noise.Rule(f'<*> {{"k": {n}}}', f"key {n}") for n in range(1, 5_000, 2)] + [noise.Rule(f"rare word{n} <*>", "never") for n in range(2_498)] + [noise.Rule("view <*>", "views"), noise.Rule("<*>4}", "ends in 4")]
+
+
+@query(oracle(r""" SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 2 = 1 AND CAST(json_extract(props, '$.k') AS INT) < 5000 THEN 'key ' || CAST(json_extract(props, '$.k') AS INT)
+        WHEN message LIKE 'view %' THEN 'views' WHEN message LIKE '%4}' THEN 'ends in 4' END AS noise_reason FROM logs"""))
+def noise_first_match_many(spark, sf_dir):
+    return noise.with_noise(logs(spark, sf_dir), MANY_RULES, None, "message").select("event_id", "noise_reason")
+
+
 @query(
     """WITH p AS (SELECT doc_id, string_split_regex(text, '<[^<>\\s]*>') AS a FROM (SELECT doc_id, replace(text, ' the ', ' <*> ') AS text FROM documents)),
        t AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '^[ :=,()\\[\\]''"]+|[ :=,()\\[\\]''"]+$', '', 'g')) AS a FROM p), u AS (SELECT doc_id, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM t)

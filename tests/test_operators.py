@@ -202,6 +202,53 @@ def test_noise(spark):
     assert noise.rules_of(None) == []
 
 
+def test_many_rules(spark, monkeypatch):
+    """Rules that are looked up say what rules in one expression say, in the order of the list."""
+    import random
+
+    assert noise.anchors(["a bb <*>", "a cc <*>x", "<*> <*>", "x\ty", "a"]) == ["bb", "cc", None, None, "a"]
+    rng = random.Random(8)
+    words = ["up", "down", "<*>", "x<*>", "(a", "b)", "1.5", "<*>%"]
+    rules = [noise.Rule(" ".join(rng.choice(words) for _ in range(rng.randint(2, 4))), f"r{i}") for i in range(90)]
+    rules = [r for r in rules if sum("<*>" in w for w in r.template.split(" ")) < 2] + [noise.Rule("<*>p", "no word of its own")]
+    rows = [(" ".join(rng.choice(["up", "down", "xy", "(a", "b)", "1.5", "9%", "z"]) for _ in range(rng.randint(0, 4))),) for _ in range(400)] + [(None,), ("up\tdown",), ("  up  ",)]
+    df = spark.createDataFrame(rows, "text string").withColumn("_text", F.lit(1)).withColumn("noise_reason", F.lit("old"))
+    want = sorted(map(tuple, noise.with_noise(df, rules).collect()), key=str)
+    monkeypatch.setattr(noise, "FEW_RULES", 0)
+    for most in (100_000, 0):
+        monkeypatch.setattr(noise, "BROADCAST_TEXTS", most)
+        assert sorted(map(tuple, noise.with_noise(df.drop("_text"), rules).withColumn("_t", F.lit(1)).select("text", "_t", "noise_reason").collect()), key=str) == want
+    assert len({r[2] for r in want}) > 10
+    many = noise.with_noise(df.drop("_text"), [noise.Rule(f"word{i} <*>", "r") for i in range(5_000)])
+    assert len(many._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_many_periods(spark, monkeypatch):
+    """Periods that are looked up, and those in pieces, say what one condition each says."""
+    import random
+    from datetime import timedelta
+
+
+
+    rng = random.Random(9)
+    day = datetime(2025, 3, 1)
+    for n in (1, 2, 7, 40):
+        periods = []
+        for _ in range(n):
+            start = day + timedelta(minutes=rng.randrange(600))
+            periods.append(times.Period(start, start + timedelta(minutes=rng.choice([0, 1, 5, 60]))))
+        rows = [(i % 3, day + timedelta(seconds=30 * i)) for i in range(1_400)]
+        df = spark.createDataFrame(rows, "template int, ts timestamp_ntz")
+        out = []
+        for few in (64, 0):
+            monkeypatch.setattr(times, "FEW_PERIODS", few)
+            monkeypatch.setattr(baseline, "FEW_PERIODS", few)
+            inside = sorted(r.ts for r in df.where(times.within_any(F.col("ts"), periods)).collect())
+            expected = sorted((r.template, round(r.expected, 9)) for r in baseline.expected_counts(df, periods, day, day + timedelta(hours=2)).collect())
+            out.append((inside, expected))
+        assert out[0] == out[1]
+
+
 def test_suspended(spark):
     t = spark.createDataFrame([(k, "r" if k != "clean" else None) for k in ("surge", "new", "few", "came", "quiet", "clean")], "template string, noise_reason string")
     found = spark.createDataFrame([("surge", "SURGE", 20), ("new", "NEW", 5), ("few", "NEW", 4), ("clean", "SURGE", 20), ("came", "DROP", 0)], "template string, kind string, observed long")
