@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logtide.functions.regex import TimeFormat, java_regex
 from logtide.functions.text import file_alias
+from logtide.functions.times import zone_name
 from logtide.operators.ordering import running, written
 from logtide.operators.records import LEVEL_ALIASES, normal_level, severity_of
 
 #: Continuation lines that a record keeps; more are counted.
 MOST_EXTRA = 300
-#: Java's classes mean what Python's do for Unicode text, and only \n ends a line.
-FLAGS = "(?dU)"
 
 # Forms of head lines and of timestamps.
 _STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?"
@@ -45,7 +45,11 @@ class LogFormat:
     def __post_init__(self):
         if not self.patterns:
             raise ValueError(f"format {self.name!r} has no patterns")
+        object.__setattr__(self, "timezone", zone_name(self.timezone))
+        if self.ts_format and "%" in self.ts_format:
+            TimeFormat(self.ts_format)
         for p in self.patterns:
+            java_regex(p)
             if missing := {"ts", "level", "message"} - set(re.compile(p).groupindex):
                 raise ValueError(f"a pattern of format {self.name!r} lacks {sorted(missing)}")
 
@@ -67,7 +71,7 @@ def head(line: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     found = None
     for pattern in patterns:
         groups = re.compile(pattern).groupindex
-        java = FLAGS + pattern.replace("(?P<", "(?<")
+        java = java_regex(pattern)
 
         def part(name: str, groups=groups, java=java) -> Column:
             return F.regexp_extract(line, java, groups[name]) if name in groups else F.lit("")
@@ -81,11 +85,15 @@ def head(line: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
 def timestamp(stamp: Column, zone: str, out_zone: str, offset_seconds: float = 0.0, form: str | None = None) -> Column:
     """A naive timestamp in ``out_zone``, clock corrected; null where the text is none.
 
-    A zone in the text goes before ``zone``.  Fractions are cut to microseconds.  ``form``:
-    a Spark datetime pattern in place of the ISO-like forms.
+    A zone in the text goes before ``zone``.  Fractions are cut to microseconds.  ``form``, in
+    place of the ISO-like forms: a format of ``strptime``'s directives, or a Spark datetime
+    pattern where it has no per cent sign.
     """
     text = F.trim(stamp)
-    if form:
+    if form and "%" in form:
+        own = TimeFormat(form)
+        naive, source = own.naive(text), own.zone(text, zone)
+    elif form:
         naive, source = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"), F.lit(zone)
     else:
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logtide.functions.regex import java_regex
 from logtide.functions.times import ArgumentError, bucket_index, fitting_width, floored, ntz
 from logtide.operators.ordering import ranked, running
 from logtide.operators.records import LEVEL_ALIASES, LEVELS
@@ -65,11 +66,9 @@ def condition(query: Query, columns: Sequence[str]) -> Column:
     extra = "extra" in columns and not query.message_only
     for text in query.texts:
         if query.regex:
-            try:
-                re.compile(text)
-            except re.error as e:
-                raise ArgumentError(f"not a regular expression: {text!r}: {e}") from e
-            hit = F.col("message").rlike(text) | (F.coalesce(F.col("extra"), F.lit("")).rlike(text) if extra else F.lit(False))
+            # Java finds what Python finds, or it is refused here.
+            java = java_regex(text)
+            hit = F.col("message").rlike(java) | (F.coalesce(F.col("extra"), F.lit("")).rlike(java) if extra else F.lit(False))
         else:
             low = F.lower(F.lit(text))
             hit = F.contains(F.lower("message"), low) | (F.contains(F.lower(F.coalesce(F.col("extra"), F.lit(""))), low) if extra else F.lit(False))

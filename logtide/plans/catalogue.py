@@ -465,6 +465,22 @@ def period_membership(spark, sf_dir):
     return logs(spark, sf_dir).where(within_any(F.col("ts"), NORMAL)).select("event_id", "ts")
 
 
+_FORMS = (("dd/MMM/yyyy:HH:mm:ss", "%d/%b/%Y:%H:%M:%S"), ("yyyy-DDD hh:mm:ss a", "%Y-%j %I:%M:%S %p"), ("yyMMdd HHmmss.SSSSSS", "%y%m%d %H%M%S.%f"))
+
+
+@query("SELECT event_id, " + ", ".join(f"strptime(strftime(ts, '{form}'), '{form}') AS t{i}" for i, (_, form) in enumerate(_FORMS)) + " FROM events")
+def timestamp_formats(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", *[parse.timestamp(F.date_format("ts", java), "UTC", "UTC", form=form).alias(f"t{i}") for i, (java, form) in enumerate(_FORMS)])
+
+
+@query(oracle(r"SELECT event_id, message FROM logs WHERE regexp_matches(message, '^(view|click) .*\b[0-9]*7\b')"))
+def search_regex_dialect(spark, sf_dir):
+    """An expression with named groups and Python's classes."""
+    r = logs(spark, sf_dir)
+    return r.where(search.condition(search.Query(texts=(r"^(?P<what>view|click)\s.*\b\d*7\b",), regex=True), r.columns)).select("event_id", "message")
+
+
 #: Periods of minutes that overlap here and there, far more than a person would name.
 MANY = [Period(datetime(2024, 1, 1) + timedelta(minutes=4 * i), datetime(2024, 1, 1) + timedelta(minutes=4 * i + 1 + i % 5)) for i in range(10_000)]
 _MANY_SQL = """, many AS (SELECT TIMESTAMP '2024-01-01' + to_minutes(4 * i) AS lo, TIMESTAMP '2024-01-01' + to_minutes(4 * i + 1 + i % 5) AS hi, 1 + i % 5 AS minutes FROM range(10000) r(i))"""
