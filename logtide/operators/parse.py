@@ -139,8 +139,8 @@ def parsed(lines: DataFrame, formats: list[LogFormat], out_zone: str = "+09:00",
 
     Records: file, file_order, alias, lineno, ts, level, severity, component, message, extra,
     extra_dropped.  Files: counts of lines, records, continuation and unparsed lines and bad
-    timestamps, first and last ts, and unknown levels.  ``offsets``: seconds by alias, before
-    those of formats.
+    timestamps, first and last ts, the clock's offset in seconds, and how often each unknown
+    level occurs.  ``offsets``: seconds by alias, before those of formats.
     """
     offsets = offsets or {}
     heads = F.lit(None).cast("struct<ts:string,level:string,component:string,message:string>")
@@ -176,6 +176,13 @@ def parsed(lines: DataFrame, formats: list[LogFormat], out_zone: str = "+09:00",
         F.count(F.when(F.col("bad_timestamp"), 1)).alias("bad_timestamps"),
         F.min(F.when(F.col("is_head"), F.col("ts"))).alias("first_ts"),
         F.max(F.when(F.col("is_head"), F.col("ts"))).alias("last_ts"),
-        F.collect_set("raw_level").alias("unknown_levels"),
     )
-    return records, files
+    # Counted before they are gathered, so that a task sends a level of a file once.
+    levels = found.where("raw_level IS NOT NULL").groupBy("file", "raw_level").agg(F.count("*").alias("_n"))
+    levels = levels.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("raw_level", "_n")))).alias("unknown_levels"))
+    offset = F.lit(0.0)
+    for i, form in enumerate(formats):
+        offset = F.when(F.col("format") == i, form.clock_offset_seconds).otherwise(offset)
+    for alias, seconds in offsets.items():
+        offset = F.when(F.col("alias") == alias, float(seconds)).otherwise(offset)
+    return records, files.withColumn("clock_offset_seconds", offset).join(levels, "file", "left")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logtide.operators.ordering import ranked
+
 from logtide.functions.times import ntz
 from logtide.operators.records import is_trigger
 
@@ -55,12 +57,12 @@ def component_histogram(records: DataFrame, key: str = "template") -> DataFrame:
 def numbered(records: DataFrame, order: list[str], key: str = "template") -> DataFrame:
     """(template, template_id): T01, T02, … by first appearance in ``order``; wider from 100 templates on.
 
-    Templates are few beside records; the window sees one row of each.
+    Places are counted by ranges, so that no task sees all templates.
     """
     firsts = records.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    everywhere = Window.partitionBy()
-    table = firsts.withColumn("_n", F.row_number().over(Window.orderBy("_first"))).withColumn("_all", F.count("*").over(everywhere))
-    width = F.greatest(F.lit(2), F.length(F.col("_all").cast("string")))
+    table = ranked(firsts, ["_first", key], "template-numbers", "_n")
+    table = table.withColumn("_n", F.col("_n") + 1)
+    width = F.lit(max(2, len(str(table.count()))))
     return table.select(key, F.concat(F.lit("T"), F.when(F.length(F.col("_n").cast("string")) >= width, F.col("_n").cast("string")).otherwise(F.lpad(F.col("_n").cast("string"), 20, "0").substr(F.lit(21) - width, width))).alias("template_id"))
 
 

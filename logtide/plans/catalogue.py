@@ -151,6 +151,21 @@ def continuation_attach(spark, sf_dir):
     return out.select(F.col("file").alias("doc_id"), F.col("lineno").alias("head_lineno"), F.size("extra").cast("long").alias("extra_lines"), F.aggregate("extra", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("extra_chars"))
 
 
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+       SELECT md5(line) AS line_md5, count(*) AS n FROM l WHERE line <> '' GROUP BY 1""")
+def log_lines(spark, sf_dir):
+    """The documents' texts as log files of the shared folder, some of them gzip, read back in ranges of bytes."""
+    from logtide.sources import logfiles
+
+    texts_ = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("text").alias("value"), (F.xxhash64("text") % 2 == 0).alias("packed"))
+    folder = ordering.new_path(spark, "logs")
+    texts_.where("NOT packed").select("value").write.text(f"{folder}/plain")
+    texts_.where("packed").select("value").write.option("compression", "gzip").text(f"{folder}/packed")
+    form = parse.LogFormat(files=("part-*.txt", "part-*.txt.gz"), encoding="utf-8")
+    lines = logfiles.lines(spark, logfiles.listed([folder], [form], spark), [form])
+    return lines.where("line <> ''").groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
 @query(oracle("SELECT file, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts FROM logs GROUP BY file"))
 def file_stats(spark, sf_dir):
     return templates.file_statistics(logs(spark, sf_dir))

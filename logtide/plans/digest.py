@@ -136,7 +136,7 @@ def _quality(files: DataFrame, incident: Incident, counts: dict) -> list[str]:
         if f.total_lines and unread / f.total_lines > UNREAD_SHARE:
             out.append(f"{f.file}: {unread} lines can't be read ({unread / f.total_lines:.0%})")
         if f.unknown_levels:
-            out.append(f"{f.file}: unknown levels were read as INFO: {', '.join(sorted(f.unknown_levels))}")
+            out.append(f"{f.file}: unknown levels were read as INFO: {', '.join(f'{level} ({n})' for level, n in sorted(f.unknown_levels.items()))}")
         if f.encoding not in ("utf-8", "ascii"):
             out.append(f"{f.file}: read as {f.encoding}")
         if f.last_ts < incident.start or f.first_ts > incident.end:
@@ -156,7 +156,7 @@ def store_tables(a: Analysis) -> dict[str, DataFrame]:
         [(i.ticket, i.product, i.version, i.os, i.symptom, i.time, i.start, i.end, i.zone)],
         "ticket string, product string, product_version string, os string, symptom string, incident_time timestamp_ntz, window_start timestamp_ntz, window_end timestamp_ntz, timezone string",
     )
-    files = a.files.select("file", "alias", "format", "encoding", "records", (F.col("unparsed_lines") + F.col("bad_timestamps")).alias("unparsed_lines"), "first_ts", "last_ts")
+    files = a.files.select("file", "alias", "format", "encoding", "records", (F.col("unparsed_lines") + F.col("bad_timestamps")).alias("unparsed_lines"), "first_ts", "last_ts", "clock_offset_seconds")
     return {"logs": logs_table(a.records, t), "templates": t.coalesce(1).sortWithinPartitions("template_id"), "incident": incident, "files": files}
 
 

@@ -7,8 +7,10 @@ inputs; a store with the same stamp isn't built again.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
@@ -28,9 +30,18 @@ class StoreError(ValueError):
     """The store is missing or of another version."""
 
 
-def stamp(paths: Sequence[str]) -> list[str]:
-    """Name, size and time of change of each input."""
-    return [f"{p}:{s.st_size}:{s.st_mtime_ns}" for p in sorted(paths) for s in [os.stat(p)]]
+def stamp(paths: Sequence[str], settings: object = None, spark: SparkSession | None = None) -> list[str]:
+    """Name, size and time of change of each input, and a digest of the settings."""
+    out = []
+    for p in sorted(paths):
+        if "://" in p:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            s = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at)
+            out.append(f"{p}:{s.getLen()}:{s.getModificationTime()}")
+        else:
+            s = os.stat(p)
+            out.append(f"{p}:{s.st_size}:{s.st_mtime_ns}")
+    return out if settings is None else [*out, hashlib.sha256(repr(settings).encode()).hexdigest()]
 
 
 def logs_table(records: DataFrame, templates: DataFrame) -> DataFrame:
@@ -54,9 +65,17 @@ def logs_table(records: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
-def build(folder: str, tables: dict[str, DataFrame], inputs: Sequence[str] = (), about: dict | None = None) -> dict:
-    """Write the tables and the manifest.  Logs are sorted by time inside their files, so that filters on ts skip row groups."""
-    root = Path(folder)
+def build(folder: str, tables: dict[str, DataFrame], made_of: Sequence[str] = (), about: dict | None = None) -> dict:
+    """Write the tables and the manifest.  Logs are sorted by time inside their files, so that filters on ts skip row groups.
+
+    Executors write to the folder, so on a cluster it must be one that they share with the
+    driver, such as a mount; ``spark.logtide.sharedFolders`` says which folders are, by commas.
+    """
+    spark = tables["logs"].sparkSession
+    root = Path(folder).resolve()
+    shared = [Path(p.strip()) for p in spark.conf.get("spark.logtide.sharedFolders", "").split(",") if p.strip()]
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) and not any(root.is_relative_to(p) for p in shared):
+        raise StoreError(f"{folder} isn't in a folder that driver and executors share; spark.logtide.sharedFolders names these")
     root.mkdir(parents=True, exist_ok=True)
     data = f"store-{uuid.uuid4().hex}"
     for name in TABLES:
@@ -64,7 +83,7 @@ def build(folder: str, tables: dict[str, DataFrame], inputs: Sequence[str] = (),
         if name == "logs":
             df = df.repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
         df.write.parquet(f"file://{root.resolve()}/{data}/{name}")
-    manifest = {"version": VERSION, "data": data, "stamp": stamp(inputs), "built": datetime.now().isoformat(timespec="seconds"), "about": about or {}}
+    manifest = {"version": VERSION, "data": data, "stamp": list(made_of), "built": datetime.now().isoformat(timespec="seconds"), "about": about or {}}
     temporary = root / f".{MANIFEST}.{uuid.uuid4().hex}"
     temporary.write_text(json.dumps(manifest, indent=1))
     os.replace(temporary, root / MANIFEST)
@@ -81,9 +100,10 @@ def manifest(folder: str) -> dict:
     return found
 
 
-def is_fresh(folder: str, inputs: Sequence[str]) -> bool:
+def is_fresh(folder: str, made_of: Sequence[str]) -> bool:
+    """Whether the store is there, of this version, and made of what the stamp says."""
     try:
-        return manifest(folder)["stamp"] == stamp(inputs)
+        return bool(made_of) and manifest(folder)["stamp"] == list(made_of)
     except (StoreError, OSError):
         return False
 

@@ -58,7 +58,7 @@ LIMIT_ITEMS = {
     "count_by_time": {"max_buckets": "buckets", "max_templates": "count_templates"},
     "run_sql": {"max_rows": "sql_rows", "timeout_seconds": "sql_seconds", "cell_chars": "cell_chars"},
 }
-#: Items of a limits file that are about the reference's own store.
+#: Items of a limits file that are about a store of one process.
 LIMITS_OF_STORE = ("memory_limit", "threads")
 
 

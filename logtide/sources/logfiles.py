@@ -324,4 +324,4 @@ def with_empty(files: DataFrame, listed_files: Sequence[tuple[str, str, int]]) -
     """File statistics with a row for each listed file, also for those without a line."""
     every = files.sparkSession.createDataFrame([(order, shown, number) for order, (_, shown, number) in enumerate(listed_files)], "file_order int, file string, format int")
     counts = ["total_lines", "records", "continuation_lines", "unparsed_lines", "bad_timestamps"]
-    return every.join(files.drop("file", "format"), "file_order", "left").fillna(0, counts).fillna("", ["encoding"]).orderBy(F.col("file_order"))
+    return every.join(files.drop("file", "format"), "file_order", "left").fillna(0, counts).fillna("", ["encoding"]).fillna(0.0, ["clock_offset_seconds"]).orderBy(F.col("file_order"))

@@ -42,7 +42,7 @@ def test_parse_mini(spark, tmp_path):
     assert [r.ts for r in rows] == [datetime(2026, 9, 30, 10, 0, 0, 500000), datetime(2026, 9, 30, 10, 0, 1, 123456), datetime(2026, 9, 30, 10, 0, 2), datetime(2026, 9, 30, 19, 0, 4)]
     assert rows[1].extra == ["java.lang.IllegalStateException: x", "\tat a.b.C(C.java:1)"] and rows[2].extra == ["2026-13-40 10:00:03 INFO [x] bad time"]
     s = stats["mini.log"]
-    assert (s.total_lines, s.records, s.continuation_lines, s.unparsed_lines, s.bad_timestamps, s.unknown_levels) == (9, 4, 3, 1, 1, ["VERBOSE"])
+    assert (s.total_lines, s.records, s.continuation_lines, s.unparsed_lines, s.bad_timestamps, s.unknown_levels) == (9, 4, 3, 1, 1, {"VERBOSE": 1})
 
 
 def test_files(spark, tmp_path):

@@ -202,6 +202,28 @@ def test_command_line(spark, folder, tmp_path):
         cli.offsets_of(["x"])
 
 
+def test_unchanged_inputs(spark, tmp_path):
+    """A digest of the same files and settings isn't made again on demand; facts of files, counts of unknown levels and offsets are kept."""
+    log = tmp_path / "one.log"
+    log.write_text("junk\n" + "\n".join(f"2026-09-30 10:30:0{i} VERBOSE [a] x{i}" for i in range(3)) + "\n")
+    out = str(tmp_path / "out")
+    asked = ["digest", "--ticket", "T", "--incident-time", "2026-09-30 10:30", "--logs", str(log), "--out", out, "--baseline", "none", "--clock-offset", "one=2.5", "--if-changed"]
+    assert not cli.run(asked, spark).endswith(": unchanged\n")
+    meta = json.loads((tmp_path / "out" / "meta.json").read_text())
+    facts = meta["files"][0]
+    assert (facts["file"], facts["total_lines"], facts["records"], facts["unparsed_lines"], facts["unknown_levels"], facts["clock_offset_seconds"], facts["window_records"]) == ("one.log", 4, 3, 1, {"VERBOSE": 3}, 2.5, 3)
+    assert any("VERBOSE (3)" in w for w in meta["warnings"])
+    assert Tools(spark, out).tables["files"].first().clock_offset_seconds == 2.5
+    built = store.manifest(out + "/store")["data"]
+    assert cli.run(asked, spark).endswith(": unchanged\n") and store.manifest(out + "/store")["data"] == built
+    for changed in ([*asked, "--context-lines", "2"], asked):
+        if changed is asked:
+            log.write_text(log.read_text() + "2026-09-30 10:30:09 INFO [a] y\n")
+        assert not cli.run(changed, spark).endswith(": unchanged\n")
+        assert store.manifest(out + "/store")["data"] != built
+        built = store.manifest(out + "/store")["data"]
+
+
 def test_configuration_files(spark, tmp_path):
     """Level aliases, a single pattern, Drain's settings and search limits are used, and meta.json has the files' hashes."""
     import hashlib
