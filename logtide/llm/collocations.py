@@ -1,19 +1,20 @@
 """Phrase collocations, counted by slots of a minimal perfect hash.
 
 Phrases are rows of word ids: 64-bit hashes of language and word, which are checked to tell each
-frequent word from all others (else another seed is taken).  The texts are read four times:
-
-1. Words are counted exactly.
-2. Phrases of frequent words are counted into a fixed number of buckets.  A bucket holds at least
-   as many as any of its phrases, and a phrase occurs at most as often as its parts.
-3. So a phrase is a candidate only if its words are frequent and its bucket, and those of its
-   parts, are full enough: nothing that is frequent is lost.  Candidates are made distinct.
+frequent word from all others (else another seed is taken).
+
+1. Words are counted exactly.  Then texts are written as word ids, where rare words are gaps;
+   all that follows reads these.
+2. Pairs of frequent words are counted into a fixed number of buckets, and then triples both of
+   whose pairs have full buckets.  A bucket holds at least as many as any of its phrases, and a
+   phrase occurs at most as often as its parts, so nothing that is frequent is lost.
+3. Phrases whose buckets are full, and whose parts' are, are the candidates; they are made distinct.
 4. A minimal perfect hash gives each candidate a slot, and the slot keeps the candidate's words, so
    that other phrases are told by them.  Mappers count slots with ``numpy.bincount``, and the
    arrays are summed as a tree, slice by slice.
 
 What a cut's parts count is read from their slots.  Candidates are dealt into shards of a bounded
-number; each shard is a pass of its own over the texts, so that what mappers hold is bounded
+number; each shard is a pass of its own over the ids, so that what mappers hold is bounded
 however many candidates there are.
 
 Null texts are empty, null languages ``und``.  Repeated rows count each time.  Counts are exact up
@@ -34,20 +35,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import sized, small_batches, text_or_empty, written
+from logtide.llm.common import shuffle_partitions, sized, small_batches, text_or_empty, written
 
 #: Occurrences of a candidate, the percentage of its own that a longer one must have to replace it, and phrases returned for a language.
 LEAST, REPLACED, TOP = 10, 50, 2000
-#: Bits of the numbers of buckets, and of places in the filter of frequent words: 32 MB of counts a mapper, 4 MB and 2 MB of bits for all.
+#: Bits of the numbers of buckets, and of places in the filter of frequent words: 32 MB of counts a mapper, and bits for all: 4 MB each of pairs and triples, 2 MB of words.
 BUCKET_BITS, WORD_BITS = 25, 24
 #: Candidates of a shard: 24 bytes of words and 8 of counts each.
-SHARD_KEYS = 1_500_000
+SHARD_KEYS = 750_000
+#: Bytes of a part of a shard; parts come to the driver in tasks of a few, and go out together.
+PART_BYTES = 1 << 20
 #: Numbers in a slice of an array that is summed.
 SLICE = 1 << 16
-#: Words that are looked at in one go, and those that a worker knows the ids of.
-WINDOW, MEMO_WORDS = 1 << 17, 300_000
+#: Words that are looked at in one go, those of a written row, and those that a worker knows the ids of.
+WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 17, 2048, 200_000
 #: Distinct words, and places of candidates, that a task holds before it emits them.
-MOST_WORDS, MOST_PLACES = 250_000, 1 << 19
+MOST_WORDS, MOST_PLACES = 250_000, 1 << 20
+#: Parts that candidates are dealt into, for each shuffle partition.
+PARTS = 4
 #: Bytes of a text that are cut into words in one go.
 CHUNK = 1 << 20
 #: Frequent words up to which their table is broadcast.
@@ -138,35 +143,64 @@ def hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _joined(_joined(a, b), c)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids of words and of the two behind each, over rows of (lang, text); 0 where a piece has ended."""
+def _texts_ids(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[np.ndarray]:
+    """Ids of words over rows of (lang, text), in rows that end in the two ids with which the next one begins; 0 where a piece has ended."""
     memos: dict[str, _Ids] = {}
     held, size = [], 0
-
-    def cut(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for at in range(0, len(ids) - 2, WINDOW):
-            x = ids[at : at + WINDOW + 2]
-            yield x[:-2], x[1:-1], x[2:]
-
     end = np.zeros(2, _U)
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (memo := memos.get(lang)) is None or len(memo) > MEMO_WORDS:
+            if sum(map(len, memos.values())) > MEMO_WORDS:
+                memos.clear()
+            if (memo := memos.get(lang)) is None:
                 memo = memos[lang] = _Ids(lang, seed)
-                if len(memos) > 64:
-                    memos = {lang: memo}
             for tokens in token_pieces(text):
                 held.append(np.fromiter(map(memo.__getitem__, tokens), _U, len(tokens)))
                 size += len(tokens)
                 if size >= WINDOW:
                     # The last two words wait for what comes behind them.
                     ids = np.concatenate(held)
-                    yield from cut(ids)
+                    yield ids
                     held, size = [ids[-2:]], 2
             held.append(end)
             size += 2
     if held:
-        yield from cut(np.concatenate([*held, end]))
+        yield np.concatenate([*held, end])
+
+
+def _written_ids(words: Broadcast, seed: int) -> Callable:
+    """Ids of frequent words, as bytes; rare words are gaps, and gaps are one 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.frombuffer(words.value, np.uint8)
+        for ids in _texts_ids(batches, seed):
+            known = np.where(_bits(frequent, _place(ids, WORD_BITS)), ids, _U(0))
+            own, tail = known[:-2], known[-2:]
+            own = own[(own != 0) | (np.concatenate([[1], own[:-1]]) != 0)]
+            known = np.concatenate([own, tail])
+            rows = [known[at : at + ROW_WORDS + 2].tobytes() for at in range(0, len(own), ROW_WORDS)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words and the two behind each, over written rows of ids; 0 stands for a gap."""
+    held, size = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([x[:-2] for x in held]), np.concatenate([x[1:-1] for x in held]), np.concatenate([x[2:] for x in held])
+
+    for batch in batches:
+        for row in batch.column(0):
+            held.append(np.frombuffer(row.as_buffer(), _U).copy())
+            size += len(held[-1])
+            if size >= WINDOW:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
 
 
 def _bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -227,65 +261,106 @@ def _unpacked(packed: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
-def _bucketed(words: Broadcast, seed: int, least: int) -> Callable:
-    """Counts of phrases of frequent words by bucket, up to ``least``."""
+def _bucketed(pairs: Broadcast | None, least: int) -> Callable:
+    """Counts by bucket, up to ``least``: of pairs, or of triples both of whose pairs have full buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(words.value, np.uint8)
         counts = np.zeros(1 << BUCKET_BITS, np.uint8)
-        for a, b, c in _windows(batches, seed):
-            two, three, h2, h3 = _phrases(a, b, c, frequent)
-            found, n = np.unique(_place(np.concatenate([h2[two], h3[three]]), BUCKET_BITS), return_counts=True)
+        for a, b, c in _windows(batches):
+            if pairs is None:
+                at = np.flatnonzero((a != 0) & (b != 0))
+                h = hashed(a[at], b[at], np.zeros(len(at), _U))
+            else:
+                at = _triples(a, b, c, np.frombuffer(pairs.value, np.uint8))
+                h = hashed(a[at], b[at], c[at])
+            found, n = np.unique(_place(h, BUCKET_BITS), return_counts=True)
             counts[found] = np.minimum(counts[found] + np.minimum(n, least), least)
         yield from _slices(counts)
 
     return run
 
 
-def _phrases(a: np.ndarray, b: np.ndarray, c: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Where phrases of two and of three frequent words begin, and all phrases' hashes."""
-    known = _bits(frequent, _place(np.concatenate([a, b[-1:], c[-1:]]), WORD_BITS))
-    known &= np.concatenate([a, b[-1:], c[-1:]]) != 0
-    two = known[:-2] & known[1:-1]
-    pair = _joined(a, b)
-    return two, two & known[2:], _joined(pair, _U(0) * b), _joined(pair, c)
+def _full_pairs(a: np.ndarray, b: np.ndarray, full: np.ndarray) -> np.ndarray:
+    out = (a != 0) & (b != 0)
+    at = np.flatnonzero(out)
+    out[at] = _bits(full, _place(hashed(a[at], b[at], np.zeros(len(at), _U)), BUCKET_BITS))
+    return out
+
 
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Where triples begin both of whose pairs have full buckets."""
+    at = np.flatnonzero(_full_pairs(a, b, full))
+    return at[_full_pairs(b[at], c[at], full)]
 
-def _distinct(words: Broadcast, buckets: Broadcast, seed: int) -> Callable:
-    """Candidates of two and three words, each at least once."""
+
+def _distinct(pairs: Broadcast, triples: Broadcast, parts: int) -> Callable:
+    """(part, pairs, triples): candidates of two and three words as bytes, each once for every MOST_PLACES or so, dealt by hash."""
+
+    def emitted(keys: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(_shard_of(*keys, parts), kind="stable")
+        keys = keys[:, order]
+        ends = np.cumsum(np.bincount(_shard_of(*keys, parts), minlength=parts))
+        two, three = [], []
+        for own in np.split(keys, ends[:-1], axis=1):
+            wide = own[2] != 0
+            two.append(own[:2, ~wide].tobytes())
+            three.append(own[:, wide].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(two, pa.binary()), pa.array(three, pa.binary())], names=["part", "pairs", "triples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for a, b, c in _windows(batches, seed):
-            for at, width in _candidate_places(a, b, c, np.frombuffer(words.value, np.uint8), np.frombuffer(buckets.value, np.uint8)):
+        held, size, distinct = [], 0, 0
+        for a, b, c in _windows(batches):
+            for at, width in _candidate_places(a, b, c, pairs, triples):
                 held.append(np.stack([a[at], b[at], c[at] if width == 3 else np.zeros(len(at), _U)]))
                 size += len(at)
-            if size > MOST_PLACES:
-                yield _unique(np.concatenate(held, axis=1))
-                held, size = [], 0
+            if size > 2 * distinct + MOST_PLACES // 4:
+                # What is distinct so far stays, until there is too much of it.
+                held = [_unique(np.concatenate(held, axis=1))]
+                size = distinct = held[0].shape[1]
+                if size > MOST_PLACES:
+                    yield emitted(held[0])
+                    held, size, distinct = [], 0, 0
         if held:
-            yield _unique(np.concatenate(held, axis=1))
+            yield emitted(_unique(np.concatenate(held, axis=1)))
 
     return run
 
 
-def _candidate_places(a, b, c, frequent: np.ndarray, full: np.ndarray) -> list[tuple[np.ndarray, int]]:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct candidates (a, b, c) of rows of parts; those of a part come one after the other."""
+    now, held = None, []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = _unique(np.concatenate(held, axis=1)).view(np.int64)
+        for at in range(0, keys.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in keys[:, at : at + 50_000]], names=["a", "b", "c"])
+
+    for batch in batches:
+        for part, two, three in zip(*batch.columns, strict=True):
+            if part.as_py() != now:
+                if held:
+                    yield from out()
+                now, held = part.as_py(), []
+            short = np.frombuffer(two.as_buffer(), _U).reshape(2, -1)
+            held += [np.concatenate([short, np.zeros((1, short.shape[1]), _U)]), np.frombuffer(three.as_buffer(), _U).reshape(3, -1)]
+    if held:
+        yield from out()
+
+
+def _candidate_places(a, b, c, pairs: Broadcast, triples: Broadcast) -> list[tuple[np.ndarray, int]]:
     """Where candidates of two and of three words begin."""
-    two, three, h2, h3 = _phrases(a, b, c, frequent)
-    two &= _bits(full, _place(h2, BUCKET_BITS))
-    # The pair that begins one word further must be one too; behind the window's end it is looked up.
-    last = _bits(full, _place(hashed(b[-1:], c[-1:], np.zeros(1, _U)), BUCKET_BITS))
-    three &= two & np.concatenate([two[1:], last])
-    three &= _bits(full, _place(h3, BUCKET_BITS))
-    return [(np.flatnonzero(two), 2), (np.flatnonzero(three), 3)]
+    full = np.frombuffer(pairs.value, np.uint8)
+    two = np.flatnonzero(_full_pairs(a, b, full))
+    three = two[_full_pairs(b[two], c[two], full)]
+    three = three[_bits(np.frombuffer(triples.value, np.uint8), _place(hashed(a[three], b[three], c[three]), BUCKET_BITS))]
+    return [(two, 2), (three, 3)]
 
 
-def _unique(keys: np.ndarray) -> pa.RecordBatch:
+def _unique(keys: np.ndarray) -> np.ndarray:
     """Distinct columns of ``keys``, told by their hashes; columns of another's hash that differ from it stay too."""
     _, first, of = np.unique(hashed(*keys), return_index=True, return_inverse=True)
     other = np.flatnonzero((keys != keys[:, first[of]]).any(axis=0))
-    kept = keys[:, np.concatenate([first, other])].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(k) for k in kept], names=["a", "b", "c"])
+    return keys[:, np.concatenate([first, other])]
 
 
 @dataclass
@@ -383,12 +458,13 @@ def _dealt(shards: int) -> Callable:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a shard: its perfect hash.  The rows of a shard come one after the other; there are about SHARD_KEYS of them."""
+    """Each shard's perfect hash, in rows of a part.  The rows of a shard come one after the other; there are about SHARD_KEYS of them."""
     now, held = None, []
 
     def out() -> pa.RecordBatch:
-        keys = np.concatenate(held, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([PerfectHash.build(keys).packed()], pa.binary())], names=["shard", "hash"])
+        content = PerfectHash.build(np.concatenate(held, axis=1)).packed()
+        parts = [content[at : at + PART_BYTES] for at in range(0, len(content), PART_BYTES)]
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["shard", "part", "hash"])
 
     for batch in batches:
         shards = batch.column("shard").to_numpy()
@@ -414,7 +490,7 @@ def _shard(shared: Broadcast, key: int) -> PerfectHash:
     return _shards[key]
 
 
-def _by_slot(words: Broadcast, buckets: Broadcast, shared: Broadcast, key: int, shard: int, shards: int, seed: int) -> Callable:
+def _by_slot(pairs: Broadcast, triples: Broadcast, shared: Broadcast, key: int, shard: int, shards: int) -> Callable:
     """Counts of the shard's phrases by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,12 +509,10 @@ def _by_slot(words: Broadcast, buckets: Broadcast, shared: Broadcast, key: int,
             held.append(slots)
             size += len(slots)
 
-        for a, b, c in _windows(batches, seed):
-            frequent = np.frombuffer(words.value, np.uint8)
-            one = np.flatnonzero((a != 0) & _bits(frequent, _place(a, WORD_BITS)))
-            none = np.zeros(len(a), _U)
+        for a, b, c in _windows(batches):
+            one, none = np.flatnonzero(a), np.zeros(len(a), _U)
             met(a[one], none[one], none[one])
-            for at, width in _candidate_places(a, b, c, frequent, np.frombuffer(buckets.value, np.uint8)):
+            for at, width in _candidate_places(a, b, c, pairs, triples):
                 met(a[at], b[at], c[at] if width == 3 else none[at])
             if size > max(n, MOST_PLACES):
                 counts += np.bincount(np.concatenate(held), minlength=n)
@@ -531,37 +605,48 @@ def word_counts(sent: DataFrame, least: int) -> tuple[DataFrame, int]:
 def phrase_counts(spark: SparkSession, sent: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """(a, b, c, f, l1, r1, l2, r2): phrases of two (c = 0) and three word ids that occur at least ``least`` times, and their cuts' parts' counts; a written table."""
     context = spark.sparkContext
-    few = sent.coalesce(max(1, WAVES * context.defaultParallelism))
     frequent = words.where(F.col("n") >= least)
     known = context.broadcast(_set_bits(frequent.select("id"), WORD_BITS))
-    buckets = context.broadcast(_full(tree_sum(few.mapInArrow(_bucketed(known, seed, least), _SLICES), "u1", least), BUCKET_BITS, least))
+    ids = written(sent.mapInArrow(_written_ids(known, seed), "ids binary"), "phrase-ids")
+    known.destroy()
+    few = ids.coalesce(max(1, WAVES * context.defaultParallelism))
+    pairs = context.broadcast(_full(tree_sum(few.mapInArrow(_bucketed(None, least), _SLICES), "u1", least), BUCKET_BITS, least))
+    triples = context.broadcast(_full(tree_sum(few.mapInArrow(_bucketed(pairs, least), _SLICES), "u1", least), BUCKET_BITS, least))
     places = "a long, b long, c long"
-    phrases = sent.mapInArrow(_distinct(known, buckets, seed), places).distinct()
+    # More parts than tasks, so that a task holds one of a few of its own at a time.
+    parts = PARTS * shuffle_partitions(spark)
+    met = few.mapInArrow(_distinct(pairs, triples, parts), "part int, pairs binary, triples binary")
+    phrases = met.repartition("part").sortWithinPartitions("part").mapInArrow(_met, places)
     zero = F.lit(0).cast("long")
     candidates = written(phrases.unionByName(frequent.select(F.col("id").alias("a"), zero.alias("b"), zero.alias("c"))), "phrase-candidates")
     shards = max(1, -(-candidates.count() // SHARD_KEYS))
     dealt = candidates.mapInArrow(_dealt(shards), f"{places}, shard int")
-    hashes = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_hashes, "shard int, hash binary"), "phrase-hashes")
+    hashes = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_hashes, "shard int, part int, hash binary").repartition("shard", "part"), "phrase-hashes")
 
-    held, found = [], None
+    def share(shard: int) -> tuple[Broadcast, int, int]:
+        """The shard for the workers, what tells it from others, and its number of phrases."""
+        parts = {row["part"]: bytes(row["hash"]) for row in hashes.where(F.col("shard") == shard).toLocalIterator()}
+        content = b"".join(parts[i] for i in range(len(parts))) or PerfectHash.build(np.zeros((3, 0), _U)).packed()
+        return context.broadcast(content), xxhash.xxh3_64_intdigest(content), PerfectHash.unpacked(content).keys.shape[1]
+
+    counts, found = [], None
     for shard in range(shards):
-        row = hashes.where(F.col("shard") == shard).first()
-        content = bytes(row["hash"]) if row else PerfectHash.build(np.zeros((3, 0), _U)).packed()
-        key = xxhash.xxh3_64_intdigest(content)
-        shared = context.broadcast(content)
-        counts = written(tree_sum(few.mapInArrow(_by_slot(known, buckets, shared, key, shard, shards, seed), _SLICES), "<i8"), "phrase-slots")
-        often = written(counts.mapInArrow(_frequent(shared, key, least), f"{places}, f long"), "phrase-often")
+        shared, key, _ = share(shard)
+        counts.append(written(tree_sum(few.mapInArrow(_by_slot(pairs, triples, shared, key, shard, shards), _SLICES), "<i8"), "phrase-slots"))
+        often = written(counts[shard].mapInArrow(_frequent(shared, key, least), f"{places}, f long"), "phrase-often")
         found = often if found is None else found.unionByName(often)
-        held.append((content, key, counts))
-        shared.unpersist()
+        shared.destroy()
     read = found.select("*", *[zero.alias(name) for name in _PARTS])
-    for shard, (content, key, counts) in enumerate(held):
-        by_slot = np.zeros(PerfectHash.unpacked(content).keys.shape[1], np.int64)
-        for row in counts.toLocalIterator():
+    for shard in range(shards):
+        shared, key, size = share(shard)
+        by_slot = np.zeros(size, np.int64)
+        for row in counts[shard].toLocalIterator():
             part = _unpacked(bytes(row.counts), "<i8")
             by_slot[row.slice * SLICE : row.slice * SLICE + len(part)] = part
-        shared, numbers = context.broadcast(content), context.broadcast(by_slot.tobytes())
+        numbers = context.broadcast(by_slot.tobytes())
         read = written(read.mapInArrow(_read(shared, numbers, key, shard, shards), f"{places}, f long, " + ", ".join(f"{p} long" for p in _PARTS)), "phrase-cuts")
+        shared.destroy()
+        numbers.destroy()
     return read
 
 

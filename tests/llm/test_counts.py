@@ -166,14 +166,16 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     text = " ".join(random.Random(2).choice(["one", "two. ", "three!", "é", "four"]) for _ in range(3_000)).encode()
     docs = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, b"tail"], pa.binary())], names=["lang", "text"])
 
-    def all_windows():
-        return [np.concatenate(x).tolist() for x in zip(*collocations._windows(iter([docs]), 0), strict=True)]
+    def all_rows():
+        """Words with the two behind them, by what rows of ids say."""
+        rows = [pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"]) for x in collocations._texts_ids(iter([docs]), 0)]
+        return [np.concatenate(x).tolist() for x in zip(*collocations._windows(iter(rows)), strict=True)]
 
-    whole, terms = all_windows(), [t for part in divergence.term_pieces(text) for t in part]
+    whole, terms = all_rows(), [t for part in divergence.term_pieces(text) for t in part]
     monkeypatch.setattr(collocations, "CHUNK", 7)
     monkeypatch.setattr(divergence, "CHUNK", 7)
-    monkeypatch.setattr(collocations, "WINDOW", 5)
-    assert all_windows() == whole and [t for part in divergence.term_pieces(text) for t in part] == terms
+    monkeypatch.setattr(collocations, "WINDOW", 50)
+    assert all_rows() == whole and [t for part in divergence.term_pieces(text) for t in part] == terms
 
 
 # --- divergence
