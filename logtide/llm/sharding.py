@@ -8,7 +8,8 @@ shards only the curve's first turns matter, so a dimension may sit out the first
 
 Rows whose text occurs more than once lie before all others, along the curve by the first
 row of their group, copies beside copies: a group is cut by a shard's end only, and spoils
-the ranges of no shard of other rows.
+the ranges of no shard of other rows.  (Along with the others, copies of other sources would lie
+in all shards: a source then met 7.9 of 8 at sf0.1, not 4.9.)
 
 Null values of a dimension take its lowest cell; null texts have no bytes.  Ids that aren't
 numbers are no dimension.  Rows of equal id are rows of their own.  All steps are DataFrame
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.llm.common import attached, numbered, ranked, running_sum, text_or_empty, written
+from logtide.operators.ordering import HOT_SHARE
 
 #: Bits of each dimension on the curve.
 BITS = 6
@@ -116,7 +118,7 @@ def _sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     groups = written(rows.groupBy("_text").agg(F.count("*").alias("_copies"), F.min(first).alias("_first")).where("_copies > 1"), "hilbert-groups")
     copies = attached(rows, groups, "_text", "_copies")
     copies = copies.select(*["doc_id", "size", "text_crc32", "_text", *["_row"] * len(own)], F.lit(0).alias("_single"), "_first.*")
-    singles = rows.join(groups.select("_text").hint("merge"), "_text", "left_anti").withColumn("_single", F.lit(1))
+    singles = _without_groups(rows, groups).withColumn("_single", F.lit(1))
     placed = copies.unionByName(singles.select(copies.columns))
 
     points = [i / (1 << BITS) for i in range(1, 1 << BITS)]
@@ -139,6 +141,13 @@ def _sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("place") - begins).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *["_row"] * len(own))
 
 
+def _without_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows whose text occurs once.  Those of hot groups go by broadcast first, so that no task gets a hot group whole."""
+    total = groups.agg(F.sum("_copies")).first()[0] or 0
+    hot = groups.where(F.col("_copies") * HOT_SHARE > F.lit(total)).select("_text")
+    return rows.join(F.broadcast(hot), "_text", "left_anti").join(groups.select("_text").hint("merge"), "_text", "left_anti")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id", shard: str = "shard") -> None:
     """Write ``docs`` as one folder a shard, in curve order; extra columns are kept.
 

@@ -1,8 +1,11 @@
+import math
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -91,6 +94,74 @@ def test_shards_of_any_ids(spark, tmp_path):
     assert sorted(r["size"] for r in sharding.shard_documents(long).collect()) == [1, 2_000_001]
 
 
+def plain_hilbert(cells, bits):
+    """Skilling's transpose, on numbers."""
+    x, n = list(cells), len(cells)
+    for bit in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & bit:
+                x[0] ^= bit - 1
+            else:
+                t = (x[0] ^ x[i]) & (bit - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for bit in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[n - 1] & bit:
+            t ^= bit - 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def plain_shards(rows, shards):
+    """{doc_id: (shard, slot)} by the definitions, row by row."""
+    total, bits = len(rows), sharding.BITS
+    texts = {i: t or "" for i, t, *_ in rows}
+    names = [{i: "" if r[k] is None else "=" + r[k] for i, *r in rows} for k in (1, 2)]
+
+    def name_cell(values):
+        counts = Counter(values.values())
+        before, out = 0, {}
+        for v in sorted(counts, key=str.encode):
+            out[v] = before * (1 << bits) // total
+            before += counts[v]
+        return out
+
+    def number_cell(values):
+        ranked = sorted(values)
+        bounds = [ranked[max(0, math.ceil(k * total / (1 << bits)) - 1)] for k in range(1, 1 << bits)]
+        return lambda v: sum(b < v for b in bounds)
+
+    sizes = {i: len(t.encode()) + 1 for i, t in texts.items()}
+    of_name, of_size, of_id = [name_cell(n) for n in names], number_cell(sizes.values()), number_cell(texts)
+    copies = defaultdict(list)
+    for i, t in texts.items():
+        copies[t].append(i)
+    keys = []
+    for i, t in texts.items():
+        first = min(((float(j), names[0][j].encode(), names[1][j].encode(), j) for j in copies[t]))[-1]
+        cells = [of_name[0][names[0][first]], of_name[1][names[1][first]], of_size(sizes[i]) >> sharding.SIT_OUT, of_id(first) >> sharding.SIT_OUT]
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        keys.append((len(copies[t]) == 1, plain_hilbert(cells, bits), h - (1 << 64) * (h >> 63), i))
+    out, slots = {}, Counter()
+    for place, (*_, i) in enumerate(sorted(keys)):
+        shard = place * shards // total
+        out[i] = (shard, slots[shard])
+        slots[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 37, 700])
+def test_shards_equal_plain_placement(spark, n):
+    """Every row's shard and slot; most texts are empty."""
+    rng = random.Random(n)
+    rows = [(i * 3, rng.choice(["", "", None, "", "copy", "x" * rng.randint(1, 900), f"é{i}"]), rng.choice(["de", "en", "fr", None, "é"]), rng.choice([None, *"abcdefg"])) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for shards in (8, 3):
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(df, shards).collect()} == plain_shards(rows, shards)
+
+
 def test_shards_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
     check_shards(queries.QUERIES["op9_hilbert_shards"](spark, SMALL).collect(), texts)
