@@ -4,8 +4,9 @@ Messages are masked, and their distinct masked forms are routed by their number
 their first token (digits, and tokens beyond a node's children, go to ``<*>``).  A leaf's
 clusters meet no others, so leaves are mined in parallel; within a leaf, forms come in the
 order of first appearance: each joins the cluster that shares most tokens, or opens one, and
-tokens in which it differs become ``<*>``.  A leaf with as many clusters as it may have opens
-no more: further forms join the cluster nearest to them.
+tokens in which it differs become ``<*>``.  A leaf compares forms with a limited number of
+clusters: where one more opens, the one that was joined longest ago is closed.  It keeps its
+records and its text, but takes no more; so no form joins a cluster that it isn't like.
 
 A form that comes again keeps its first cluster.  With ``strict``, each record is looked at
 anew, in order, as if the miner read one record after the other; leaves are still mined in
@@ -52,6 +53,10 @@ class Leaf:
         import numpy as np
 
         self.size, self.settings, self.count = size, settings, 0
+        #: By row of the table: the cluster's number, and when it was joined last.  Then numbers and texts of closed clusters.
+        self.ids, self.joined = np.zeros(8, np.int64), np.zeros(8, np.int64)
+        self.opened = self.clock = 0
+        self.closed: list[tuple[int, str]] = []
         self.numbers: dict[str, int] = {ANY: 0}
         self.names = [ANY]
         self.table = np.zeros((8, size), np.int32)
@@ -66,21 +71,39 @@ class Leaf:
                 self.names.append(token)
             own[i] = number
         clusters = self.table[: self.count]
+        self.clock += 1
         if self.count:
             # Of clusters that share as many tokens, the one with more wildcards, then the older one.
             same = ((clusters == own) & (clusters != 0)).sum(axis=1)
-            best = int(np.argmax(same * (self.size + 1) + (clusters == 0).sum(axis=1)))
-            if same[best] / self.size >= self.settings.similarity or self.count >= self.settings.most_clusters:
+            likeness = same * (self.size + 1) + (clusters == 0).sum(axis=1)
+            equal = np.flatnonzero(likeness == likeness.max())
+            best = int(equal[np.argmin(self.ids[equal])])
+            if same[best] / self.size >= self.settings.similarity:
                 clusters[best][clusters[best] != own] = 0
-                return best
-        if self.count == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.count] = own
-        self.count += 1
-        return self.count - 1
-
-    def text(self, cluster: int) -> str:
-        return " ".join(self.names[i] for i in self.table[cluster])
+                self.joined[best] = self.clock
+                return int(self.ids[best])
+        if self.count >= self.settings.most_clusters:
+            at = int(np.argmin(self.joined[: self.count]))
+            self.closed.append((int(self.ids[at]), self.text(at)))
+        else:
+            if self.count == len(self.table):
+                self.table, self.ids, self.joined = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.ids, self.joined))
+            at = self.count
+            self.count += 1
+        self.table[at], self.ids[at], self.joined[at] = own, self.opened, self.clock
+        self.opened += 1
+        return self.opened - 1
+
+    def text(self, row: int) -> str:
+        return " ".join(self.names[i] for i in self.table[row])
+
+    def take_closed(self) -> list[tuple[int, str]]:
+        out, self.closed = self.closed, []
+        return out
+
+    def texts(self) -> list[tuple[int, str]]:
+        """Numbers and texts of the clusters that haven't been taken."""
+        return self.take_closed() + [(int(self.ids[i]), self.text(i)) for i in range(self.count)]
 
 
 def form_of(message: str, settings: Settings) -> Column:
@@ -107,21 +130,23 @@ def _mine(settings: Settings):
 
         at, leaf = None, None
 
-        def texts(schema):
-            keys = [f"{at[0]} {at[1]} {i}" for i in range(leaf.count)]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), schema), pa.array(keys, pa.string()), pa.array([leaf.text(i) for i in range(leaf.count)], pa.string())], names=["row", "template_key", "template"])
+        def texts(schema, found):
+            keys = [f"{at[0]} {at[1]} {i}" for i, _ in found]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), schema), pa.array(keys, pa.string()), pa.array([text for _, text in found], pa.string())], names=["row", "template_key", "template"])
 
         for batch in batches:
             rows, keys = batch.column(3), []
             for size, name, form in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if (size, name) != at:
                     if at is not None:
-                        yield texts(rows.type)
+                        yield texts(rows.type, leaf.texts())
                     at, leaf = (size, name), Leaf(size, settings)
                 keys.append(f"{size} {name} {leaf.add(form.split())}")
             yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.string()), pa.nulls(len(keys), pa.string())], names=["row", "template_key", "template"])
+            if leaf is not None and leaf.closed:
+                yield texts(rows.type, leaf.take_closed())
         if at is not None:
-            yield texts(rows.type)
+            yield texts(rows.type, leaf.texts())
 
     return run
 

@@ -472,15 +472,19 @@ def mined_by_definition(forms, similarity=0.4, most_children=100, most_clusters=
                 known.append(head)
             else:
                 head = "<*>"
-        clusters = leaves.setdefault((len(tokens), head), [])
-        shares = [(sum(a == b != "<*>" for a, b in zip(c, tokens)) / len(tokens), c.count("<*>"), -i) for i, c in enumerate(clusters)]
+        # In the order in which they opened; what was joined longest ago closes.
+        clusters = leaves.setdefault((len(tokens), head), {})
+        shares = [(sum(a == b != "<*>" for a, b in zip(c, tokens)) / len(tokens), c.count("<*>"), -i) for i, (c, _) in clusters.items()]
         best = max(shares, default=None)
-        if best and (best[0] >= similarity or len(clusters) >= most_clusters):
-            c = clusters[-best[2]]
+        if best and best[0] >= similarity:
+            c, _ = clusters[-best[2]]
             c[:] = [a if a == b else "<*>" for a, b in zip(c, tokens)]
+            clusters[-best[2]] = c, len(where)
         else:
             c = list(tokens)
-            clusters.append(c)
+            if len(clusters) >= most_clusters:
+                del clusters[min(clusters, key=lambda i: clusters[i][1])]
+            clusters[len(where)] = c, len(where)
         where.append(c)
     return [" ".join(c) for c in where]
 
@@ -493,7 +497,7 @@ def random_messages(n, seed=3):
     return [" ".join([rng.choice(["ERROR", "WARN", f"w{rng.randrange(4)}x", "job"]), *(rng.choice(verbs + things) for _ in range(rng.randint(1, 5)))]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("settings", [drain.Settings(), drain.Settings(most_clusters=3), drain.Settings(similarity=0.7, most_children=3)])
+@pytest.mark.parametrize("settings", [drain.Settings(), drain.Settings(most_clusters=3), drain.Settings(similarity=0.7, most_children=3), drain.Settings(similarity=0.8, most_clusters=5)])
 def test_strict_mining(spark, settings):
     from dataclasses import replace
 
