@@ -247,6 +247,25 @@ def line_ids(spark, sf_dir):
 # ---- templates ----
 
 
+def _document_lines(spark, sf_dir):
+    """The documents' lines with words as messages: (doc_id, lineno, message)."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lineno", "message"))
+    return lines.where(F.trim("message") != "")
+
+
+@query()
+def mask_documents(spark, sf_dir):
+    """All masks over all lines: numbers, addresses, paths and the rest, where documents hold them."""
+    return _document_lines(spark, sf_dir).select("doc_id", "lineno", F.md5(texts.masked(F.col("message"))).alias("masked_md5"))
+
+
+@query()
+def drain_documents(spark, sf_dir):
+    """Templates of all lines; a document stands for a source."""
+    mined = drain.mine(_document_lines(spark, sf_dir), ["doc_id", "lineno"])
+    return mined.groupBy(F.md5("template").alias("template_md5")).agg(F.count("*").alias("n"))
+
+
 @query()
 def drain_templates(spark, sf_dir):
     r = logs(spark, sf_dir).select("event_id", "ts", "message")

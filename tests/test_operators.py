@@ -511,6 +511,31 @@ def test_strict_mining(spark, settings):
     assert {r.i: r.template for r in drain.mine(df, ["i"], settings=replace(settings, masks=())).collect()} == {i: want[m] for i, m in enumerate(messages)}
 
 
+def test_rows_over_lines_of_documents(spark):
+    """Masks and templates of the documents' lines, against Python's masks and a miner that reads one form after the other."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    from logtide.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    lines = [(r.doc_id, i, line) for r in sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()) for i, line in enumerate((r.text or "").split("\n")) if line.strip(" ")]
+
+    def masked(line):
+        for pattern, name in texts.MASKS:
+            line = re.sub(pattern, f"<{name}>", line)
+        return line
+
+    assert {(r.doc_id, r.lineno): r.masked_md5 for r in catalogue.mask_documents(spark, folder).collect()} == {(d, i): md5(masked(line)) for d, i, line in lines}
+    forms = [masked(line.strip(" ")) for *_, line in lines]
+    assert sum(a != b[2].strip(" ") for a, b in zip(forms, lines)) > 20
+    distinct = list(dict.fromkeys(forms))
+    template = dict(zip(distinct, mined_by_definition(distinct)))
+    assert {r.template_md5: r.n for r in catalogue.drain_documents(spark, folder).collect()} == Counter(md5(template[f]) for f in forms)
+
+
 def test_mining_of_a_large_leaf():
     """Thousands of forms of one leaf are no longer compared token by token."""
     import time
