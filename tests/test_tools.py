@@ -107,6 +107,27 @@ def test_sql(tools):
             tools.sql(bad)
 
 
+def test_sql_functions(tools):
+    """Every registered function is allowed or not by what it is; words in texts are no calls."""
+    from logtide.plans import sql_guard
+
+    spark = tools.spark
+    names = [r.function for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()]
+    allowed = {n for n in names if sql_guard.is_allowed(spark, n)}
+    assert len(names) > 400 and len(allowed) > 300
+    assert {"count", "lower", "regexp_extract", "date_trunc", "row_number", "explode", "transform", "percentile_approx", "to_json", "coalesce"} <= allowed
+    never = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "current_user", "session_user", "version", "from_avro", "to_avro", "spark_partition_id"}
+    assert not never & allowed
+    for name in sorted(never & set(names)):
+        with pytest.raises(ArgumentError):
+            tools.sql(f"SELECT {name}('a', 'b') FROM logs WHERE lower({name}('a')) = 'x'")
+    assert tools.sql("SELECT 'reflect(x) and java_method(y)' AS t FROM logs LIMIT 1").splitlines()[-1].startswith("reflect(x)")
+    assert "a" in tools.sql("SELECT row_number() OVER (ORDER BY ts) AS a, CASE WHEN message LIKE 'x%' THEN CAST(1 AS STRING) END FROM logs WHERE ts IN (SELECT max(ts) FROM logs)")
+    with pytest.raises(ArgumentError):
+        tools.sql("SELECT (SELECT reflect('java.lang.System', 'exit', 0))")
+    assert len(tools.sql("SELECT repeat('x', 10000000) AS t")) < 200_000
+
+
 def test_sql_is_stopped(tools):
     with pytest.raises(ArgumentError, match="stopped"):
         tools.sql("SELECT sum(a.id * b.id % 7) FROM range(10000000) a CROSS JOIN range(10000000) b", seconds=1)
