@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtide.llm.common import SLICE_ROWS, free_name, small_batches
+from logtide.llm.common import SLICE_ROWS, free_name, small_batches, tidied
 
 #: Entries after which a worker's memo of pieces or of token pairs is emptied.
 MEMO_ENTRIES = 300_000
@@ -206,7 +206,7 @@ def arrow_map(df: DataFrame, column: str, outs: list[str], convert, kept: list[s
                 made = [pa.array([v[i] for v in values], pa.binary()) for i in range(len(outs))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *outs])
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidied(run), schema)
 
 
 def _encoding(ranks: Broadcast, pattern: str):

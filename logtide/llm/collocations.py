@@ -35,22 +35,22 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import shuffle_partitions, sized, small_batches, text_or_empty, written
+from logtide.llm.common import shuffle_partitions, sized, small_batches, text_or_empty, tidied, written
 
 #: Occurrences of a candidate, the percentage of its own that a longer one must have to replace it, and phrases returned for a language.
 LEAST, REPLACED, TOP = 10, 50, 2000
 #: Bits of the numbers of buckets, and of places in the filter of frequent words: 32 MB of counts a mapper, and bits for all: 4 MB each of pairs and triples, 2 MB of words.
 BUCKET_BITS, WORD_BITS = 25, 24
 #: Candidates of a shard: 24 bytes of words and 8 of counts each.
-SHARD_KEYS = 750_000
+SHARD_KEYS = 600_000
 #: Bytes of a part of a shard; parts come to the driver in tasks of a few, and go out together.
 PART_BYTES = 1 << 20
 #: Numbers in a slice of an array that is summed.
 SLICE = 1 << 16
 #: Words that are looked at in one go, those of a written row, and those that a worker knows the ids of.
-WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 17, 2048, 200_000
+WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 16, 2048, 150_000
 #: Distinct words, and places of candidates, that a task holds before it emits them.
-MOST_WORDS, MOST_PLACES = 250_000, 1 << 20
+MOST_WORDS, MOST_PLACES = 200_000, 1 << 19
 #: Parts that candidates are dealt into, for each shuffle partition.
 PARTS = 4
 #: Bytes of a text that are cut into words in one go.
@@ -253,7 +253,7 @@ def _summed(kind: str, most: int | None) -> Callable:
 def tree_sum(arrays: DataFrame, kind: str, most: int | None = None) -> DataFrame:
     """(slice, salt, counts): slices of all tasks' arrays summed, first by slice and salt, then by slice."""
     for by in (["slice", "salt"], ["slice"]):
-        arrays = arrays.repartition(*by).sortWithinPartitions("slice").mapInArrow(_summed(kind, most), _SLICES)
+        arrays = arrays.repartition(*by).sortWithinPartitions("slice").mapInArrow(tidied(_summed(kind, most)), _SLICES)
     return arrays
 
 
@@ -297,9 +297,9 @@ def _distinct(pairs: Broadcast, triples: Broadcast, parts: int) -> Callable:
     """(part, pairs, triples): candidates of two and three words as bytes, each once for every MOST_PLACES or so, dealt by hash."""
 
     def emitted(keys: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(_shard_of(*keys, parts), kind="stable")
-        keys = keys[:, order]
-        ends = np.cumsum(np.bincount(_shard_of(*keys, parts), minlength=parts))
+        part = _shard_of(*keys, parts)
+        keys = keys[:, np.argsort(part, kind="stable")]
+        ends = np.cumsum(np.bincount(part, minlength=parts))
         two, three = [], []
         for own in np.split(keys, ends[:-1], axis=1):
             wide = own[2] != 0
@@ -315,13 +315,13 @@ def _distinct(pairs: Broadcast, triples: Broadcast, parts: int) -> Callable:
                 size += len(at)
             if size > 2 * distinct + MOST_PLACES // 4:
                 # What is distinct so far stays, until there is too much of it.
-                held = [_unique(np.concatenate(held, axis=1))]
+                held = [_unique(held)]
                 size = distinct = held[0].shape[1]
                 if size > MOST_PLACES:
                     yield emitted(held[0])
                     held, size, distinct = [], 0, 0
         if held:
-            yield emitted(_unique(np.concatenate(held, axis=1)))
+            yield emitted(_unique(held))
 
     return run
 
@@ -331,7 +331,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def out() -> Iterator[pa.RecordBatch]:
-        keys = _unique(np.concatenate(held, axis=1)).view(np.int64)
+        keys = _unique(held).view(np.int64)
         for at in range(0, keys.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(k) for k in keys[:, at : at + 50_000]], names=["a", "b", "c"])
 
@@ -340,7 +340,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if part.as_py() != now:
                 if held:
                     yield from out()
-                now, held = part.as_py(), []
+                now = part.as_py()
             short = np.frombuffer(two.as_buffer(), _U).reshape(2, -1)
             held += [np.concatenate([short, np.zeros((1, short.shape[1]), _U)]), np.frombuffer(three.as_buffer(), _U).reshape(3, -1)]
     if held:
@@ -356,11 +356,17 @@ def _candidate_places(a, b, c, pairs: Broadcast, triples: Broadcast) -> list[tup
     return [(two, 2), (three, 3)]
 
 
-def _unique(keys: np.ndarray) -> np.ndarray:
-    """Distinct columns of ``keys``, told by their hashes; columns of another's hash that differ from it stay too."""
-    _, first, of = np.unique(hashed(*keys), return_index=True, return_inverse=True)
-    other = np.flatnonzero((keys != keys[:, first[of]]).any(axis=0))
-    return keys[:, np.concatenate([first, other])]
+def _unique(held: list[np.ndarray]) -> np.ndarray:
+    """Distinct columns of the arrays, which are let go.  Equal ones come together by their hashes; where others share a hash, some may stay twice."""
+    keys = np.concatenate(held, axis=1)
+    held.clear()
+    order = np.argsort(hashed(*keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for word in keys:
+        word = word[order]
+        new[1:] |= word[1:] != word[:-1]
+    return keys[:, order[new]]
 
 
 @dataclass
@@ -574,7 +580,7 @@ def _set_bits(places: DataFrame, bits: int) -> bytes:
             marks[_place(batch.column(0).to_numpy().view(_U), bits)] = 1
         yield from _slices(marks)
 
-    return _full(tree_sum(places.mapInArrow(run, _SLICES), "u1", 1), bits, 1)
+    return _full(tree_sum(places.mapInArrow(tidied(run), _SLICES), "u1", 1), bits, 1)
 
 
 def _full(slices: DataFrame, bits: int, least: int) -> bytes:
@@ -586,7 +592,7 @@ def _full(slices: DataFrame, bits: int, least: int) -> bytes:
             yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(packed, pa.binary())], names=["slice", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in slices.mapInArrow(run, "slice int, bits binary").toLocalIterator():
+    for row in slices.mapInArrow(tidied(run), "slice int, bits binary").toLocalIterator():
         part = np.frombuffer(row.bits, np.uint8)
         out[row.slice * SLICE // 8 : row.slice * SLICE // 8 + len(part)] = part
     return out.tobytes()
@@ -595,7 +601,7 @@ def _full(slices: DataFrame, bits: int, least: int) -> bytes:
 def word_counts(sent: DataFrame, least: int) -> tuple[DataFrame, int]:
     """(lang, word, id, n) of all words, a written table, and the seed by which no frequent word shares its id."""
     for seed in range(SEEDS):
-        counted = sent.mapInArrow(_words(seed), "lang string, word binary, id long, n long")
+        counted = sent.mapInArrow(tidied(_words(seed)), "lang string, word binary, id long, n long")
         words = written(counted.groupBy("lang", "word").agg(F.first("id").alias("id"), F.sum("n").alias("n")), "phrase-words")
         if words.groupBy("id").agg(F.count("*").alias("of"), F.max("n").alias("most")).where((F.col("of") > 1) & (F.col("most") >= least)).isEmpty():
             return words, seed
@@ -607,21 +613,21 @@ def phrase_counts(spark: SparkSession, sent: DataFrame, words: DataFrame, seed:
     context = spark.sparkContext
     frequent = words.where(F.col("n") >= least)
     known = context.broadcast(_set_bits(frequent.select("id"), WORD_BITS))
-    ids = written(sent.mapInArrow(_written_ids(known, seed), "ids binary"), "phrase-ids")
+    ids = written(sent.mapInArrow(tidied(_written_ids(known, seed)), "ids binary"), "phrase-ids")
     known.destroy()
     few = ids.coalesce(max(1, WAVES * context.defaultParallelism))
-    pairs = context.broadcast(_full(tree_sum(few.mapInArrow(_bucketed(None, least), _SLICES), "u1", least), BUCKET_BITS, least))
-    triples = context.broadcast(_full(tree_sum(few.mapInArrow(_bucketed(pairs, least), _SLICES), "u1", least), BUCKET_BITS, least))
+    pairs = context.broadcast(_full(tree_sum(few.mapInArrow(tidied(_bucketed(None, least)), _SLICES), "u1", least), BUCKET_BITS, least))
+    triples = context.broadcast(_full(tree_sum(few.mapInArrow(tidied(_bucketed(pairs, least)), _SLICES), "u1", least), BUCKET_BITS, least))
     places = "a long, b long, c long"
     # More parts than tasks, so that a task holds one of a few of its own at a time.
     parts = PARTS * shuffle_partitions(spark)
-    met = few.mapInArrow(_distinct(pairs, triples, parts), "part int, pairs binary, triples binary")
-    phrases = met.repartition("part").sortWithinPartitions("part").mapInArrow(_met, places)
+    met = few.mapInArrow(tidied(_distinct(pairs, triples, parts)), "part int, pairs binary, triples binary")
+    phrases = met.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(_met), places)
     zero = F.lit(0).cast("long")
     candidates = written(phrases.unionByName(frequent.select(F.col("id").alias("a"), zero.alias("b"), zero.alias("c"))), "phrase-candidates")
     shards = max(1, -(-candidates.count() // SHARD_KEYS))
-    dealt = candidates.mapInArrow(_dealt(shards), f"{places}, shard int")
-    hashes = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_hashes, "shard int, part int, hash binary").repartition("shard", "part"), "phrase-hashes")
+    dealt = candidates.mapInArrow(tidied(_dealt(shards)), f"{places}, shard int")
+    hashes = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidied(_hashes), "shard int, part int, hash binary").repartition("shard", "part"), "phrase-hashes")
 
     def share(shard: int) -> tuple[Broadcast, int, int]:
         """The shard for the workers, what tells it from others, and its number of phrases."""
@@ -632,8 +638,8 @@ def phrase_counts(spark: SparkSession, sent: DataFrame, words: DataFrame, seed:
     counts, found = [], None
     for shard in range(shards):
         shared, key, _ = share(shard)
-        counts.append(written(tree_sum(few.mapInArrow(_by_slot(pairs, triples, shared, key, shard, shards), _SLICES), "<i8"), "phrase-slots"))
-        often = written(counts[shard].mapInArrow(_frequent(shared, key, least), f"{places}, f long"), "phrase-often")
+        counts.append(written(tree_sum(few.mapInArrow(tidied(_by_slot(pairs, triples, shared, key, shard, shards)), _SLICES), "<i8"), "phrase-slots"))
+        often = written(counts[shard].mapInArrow(tidied(_frequent(shared, key, least)), f"{places}, f long"), "phrase-often")
         found = often if found is None else found.unionByName(often)
         shared.destroy()
     read = found.select("*", *[zero.alias(name) for name in _PARTS])
@@ -644,7 +650,7 @@ def phrase_counts(spark: SparkSession, sent: DataFrame, words: DataFrame, seed:
             part = _unpacked(bytes(row.counts), "<i8")
             by_slot[row.slice * SLICE : row.slice * SLICE + len(part)] = part
         numbers = context.broadcast(by_slot.tobytes())
-        read = written(read.mapInArrow(_read(shared, numbers, key, shard, shards), f"{places}, f long, " + ", ".join(f"{p} long" for p in _PARTS)), "phrase-cuts")
+        read = written(read.mapInArrow(tidied(_read(shared, numbers, key, shard, shards)), f"{places}, f long, " + ", ".join(f"{p} long" for p in _PARTS)), "phrase-cuts")
         shared.destroy()
         numbers.destroy()
     return read

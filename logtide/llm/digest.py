@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from logtide.llm.common import SLICE_ROWS, free_name, shuffle_partitions, small_batches, text_or_empty, written
+from logtide.llm.common import SLICE_ROWS, free_name, shuffle_partitions, small_batches, text_or_empty, tidied, written
 
 BUCKETS = 128
 #: Of a five-byte window (0: newest byte), the pairs that join the newest byte in a triplet.
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
                 values = pa.array([fingerprint(v) for v in part.columns[-1].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*keep, out])
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidied(run), schema)
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -147,7 +147,7 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    done = written(dealt.mapInArrow(run, wide), "digest-ranges")
+    done = written(dealt.mapInArrow(tidied(run), wide), "digest-ranges")
     # Two rows per range: as many as there are shuffle partitions, twice.
     edges = done.where("edge IS NOT NULL").select("part", "edge", F.col("edge_id"), F.col("edge_text"))
     firsts = edges.where("edge = 'first'").select(F.col("part").alias("_part"), F.col("edge_text").alias("after"))
@@ -162,4 +162,4 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[:7], strict=True)], schema=pa.schema(list(arrow)[:7]))
 
     names = [f.strip().split(" ")[0] for f in _RESULT.split(",")]
-    return done.where("edge IS NULL").select(names).unionByName(met.mapInArrow(finish, _RESULT))
+    return done.where("edge IS NULL").select(names).unionByName(met.mapInArrow(tidied(finish), _RESULT))

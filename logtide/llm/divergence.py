@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import sized, small_batches, text_or_empty, written
+from logtide.llm.common import sized, small_batches, text_or_empty, tidied, written
 
 #: Documents of a language that a kept term is in, at least.
 LEAST_DOCS = 30
@@ -101,7 +101,7 @@ def kept_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text
     """(lang, term, postings: source and n) of the kept terms, a written table; the empty term's postings are all sources of the language."""
     small_batches(docs.sparkSession)
     sent = docs.select(text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), text_or_empty(text).cast("binary").alias("text"))
-    counted = sent.mapInArrow(_count, "lang string, source string, term binary, n long, docs long")
+    counted = sent.mapInArrow(tidied(_count), "lang string, source string, term binary, n long, docs long")
     # Dealt by language and term, so that both sums are made behind one shuffle; a task sends a term once a source, however frequent it is.
     of_source = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = of_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("postings"))
@@ -251,7 +251,7 @@ def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:
     dense = with_zeros(of_term.where("heavy")).select("lang", "found", "zeros")
     sparse = of_term.where("NOT heavy AND size(found) > 1").select("lang", "found", F.lit(None).cast("array<bigint>").alias("zeros"))
     pair_schema = "lang string, lo int, hi int, value long"
-    compared = dense.unionByName(sparse).mapInArrow(_compare, pair_schema)
+    compared = dense.unionByName(sparse).mapInArrow(tidied(_compare), pair_schema)
 
     light = rows.where(~heavy)
     histogram = light.groupBy("lang", "gid", "p").agg(F.count("*").alias("n")).groupBy("lang", "gid").agg(F.collect_list(F.struct("p", "n")).alias("found"))
@@ -259,7 +259,7 @@ def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:
     terms = light.groupBy("lang", "term").agg(F.lit(1).alias("_one")).groupBy("lang").agg(F.count("*").alias("light"))
     own = groups.select("lang", "gid").join(histogram, ["lang", "gid"], "left").join(terms, "lang", "left")
     own = with_zeros(own).select("lang", "gid", F.coalesce("light", F.lit(0)).alias("light"), "found", "zeros")
-    return compared.unionByName(own.mapInArrow(_alone, pair_schema)).groupBy("lang", "lo", "hi").agg(F.sum("value").alias("value"))
+    return compared.unionByName(own.mapInArrow(tidied(_alone), pair_schema)).groupBy("lang", "lo", "hi").agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.llm.common import free_name, map_rows, small_batches, written
+from logtide.llm.common import free_name, map_rows, small_batches, tidied, written
 
 UNKNOWN = "und"
 #: Bounds of the sample that is learned from: bytes of a dictionary, labelled rows a language (half for dictionaries, half for
@@ -201,4 +201,4 @@ def accepted_documents(docs: DataFrame, model: Model, text: str = "text") -> Dat
             keep = pa.array([classifier(t)[2] for at in range(0, batch.num_rows, 256) for t in batch.slice(at, 256).columns[-1].to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(c, keep) for c in batch.columns[:-1]], names=names)
 
-    return docs.select("*", F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, docs.schema)
+    return docs.select("*", F.col(text).cast("string").alias(free_name(docs, "_text"))).mapInArrow(tidied(run), docs.schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import attached, map_rows, numbered, sized, small_batches, without, written
+from logtide.llm.common import attached, map_rows, numbered, sized, small_batches, tidied, without, written
 
 WIDTH = 5
 #: Links need this share, in hundredths, of the union.
@@ -226,7 +226,7 @@ def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (u < v) of blocks (hub, a, b, side, doc_id, group)."""
     small_batches(blocks.sparkSession)
     carried = blocks.join(sets.hint("merge"), "doc_id").select("hub", "a", "b", "side", "doc_id", "group", "items")
-    return carried.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_verify, "u long, v long")
+    return carried.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(tidied(_verify), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
