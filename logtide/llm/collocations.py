@@ -50,7 +50,7 @@ SLICE = 1 << 16
 #: Words that are looked at in one go, those of a written row, and those that a worker knows the ids of.
 WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 16, 2048, 150_000
 #: Distinct words, and places of candidates, that a task holds before it emits them.
-MOST_WORDS, MOST_PLACES = 200_000, 1 << 19
+MOST_WORDS, MOST_PLACES = 200_000, 1 << 20
 #: Parts that candidates are dealt into, for each shuffle partition.
 PARTS = 4
 #: Bytes of a text that are cut into words in one go.
@@ -169,16 +169,16 @@ def _texts_ids(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[np.ndar
 
 
 def _written_ids(words: Broadcast, seed: int) -> Callable:
-    """Ids of frequent words, as bytes; rare words are gaps, and gaps are one 0."""
+    """Ids of frequent words, as packed bytes; rare words are gaps, and gaps are one 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(words.value, np.uint8)
+        frequent, packer = np.frombuffer(words.value, np.uint8), zstandard.ZstdCompressor(level=1)
         for ids in _texts_ids(batches, seed):
             known = np.where(_bits(frequent, _place(ids, WORD_BITS)), ids, _U(0))
             own, tail = known[:-2], known[-2:]
             own = own[(own != 0) | (np.concatenate([[1], own[:-1]]) != 0)]
             known = np.concatenate([own, tail])
-            rows = [known[at : at + ROW_WORDS + 2].tobytes() for at in range(0, len(own), ROW_WORDS)]
+            rows = [packer.compress(known[at : at + ROW_WORDS + 2].tobytes()) for at in range(0, len(own), ROW_WORDS)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
@@ -187,14 +187,14 @@ def _written_ids(words: Broadcast, seed: int) -> Callable:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Words and the two behind each, over written rows of ids; 0 stands for a gap."""
-    held, size = [], 0
+    held, size, unpacker = [], 0, zstandard.ZstdDecompressor()
 
     def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.concatenate([x[:-2] for x in held]), np.concatenate([x[1:-1] for x in held]), np.concatenate([x[2:] for x in held])
 
     for batch in batches:
         for row in batch.column(0):
-            held.append(np.frombuffer(row.as_buffer(), _U).copy())
+            held.append(np.frombuffer(unpacker.decompress(row.as_buffer()), _U))
             size += len(held[-1])
             if size >= WINDOW:
                 yield joined()

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from logtide.llm import collocations, divergence, merge_bpe, queries
@@ -168,7 +169,7 @@ def test_long_texts_are_cut_between_words(monkeypatch):
 
     def all_rows():
         """Words with the two behind them, by what rows of ids say."""
-        rows = [pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["ids"]) for x in collocations._texts_ids(iter([docs]), 0)]
+        rows = [pa.RecordBatch.from_arrays([pa.array([zstandard.compress(x.tobytes())], pa.binary())], names=["ids"]) for x in collocations._texts_ids(iter([docs]), 0)]
         return [np.concatenate(x).tolist() for x in zip(*collocations._windows(iter(rows)), strict=True)]
 
     whole, terms = all_rows(), [t for part in divergence.term_pieces(text) for t in part]
