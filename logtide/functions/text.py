@@ -26,14 +26,18 @@ MASKS = (
 #: The masks whose expressions have no lookaround, which other engines can run as well.
 SIMPLE_MASKS = tuple(m for m in MASKS if "(?<" not in m[0] and "(?=" not in m[0] and "(?!" not in m[0])
 
+#: A character without which none of MASKS matches; looking for it costs a small part of trying them all.
+MASKABLE = r"[\d:/\\-]"
+
 _PLACEHOLDER = re.compile(r"<[^<>\s]*>")
 
 
 def masked(message: Column, masks: Iterable[tuple[str, str]] = MASKS) -> Column:
     """The message with variable parts replaced by ``<NAME>``, mask by mask."""
+    masks, out = list(masks), message
     for pattern, name in masks:
-        message = F.regexp_replace(message, "(?U)" + pattern, f"<{name}>")
-    return message
+        out = F.regexp_replace(out, "(?U)" + pattern, f"<{name}>")
+    return F.when(message.rlike("(?U)" + MASKABLE), out).otherwise(message) if set(masks) <= set(MASKS) else out
 
 
 def estimated_tokens(text: Column) -> Column:
