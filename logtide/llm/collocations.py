@@ -1,21 +1,23 @@
-"""Phrase collocations, counted by slots of a minimal perfect hash.
+"""Phrase collocations, counted by slots of minimal perfect hashes.
 
 Phrases are rows of word ids: 64-bit hashes of language and word, which are checked to tell each
 frequent word from all others (else another seed is taken).
 
 1. Words are counted exactly.  Then texts are written as word ids, where rare words are gaps;
-   all that follows reads these.
-2. Pairs of frequent words are counted into a fixed number of buckets, and then triples both of
-   whose pairs have full buckets.  A bucket holds at least as many as any of its phrases, and a
-   phrase occurs at most as often as its parts, so nothing that is frequent is lost.
-3. Phrases whose buckets are full, and whose parts' are, are the candidates; they are made distinct.
-4. A minimal perfect hash gives each candidate a slot, and the slot keeps the candidate's words, so
-   that other phrases are told by them.  Mappers count slots with ``numpy.bincount``, and the
-   arrays are summed as a tree, slice by slice.
-
-What a cut's parts count is read from their slots.  Candidates are dealt into shards of a bounded
-number; each shard is a pass of its own over the ids, so that what mappers hold is bounded
-however many candidates there are.
+   all that follows reads these, three times however much there is.
+2. Pairs of frequent words are counted by bucket, which is the front of a phrase's hash, and then
+   triples both of whose pairs have full buckets.  A bucket holds at least as many as any of its
+   phrases, and a phrase occurs at most as often as its parts, so nothing that is frequent is lost.
+   Mappers sum up what they hold and deal it to shards, which are ranges of hashes; a shard sums
+   its own buckets, and gives the bits of the full ones.
+3. Phrases whose buckets are full, and whose parts' are, are the candidates.  They are dealt to
+   shards likewise, as words and numbers of times.
+4. In each shard a minimal perfect hash gives each of its candidates a slot, the slot keeps the
+   candidate's words, and ``numpy.bincount`` sums up by slot.
+
+There are so many shards that each gets a bounded number of rows; all are counted in one stage, so
+that work follows the number of words.  What a cut's parts count is joined from the frequent
+words and phrases.
 
 Null texts are empty, null languages ``und``.  Repeated rows count each time.  Counts are exact up
 to 10**15.
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +42,20 @@ from logtide.llm.common import shuffle_partitions, sized, small_batches, text_or
 
 #: Occurrences of a candidate, the percentage of its own that a longer one must have to replace it, and phrases returned for a language.
 LEAST, REPLACED, TOP = 10, 50, 2000
-#: Bits of the numbers of buckets, and of places in the filter of frequent words: 32 MB of counts a mapper, and bits for all: 4 MB each of pairs and triples, 2 MB of words.
-BUCKET_BITS, WORD_BITS = 25, 24
-#: Candidates of a shard: 24 bytes of words and 8 of counts each.
-SHARD_KEYS = 600_000
-#: Bytes of a part of a shard; parts come to the driver in tasks of a few, and go out together.
-PART_BYTES = 1 << 20
+#: Bits of the numbers of buckets, of places in the filter of frequent words (2 MB of bits), and of those in the filters of full buckets at most (16 MB each).
+BUCKET_BITS, WORD_BITS, FULL_BITS = 36, 24, 27
+#: Words of all texts for which there is a shard: it gets so many pairs and triples at most, less what mappers sum up.
+SHARD_KEYS = 1 << 21
 #: Numbers in a slice of an array that is summed.
 SLICE = 1 << 16
 #: Words that are looked at in one go, those of a written row, and those that a worker knows the ids of.
 WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 16, 2048, 150_000
-#: Distinct words, and places of candidates, that a task holds before it emits them.
+#: Distinct words, and places of candidates, that a task holds before it emits them; twice as many hashes.
 MOST_WORDS, MOST_PLACES = 200_000, 1 << 20
-#: Parts that candidates are dealt into, for each shuffle partition.
-PARTS = 4
 #: Bytes of a text that are cut into words in one go.
 CHUNK = 1 << 20
 #: Frequent words up to which their table is broadcast.
 BROADCAST_WORDS = 200_000
-#: Mappers a core at most in passes whose tasks each send an array.
-WAVES = 4
 #: Times that seeds are tried.
 SEEDS = 8
 
@@ -261,11 +258,43 @@ def _unpacked(packed: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
-def _bucketed(pairs: Broadcast | None, least: int) -> Callable:
-    """Counts by bucket, up to ``least``: of pairs, or of triples both of whose pairs have full buckets."""
+def _dealt(h: np.ndarray, shards: int) -> list[tuple[int, slice]]:
+    """Each shard that any of the rising hashes belong to, and where they are; shards are ranges of hashes, a power of two of them."""
+    bits = shards.bit_length() - 1
+    ends = [0, *np.searchsorted(h >> _U(64 - bits), np.arange(shards, dtype=_U), "right").tolist()] if bits else [0, len(h)]
+    return [(k, slice(ends[k], ends[k + 1])) for k in range(shards) if ends[k] < ends[k + 1]]
+
+
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on, packed; those of small numbers pack well."""
+    return _packer().compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unplaned(packed: bytes, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_unpacked(packed, "u1").reshape(wide, -1).T).reshape(-1).view(kind)
+
+
+def _bucketed(pairs: Broadcast | None, shards: int) -> Callable:
+    """(shard, buckets, n): counts by bucket, each once for every 2 * MOST_PLACES or so; of pairs, or of triples both of whose pairs have full buckets."""
+
+    def emitted(held: list[np.ndarray]) -> pa.RecordBatch:
+        buckets = np.concatenate(held)
+        held.clear()
+        buckets.sort()
+        starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+        n = np.diff(starts, append=len(buckets)).astype("<u4")
+        buckets = buckets[starts]
+        rows = [(k, _planes(np.diff(buckets[own], prepend=_U(0))), _planes(n[own])) for k, own in _dealt(buckets << _U(64 - BUCKET_BITS), shards)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "buckets", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint8)
+        held, size = [], 0
         for a, b, c in _windows(batches):
             if pairs is None:
                 at = np.flatnonzero((a != 0) & (b != 0))
@@ -273,17 +302,60 @@ def _bucketed(pairs: Broadcast | None, least: int) -> Callable:
             else:
                 at = _triples(a, b, c, np.frombuffer(pairs.value, np.uint8))
                 h = hashed(a[at], b[at], c[at])
-            found, n = np.unique(_place(h, BUCKET_BITS), return_counts=True)
-            counts[found] = np.minimum(counts[found] + np.minimum(n, least), least)
-        yield from _slices(counts)
+            held.append(_place(h, BUCKET_BITS))
+            size += len(h)
+            if size > 2 * MOST_PLACES:
+                yield emitted(held)
+                size = 0
+        if size:
+            yield emitted(held)
 
     return run
 
 
+def _full_buckets(least: int, shards: int, bits: int) -> Callable:
+    """(shard, bits): where the filter of 2**bits places has the shard's full buckets."""
+    first = shards.bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = defaultdict(list)
+        for batch in batches:
+            for k, buckets, n in zip(batch.column("shard").to_pylist(), batch.column("buckets"), batch.column("n"), strict=True):
+                # What is behind the shard's number, and then the count, which has fewer than 28 bits.
+                own = np.cumsum(_unplaned(buckets.as_py(), "<u8")) & _U((1 << BUCKET_BITS - first) - 1)
+                held[k].append(own << _U(28) | _unplaned(n.as_py(), "<u4"))
+        for k in list(held):
+            both = np.concatenate(held.pop(k))
+            both.sort()
+            buckets, n = both >> _U(28), (both & _U((1 << 28) - 1)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+            full = buckets[starts][np.add.reduceat(n, starts) >= least]
+            marks = np.zeros(1 << bits - first, np.uint8)
+            marks[full >> _U(BUCKET_BITS - bits)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["shard", "bits"])
+
+    return run
+
+
+def _full_of(dealt: DataFrame, least: int, shards: int, bits: int) -> bytes:
+    """The filter of full buckets; a bounded number of bytes for the driver, which come from a written table."""
+    # The shard is the partition, so that a task has one of them.
+    made = dealt.repartitionById(shards, "shard").mapInArrow(tidied(_full_buckets(least, shards, bits)), "shard int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    size = len(out) // shards
+    for row in written(made, "phrase-full").collect():
+        out[row.shard * size : (row.shard + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return out.tobytes()
+
+
+def _is_full(full: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return _bits(full, _place(h, len(full).bit_length() + 2))
+
+
 def _full_pairs(a: np.ndarray, b: np.ndarray, full: np.ndarray) -> np.ndarray:
     out = (a != 0) & (b != 0)
     at = np.flatnonzero(out)
-    out[at] = _bits(full, _place(hashed(a[at], b[at], np.zeros(len(at), _U)), BUCKET_BITS))
+    out[at] = _is_full(full, hashed(a[at], b[at], np.zeros(len(at), _U)))
     return out
 
 
@@ -293,58 +365,96 @@ def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, full: np.ndarray) -> n
     return at[_full_pairs(b[at], c[at], full)]
 
 
-def _distinct(pairs: Broadcast, triples: Broadcast, parts: int) -> Callable:
-    """(part, pairs, triples): candidates of two and three words as bytes, each once for every MOST_PLACES or so, dealt by hash."""
+def _candidates(pairs: Broadcast, triples: Broadcast, shards: int) -> Callable:
+    """(shard, pairs, triples, n): candidates of two and three words as packed bytes, and their numbers, each once for every MOST_PLACES or so."""
 
-    def emitted(keys: np.ndarray) -> pa.RecordBatch:
-        part = _shard_of(*keys, parts)
-        keys = keys[:, np.argsort(part, kind="stable")]
-        ends = np.cumsum(np.bincount(part, minlength=parts))
-        two, three = [], []
-        for own in np.split(keys, ends[:-1], axis=1):
+    def emitted(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for k, at in _dealt(h, shards):
+            own, times = keys[:, at], n[at]
             wide = own[2] != 0
-            two.append(own[:2, ~wide].tobytes())
-            three.append(own[:, wide].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(two, pa.binary()), pa.array(three, pa.binary())], names=["part", "pairs", "triples"])
+            rows.append((k, _packer().compress(own[:2, ~wide].tobytes()), _packer().compress(own[:, wide].tobytes()), _planes(np.concatenate([times[~wide], times[wide]]))))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "pairs", "triples", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, distinct = [], 0, 0
         for a, b, c in _windows(batches):
             for at, width in _candidate_places(a, b, c, pairs, triples):
-                held.append(np.stack([a[at], b[at], c[at] if width == 3 else np.zeros(len(at), _U)]))
+                held.append((np.stack([a[at], b[at], c[at] if width == 3 else np.zeros(len(at), _U)]), np.ones(len(at), "<u8")))
                 size += len(at)
             if size > 2 * distinct + MOST_PLACES // 4:
                 # What is distinct so far stays, until there is too much of it.
-                held = [_unique(held)]
-                size = distinct = held[0].shape[1]
+                keys, n, h = _together(held)
+                size = distinct = len(n)
                 if size > MOST_PLACES:
-                    yield emitted(held[0])
-                    held, size, distinct = [], 0, 0
-        if held:
-            yield emitted(_unique(held))
+                    yield emitted(keys, n, h)
+                    size = distinct = 0
+                else:
+                    held.append((keys, n))
+                del keys, n, h
+        if size:
+            yield emitted(*_together(held))
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct candidates (a, b, c) of rows of parts; those of a part come one after the other."""
-    now, held = None, []
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of the arrays with their numbers summed up, and their hashes, which rise; the arrays are let go.  Where others share the front of a hash, some may stay twice."""
+    keys, n = np.concatenate([k for k, _ in held], axis=1), np.concatenate([n for _, n in held])
+    held.clear()
+    h = hashed(*keys)
+    # Hashes with their places behind are sorted faster than places by hashes are.
+    low = _U((1 << len(h).bit_length()) - 1)
+    order = h & ~low | np.arange(len(h), dtype=_U)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    starts = _starts(keys, order)
+    first = order[starts]
+    return keys[:, first], np.add.reduceat(n[order], starts) if len(starts) else n, h[first] & ~low
+
+
+def _starts(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places in the order where a column differs from the one before."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for word in keys:
+        word = word[order]
+        new[1:] |= word[1:] != word[:-1]
+    return np.flatnonzero(new)
+
+
+def _by_slot(least: int, shards: int) -> Callable:
+    """(a, b, c, f): a shard's phrases that occur often enough, counted by slots of their perfect hash."""
+    first = shards.bit_length() - 1
+
+    def counted(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Most of what came through the filters by chance has no full bucket in a finer division.
+        bits = max(1, len(n).bit_length())
+        place = (hashed(*keys) << _U(first) >> _U(64 - bits)).astype(np.int64)
+        kept = np.bincount(place, n, 1 << bits)[place] >= least
+        del place
+        keys, n = keys[:, kept], n[kept]
+        table = PerfectHash.build(_unique([keys]))
+        f = np.bincount(table.slots(*keys), n, table.keys.shape[1]).astype(np.int64)
+        often = np.flatnonzero(f >= least)
+        for at in range(0, len(often), 50_000):
+            own = often[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[own].view(np.int64)) for k in table.keys), pa.array(f[own])], names=["a", "b", "c", "f"])
 
-    def out() -> Iterator[pa.RecordBatch]:
-        keys = _unique(held).view(np.int64)
-        for at in range(0, keys.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k) for k in keys[:, at : at + 50_000]], names=["a", "b", "c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for batch in batches:
+            for k, two, three, n in zip(batch.column("shard").to_pylist(), *(batch.column(x) for x in ("pairs", "triples", "n")), strict=True):
+                short, long = _unpacked(two.as_py(), "<u8").reshape(2, -1), _unpacked(three.as_py(), "<u8").reshape(3, -1)
+                short = np.concatenate([short, np.zeros((1, short.shape[1]), _U)])
+                held[k].append((np.concatenate([short, long], axis=1), _unplaned(n.as_py(), "<u8").astype(np.uint32)))
+        for k in list(held):
+            own = held.pop(k)
+            keys, n = np.concatenate([x for x, _ in own], axis=1), np.concatenate([x for _, x in own])
+            del own
+            yield from counted(keys, n)
 
-    for batch in batches:
-        for part, two, three in zip(*batch.columns, strict=True):
-            if part.as_py() != now:
-                if held:
-                    yield from out()
-                now = part.as_py()
-            short = np.frombuffer(two.as_buffer(), _U).reshape(2, -1)
-            held += [np.concatenate([short, np.zeros((1, short.shape[1]), _U)]), np.frombuffer(three.as_buffer(), _U).reshape(3, -1)]
-    if held:
-        yield from out()
+    return run
 
 
 def _candidate_places(a, b, c, pairs: Broadcast, triples: Broadcast) -> list[tuple[np.ndarray, int]]:
@@ -352,7 +462,7 @@ def _candidate_places(a, b, c, pairs: Broadcast, triples: Broadcast) -> list[tup
     full = np.frombuffer(pairs.value, np.uint8)
     two = np.flatnonzero(_full_pairs(a, b, full))
     three = two[_full_pairs(b[two], c[two], full)]
-    three = three[_bits(np.frombuffer(triples.value, np.uint8), _place(hashed(a[three], b[three], c[three]), BUCKET_BITS))]
+    three = three[_is_full(np.frombuffer(triples.value, np.uint8), hashed(a[three], b[three], c[three]))]
     return [(two, 2), (three, 3)]
 
 
@@ -361,12 +471,7 @@ def _unique(held: list[np.ndarray]) -> np.ndarray:
     keys = np.concatenate(held, axis=1)
     held.clear()
     order = np.argsort(hashed(*keys))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for word in keys:
-        word = word[order]
-        new[1:] |= word[1:] != word[:-1]
-    return keys[:, order[new]]
+    return keys[:, order[_starts(keys, order)]]
 
 
 @dataclass
@@ -450,126 +555,6 @@ class PerfectHash:
         return cls(head[1 : n + 1].tolist(), words, ranks, keys)
 
 
-def _shard_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, shards: int, h: np.ndarray | None = None) -> np.ndarray:
-    return (_mix((hashed(a, b, c) if h is None else h) ^ _U(0x5851F42D4C957F2D)) % _U(shards)).astype(np.int64)
-
-
-def _dealt(shards: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [c.to_numpy().view(_U) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shard_of(*keys, shards).astype(np.int32))], names=["a", "b", "c", "shard"])
-
-    return run
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shard's perfect hash, in rows of a part.  The rows of a shard come one after the other; there are about SHARD_KEYS of them."""
-    now, held = None, []
-
-    def out() -> pa.RecordBatch:
-        content = PerfectHash.build(np.concatenate(held, axis=1)).packed()
-        parts = [content[at : at + PART_BYTES] for at in range(0, len(content), PART_BYTES)]
-        return pa.RecordBatch.from_arrays([pa.array([now] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["shard", "part", "hash"])
-
-    for batch in batches:
-        shards = batch.column("shard").to_numpy()
-        keys = np.stack([batch.column(k).to_numpy().view(_U) for k in "abc"])
-        for shard in np.unique(shards):
-            if now is not None and shard != now:
-                yield out()
-                held = []
-            now = int(shard)
-            held.append(keys[:, shards == shard])
-    if held:
-        yield out()
-
-
-_shards: dict[int, PerfectHash] = {}
-
-
-def _shard(shared: Broadcast, key: int) -> PerfectHash:
-    """One shard a worker process, kept from task to task."""
-    if key not in _shards:
-        _shards.clear()
-        _shards[key] = PerfectHash.unpacked(shared.value)
-    return _shards[key]
-
-
-def _by_slot(pairs: Broadcast, triples: Broadcast, shared: Broadcast, key: int, shard: int, shards: int) -> Callable:
-    """Counts of the shard's phrases by slot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _shard(shared, key)
-        n = table.keys.shape[1]
-        counts, held, size = np.zeros(n, np.int64), [], 0
-
-        def met(a, b, c) -> None:
-            nonlocal size
-            h = hashed(a, b, c)
-            if shards > 1:
-                own = _shard_of(a, b, c, shards, h) == shard
-                a, b, c, h = a[own], b[own], c[own], h[own]
-            slots = table.slots(a, b, c, h)
-            slots = slots[slots >= 0]
-            held.append(slots)
-            size += len(slots)
-
-        for a, b, c in _windows(batches):
-            one, none = np.flatnonzero(a), np.zeros(len(a), _U)
-            met(a[one], none[one], none[one])
-            for at, width in _candidate_places(a, b, c, pairs, triples):
-                met(a[at], b[at], c[at] if width == 3 else none[at])
-            if size > max(n, MOST_PLACES):
-                counts += np.bincount(np.concatenate(held), minlength=n)
-                held, size = [], 0
-        if size:
-            counts += np.bincount(np.concatenate(held), minlength=n)
-        yield from _slices(counts)
-
-    return run
-
-
-def _frequent(shared: Broadcast, key: int, least: int) -> Callable:
-    """(a, b, c, f) of the phrases of two and more words that occur often enough, from slices of counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _shard(shared, key).keys
-        for batch in batches:
-            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                counts = _unpacked(packed.as_py(), "<i8")
-                own = keys[:, k * SLICE : k * SLICE + len(counts)]
-                kept = (counts >= least) & (own[1] != 0)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[kept].view(np.int64)) for x in own), pa.array(counts[kept])], names=["a", "b", "c", "f"])
-
-    return run
-
-
-#: The parts of cuts, which are read from their slots: the words that each is made of, by place.
-_PARTS = {"l1": (0,), "r1": (1, 2), "l2": (0, 1), "r2": (2,)}
-
-
-def _read(shared: Broadcast, counts: Broadcast, key: int, shard: int, shards: int) -> Callable:
-    """Fill the counts of those parts of cuts that are in the shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, found = _shard(shared, key), np.frombuffer(counts.value, np.int64)
-        for batch in batches:
-            keys = [batch.column(k).to_numpy().view(_U) for k in "abc"]
-            out = [batch.column(k) for k in ("a", "b", "c", "f")]
-            for name, places in _PARTS.items():
-                part = [keys[p] for p in places] + [np.zeros(batch.num_rows, _U)] * (3 - len(places))
-                now = batch.column(name).to_numpy().copy()
-                # A phrase of two words has one cut.
-                own = (_shard_of(*part, shards) == shard) & ((keys[2] != 0) | (name in ("l1", "r1")))
-                slots = table.slots(*(p[own] for p in part))
-                now[own] = np.where(slots >= 0, found[np.maximum(slots, 0)], 0) if len(found) else 0
-                out.append(pa.array(now))
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "c", "f", *_PARTS])
-
-    return run
-
-
 def _set_bits(places: DataFrame, bits: int) -> bytes:
     """A bit array of fixed size with the bits of column ``h``'s highest bits set; made in tasks, a slice of it at a time."""
     size = 1 << bits
@@ -609,51 +594,27 @@ def word_counts(sent: DataFrame, least: int) -> tuple[DataFrame, int]:
 
 
 def phrase_counts(spark: SparkSession, sent: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
-    """(a, b, c, f, l1, r1, l2, r2): phrases of two (c = 0) and three word ids that occur at least ``least`` times, and their cuts' parts' counts; a written table."""
+    """(a, b, c, f): phrases of two (c = 0) and three word ids that occur at least ``least`` times; a written table."""
     context = spark.sparkContext
     frequent = words.where(F.col("n") >= least)
     known = context.broadcast(_set_bits(frequent.select("id"), WORD_BITS))
     ids = written(sent.mapInArrow(tidied(_written_ids(known, seed)), "ids binary"), "phrase-ids")
     known.destroy()
-    few = ids.coalesce(max(1, WAVES * context.defaultParallelism))
-    pairs = context.broadcast(_full(tree_sum(few.mapInArrow(tidied(_bucketed(None, least)), _SLICES), "u1", least), BUCKET_BITS, least))
-    triples = context.broadcast(_full(tree_sum(few.mapInArrow(tidied(_bucketed(pairs, least)), _SLICES), "u1", least), BUCKET_BITS, least))
-    places = "a long, b long, c long"
-    # More parts than tasks, so that a task holds one of a few of its own at a time.
-    parts = PARTS * shuffle_partitions(spark)
-    met = few.mapInArrow(tidied(_distinct(pairs, triples, parts)), "part int, pairs binary, triples binary")
-    phrases = met.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(_met), places)
-    zero = F.lit(0).cast("long")
-    candidates = written(phrases.unionByName(frequent.select(F.col("id").alias("a"), zero.alias("b"), zero.alias("c"))), "phrase-candidates")
-    shards = max(1, -(-candidates.count() // SHARD_KEYS))
-    dealt = candidates.mapInArrow(tidied(_dealt(shards)), f"{places}, shard int")
-    hashes = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidied(_hashes), "shard int, part int, hash binary").repartition("shard", "part"), "phrase-hashes")
-
-    def share(shard: int) -> tuple[Broadcast, int, int]:
-        """The shard for the workers, what tells it from others, and its number of phrases."""
-        parts = {row["part"]: bytes(row["hash"]) for row in hashes.where(F.col("shard") == shard).toLocalIterator()}
-        content = b"".join(parts[i] for i in range(len(parts))) or PerfectHash.build(np.zeros((3, 0), _U)).packed()
-        return context.broadcast(content), xxhash.xxh3_64_intdigest(content), PerfectHash.unpacked(content).keys.shape[1]
-
-    counts, found = [], None
-    for shard in range(shards):
-        shared, key, _ = share(shard)
-        counts.append(written(tree_sum(few.mapInArrow(tidied(_by_slot(pairs, triples, shared, key, shard, shards)), _SLICES), "<i8"), "phrase-slots"))
-        often = written(counts[shard].mapInArrow(tidied(_frequent(shared, key, least)), f"{places}, f long"), "phrase-often")
-        found = often if found is None else found.unionByName(often)
-        shared.destroy()
-    read = found.select("*", *[zero.alias(name) for name in _PARTS])
-    for shard in range(shards):
-        shared, key, size = share(shard)
-        by_slot = np.zeros(size, np.int64)
-        for row in counts[shard].toLocalIterator():
-            part = _unpacked(bytes(row.counts), "<i8")
-            by_slot[row.slice * SLICE : row.slice * SLICE + len(part)] = part
-        numbers = context.broadcast(by_slot.tobytes())
-        read = written(read.mapInArrow(tidied(_read(shared, numbers, key, shard, shards)), f"{places}, f long, " + ", ".join(f"{p} long" for p in _PARTS)), "phrase-cuts")
-        shared.destroy()
-        numbers.destroy()
-    return read
+    most = frequent.agg(F.sum("n")).first()[0] or 0
+    shards = 1 << (max(shuffle_partitions(spark), -(-most // SHARD_KEYS)) - 1).bit_length()
+    # A place for every second word, and whole bytes for each shard.
+    bits = max(min(FULL_BITS, most.bit_length() - 1), shards.bit_length() + 2)
+
+    def full(pairs: Broadcast | None) -> Broadcast:
+        return context.broadcast(_full_of(ids.mapInArrow(tidied(_bucketed(pairs, shards)), "shard int, buckets binary, n binary"), least, shards, bits))
+
+    pairs = full(None)
+    triples = full(pairs)
+    dealt = ids.mapInArrow(tidied(_candidates(pairs, triples, shards)), "shard int, pairs binary, triples binary, n binary")
+    found = written(dealt.repartitionById(shards, "shard").mapInArrow(tidied(_by_slot(least, shards)), "a long, b long, c long, f long"), "phrase-often")
+    pairs.destroy()
+    triples.destroy()
+    return found
 
 
 def _score(left: str, right: str):
@@ -670,24 +631,37 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = L
     words, seed = word_counts(sent, least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     found = phrase_counts(spark, sent, words, seed, least)
+    frequent = words.where(F.col("n") >= least)
+    two, three = found.where("c = 0").drop("c"), found.where("c <> 0")
+
+    def times(df: DataFrame, column: str, out: str, *more: str) -> DataFrame:
+        """``df`` with its words' counts; all words of a frequent phrase are frequent."""
+        return df.join(sized(frequent.select(F.col("id").alias(column), F.col("n").alias(out), *more), BROADCAST_WORDS), column)
 
     # A pair goes if a longer phrase that holds it occurs half as often, or more.
-    longer = found.where("c <> 0").select("f", F.explode(F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))).alias("k"))
+    longer = three.select("f", F.explode(F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))).alias("k"))
     longer = longer.groupBy("k.a", "k.b").agg(F.max("f").alias("_longer"))
-    kept = found.join(longer.withColumn("c", F.lit(0).cast("long")), ["a", "b", "c"], "left").where(f"_longer IS NULL OR 100 * _longer < {replaced} * f")
-
-    first = F.struct(_score("l1", "r1").alias("score"), F.lit(1).alias("k"), F.col("l1").alias("l"), F.col("r1").alias("r"))
-    second = F.when(F.col("c") != 0, F.struct(_score("l2", "r2").alias("score"), F.lit(2).alias("k"), F.col("l2").alias("l"), F.col("r2").alias("r")))
-    # The least of both by score, then by the cut's place; nulls don't count.
-    cut = kept.select("a", "b", "c", "f", F.least(first, second).alias("cut"))
-    frequent = words.where(F.col("n") >= least)
+    kept = two.join(longer, ["a", "b"], "left").where(f"_longer IS NULL OR 100 * _longer < {replaced} * f")
+    short = times(times(kept, "a", "l", "lang"), "b", "r").select("lang", "a", "b", F.lit(0).cast("long").alias("c"), "f", "l", "r", _score("l", "r").alias("score"))
+
+    # All parts of a frequent phrase are frequent phrases or words.
+    parts = three.join(two.select("a", "b", F.col("f").alias("l2")), ["a", "b"]).join(two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("f").alias("r1")), ["b", "c"])
+    parts = times(times(parts, "a", "l1", "lang"), "c", "r2")
+    # The least of both by score, then by the cut's place.
+    cut = F.least(*[F.struct(_score(f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in (1, 2)])
+    long = parts.select("lang", "a", "b", "c", "f", cut.alias("cut")).select("lang", "a", "b", "c", "f", "cut.l", "cut.r", "cut.score")
+
+    # The first of each language and all that equal the last of them, which words tell apart.
+    place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("f").desc())
+    best = written(short.unionByName(long).withColumn("_place", F.rank().over(place)).where(F.col("_place") <= top), "phrase-best")
+    met = best.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    names = written(frequent.join(sized(written(met, "phrase-words-met"), BROADCAST_WORDS), "id").select("id", F.col("word").cast("string").alias("word")), "phrase-names")
 
     def named(df: DataFrame, column: str, how: str = "inner") -> DataFrame:
-        own = frequent.select(F.col("id").alias(column), F.col("word").cast("string").alias(f"{column}_word"), *[F.col("lang")] * (column == "a"))
-        return df.join(sized(own, BROADCAST_WORDS), column, how)
+        return df.join(sized(names.select(F.col("id").alias(column), F.col("word").alias(f"{column}_word")), BROADCAST_WORDS), column, how)
 
-    full = named(named(named(cut, "a"), "b"), "c", "left")
-    rows = full.select("lang", F.concat_ws(" ", "a_word", "b_word", "c_word").alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
+    full = named(named(named(best, "a"), "b"), "c", "left")
+    rows = full.select("lang", F.concat_ws(" ", "a_word", "b_word", "c_word").alias("phrase"), F.col("f").alias("a"), "l", "r", "score")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     # Spark keeps each task's first rows of a language before it shuffles them.
     ranks = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

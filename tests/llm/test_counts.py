@@ -141,6 +141,54 @@ def test_phrases(spark, monkeypatch, shard_keys):
     assert sorted(map(tuple, found)) == phrases(rows, 4, 25) and len(found) > 60
 
 
+def test_phrases_of_many_shards_take_no_more_passes(spark, monkeypatch):
+    """What is written, and with it how often ids are read, doesn't grow with the number of shards."""
+    names, write, rows = [], collocations.written, rows_of(6, 80)
+    monkeypatch.setattr(collocations, "written", lambda df, name: names[-1].append(name) or write(df, name))
+    for shard_keys in (1_500_000, 60):
+        monkeypatch.setattr(collocations, "SHARD_KEYS", shard_keys)
+        names.append([])
+        assert sorted(map(tuple, collocations.mine(frame(spark, rows), least=3, top=30).collect())) == phrases(rows, 3, 30)
+    assert names[0] == names[1]
+
+
+@pytest.mark.parametrize("shards", [1, 8, 256])
+def test_shards_of_phrases(monkeypatch, shards):
+    """All steps over ids, with tasks that emit often, against counts; the filters have places for few."""
+    monkeypatch.setattr(collocations, "MOST_PLACES", 100)
+    monkeypatch.setattr(collocations, "WINDOW", 64)
+    rng = np.random.default_rng(shards)
+    words = np.concatenate([[0, 0], rng.integers(1, 1 << 63, 30).astype(np.uint64)]).astype(np.uint64)
+    texts = [np.concatenate([words[np.minimum(rng.geometric(0.25, 400), 31)], [0, 0]]).astype(np.uint64) for _ in range(9)]
+    tasks = [[pa.RecordBatch.from_arrays([pa.array([zstandard.compress(x.tobytes()) for x in texts[i::3]], pa.binary())], names=["ids"])] for i in range(3)]
+    least, bits = 7, shards.bit_length() + 2
+
+    def over(step):
+        """Rows of all tasks, dealt by shard."""
+        rows = [b.slice(i, 1) for task in tasks for b in step(iter(task)) for i in range(b.num_rows)]
+        assert len(rows) > 2 * len({r["shard"][0].as_py() for r in rows})
+        return iter(sorted(rows, key=lambda r: r["shard"][0].as_py()))
+
+    class Shared:
+        def __init__(self, step):
+            made = {k: b for r in collocations._full_buckets(least, shards, bits)(over(step)) for k, b in zip(r["shard"].to_pylist(), r["bits"].to_pylist(), strict=True)}
+            self.value = b"".join(made.get(k, bytes((1 << bits) // 8 // shards)) for k in range(shards))
+
+    pairs = Shared(collocations._bucketed(None, shards))
+    triples = Shared(collocations._bucketed(pairs, shards))
+    found = Counter()
+    for r in collocations._by_slot(least, shards)(over(collocations._candidates(pairs, triples, shards))):
+        for *key, f in zip(*(np.array(c).tolist() for c in r.columns), strict=True):
+            assert tuple(key) not in found
+            found[tuple(key)] = f
+    expected = Counter()
+    for x in texts:
+        own = x.view(np.int64).tolist()
+        expected.update((a, b, 0) for a, b in zip(own, own[1:], strict=False) if a and b)
+        expected.update((a, b, c) for a, b, c in zip(own, own[1:], own[2:], strict=False) if a and b and c)
+    assert found == Counter({k: n for k, n in expected.items() if n >= least}) and len({bool(k[2]) for k in found}) == 2
+
+
 def test_phrases_of_one_language_and_one_word(spark):
     rows = [(i, "Buffalo " * 40, None, None) for i in range(30)]
     assert sorted(map(tuple, collocations.mine(frame(spark, rows)).collect())) == phrases(rows, 10, 2000)
