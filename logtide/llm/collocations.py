@@ -49,7 +49,7 @@ SHARD_KEYS = 1 << 21
 #: Numbers in a slice of an array that is summed.
 SLICE = 1 << 16
 #: Words that are looked at in one go, those of a written row, and those that a worker knows the ids of.
-WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 16, 2048, 150_000
+WINDOW, ROW_WORDS, MEMO_WORDS = 1 << 16, 1 << 14, 150_000
 #: Distinct words, and places of candidates, that a task holds before it emits them; twice as many hashes.
 MOST_WORDS, MOST_PLACES = 200_000, 1 << 20
 #: Bytes of a text that are cut into words in one go.
@@ -91,36 +91,45 @@ class _Ids(dict):
 
 
 # Columns: lang (string), text (binary).
-def _words(seed: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        held = 0
-        for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = counts[lang]
-                for tokens in token_pieces(text):
-                    held -= len(own)
-                    own.update(tokens)
-                    held += len(own)
-                    if held > MOST_WORDS:
-                        yield from _counted(counts, seed)
-                        own, held = counts[lang], 0
-        yield from _counted(counts, seed)
-
-    return run
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n), each word once for every MOST_WORDS or so."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    held = 0
+    for batch in batches:
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = counts[lang]
+            for tokens in token_pieces(text):
+                held -= len(own)
+                own.update(tokens)
+                held += len(own)
+                if held > MOST_WORDS:
+                    yield from _counted(counts)
+                    own, held = counts[lang], 0
+    yield from _counted(counts)
 
 
-def _counted(counts: dict[str, Counter], seed: int) -> Iterator[pa.RecordBatch]:
+def _counted(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     for lang, own in counts.items():
         own.pop(_END, None)
-        words, ids = list(own), _Ids(lang, seed)
+        words, n = list(own), list(own.values())
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
-            signed = np.array([ids.__missing__(w) for w in some], _U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array(signed), pa.array([own[w] for w in some], pa.int64())], names=["lang", "word", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array(n[at : at + 20_000], pa.int64())], names=["lang", "word", "n"])
     counts.clear()
 
 
+def _with_ids(seed: int) -> Callable:
+    """Rows of (lang, word, n) with the words' ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {lang: _Ids(lang, seed) for lang in batch.column("lang").unique().to_pylist()}
+            found = [own[lang].__missing__(word) for lang, word in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "word")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), pa.array(np.array(found, _U).view(np.int64)), batch.column("n")], names=["lang", "word", "id", "n"])
+
+    return run
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread all bits of unsigned numbers over all bits, in place."""
     x ^= x >> _U(30)
@@ -586,8 +595,8 @@ def _full(slices: DataFrame, bits: int, least: int) -> bytes:
 def word_counts(sent: DataFrame, least: int) -> tuple[DataFrame, int]:
     """(lang, word, id, n) of all words, a written table, and the seed by which no frequent word shares its id."""
     for seed in range(SEEDS):
-        counted = sent.mapInArrow(tidied(_words(seed)), "lang string, word binary, id long, n long")
-        words = written(counted.groupBy("lang", "word").agg(F.first("id").alias("id"), F.sum("n").alias("n")), "phrase-words")
+        counted = sent.mapInArrow(tidied(_words), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = written(counted.mapInArrow(tidied(_with_ids(seed)), "lang string, word binary, id long, n long"), "phrase-words")
         if words.groupBy("id").agg(F.count("*").alias("of"), F.max("n").alias("most")).where((F.col("of") > 1) & (F.col("most") >= least)).isEmpty():
             return words, seed
     raise ValueError("words share ids under all seeds")
